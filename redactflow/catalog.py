@@ -71,8 +71,10 @@ ENT_SQL_COLS = ("doc_id, idx, s AS start_char, e AS end_char, entity_type, text,
                 "round(confidence, 4) AS confidence")
 
 
-def _with(src: str, body: str, **kw) -> str:
-    return f"WITH {O.pipeline_ctes(src, **kw)}\n{body}"
+def _with(src: str, body: str, *extra_ctes: str, **kw) -> str:
+    """Pipeline CTEs for ``src``, then ``extra_ctes``, then ``body``."""
+    ctes = ",\n".join([O.pipeline_ctes(src, **kw), *extra_ctes])
+    return f"WITH {ctes}\n{body}"
 
 
 # ---- 2.3 single rules ----------------------------------------------------------
@@ -203,3 +205,198 @@ def q_scrub_forms(spark, sf_dir):
 @register("scrub_pages", _with(O.PAGES_SRC, f"SELECT {ENT_SQL_COLS} FROM ents"))
 def q_scrub_pages(spark, sf_dir):
     return _doc_entities(TB.pages_urls(spark, sf_dir)).select(*_doc_entity_cols())
+
+
+# ---- 2.6 / 2.7 redaction ---------------------------------------------------------
+
+def _mask_sql(mode: str, t: str = "text", ty: str = "entity_type") -> str:
+    if mode == "placeholder":
+        return f"('<' || {ty} || '>')"
+    if mode == "partial":
+        return (f"(CASE WHEN length({t}) <= 4 THEN repeat('X', CAST(length({t}) AS BIGINT)) "
+                f"ELSE substring({t}, 1, 2) || repeat('X', CAST(length({t}) - 2 AS BIGINT)) END)")
+    return f"(CASE WHEN length({t}) = 0 THEN '████' ELSE repeat('█', CAST(length({t}) AS BIGINT)) END)"
+
+
+_RED_SEQ = "row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, e, wid) - 1"
+
+
+def _scrubbed(spark, sf_dir, mode="full", src=TB.documents, **kw) -> DataFrame:
+    return scrub(src(spark, sf_dir), cfg=ScrubConfig(mode=mode, **kw))
+
+
+def _replacement_rows(mode: str) -> QueryFn:
+    def run(spark, sf_dir):
+        rows = entity_rows(_scrubbed(spark, sf_dir, mode))
+        return rows.select("doc_id", "idx", "entity_type", "text", "replacement")
+    return run
+
+
+for _mode, _name in (("full", "mask_full"), ("placeholder", "mask_placeholder"), ("partial", "mask_partial")):
+    register(_name, _with(O.DOCS_SRC, f"SELECT doc_id, idx, entity_type, text, {_mask_sql(_mode)} AS replacement "
+                                      f"FROM ents"))(_replacement_rows(_mode))
+
+
+@register("mask_dispatch", _with(O.DOCS_SRC, " UNION ALL ".join(
+    f"SELECT doc_id, idx, '{m}' AS mode, {_mask_sql(m if m != 'hash' else 'full')} AS replacement FROM ents"
+    for m in ("full", "placeholder", "partial", "hash"))))
+def q_mask_dispatch(spark, sf_dir):
+    from redactflow.functions.masks import replacement
+    rows = _doc_entities(TB.documents(spark, sf_dir))
+    outs = [rows.select("doc_id", "idx", F.lit(m).alias("mode"),
+                        replacement(m, F.col("text"), F.col("entity_type")).alias("replacement"))
+            for m in ("full", "placeholder", "partial", "hash")]
+    out = outs[0]
+    for o in outs[1:]:
+        out = out.unionByName(o)
+    return out
+
+
+def _splice_sql(src: str, red_cte: str) -> str:
+    """Fold of a ``red(doc_id, l)`` list (redaction order) over each text of ``src``."""
+    return _with(src, f"""SELECT d.doc_id, CASE WHEN r.l IS NULL THEN d.text ELSE list_reduce(r.l, lambda acc, x:
+       substring(acc, 1, x.s) || x.r || substring(acc, x.e + 1), d.text) END AS redacted_text
+FROM ({src}) d LEFT JOIN red r ON r.doc_id = d.doc_id""", *red_cte)
+
+
+def _redacted_sql(src: str, mode: str) -> str:
+    return _splice_sql(src, [f"red AS (SELECT doc_id, list(struct_pack(s := s, e := e, r := {_mask_sql(mode)}) "
+                             f"ORDER BY s DESC, e, wid) AS l FROM ents GROUP BY doc_id)"])
+
+
+def _redacted_query(mode: str, src=TB.documents) -> QueryFn:
+    def run(spark, sf_dir):
+        return _scrubbed(spark, sf_dir, mode, src, ).select("doc_id", "redacted_text")
+    return run
+
+
+register("redact_documents", _redacted_sql(O.DOCS_SRC, "full"))(_redacted_query("full"))
+register("redact_documents_placeholder", _redacted_sql(O.DOCS_SRC, "placeholder"))(_redacted_query("placeholder"))
+register("redact_documents_partial", _redacted_sql(O.DOCS_SRC, "partial"))(_redacted_query("partial"))
+register("redact_forms_placeholder", _redacted_sql(TB.FORMS_SQL, "placeholder"))(
+    _redacted_query("placeholder", TB.customer_forms))
+
+
+@register("redaction_order", _with(O.DOCS_SRC, f"SELECT doc_id, {_RED_SEQ} AS seq, s AS start_char, e AS end_char FROM ents"))
+def q_redaction_order(spark, sf_dir):
+    docs = detect(TB.documents(spark, sf_dir))
+    rows = explode_structs(docs.select("doc_id", R.redaction_order(F.col("entities")).alias("r")), "r", ["doc_id"])
+    return rows.select("doc_id", F.col("pos").cast("long").alias("seq"), F.col("x.s").cast("long").alias("start_char"),
+                       F.col("x.e").cast("long").alias("end_char"))
+
+
+@register("redaction_metadata", _with(
+    O.DOCS_SRC, f"SELECT doc_id, {_RED_SEQ} AS seq, text AS original_text, entity_type, {_mask_sql('placeholder')} "
+                f"AS replacement, s AS position_start, e AS position_end, round(confidence, 4) AS confidence FROM ents"))
+def q_redaction_metadata(spark, sf_dir):
+    out = _scrubbed(spark, sf_dir, "placeholder")
+    rows = explode_structs(out.select("doc_id", "redaction_metadata"), "redaction_metadata", ["doc_id"])
+    return rows.select("doc_id", F.col("pos").cast("long").alias("seq"), F.col("x.original_text").alias("original_text"),
+                       F.col("x.entity_type").alias("entity_type"), F.col("x.replacement").alias("replacement"),
+                       F.col("x.position.start").cast("long").alias("position_start"),
+                       F.col("x.position.end").cast("long").alias("position_end"),
+                       r4(F.col("x.confidence")).alias("confidence"))
+
+
+_PSEUDO_SQL = """
+SELECT doc_id, text, entity_type, 'USER_' || upper(substring(entity_type, 1, 3)) || '_' ||
+       CAST(row_number() OVER (PARTITION BY doc_id, upper(substring(entity_type, 1, 3)) ORDER BY first_seq) AS VARCHAR) AS pseudonym
+FROM (SELECT doc_id, text, entity_type, min(seq) AS first_seq
+      FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, e, wid) AS seq FROM ents)
+      GROUP BY doc_id, text, entity_type)"""
+
+
+@register("pseudonymize_document", _with(TB.FORMS_SQL, _PSEUDO_SQL))
+def q_pseudonymize_document(spark, sf_dir):
+    rows = entity_rows(_scrubbed(spark, sf_dir, "pseudonym", TB.customer_forms, pseudonymize=True))
+    return rows.select("doc_id", "text", "entity_type", F.col("replacement").alias("pseudonym")).distinct()
+
+
+@register("redact_documents_pseudonym", _splice_sql(TB.FORMS_SQL, [f"ps AS ({_PSEUDO_SQL})", """red AS (
+  SELECT e.doc_id, list(struct_pack(s := e.s, e := e.e, r := p.pseudonym) ORDER BY e.s DESC, e.e, e.wid) AS l
+  FROM ents e JOIN ps p ON p.doc_id = e.doc_id AND p.text = e.text AND p.entity_type = e.entity_type
+  GROUP BY e.doc_id)"""]))
+def q_redact_documents_pseudonym(spark, sf_dir):
+    return _scrubbed(spark, sf_dir, "pseudonym", TB.customer_forms, pseudonymize=True).select("doc_id", "redacted_text")
+
+
+@register("redact_terms", _with(O.DOCS_SRC, """SELECT d.doc_id, CASE WHEN t.l IS NULL THEN d.text
+       ELSE list_reduce(t.l, lambda acc, x: replace(acc, x.t, x.r), d.text) END AS redacted_text
+FROM documents d LEFT JOIN terms t ON t.doc_id = d.doc_id""", f"""terms AS (
+  SELECT doc_id, list(struct_pack(t := text, r := {_mask_sql('full', 'text')}) ORDER BY length(text) DESC, text) AS l
+  FROM (SELECT DISTINCT doc_id, text FROM ents WHERE length(text) > 0) GROUP BY doc_id)"""))
+def q_redact_terms(spark, sf_dir):
+    out = _scrubbed(spark, sf_dir, "full")
+    terms = R.term_replacements(F.col("redaction_metadata"), "full")
+    return out.select("doc_id", R.redact_terms(F.col("text"), terms).alias("redacted_text"))
+
+
+@register("distinct_terms", _with(O.DOCS_SRC, """SELECT doc_id, text AS term,
+  row_number() OVER (PARTITION BY doc_id ORDER BY length(text) DESC, text) - 1 AS rank
+FROM (SELECT DISTINCT doc_id, text FROM ents WHERE length(text) > 0)"""))
+def q_distinct_terms(spark, sf_dir):
+    out = _scrubbed(spark, sf_dir, "full")
+    terms = R.term_replacements(F.col("redaction_metadata"), "full")
+    rows = explode_structs(out.select("doc_id", terms.alias("t")), "t", ["doc_id"])
+    return rows.select("doc_id", F.col("x.term").alias("term"), F.col("pos").cast("long").alias("rank"))
+
+
+_ISLANDS_SQL = """isl AS (
+  SELECT doc_id, s, e, entity_type, idx,
+         sum(CASE WHEN pe IS NULL OR s >= pe THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY idx) AS island
+  FROM (SELECT *, max(e) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe
+        FROM ents)),
+islands AS (SELECT doc_id, island, min(s) AS s, max(e) AS e, arg_min(entity_type, idx) AS entity_type,
+            count(*) AS n FROM isl GROUP BY doc_id, island)"""
+
+
+@register("merge_overlaps", _with(O.DOCS_SRC, "SELECT doc_id, s AS start_char, e AS end_char, n AS n_spans, "
+                                              "entity_type FROM islands", _ISLANDS_SQL))
+def q_merge_overlaps(spark, sf_dir):
+    docs = detect(TB.documents(spark, sf_dir))
+    rows = explode_structs(docs.select("doc_id", R.merge_overlaps(R.document_order(F.col("entities"))).alias("m")),
+                           "m", ["doc_id"])
+    return rows.select("doc_id", F.col("x.s").cast("long").alias("start_char"), F.col("x.e").cast("long").alias("end_char"),
+                       F.col("x.n").cast("long").alias("n_spans"), F.col("x.entity_type").alias("entity_type"))
+
+
+@register("redact_documents_merged", _splice_sql(O.DOCS_SRC, [_ISLANDS_SQL, """red AS (
+  SELECT doc_id, list(struct_pack(s := s, e := e, r := '<' || entity_type || '>') ORDER BY s DESC) AS l
+  FROM islands GROUP BY doc_id)"""]))
+def q_redact_documents_merged(spark, sf_dir):
+    docs = detect(TB.documents(spark, sf_dir))
+    return docs.select("doc_id", R.redact_merged(F.col("text"), F.col("entities"), "placeholder").alias("redacted_text"))
+
+
+_GREEDY_SQL = """g AS (SELECT doc_id, list_reduce(list(struct_pack(s := s, e := e, k := []::BIGINT[]) ORDER BY idx),
+     lambda acc, x: CASE WHEN x.s < coalesce(acc.k[-1], 0) THEN acc
+                         ELSE struct_pack(s := acc.s, e := acc.e, k := list_concat(acc.k, [x.s, x.e])) END,
+     struct_pack(s := 0, e := 0, k := []::BIGINT[])).k AS k FROM ents GROUP BY doc_id)"""
+
+
+@register("greedy_nonoverlap", _with(O.DOCS_SRC, """SELECT doc_id, CAST(i AS BIGINT) AS pos, k[2 * i + 1] AS start_char,
+       k[2 * i + 2] AS end_char FROM (SELECT doc_id, k, unnest(range(0, len(k) // 2)) AS i FROM g)""", _GREEDY_SQL))
+def q_greedy_nonoverlap(spark, sf_dir):
+    docs = detect(TB.documents(spark, sf_dir))
+    rows = explode_structs(docs.select("doc_id", R.greedy_nonoverlap(R.document_order(F.col("entities"))).alias("g")),
+                           "g", ["doc_id"])
+    return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("x.s").cast("long").alias("start_char"),
+                       F.col("x.e").cast("long").alias("end_char"))
+
+
+def _esc_sql(x: str) -> str:
+    return (f"replace(replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), "
+            f"'\"', '&quot;'), '''', '&#x27;')")
+
+
+@register("annotate_spans", _with(O.DOCS_SRC, f"""SELECT d.doc_id, CASE WHEN g.k IS NULL THEN {_esc_sql('d.text')} ELSE
+  list_reduce(list_transform(range(0, len(g.k) // 2), lambda i: struct_pack(s := g.k[2 * i + 1], e := g.k[2 * i + 2],
+    t := '')), lambda acc, x: struct_pack(s := x.e, e := 0, t := acc.t || {_esc_sql('substring(d.text, acc.s + 1, x.s - acc.s)')}
+    || '<mark title="' || ty.m[x.s] || '">' || {_esc_sql('substring(d.text, x.s + 1, x.e - x.s)')} || '<sup>' || ty.m[x.s]
+    || '</sup></mark>'), struct_pack(s := 0, e := 0, t := '')).t || {_esc_sql('substring(d.text, g.k[-1] + 1)')} END AS html
+FROM documents d LEFT JOIN g ON g.doc_id = d.doc_id LEFT JOIN ty ON ty.doc_id = d.doc_id""", _GREEDY_SQL,
+    "ty AS (SELECT doc_id, map(list(s ORDER BY idx), list(entity_type ORDER BY idx)) AS m FROM "
+    "(SELECT * FROM ents QUALIFY row_number() OVER (PARTITION BY doc_id, s ORDER BY idx) = 1) GROUP BY doc_id)"))
+def q_annotate_spans(spark, sf_dir):
+    docs = detect(TB.documents(spark, sf_dir))
+    return docs.select("doc_id", R.annotate_spans(F.col("text"), F.col("entities")).alias("html"))
