@@ -400,3 +400,223 @@ FROM documents d LEFT JOIN g ON g.doc_id = d.doc_id LEFT JOIN ty ON ty.doc_id =
 def q_annotate_spans(spark, sf_dir):
     docs = detect(TB.documents(spark, sf_dir))
     return docs.select("doc_id", R.annotate_spans(F.col("text"), F.col("entities")).alias("html"))
+
+
+# ---- 2.3 predicates and scalars --------------------------------------------------
+
+@register("threshold_filter", _with(TB.FORMS_SQL, f"SELECT {ENT_SQL_COLS} FROM ents", threshold=0.985))
+def q_threshold_filter(spark, sf_dir):
+    return _doc_entities(TB.customer_forms(spark, sf_dir), ScrubConfig(threshold=0.985)).select(*_doc_entity_cols())
+
+
+_LEAD_CAND = r"(?U)^[\s\x1c-\x1f]*([A-Z][a-z]+(?:[\s\x1c-\x1f]+[A-Z][a-z]+){1,3})"
+
+
+@register("looks_like_name", "SELECT doc_id, cand AS candidate, " + O.name_check_sql("cand") + " AS is_name FROM ("
+          "SELECT doc_id, regexp_extract(text, " + O.q("^[" + O._PY_WS + "]*([A-Z][a-z]+(?:[" + O._PY_WS
+          + "]+[A-Z][a-z]+){1,3})") + ", 1) AS cand FROM documents) WHERE length(cand) > 0")
+def q_looks_like_name(spark, sf_dir):
+    cand = F.regexp_extract(F.col("text"), _LEAD_CAND, 1)
+    docs = TB.documents(spark, sf_dir).select("doc_id", cand.alias("candidate")).where(F.length("candidate") > 0)
+    return docs.select("doc_id", "candidate", D.looks_like_name(F.col("candidate")).alias("is_name"))
+
+
+@register("length_confidence", _with(O.DOCS_SRC, "SELECT doc_id, idx, text, CASE WHEN length(text) > 3 "
+                                                  "THEN CAST(0.95 AS DOUBLE) ELSE CAST(0.7 AS DOUBLE) END AS score FROM ents"))
+def q_length_confidence(spark, sf_dir):
+    from redactflow.operators.detect import length_confidence
+    rows = _doc_entities(TB.documents(spark, sf_dir))
+    return rows.select("doc_id", "idx", "text", length_confidence(F.col("text")).alias("score"))
+
+
+@register("context_slice", _with(O.DOCS_SRC, """SELECT e.doc_id, e.idx, lower(substring(d.text, greatest(e.s - 100, 0) + 1,
+  e.e + 100 - greatest(e.s - 100, 0))) AS slice FROM ents e JOIN documents d ON d.doc_id = e.doc_id"""))
+def q_context_slice(spark, sf_dir):
+    from redactflow.functions.text import context_slice
+    docs = detect(TB.documents(spark, sf_dir))
+    rows = explode_structs(docs.select("doc_id", "text", "entities"), "entities", ["doc_id", "text"])
+    return rows.select("doc_id", F.col("pos").cast("long").alias("idx"),
+                       context_slice(F.col("text"), F.col("x.s"), F.col("x.e")).alias("slice"))
+
+
+def _minimal_sql() -> str:
+    from redactflow.operators.rules import MINIMAL_RULES
+    raw = " UNION ALL ".join(f"({O.rule_spans_sql(r)})" for r in MINIMAL_RULES)
+    return (f"WITH win AS ({O.windows_sql(O.DOCS_SRC)}) SELECT doc_id, wid AS window_id, s + ws AS start_char, "
+            f"e + ws AS end_char, entity_type, text, round(confidence, 4) AS confidence FROM ({raw})")
+
+
+@register("detect_minimal_profile", _minimal_sql())
+def q_detect_minimal_profile(spark, sf_dir):
+    from redactflow.operators.rules import MINIMAL_RULES
+    rows = spans_by_window(TB.documents(spark, sf_dir), MINIMAL_RULES, dedup=False)
+    return rows.select("doc_id", F.col("window_id").cast("long").alias("window_id"),
+                       (F.col("x.s") + F.col("ws")).cast("long").alias("start_char"),
+                       (F.col("x.e") + F.col("ws")).cast("long").alias("end_char"),
+                       F.col("x.entity_type").alias("entity_type"), F.col("x.text").alias("text"),
+                       r4(F.col("x.confidence")).alias("confidence"))
+
+
+_LUHN_SQL = ("(regexp_full_match(t, '[0-9]+') AND list_sum(list_transform(range(0, length(t)), lambda i: "
+             "CASE WHEN i % 2 = 1 THEN CAST(substring(reverse(t), i + 1, 1) AS INTEGER) * 2 - "
+             "CASE WHEN CAST(substring(reverse(t), i + 1, 1) AS INTEGER) * 2 > 9 THEN 9 ELSE 0 END "
+             "ELSE CAST(substring(reverse(t), i + 1, 1) AS INTEGER) END)) % 10 = 0)")
+
+
+@register("card_luhn_flag", _with(TB.FORMS_SQL, "SELECT doc_id, idx, text, "
+                                  + _LUHN_SQL.replace("t,", "text,").replace("(t)", "(text)")
+                                  + " AS luhn_ok FROM ents WHERE entity_type = 'CREDIT_CARD'"))
+def q_card_luhn_flag(spark, sf_dir):
+    rows = _doc_entities(TB.customer_forms(spark, sf_dir)).where(F.col("entity_type") == "CREDIT_CARD")
+    return rows.select("doc_id", "idx", "text", F.expr("luhn_check(text)").alias("luhn_ok"))
+
+
+# ---- 2.4 overlaps, 2.7 corpus pseudonyms ------------------------------------------
+
+@register("overlap_pairs", _with(O.DOCS_SRC, """SELECT a.doc_id, a.idx AS a_idx, b.idx AS b_idx FROM ents a JOIN ents b
+  ON a.doc_id = b.doc_id AND a.idx < b.idx AND b.s < a.e AND a.s < b.e"""))
+def q_overlap_pairs(spark, sf_dir):
+    from redactflow.operators.report import overlap_pairs
+    return overlap_pairs(_doc_entities(TB.documents(spark, sf_dir)))
+
+
+@register("pseudonymize_corpus", _with(TB.FORMS_SQL, """SELECT text, entity_type, 'USER_' || upper(substring(entity_type, 1, 3))
+  || '_' || CAST(row_number() OVER (PARTITION BY upper(substring(entity_type, 1, 3)) ORDER BY fd, fs, text, entity_type)
+  AS VARCHAR) AS pseudonym
+FROM (SELECT text, entity_type, arg_min(doc_id, struct_pack(d := doc_id, q := seq)) AS fd,
+             arg_min(seq, struct_pack(d := doc_id, q := seq)) AS fs FROM
+      (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, e, wid) - 1 AS seq FROM ents)
+      GROUP BY text, entity_type)"""))
+def q_pseudonymize_corpus(spark, sf_dir):
+    from redactflow.operators.report import pseudonymize_corpus
+    docs = detect(TB.customer_forms(spark, sf_dir))
+    rows = explode_structs(docs.select("doc_id", R.redaction_order(F.col("entities")).alias("r")), "r", ["doc_id"])
+    ents = rows.select("doc_id", F.col("pos").cast("long").alias("seq"), F.col("x.text").alias("text"),
+                       F.col("x.entity_type").alias("entity_type"))
+    return pseudonymize_corpus(ents, bucket_width=256)
+
+
+# ---- 2.5 aggregations --------------------------------------------------------------
+
+@register("entity_distribution", _with(O.DOCS_SRC, "SELECT doc_id, entity_type, count(*) AS n FROM ents "
+                                                    "GROUP BY doc_id, entity_type"))
+def q_entity_distribution(spark, sf_dir):
+    from redactflow.operators.report import entity_distribution
+    return entity_distribution(_doc_entities(TB.documents(spark, sf_dir)))
+
+
+@register("entity_distribution_corpus", _with(O.DOCS_SRC, """SELECT d.lang, d.source AS doc_source, e.entity_type, count(*) AS n
+FROM ents e JOIN documents d ON d.doc_id = e.doc_id GROUP BY ROLLUP (d.lang, d.source, e.entity_type)"""))
+def q_entity_distribution_corpus(spark, sf_dir):
+    from redactflow.operators.report import entity_distribution_corpus
+    docs = TB.documents(spark, sf_dir, extra=("lang", "source")).withColumnRenamed("source", "doc_source")
+    rows = entity_rows(detect(docs), extra=("lang", "doc_source"))
+    return entity_distribution_corpus(rows, ("lang", "doc_source"))
+
+
+@register("document_summary", _with(O.DOCS_SRC, """SELECT d.doc_id, coalesce(c.k, 0) AS entities_found,
+  coalesce(c.k, 0) AS redactions_applied, coalesce(c.by_type, '') AS by_type
+FROM documents d LEFT JOIN (SELECT doc_id, sum(n) AS k, string_agg(entity_type || ':' || n, ',' ORDER BY entity_type) AS by_type
+  FROM (SELECT doc_id, entity_type, count(*) AS n FROM ents GROUP BY doc_id, entity_type) GROUP BY doc_id) c
+ON c.doc_id = d.doc_id"""))
+def q_document_summary(spark, sf_dir):
+    from redactflow.operators.report import by_type_text
+    out = _scrubbed(spark, sf_dir, "full")
+    return out.select("doc_id", F.size("entities").cast("long").alias("entities_found"),
+                      F.size("redaction_metadata").cast("long").alias("redactions_applied"),
+                      by_type_text(F.col("entities")).alias("by_type"))
+
+
+@register("run_metrics", _with(O.DOCS_SRC, """SELECT (SELECT count(*) FROM documents) AS documents,
+  (SELECT count(*) FROM ents) AS entities, (SELECT count(*) FROM ents) AS redactions,
+  (SELECT count(DISTINCT entity_type) FROM ents) AS distinct_types,
+  (SELECT sum(length(text)) FROM documents) AS characters_processed"""))
+def q_run_metrics(spark, sf_dir):
+    from redactflow.operators.report import run_metrics
+    return run_metrics(_scrubbed(spark, sf_dir, "full"))
+
+
+@register("redaction_stats", _with(O.DOCS_SRC, "SELECT count(*) AS total_redacted, count(*) AS audit_entries, "
+                                                "CAST(0 AS BIGINT) AS pseudonym_mappings FROM ents"))
+def q_redaction_stats(spark, sf_dir):
+    from redactflow.operators.report import redaction_stats
+    return redaction_stats(_doc_entities(TB.documents(spark, sf_dir)))
+
+
+@register("audit_log", _with(O.DOCS_SRC, f"""SELECT doc_id, {_RED_SEQ} AS seq, entity_type, round(confidence, 4) AS confidence,
+  'placeholder' AS replacement_mode, 'file' AS context_key, 'doc_' || CAST(doc_id AS VARCHAR) || '.txt' AS context_value
+FROM ents"""))
+def q_audit_log(spark, sf_dir):
+    from redactflow.operators.report import FILE_CONTEXT_KEY, audit_log
+    out = _scrubbed(spark, sf_dir, "placeholder")
+    rows = explode_structs(out.select("doc_id", "redaction_metadata"), "redaction_metadata", ["doc_id"])
+    ents = rows.select("doc_id", F.col("pos").cast("long").alias("seq"), F.col("x.entity_type").alias("entity_type"),
+                       F.col("x.confidence").alias("confidence"))
+    ctx = F.create_map(F.lit(FILE_CONTEXT_KEY), F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt")))
+    log = audit_log(ents, "placeholder", ctx)
+    return log.select("doc_id", "seq", "entity_type", r4(F.col("confidence")).alias("confidence"), "replacement_mode",
+                      F.map_keys("context")[0].alias("context_key"), F.map_values("context")[0].alias("context_value"))
+
+
+# ---- 2.8 feedback and knowledge -----------------------------------------------------
+
+@register("feedback_append", f"SELECT * FROM ({TB.EVENTS_FEEDBACK_SQL})")
+def q_feedback_append(spark, sf_dir):
+    return TB.events_feedback(spark, sf_dir)
+
+
+@register("feedback_stats", f"""SELECT feedback_type, count(*) AS n, sum(count(*)) OVER () AS total_feedback
+FROM ({TB.EVENTS_FEEDBACK_SQL}) GROUP BY feedback_type""")
+def q_feedback_stats(spark, sf_dir):
+    from redactflow.operators.report import feedback_stats
+    return feedback_stats(TB.events_feedback(spark, sf_dir))
+
+
+@register("feedback_stats_zero_filled", f"""SELECT count(*) AS total_feedback,
+  count(*) FILTER (WHERE feedback_type = 'missed') AS missed,
+  count(*) FILTER (WHERE feedback_type = 'over_scrubbed') AS over_scrubbed,
+  count(*) FILTER (WHERE feedback_type = 'correct') AS correct FROM ({TB.EVENTS_FEEDBACK_SQL})""")
+def q_feedback_stats_zero_filled(spark, sf_dir):
+    from redactflow.operators.report import feedback_stats_zero_filled
+    return feedback_stats_zero_filled(TB.events_feedback(spark, sf_dir))
+
+
+@register("feedback_by_domain", f"SELECT domain, feedback_type, count(*) AS n FROM ({TB.EVENTS_FEEDBACK_SQL}) "
+                                "GROUP BY domain, feedback_type")
+def q_feedback_by_domain(spark, sf_dir):
+    from redactflow.operators.report import feedback_by_domain
+    return feedback_by_domain(TB.events_feedback(spark, sf_dir))
+
+
+@register("feedback_flag_entities", _with(TB.FORMS_SQL, f"""SELECT entity_type, correct, over_scrubbed, missed,
+  round(correct / nullif(correct + over_scrubbed, 0), 4) AS precision FROM (
+  SELECT f.entity_type, count(*) FILTER (WHERE feedback_type = 'correct') AS correct,
+         count(*) FILTER (WHERE feedback_type = 'over_scrubbed') AS over_scrubbed,
+         count(*) FILTER (WHERE feedback_type = 'missed') AS missed
+  FROM ({TB.EVENTS_FEEDBACK_SQL}) f WHERE EXISTS (SELECT 1 FROM ents e WHERE e.text = f.entity AND e.entity_type = f.entity_type)
+  GROUP BY f.entity_type)"""))
+def q_feedback_flag_entities(spark, sf_dir):
+    from redactflow.operators.report import feedback_flag_entities
+    return feedback_flag_entities(TB.events_feedback(spark, sf_dir), _doc_entities(TB.customer_forms(spark, sf_dir)))
+
+
+_KB_SQL = """kb AS (SELECT text AS entity_text, arg_min(entity_type, struct_pack(nc := -c, t := entity_type)) AS entity_type,
+  sum(c) AS frequency FROM (SELECT text, entity_type, count(*) AS c FROM ents GROUP BY text, entity_type) GROUP BY text)"""
+
+
+@register("knowledge_build", _with(TB.FORMS_SQL, "SELECT entity_text, entity_type, CAST(frequency AS BIGINT) AS frequency "
+                                                 "FROM kb", _KB_SQL))
+def q_knowledge_build(spark, sf_dir):
+    from redactflow.operators.report import knowledge_build
+    return knowledge_build(_doc_entities(TB.customer_forms(spark, sf_dir)))
+
+
+@register("knowledge_lookup", _with(TB.FORMS_SQL, f"""SELECT f.entity, f.feedback_type, k.entity_type AS kb_type,
+  CAST(k.frequency AS BIGINT) AS kb_frequency FROM ({TB.EVENTS_FEEDBACK_SQL}) f LEFT JOIN kb k ON k.entity_text = f.entity""",
+                                    _KB_SQL))
+def q_knowledge_lookup(spark, sf_dir):
+    from redactflow.operators.report import knowledge_build, knowledge_lookup
+    kb = knowledge_build(_doc_entities(TB.customer_forms(spark, sf_dir)))
+    fb = TB.events_feedback(spark, sf_dir).select(F.col("entity").alias("text"), "feedback_type")
+    out = knowledge_lookup(fb, kb)
+    return out.select(F.col("text").alias("entity"), "feedback_type", "kb_type", "kb_frequency")

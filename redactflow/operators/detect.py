@@ -137,3 +137,8 @@ def detect_document(text: Column, threshold: float = SERVICE_THRESHOLD,
     """Windows -> rules -> window dedup -> rebase -> document dedup -> handle removal."""
     use = active_rules(threshold) if rules is None else tuple(rules)
     return drop_handles_in_urls(dedup_document_spans(detect_windows(text, use, size, overlap)))
+
+
+def length_confidence(text: Column) -> Column:
+    """0.95 for texts longer than 3 characters, else 0.70 (scalar helper)."""
+    return F.when(F.length(text) > 3, F.lit(0.95)).otherwise(F.lit(0.70))

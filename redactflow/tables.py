@@ -81,3 +81,46 @@ FORMS_SQL = (
         "'''s page.'",
     ]) + " AS text FROM customer"
 )
+
+
+def _feedback_cols(user: Column, etype: Column) -> dict[str, Column]:
+    kind = (F.when(etype == "click", "missed").when(etype == "error", "over_scrubbed")
+            .when(etype.isin("purchase", "view"), "correct").otherwise("other"))
+    domain = (F.when(user % 5 == 0, F.lit(None).cast("string")).when(user % 4 == 0, "medical")
+              .when(user % 4 == 1, "legal").when(user % 4 == 2, "finance").otherwise("general"))
+    return dict(text=F.concat(F.lit("user "), _pad(user, 8), F.lit(" "), etype), entity=_pad(user, 8),
+                entity_type=F.lit("REGISTRATION_NUMBER"), feedback_type=kind, domain=domain,
+                user_id=F.when(etype == "signup", F.lit(None).cast("string")).otherwise(user.cast("string")))
+
+
+def events_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feedback records derived from ``events``: the user's padded id is the
+    entity, the event kind maps to a feedback kind (click: missed, error:
+    over_scrubbed, purchase/view: correct, else other); some rows leave
+    domain or user empty so the defaults apply (``EVENTS_FEEDBACK_SQL``)."""
+    from redactflow.operators.report import feedback_records
+
+    ev = load(spark, sf_dir, "events")
+    c = _feedback_cols(F.col("user_id"), F.col("event_type"))
+    return feedback_records(ev, c["text"], c["entity"], c["entity_type"], c["feedback_type"], c["domain"],
+                            c["user_id"], timestamp=F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+
+
+EVENTS_FEEDBACK_SQL = """SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS timestamp,
+  'user ' || lpad(CAST(user_id AS VARCHAR), 8, '0') || ' ' || event_type AS text,
+  lpad(CAST(user_id AS VARCHAR), 8, '0') AS entity, 'REGISTRATION_NUMBER' AS entity_type,
+  CASE WHEN event_type = 'click' THEN 'missed' WHEN event_type = 'error' THEN 'over_scrubbed'
+       WHEN event_type IN ('purchase', 'view') THEN 'correct' ELSE 'other' END AS feedback_type,
+  coalesce(CASE WHEN user_id % 5 = 0 THEN NULL WHEN user_id % 4 = 0 THEN 'medical' WHEN user_id % 4 = 1 THEN 'legal'
+                WHEN user_id % 4 = 2 THEN 'finance' ELSE 'general' END, 'general') AS domain,
+  coalesce(CASE WHEN event_type = 'signup' THEN NULL ELSE CAST(user_id AS VARCHAR) END, 'system') AS user_id
+FROM events"""
+
+
+def table_text_columns(df: DataFrame, key: str, table: str) -> DataFrame:
+    """Every string column of a table as (table, row_key, column, text) rows."""
+    cols = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string" and f.name != key]
+    stacked = df.select(F.col(key).cast("long").alias("row_key"),
+                        F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("text"))
+                                           for c in cols])))
+    return stacked.select(F.lit(table).alias("table"), "row_key", "column", "text")
