@@ -620,3 +620,205 @@ def q_knowledge_lookup(spark, sf_dir):
     fb = TB.events_feedback(spark, sf_dir).select(F.col("entity").alias("text"), "feedback_type")
     out = knowledge_lookup(fb, kb)
     return out.select(F.col("text").alias("entity"), "feedback_type", "kb_type", "kb_frequency")
+
+
+# ---- 2.3 external spans and domain patterns -------------------------------------
+
+_EXTERNAL_SQL = """SELECT l.doc_id, 0 AS s, length(regexp_extract(d.text, '^[^ \\t\\n]+', 0)) AS e,
+  regexp_extract(d.text, '^[^ \\t\\n]+', 0) AS text, 'MODEL_FLAG' AS entity_type,
+  CASE WHEN l.toxic = 1 THEN 0.99 ELSE 0.90 END AS score
+FROM labels l JOIN documents d ON d.doc_id = l.doc_id WHERE length(regexp_extract(d.text, '^[^ \\t\\n]+', 0)) > 0"""
+
+
+def model_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stand-in for a model's output, derived from ``labels``: the first token
+    of each labelled document, flagged 0.99 when toxic and 0.90 otherwise
+    (below the service threshold, so dropped as the reference drops them)."""
+    lab = TB.load(spark, sf_dir, "labels").select("doc_id", "toxic")
+    docs = TB.load(spark, sf_dir, "documents").select("doc_id", "text")
+    tok = F.regexp_extract(F.col("text"), r"^[^ \t\n]+", 0)
+    return (lab.join(docs, "doc_id").where(F.length(tok) > 0)
+            .select("doc_id", F.lit(0).alias("s"), F.length(tok).alias("e"), tok.alias("text"),
+                    F.lit("MODEL_FLAG").alias("entity_type"),
+                    F.when(F.col("toxic") == 1, F.lit(0.99)).otherwise(F.lit(0.90)).alias("score")))
+
+
+@register("union_external_spans", _with(O.DOCS_SRC, f"SELECT {ENT_SQL_COLS} FROM ents", external=_EXTERNAL_SQL))
+def q_union_external_spans(spark, sf_dir):
+    from redactflow.plans.scrub import union_external_spans
+    docs = union_external_spans(TB.documents(spark, sf_dir), model_spans(spark, sf_dir))
+    return entity_rows(detect(docs, external_col="external")).select(*_doc_entity_cols())
+
+
+# Our own example domain-pattern table (id, domain, name, regex, boost).
+# "secret_token" appears twice: the later row (higher id) wins the lookup.
+DOMAIN_PATTERNS = (
+    (1, "general", "secret_token", "[0-9a-f]{40}", 0.05),
+    (2, "general", "secret_token", 'token = "[0-9a-f]{40}"', 0.10),
+    (3, "general", "visa_like", "^4[0-9]{15}$", 0.01),
+    (4, "finance", "iban", "[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}", 0.10),
+    (5, "medical", "mrn", "MRN[- ]?[0-9]{6,10}", 0.10),
+)
+_PATTERNS_SQL = "SELECT * FROM (VALUES " + ", ".join(
+    f"({i}, {O.q(d)}, {O.q(n)}, {O.q(r)}, CAST({b!r} AS DOUBLE))" for i, d, n, r, b in DOMAIN_PATTERNS
+) + ") AS t(id, domain, pattern_name, pattern_regex, confidence_boost)"
+_LOOKUP_SQL = (f"SELECT domain, pattern_name, arg_max(pattern_regex, id) AS pattern_regex, "
+               f"arg_max(confidence_boost, id) AS confidence_boost FROM ({_PATTERNS_SQL}) GROUP BY domain, pattern_name")
+
+
+def domain_patterns(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(DOMAIN_PATTERNS), "id long, domain string, pattern_name string, "
+                                                        "pattern_regex string, confidence_boost double")
+
+
+@register("detect_domain_patterns", f"""SELECT doc_id, pattern_name, CAST(ms0 AS BIGINT) AS start_char,
+  CAST(ms0 + length(ms[i]) AS BIGINT) AS end_char, ms[i] AS text FROM (
+  SELECT *, CAST(coalesce(list_sum(list_transform(gs[1:i], lambda x: length(x))), 0)
+          + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS ms0 FROM (
+    SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM (
+      SELECT d.doc_id, p.pattern_name, regexp_extract_all(d.text, p.pattern_regex) AS ms,
+             regexp_split_to_array(d.text, p.pattern_regex) AS gs
+      FROM documents d JOIN ({_LOOKUP_SQL}) p ON p.domain = 'general')))""")
+def q_detect_domain_patterns(spark, sf_dir):
+    from redactflow.functions.spans import find_spans
+    from redactflow.operators.boost import domain_pattern_lookup
+    from redactflow.plans.joins import sized_broadcast
+    pats = domain_pattern_lookup(domain_patterns(spark), "general").withColumn("domain", F.lit("general"))
+    docs = TB.documents(spark, sf_dir).withColumn("domain", F.lit("general"))
+    joined = docs.join(sized_broadcast(pats, 10_000), "domain")
+    rows = explode_structs(joined.select("doc_id", "pattern_name",
+                                         find_spans(F.col("text"), F.col("pattern_regex")).alias("sp")),
+                           "sp", ["doc_id", "pattern_name"])
+    return rows.select("doc_id", "pattern_name", F.col("x.s").cast("long").alias("start_char"),
+                       F.col("x.e").cast("long").alias("end_char"), F.col("x.text").alias("text"))
+
+
+@register("apply_domain_boost", _with(TB.FORMS_SQL, f"""SELECT e.doc_id, e.idx, e.entity_type, e.text,
+  round(least(e.confidence + coalesce((SELECT sum(p.confidence_boost) FROM ({_PATTERNS_SQL}) p
+    WHERE p.domain = 'general' AND regexp_matches(e.text, p.pattern_regex)), 0.0), 1.0), 4) AS confidence
+FROM ents e"""))
+def q_apply_domain_boost(spark, sf_dir):
+    from redactflow.operators.boost import apply_domain_boost
+    ents = _doc_entities(TB.customer_forms(spark, sf_dir)).withColumn("domain", F.lit("general"))
+    out = apply_domain_boost(ents, domain_patterns(spark))
+    return out.select("doc_id", "idx", "entity_type", "text", r4(F.col("confidence")).alias("confidence"))
+
+
+# ---- 2.1 sources and sinks (table forms) -------------------------------------------
+
+@register("src_file_manifest", """SELECT doc_id, 'doc_' || CAST(doc_id AS VARCHAR) || '.txt' AS file_name,
+  CAST(strlen(text) AS BIGINT) AS file_size_bytes, '.txt' AS file_format, sha256(text) AS file_hash FROM documents""")
+def q_src_file_manifest(spark, sf_dir):
+    """Documents as files named doc_<id>.txt: size in UTF-8 bytes and SHA-256
+    of the bytes (``sources.files.file_manifest`` does the same for real files)."""
+    docs = TB.documents(spark, sf_dir)
+    return docs.select("doc_id", F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file_name"),
+                       F.octet_length("text").cast("long").alias("file_size_bytes"), F.lit(".txt").alias("file_format"),
+                       F.sha2(F.col("text"), 256).alias("file_hash"))
+
+
+_VALIDATE_LIMIT_KB = 16
+
+
+@register("src_validate_files", f"""SELECT doc_id, is_valid, message FROM (
+  SELECT doc_id, CASE WHEN strlen(text) > {_VALIDATE_LIMIT_KB} * 1024 THEN 'File exceeds max size of {_VALIDATE_LIMIT_KB}KB'
+    WHEN substring(text, 1, 4) = 'PK' || chr(3) || chr(4) THEN 'Potential ZIP bomb detected'
+    ELSE 'File validation passed' END AS message,
+    (CASE WHEN strlen(text) > {_VALIDATE_LIMIT_KB} * 1024 THEN false WHEN substring(text, 1, 4) = 'PK' || chr(3) || chr(4)
+     THEN false ELSE true END) AS is_valid FROM documents)""")
+def q_src_validate_files(spark, sf_dir):
+    """Documents as .txt files checked with a 16 KB size limit and the ZIP
+    signature test (``sources.files.validate_files`` for real files)."""
+    from redactflow.sources.files import MSG_PASSED, MSG_ZIP_BOMB, ZIP_SIGNATURE_HEX
+    docs = TB.documents(spark, sf_dir)
+    too_big = F.octet_length("text") > _VALIDATE_LIMIT_KB * 1024
+    is_zip = F.upper(F.hex(F.substring(F.encode(F.col("text"), "UTF-8"), 1, 4))) == ZIP_SIGNATURE_HEX
+    msg = (F.when(too_big, F.lit(f"File exceeds max size of {_VALIDATE_LIMIT_KB}KB"))
+           .when(is_zip, F.lit(MSG_ZIP_BOMB)).otherwise(F.lit(MSG_PASSED)))
+    return docs.select("doc_id", (msg == MSG_PASSED).alias("is_valid"), msg.alias("message"))
+
+
+_TABLE_COLS_SRC = ("SELECT 'customer|' || CAST(c_custkey AS VARCHAR) || '|c_name' AS doc_id, c_name AS text FROM customer "
+                   "UNION ALL SELECT 'customer|' || CAST(c_custkey AS VARCHAR) || '|c_mktsegment', c_mktsegment FROM customer "
+                   "UNION ALL SELECT 'supplier|' || CAST(s_suppkey AS VARCHAR) || '|s_name', s_name FROM supplier")
+
+
+@register("src_table_columns", _with(_TABLE_COLS_SRC, """SELECT split_part(doc_id, '|', 1) AS "table",
+  CAST(split_part(doc_id, '|', 2) AS BIGINT) AS row_key, split_part(doc_id, '|', 3) AS "column",
+  s AS start_char, e AS end_char, entity_type, text FROM ents"""))
+def q_src_table_columns(spark, sf_dir):
+    parts = [TB.table_text_columns(TB.load(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"),
+                                   "c_custkey", "customer"),
+             TB.table_text_columns(TB.load(spark, sf_dir, "supplier").select("s_suppkey", "s_name"),
+                                   "s_suppkey", "supplier")]
+    cells = parts[0].unionByName(parts[1])
+    rows = entity_rows(detect(cells), id_cols=("table", "row_key", "column"))
+    return rows.select("table", "row_key", "column", "start_char", "end_char", "entity_type", "text")
+
+
+@register("sink_metadata_csv", _with(O.DOCS_SRC, f"""SELECT doc_id, {_RED_SEQ} AS seq, entity_type,
+  {_mask_sql('partial')} AS replacement, s AS position_start, e AS position_end, round(confidence, 4) AS confidence FROM ents"""))
+def q_sink_metadata_csv(spark, sf_dir):
+    """The rows ``write_metadata_csv`` writes (original text left out)."""
+    from redactflow.sources.sinks import metadata_csv_rows
+    rows = metadata_csv_rows(_scrubbed(spark, sf_dir, "partial"))
+    return rows.select("doc_id", F.col("seq").cast("long").alias("seq"), "entity_type", "replacement",
+                       F.col("position_start").cast("long").alias("position_start"),
+                       F.col("position_end").cast("long").alias("position_end"), r4(F.col("confidence")).alias("confidence"))
+
+
+@register("sink_output_names", """SELECT doc_id, 'doc_' || CAST(doc_id AS VARCHAR) || '_redacted.txt' AS redacted,
+  'doc_' || CAST(doc_id AS VARCHAR) || '_metadata.json' AS metadata, 'doc_' || CAST(doc_id AS VARCHAR) || '_audit.json' AS audit
+FROM documents""")
+def q_sink_output_names(spark, sf_dir):
+    from redactflow.sources.sinks import file_stem, output_names
+    docs = TB.documents(spark, sf_dir)
+    names = output_names(file_stem(F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt"))))
+    return docs.select("doc_id", names["redacted"].alias("redacted"), names["metadata"].alias("metadata"),
+                       names["audit"].alias("audit"))
+
+
+# ---- 2.10 streaming ------------------------------------------------------------------
+
+def _stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    schema = TB.load(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir.rstrip('/')}/{name}.parq*")
+
+
+def _unique(name: str) -> str:
+    import uuid
+    return f"{name}_{uuid.uuid4().hex[:8]}"
+
+
+@register("stream_scrub", f"""SELECT doc_id, redacted_text FROM ({_redacted_sql(O.DOCS_SRC, 'full')})""")
+def q_stream_scrub(spark, sf_dir):
+    from redactflow.streaming.stream import run_to_table, stream_scrub
+    name = _unique("stream_scrub")
+    run_to_table(stream_scrub(_stream_of(spark, sf_dir, "documents").select("doc_id", "text")), name)
+    return spark.table(name).select("doc_id", "redacted_text")
+
+
+_EVENT_TEXT_SQL = "SELECT event_id AS doc_id, 'user ' || lpad(CAST(user_id AS VARCHAR), 8, '0') || ' ' || event_type AS text FROM events"
+
+
+@register("stream_entity_counts", _with(_EVENT_TEXT_SQL, """SELECT strftime(time_bucket(INTERVAL 1 HOUR, v.ts), '%Y-%m-%d %H:%M:%S') AS window_start,
+  e.entity_type, count(*) AS n FROM ents e JOIN events v ON v.event_id = e.doc_id GROUP BY 1, 2"""))
+def q_stream_entity_counts(spark, sf_dir):
+    from redactflow.streaming.stream import run_to_table, stream_entity_counts
+    ev = _stream_of(spark, sf_dir, "events")
+    text = F.concat(F.lit("user "), F.lpad(F.col("user_id").cast("string"), 8, "0"), F.lit(" "), F.col("event_type"))
+    name = _unique("stream_entity_counts")
+    run_to_table(stream_entity_counts(ev, "ts", text), name, mode="complete")
+    return spark.table(name).select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
+                                    "entity_type", F.col("n").cast("long").alias("n"))
+
+
+@register("stream_feedback_stats", f"SELECT feedback_type, count(*) AS n FROM ({TB.EVENTS_FEEDBACK_SQL}) GROUP BY feedback_type")
+def q_stream_feedback_stats(spark, sf_dir):
+    from redactflow.streaming.stream import run_to_table, stream_feedback_stats
+    ev = _stream_of(spark, sf_dir, "events")
+    c = TB._feedback_cols(F.col("user_id"), F.col("event_type"))
+    fb = ev.select(c["feedback_type"].alias("feedback_type"))
+    name = _unique("stream_feedback_stats")
+    run_to_table(stream_feedback_stats(fb), name, mode="complete")
+    return spark.table(name).select("feedback_type", F.col("n").cast("long").alias("n"))

@@ -37,7 +37,7 @@ def gap_match_pattern(java_pattern: str) -> str:
     return flags + r"\G((?s:.*?))(" + body + ")"
 
 
-def find_spans(text: Column, java_pattern: str, group: int = 0) -> Column:
+def find_spans(text: Column, java_pattern: str | Column, group: int = 0) -> Column:
     """All non-overlapping matches of ``java_pattern`` in ``text``.
 
     Returns ``array<struct<s:int, e:int, text:string>>`` with 0-based,
@@ -45,7 +45,10 @@ def find_spans(text: Column, java_pattern: str, group: int = 0) -> Column:
     capture group 1, which must end where the match ends (true for every
     contextual rule), so its start is ``match end - length(group 1)``.
     """
-    gm = F.lit(gap_match_pattern(java_pattern))
+    if isinstance(java_pattern, str):
+        gm = F.lit(gap_match_pattern(java_pattern))
+    else:  # pattern from a column (data-driven rules); no leading flag group expected
+        gm = F.concat(F.lit(r"\G((?s:.*?))("), java_pattern, F.lit(")"))
     gaps = F.regexp_extract_all(text, gm, F.lit(1))
     matches = F.regexp_extract_all(text, gm, F.lit(2))
     if group:

@@ -72,7 +72,7 @@ def apply_domain_boost(entities: DataFrame, patterns: DataFrame, max_domains: in
     joined = entities.join(sized_broadcast(packed, max_domains), "domain", "left")
     boost = F.aggregate(F.coalesce(F.col("_pats"), F.array().cast("array<struct<pattern_regex:string,confidence_boost:double>>")),
                         F.lit(0.0),
-                        lambda acc, p: acc + F.when(F.col("text").rlike(p["pattern_regex"]),
+                        lambda acc, p: acc + F.when(F.regexp_like(F.col("text"), p["pattern_regex"]),
                                                     p["confidence_boost"]).otherwise(F.lit(0.0)))
     return (joined.withColumn("confidence", F.least(F.col("confidence") + boost, F.lit(BOOST_CAP)))
             .drop("_pats"))

@@ -51,11 +51,7 @@ def _guarded(text: Column, rule: Rule, spans: Column) -> Column:
         return spans
     literal = g.isascii() and not any(c in g for c in "\\[](){}.*+?|^$") and not rule.ignore_case
     cond = text.contains(g) if (literal or g == "@") else text.rlike(rule.java_guard)
-    return F.when(cond, spans).otherwise(F.array().cast(spans_type_of(rule)))
-
-
-def spans_type_of(rule: Rule) -> T.ArrayType:
-    return ENTITIES_TYPE
+    return F.when(cond, spans).otherwise(F.array().cast(ENTITIES_TYPE))
 
 
 def rule_entities(text: Column, rule: Rule, window_id: Column | None = None) -> Column:
@@ -95,11 +91,24 @@ def rebase(entities: Column, offset: Column) -> Column:
     return F.transform(entities, lambda x: x.withField("s", x["s"] + offset).withField("e", x["e"] + offset))
 
 
+def external_in_window(external: Column, w: Column) -> Column:
+    """External spans (document offsets) lying inside window ``w``, at window
+    offsets: what a model run on the window text would have reported."""
+    inside = F.filter(external, lambda x: (x["s"] >= w["start_char"]) & (x["e"] <= w["end_char"]))
+    return F.transform(inside, lambda x: x.withField("s", x["s"] - w["start_char"])
+                       .withField("e", x["e"] - w["start_char"]).withField("window_id", w["window_id"]))
+
+
 def detect_windows(text: Column, rules: Sequence[Rule], size: int = 500, overlap: int = 100,
-                   dedup: bool = True) -> Column:
-    """All windows' entities at document offsets, in window order."""
+                   dedup: bool = True, external: Column | None = None) -> Column:
+    """All windows' entities at document offsets, in window order.
+
+    ``external``: optional array of entity structs at document offsets from
+    another detector (a model); merged per window after the rules, before the
+    window dedup, as the reference merges its model results."""
     def per_window(w: Column) -> Column:
-        ents = union_detectors(w["content"], rules, w["window_id"])
+        ext = external_in_window(external, w) if external is not None else None
+        ents = union_detectors(w["content"], rules, w["window_id"], ext)
         if dedup:
             ents = dedup_window_spans(ents)
         return rebase(ents, w["start_char"])
@@ -142,3 +151,14 @@ def detect_document(text: Column, threshold: float = SERVICE_THRESHOLD,
 def length_confidence(text: Column) -> Column:
     """0.95 for texts longer than 3 characters, else 0.70 (scalar helper)."""
     return F.when(F.length(text) > 3, F.lit(0.95)).otherwise(F.lit(0.70))
+
+
+def external_entities(s: Column, e: Column, text: Column, entity_type: Column, score: Column,
+                      threshold: float, rank: int = 12, source: str = "statistical") -> Column:
+    """One external span as an entity struct, or null when its score is below
+    the threshold (the model results obey the threshold)."""
+    ent = F.struct(s.cast("int").alias("s"), e.cast("int").alias("e"), text.alias("text"),
+                   entity_type.alias("entity_type"), score.cast("double").alias("confidence"),
+                   F.lit(source).alias("source"), F.lit(rank).cast("int").alias("rank"),
+                   F.lit(None).cast("int").alias("window_id"))
+    return F.when(score >= threshold, ent)

@@ -49,22 +49,42 @@ def prepared_text(df: DataFrame, text_col: str, cfg: ScrubConfig) -> Column:
     return normalize_text(F.col(text_col)) if cfg.normalize else F.col(text_col)
 
 
-def entities_expr(text: Column, cfg: ScrubConfig) -> Column:
+def entities_expr(text: Column, cfg: ScrubConfig, external: Column | None = None) -> Column:
     """Final entity array of a document, in document order."""
     ents = D.drop_handles_in_urls(D.dedup_document_spans(
-        D.detect_windows(text, cfg.plan_rules(), cfg.window_size, cfg.overlap)))
+        D.detect_windows(text, cfg.plan_rules(), cfg.window_size, cfg.overlap, external=external)))
     if cfg.boost:
         ents = context_boost(ents, text)
     return ents
 
 
 def detect(df: DataFrame, text_col: str = "text", cfg: ScrubConfig = ScrubConfig(),
-           out_col: str = "entities") -> DataFrame:
+           out_col: str = "entities", external_col: str | None = None) -> DataFrame:
     """Adds the entity array; replaces ``text_col`` by its normalized form when
-    ``cfg.normalize``."""
+    ``cfg.normalize``.  ``external_col`` names an array column of external
+    entity structs (see ``union_external_spans``)."""
     if cfg.normalize:
         df = df.withColumn(text_col, normalize_text(F.col(text_col)))
-    return df.withColumn(out_col, entities_expr(F.col(text_col), cfg))
+    ext = F.col(external_col) if external_col else None
+    return df.withColumn(out_col, entities_expr(F.col(text_col), cfg, ext))
+
+
+def union_external_spans(docs: DataFrame, spans: DataFrame, cfg: ScrubConfig = ScrubConfig(),
+                         key: str = "doc_id") -> DataFrame:
+    """Attach spans of an external detector (``key, s, e, text, entity_type,
+    score``, document offsets) to the documents as an entity array column
+    ``external``; scores below the threshold are dropped.
+
+    The spans are grouped per document (bounded by the document's size) and
+    joined on the key: a shuffle of both sides unless the tables share a
+    bucketing on the key.
+    """
+    ent = D.external_entities(F.col("s"), F.col("e"), F.col("text"), F.col("entity_type"), F.col("score"),
+                              cfg.threshold)
+    per_doc = (spans.select(key, ent.alias("x")).where(F.col("x").isNotNull())
+               .groupBy(key).agg(F.collect_list("x").alias("external")))
+    return (docs.join(per_doc, key, "left")
+            .withColumn("external", F.coalesce(F.col("external"), F.array().cast(D.ENTITIES_TYPE))))
 
 
 def scrub(df: DataFrame, text_col: str = "text", cfg: ScrubConfig = ScrubConfig(),
