@@ -37,14 +37,28 @@ def gap_match_pattern(java_pattern: str) -> str:
     return flags + r"\G((?s:.*?))(" + body + ")"
 
 
-def find_spans(text: Column, java_pattern: str | Column, group: int = 0) -> Column:
-    """All non-overlapping matches of ``java_pattern`` in ``text``.
+# A private-use character marks match edges in the single-scan form; texts
+# that already hold it take the two-scan form instead.
+MARK = "\ue000"
 
-    Returns ``array<struct<s:int, e:int, text:string>>`` with 0-based,
-    half-open code-point offsets, in match order.  ``group=1`` reports
-    capture group 1, which must end where the match ends (true for every
-    contextual rule), so its start is ``match end - length(group 1)``.
-    """
+
+def _positions(parts: Column, group: int) -> Column:
+    """Offsets from ``parts`` = array<struct<g, m[, c]>> (gap, match, group)."""
+    init = F.struct(F.lit(0).alias("pos"), F.array().cast(SPANS_TYPE).alias("out"))
+
+    def step(acc, z):
+        end = acc["pos"] + F.length(z["g"]) + F.length(z["m"])
+        if group:
+            span = F.struct((end - F.length(z["c"])).alias("s"), end.alias("e"), z["c"].alias("text"))
+        else:
+            span = F.struct((acc["pos"] + F.length(z["g"])).alias("s"), end.alias("e"),
+                            z["m"].alias("text"))
+        return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(span)).alias("out"))
+
+    return F.aggregate(parts, init, step, lambda acc: acc["out"])
+
+
+def _spans_two_scans(text: Column, java_pattern: str | Column, group: int) -> Column:
     if isinstance(java_pattern, str):
         gm = F.lit(gap_match_pattern(java_pattern))
     else:  # pattern from a column (data-driven rules); no leading flag group expected
@@ -56,19 +70,47 @@ def find_spans(text: Column, java_pattern: str | Column, group: int = 0) -> Colu
                              F.regexp_extract_all(text, gm, F.lit(2 + group)).alias("c"))
     else:
         parts = F.arrays_zip(gaps.alias("g"), matches.alias("m"))
+    return _positions(parts, group)
 
-    init = F.struct(F.lit(0).alias("pos"), F.array().cast(SPANS_TYPE).alias("out"))
 
-    def step(acc, z):
-        end = acc["pos"] + F.length(z["g"]) + F.length(z["m"])
-        if group:
-            span = F.struct((end - F.length(z["c"])).alias("s"), end.alias("e"), z["c"].alias("text"))
-        else:
-            span = F.struct((acc["pos"] + F.length(z["g"])).alias("s"), end.alias("e"),
-                            z["m"].alias("text"))
-        return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(span)).alias("out"))
+def _spans_one_scan(text: Column, java_pattern: str, group: int) -> Column:
+    """One regex pass: ``regexp_replace`` writes MARK match MARK [group MARK]
+    around every match, and a split on the single MARK character (Java's
+    fast path, no pattern compile) yields gap, match[, group] in turn."""
+    from redactflow.functions.arrays import let
 
-    return F.aggregate(parts, init, step, lambda acc: acc["out"])
+    repl = MARK + "$0" + MARK + (f"${group}" + MARK if group else "")
+    stride = 3 if group else 2
+    pieces = F.split(F.regexp_replace(text, java_pattern, repl), MARK, -1)
+
+    def body(p: Column) -> Column:
+        k = (F.size(p) - 1) / stride
+        idx = F.sequence(F.lit(0), (k - 1).cast("int"))
+
+        def part(i):
+            fields = [F.element_at(p, i * stride + 1).alias("g"), F.element_at(p, i * stride + 2).alias("m")]
+            if group:
+                fields.append(F.element_at(p, i * stride + 3).alias("c"))
+            return F.struct(*fields)
+
+        return F.when(F.size(p) > 1, _positions(F.transform(idx, part), group)).otherwise(
+            F.array().cast(SPANS_TYPE))
+
+    return let(pieces, body)
+
+
+def find_spans(text: Column, java_pattern: str | Column, group: int = 0) -> Column:
+    """All non-overlapping matches of ``java_pattern`` in ``text``.
+
+    Returns ``array<struct<s:int, e:int, text:string>>`` with 0-based,
+    half-open code-point offsets, in match order.  ``group=1`` reports
+    capture group 1, which must end where the match ends (true for every
+    contextual rule), so its start is ``match end - length(group 1)``.
+    """
+    if not isinstance(java_pattern, str):
+        return _spans_two_scans(text, java_pattern, group)
+    return F.when(text.contains(MARK), _spans_two_scans(text, java_pattern, group)).otherwise(
+        _spans_one_scan(text, java_pattern, group))
 
 
 def leading_span(text: Column, java_pattern: str) -> Column:

@@ -36,7 +36,11 @@ def anchor_boost(slice_lower: Column) -> Column:
 
 def boosted_confidence(confidence: Column, text: Column, start: Column, end: Column,
                        radius: int = CONTEXT_RADIUS) -> Column:
-    return F.least(confidence + anchor_boost(context_slice(text, start, end, radius)), F.lit(BOOST_CAP))
+    from redactflow.functions.arrays import let
+
+    # the slice is bound once; it is tested against all anchor words
+    return let(context_slice(text, start, end, radius),
+               lambda sl: F.least(confidence + anchor_boost(sl), F.lit(BOOST_CAP)))
 
 
 def context_boost(entities: Column, text: Column, radius: int = CONTEXT_RADIUS) -> Column:

@@ -38,11 +38,10 @@ _TOKEN_SPLIT = rf"(?U)[\s{PY_SPACE_EXTRA}]+"
 def looks_like_name(value: Column) -> Column:
     """2 to 4 whitespace-separated tokens, each letters (ASCII) with ' or -,
     none of them a blocked word."""
-    tokens = F.filter(F.split(F.trim(F.regexp_replace(value, _TOKEN_SPLIT, " ")), " "),
-                      lambda t: F.length(t) > 0)
     blocked = F.array(*[F.lit(w) for w in NAME_BLOCKLIST])
     ok_token = lambda t: t.rlike("^" + NAME_TOKEN_SHAPE + "$") & ~F.array_contains(blocked, F.lower(t))
-    return (F.size(tokens) >= 2) & (F.size(tokens) <= 4) & F.forall(tokens, ok_token)
+    return let(F.filter(F.split(F.trim(F.regexp_replace(value, _TOKEN_SPLIT, " ")), " "), lambda t: F.length(t) > 0),
+               lambda tokens: (F.size(tokens) >= 2) & (F.size(tokens) <= 4) & F.forall(tokens, ok_token))
 
 
 def _guarded(text: Column, rule: Rule, spans: Column) -> Column:
@@ -134,9 +133,9 @@ def dedup_document_spans(entities: Column) -> Column:
 def drop_handles_in_urls(entities: Column) -> Column:
     """Remove PROFILE_HANDLE entities lying inside a URL entity of the document."""
     def body(arr: Column) -> Column:
-        urls = F.filter(arr, lambda u: u["entity_type"] == "URL")
-        return F.filter(arr, lambda x: (x["entity_type"] != "PROFILE_HANDLE") | ~F.exists(
-            urls, lambda u: (u["s"] <= x["s"]) & (u["e"] >= x["e"])))
+        return let(F.filter(arr, lambda u: u["entity_type"] == "URL"), lambda urls: F.filter(
+            arr, lambda x: (x["entity_type"] != "PROFILE_HANDLE") | ~F.exists(
+                urls, lambda u: (u["s"] <= x["s"]) & (u["e"] >= x["e"]))))
 
     return let(entities, body)
 

@@ -58,14 +58,16 @@ def with_replacements(entities: Column, mode: str, pseudonymize: bool = False) -
     """Add a ``replacement`` field to each entity (array in any order)."""
     if mode not in ("full", "placeholder", "partial") and pseudonymize:
         def body(arr: Column) -> Column:
-            table = pseudonym_table(redaction_order(arr))
+            def with_table(table: Column) -> Column:
+                def one(x):
+                    key = F.struct(x["text"].alias("text"), x["entity_type"].alias("entity_type"))
+                    name = F.try_element_at(table["names"], F.array_position(table["keys"], key).cast("int"))
+                    return x.withField("replacement", name)
 
-            def one(x):
-                key = F.struct(x["text"].alias("text"), x["entity_type"].alias("entity_type"))
-                name = F.try_element_at(table["names"], F.array_position(table["keys"], key).cast("int"))
-                return x.withField("replacement", name)
+                return F.transform(arr, one)
 
-            return F.transform(arr, one)
+            # bound once: a sub-expression used inside a lambda is re-evaluated per element
+            return let(pseudonym_table(redaction_order(arr)), with_table)
 
         return let(entities, body)
     return F.transform(entities, lambda x: x.withField(
@@ -109,9 +111,8 @@ def redact_text(text: Column, entities_with_replacement: Column) -> Column:
     """Redacted text, same result as the ordered splice; uses the linear form
     when no spans overlap."""
     def body(arr: Column) -> Column:
-        doc = document_order(arr)
-        return F.when(has_overlap(doc), splice_fold(text, redaction_order(arr))).otherwise(
-            splice_linear(text, doc))
+        return let(document_order(arr), lambda doc: F.when(
+            has_overlap(doc), splice_fold(text, redaction_order(arr))).otherwise(splice_linear(text, doc)))
 
     return let(entities_with_replacement, body)
 
@@ -208,7 +209,9 @@ def term_replacements(metadata: Column, mode: str) -> Column:
         return mask_full(term)
 
     def body(md: Column) -> Column:
-        nonempty = F.filter(md, lambda m: F.length(m["original_text"]) > 0)
+        return let(F.filter(md, lambda m: F.length(m["original_text"]) > 0), with_nonempty)
+
+    def with_nonempty(nonempty: Column) -> Column:
         terms = F.array_distinct(F.transform(nonempty, lambda m: m["original_text"]))
 
         def last_type(t):
