@@ -60,13 +60,38 @@ def window_struct(text: Column, start: Column, window_id: Column, size: int = WI
     )
 
 
+def chunks(text: Column, step: int) -> Column:
+    """The text cut into consecutive pieces of ``step`` code points (last one
+    shorter), in one linear regex pass."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+
+
 def context_windows(text: Column, size: int = WINDOW_SIZE, overlap: int = WINDOW_OVERLAP) -> Column:
     """Windows of ``size`` chars every ``size - overlap`` chars, as an array on the row.
 
     Starts 0, step, 2*step ... while start < length; empty text gives none.
+    Built from the step-sized chunks of one pass: window i is chunks i, i+1, ...
+    cut to ``size``, so the work is linear in the text, where ``substring`` at
+    each window start would walk the UTF-8 bytes from the beginning every time.
     """
-    return F.transform(window_starts(text, size, overlap),
-                       lambda st, i: window_struct(text, st, i, size))
+    from redactflow.functions.arrays import let
+
+    step = size - overlap
+    if step <= 0:
+        raise ValueError("window overlap must be smaller than the window size")
+    per = -(-size // step)  # chunks per window
+
+    def window(ch: Column, total: Column, c: Column, i: Column) -> Column:
+        content = F.substring(F.array_join(F.slice(ch, i + 1, per), ""), 1, size) if per > 1 else c
+        start = i * step
+        return F.struct(i.cast("int").alias("window_id"), content.alias("content"),
+                        start.cast("int").alias("start_char"),
+                        F.least(start + size, total).cast("int").alias("end_char"),
+                        F.length(content).alias("length"))
+
+    # the text length is computed once per row, not once per window
+    return let(F.struct(chunks(text, step).alias("ch"), F.length(text).alias("n")),
+               lambda b: F.transform(b["ch"], lambda c, i: window(b["ch"], b["n"], c, i)))
 
 
 def context_slice(text: Column, start: Column, end: Column, radius: int = CONTEXT_RADIUS) -> Column:

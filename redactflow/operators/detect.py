@@ -98,21 +98,79 @@ def external_in_window(external: Column, w: Column) -> Column:
                        .withField("e", x["e"] - w["start_char"]).withField("window_id", w["window_id"]))
 
 
+# Necessary condition for every unanchored default rule: e-mail needs "@",
+# the digit rules a (Unicode) digit, links "/" or "www.", labels ":" or "-",
+# the registration label "reg" (any case; no other character folds to r, e,
+# g or w).  A character class and two substring tests, far cheaper than the
+# alternation of all rule guards.
+DEFAULT_PREFILTER = "default-prefilter"
+_PREFILTER_CLASS = r"[@:/\-\p{Nd}]"
+
+
+def prefilter(text: Column, guard: str) -> Column:
+    if guard == DEFAULT_PREFILTER:
+        low = F.lower(text)
+        return text.rlike(_PREFILTER_CLASS) | low.contains("reg") | low.contains("www.")
+    return text.rlike(guard)
+
+
+def combined_guard(rules: Sequence[Rule]) -> str | None:
+    """One regex matching wherever any guarded rule could match, or ``None``
+    when some unanchored rule has no guard.  Each rule implies its guard, so a
+    window failing this test can hold hits of the anchored rules only."""
+    from redactflow.operators.rules import DEFAULT_RULES
+
+    defaults = {(r.pattern, r.ignore_case) for r in DEFAULT_RULES}
+    if all((r.pattern, r.ignore_case) in defaults for r in rules if not r.anchored) and any(
+            r.guard for r in rules):
+        return DEFAULT_PREFILTER
+    parts = []
+    for r in rules:
+        if r.anchored:
+            continue
+        if r.guard is None:
+            return None
+        parts.append(("(?iU:" if r.ignore_case else "(?U:") + r.guard + ")")
+    return "|".join(parts) if parts else None
+
+
 def detect_windows(text: Column, rules: Sequence[Rule], size: int = 500, overlap: int = 100,
                    dedup: bool = True, external: Column | None = None) -> Column:
     """All windows' entities at document offsets, in window order.
 
-    ``external``: optional array of entity structs at document offsets from
-    another detector (a model); merged per window after the rules, before the
-    window dedup, as the reference merges its model results."""
-    def per_window(w: Column) -> Column:
+    Most windows hold nothing: a window failing the combined guard evaluates
+    only the anchored rules (one cheap anchored regex) instead of the whole
+    rule set.  ``external``: optional array of entity structs at document
+    offsets from another detector (a model); merged per window after the
+    rules, before the window dedup, as the reference merges its model results."""
+    guard = combined_guard(rules)
+    anchored = [r for r in rules if r.anchored]
+
+    def per_window(w: Column, use: Sequence[Rule], windows_guard: str | None) -> Column:
         ext = external_in_window(external, w) if external is not None else None
-        ents = union_detectors(w["content"], rules, w["window_id"], ext)
+        ents = union_detectors(w["content"], use, w["window_id"], ext) if (use or ext is not None) \
+            else F.array().cast(ENTITIES_TYPE)
         if dedup:
             ents = dedup_window_spans(ents)
+        if windows_guard is not None:
+            if anchored or ext is not None:
+                few = union_detectors(w["content"], anchored, w["window_id"], ext) if anchored else ext
+                if dedup:
+                    few = dedup_window_spans(few)
+            else:
+                few = F.array().cast(ENTITIES_TYPE)
+            ents = F.when(prefilter(w["content"], windows_guard), ents).otherwise(few)
         return rebase(ents, w["start_char"])
 
-    return F.flatten(F.transform(context_windows(text, size, overlap), per_window))
+    windows = context_windows(text, size, overlap)
+    full = F.flatten(F.transform(windows, lambda w: per_window(w, rules, guard)))
+    if guard is None:
+        return full
+    # A document without any prefilter hit can only hold anchored-rule hits.
+    light = F.flatten(F.transform(windows, lambda w: per_window(w, anchored, None)))
+    return F.when(prefilter(text, guard), full).otherwise(light)
+
+
 
 
 _KEY = ["s", "e", "entity_type", "text"]
