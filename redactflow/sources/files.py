@@ -1,9 +1,9 @@
 """File sources: manifest, validation, format routing and text decoding.
 
-Files are rows of Spark's ``binaryFile`` source.  The manifest and the size
-check read only ``path`` and ``length`` (the ``content`` column is pruned,
-so no bytes are read); content is read only for files that passed the size
-test, and only the first four bytes are compared for the ZIP signature.
+Files are rows of Spark's ``binaryFile`` source.  The size check reads only
+``path`` and ``length``; content is read only for files within the size
+limit (the length filter is pushed into the scan), and only its first four
+bytes are compared for the ZIP signature.
 """
 
 from __future__ import annotations
@@ -31,6 +31,11 @@ MSG_UNSUPPORTED = "Unsupported file format: "
 DECODED_FORMATS = (".txt", ".csv", ".json")
 
 
+def norm_path(path: Column) -> Column:
+    """``file:/x``, ``file:///x`` and ``/x`` as one key."""
+    return F.regexp_replace(path, r"^file:/+", "/")
+
+
 def file_name(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]*)$", 1)
 
@@ -63,19 +68,25 @@ def validate_files(spark: SparkSession, path: str, max_file_size_mb: int = MAX_F
     Returns path, file_name, file_size_bytes, file_format, is_valid, message.
     """
     limit = max_file_size_mb * 1024 * 1024
-    meta = list_files(spark, path).select("path", "length", "content")
+    listing = list_files(spark, path)
     fmt = file_format(F.col("path"))
+    # Oversized files are judged from the listing alone: the binaryFile source
+    # takes the ``length`` filter as a pushed filter and never reads their bytes.
+    big = (listing.where(F.col("length") > limit).select("path", "length")
+           .withColumn("message", F.lit(MSG_TOO_LARGE.format(max_file_size_mb))))
+    small = listing.where(F.col("length") <= limit).select("path", "length", "content")
     header_is_zip = F.upper(F.hex(F.substring(F.col("content"), 1, 4))) == ZIP_SIGNATURE_HEX
-    message = (F.when(F.col("length") > limit, F.lit(MSG_TOO_LARGE.format(max_file_size_mb)))
-               .when(~fmt.isin(*LEGITIMATE_ZIP_FORMATS) & header_is_zip, F.lit(MSG_ZIP_BOMB))
-               .when(~fmt.isin(*SUPPORTED_FORMATS), F.concat(F.lit(MSG_UNSUPPORTED), fmt))
-               .otherwise(F.lit(MSG_PASSED)))
-    out = meta.select("path", file_name(F.col("path")).alias("file_name"),
-                      F.col("length").alias("file_size_bytes"), fmt.alias("file_format"),
-                      (message == MSG_PASSED).alias("is_valid"), message.alias("message"))
+    small = small.select("path", "length", (
+        F.when(~fmt.isin(*LEGITIMATE_ZIP_FORMATS) & header_is_zip, F.lit(MSG_ZIP_BOMB))
+        .when(~fmt.isin(*SUPPORTED_FORMATS), F.concat(F.lit(MSG_UNSUPPORTED), fmt))
+        .otherwise(F.lit(MSG_PASSED))).alias("message"))
+    out = big.unionByName(small).select(
+        "path", file_name(F.col("path")).alias("file_name"), F.col("length").alias("file_size_bytes"),
+        fmt.alias("file_format"), (F.col("message") == MSG_PASSED).alias("is_valid"), "message")
     if expected:
         want = spark.createDataFrame([(p,) for p in expected], "path string")
-        missing = (want.join(out.select("path"), "path", "left_anti")
+        present = out.select(norm_path(F.col("path")).alias("key"))
+        missing = (want.join(present, norm_path(want["path"]) == present["key"], "left_anti")
                    .select("path", file_name(F.col("path")).alias("file_name"),
                            F.lit(None).cast("long").alias("file_size_bytes"),
                            file_format(F.col("path")).alias("file_format"), F.lit(False).alias("is_valid"),
@@ -112,11 +123,13 @@ def read_json_files(spark: SparkSession, path: str, normalize: bool = True) -> D
 
 def load_documents(spark: SparkSession, path: str, max_file_size_mb: int = MAX_FILE_SIZE_MB) -> DataFrame:
     """Validated files of the decoded formats as (path, text) documents."""
-    ok = validate_files(spark, path, max_file_size_mb).where("is_valid").select("path", "file_format")
+    ok = (validate_files(spark, path, max_file_size_mb).where("is_valid")
+          .select(norm_path(F.col("path")).alias("key"), "file_format"))
     parts = []
     for fmt, reader in ((".txt", read_text_files), (".csv", read_csv_files), (".json", read_json_files)):
-        good = ok.where(F.col("file_format") == fmt).select("path")
-        parts.append(reader(spark, path).join(good, "path", "left_semi"))
+        good = ok.where(F.col("file_format") == fmt).select("key")
+        docs = reader(spark, path).withColumn("key", norm_path(F.col("path")))
+        parts.append(docs.join(good, "key", "left_semi").drop("key"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
