@@ -243,13 +243,11 @@ for _mode, _name in (("full", "mask_full"), ("placeholder", "mask_placeholder"),
 def q_mask_dispatch(spark, sf_dir):
     from redactflow.functions.masks import replacement
     rows = _doc_entities(TB.documents(spark, sf_dir))
-    outs = [rows.select("doc_id", "idx", F.lit(m).alias("mode"),
-                        replacement(m, F.col("text"), F.col("entity_type")).alias("replacement"))
-            for m in ("full", "placeholder", "partial", "hash")]
-    out = outs[0]
-    for o in outs[1:]:
-        out = out.unionByName(o)
-    return out
+    modes = ("full", "placeholder", "partial", "hash")
+    per_mode = F.array(*[F.struct(F.lit(m).alias("mode"),
+                                  replacement(m, F.col("text"), F.col("entity_type")).alias("replacement"))
+                         for m in modes])
+    return rows.select("doc_id", "idx", F.inline(per_mode))
 
 
 def _splice_sql(src: str, red_cte: str) -> str:

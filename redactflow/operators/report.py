@@ -113,10 +113,13 @@ def pseudonymize_corpus(entities: DataFrame, order_cols: Sequence[str] = ("doc_i
     ``doc_id // bucket_width``, each bucket numbers its own keys, and a
     running sum over the small (prefix, bucket) count table gives offsets.
     """
-    first = (entities.groupBy("text", "entity_type")
-             .agg(F.min(F.struct(*order_cols)).alias("first"))
-             .withColumn("prefix", pseudonym_prefix(F.col("entity_type")))
-             .withColumn("bucket", F.floor(F.col("first.doc_id") / bucket_width)))
+    from redactflow.session import cut_lineage
+
+    # distinct keys, read by two branches below: materialized once
+    first = cut_lineage(entities.groupBy("text", "entity_type")
+                        .agg(F.min(F.struct(*order_cols)).alias("first"))
+                        .withColumn("prefix", pseudonym_prefix(F.col("entity_type")))
+                        .withColumn("bucket", F.floor(F.col("first.doc_id") / bucket_width)))
     counts = first.groupBy("prefix", "bucket").agg(F.count(F.lit(1)).alias("c"))
     offsets = counts.withColumn("offset", F.coalesce(F.sum("c").over(
         Window.partitionBy("prefix").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -140,10 +143,14 @@ def overlap_pairs(entities: DataFrame, bucket: int = 1024) -> DataFrame:
     pair is kept once, in the bucket holding the start of the overlap.  So no
     document's spans are compared all against all.
     """
-    b = entities.select("doc_id", "idx", "start_char", "end_char",
-                        F.explode(F.sequence(F.floor(F.col("start_char") / bucket),
-                                             F.floor(F.greatest(F.col("end_char") - 1, F.col("start_char")) / bucket)))
-                        .alias("bk"))
+    from redactflow.session import cut_lineage
+
+    # both join sides read the same spans: materialized once
+    b = cut_lineage(entities.select("doc_id", "idx", "start_char", "end_char",
+                                    F.explode(F.sequence(F.floor(F.col("start_char") / bucket),
+                                                         F.floor(F.greatest(F.col("end_char") - 1,
+                                                                            F.col("start_char")) / bucket)))
+                                    .alias("bk")))
     a, c = b.alias("a"), b.alias("c")
     cond = ((F.col("a.doc_id") == F.col("c.doc_id")) & (F.col("a.bk") == F.col("c.bk"))
             & (F.col("a.idx") < F.col("c.idx"))

@@ -50,3 +50,11 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark)
     return base.rstrip("/") + "/" + name
+
+
+def cut_lineage(df):
+    """Materialize ``df`` in the shared checkpoint folder (reliable checkpoint)
+    so that several branches of a plan read it once instead of recomputing it,
+    and a lost executor does not force a recomputation from the sources."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
