@@ -122,7 +122,7 @@ def combined_guard(rules: Sequence[Rule]) -> str | None:
 
     defaults = {(r.pattern, r.ignore_case) for r in DEFAULT_RULES}
     if all((r.pattern, r.ignore_case) in defaults for r in rules if not r.anchored) and any(
-            r.guard for r in rules):
+            r.guard for r in rules if not r.anchored):
         return DEFAULT_PREFILTER
     parts = []
     for r in rules:
@@ -150,12 +150,14 @@ def detect_windows(text: Column, rules: Sequence[Rule], size: int = 500, overlap
         ext = external_in_window(external, w) if external is not None else None
         ents = union_detectors(w["content"], use, w["window_id"], ext) if (use or ext is not None) \
             else F.array().cast(ENTITIES_TYPE)
-        if dedup:
+        # one rule alone never reports one span twice: the dedup is needed only
+        # when several detectors meet
+        if dedup and len(use) + (ext is not None) > 1:
             ents = dedup_window_spans(ents)
         if windows_guard is not None:
             if anchored or ext is not None:
                 few = union_detectors(w["content"], anchored, w["window_id"], ext) if anchored else ext
-                if dedup:
+                if dedup and len(anchored) + (ext is not None) > 1:
                     few = dedup_window_spans(few)
             else:
                 few = F.array().cast(ENTITIES_TYPE)

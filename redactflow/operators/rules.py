@@ -140,7 +140,8 @@ DEFAULT_RULES: tuple[Rule, ...] = (
     Rule("detect_profile_handle", "PROFILE_HANDLE", PROFILE_HANDLE_RULE, CONTEXT_CONFIDENCE, 10,
          group=1, guard=r"\.com/"),
     Rule("detect_leading_name", "PERSON_NAME", LEADING_NAME_RULE, LEADING_NAME_CONFIDENCE, 11,
-         group=1, ignore_case=False, name_check=True, anchored=True, obeys_threshold=False),
+         group=1, ignore_case=False, name_check=True, anchored=True, obeys_threshold=False,
+         guard=r"^[\s\x1c-\x1f]*[A-Z][a-z]+[\s\x1c-\x1f]+[A-Z][a-z]"),
 )
 
 RULES_BY_NAME = {r.name: r for r in DEFAULT_RULES}
