@@ -820,3 +820,12 @@ def q_stream_feedback_stats(spark, sf_dir):
     name = _unique("stream_feedback_stats")
     run_to_table(stream_feedback_stats(fb), name, mode="complete")
     return spark.table(name).select("feedback_type", F.col("n").cast("long").alias("n"))
+
+
+# ---- the exploded plan shape (same entity table, one shuffle of span rows) ---------
+
+@register("entity_table_exploded", _with(O.DOCS_SRC, f"SELECT {ENT_SQL_COLS}, wid AS window_id FROM ents"))
+def q_entity_table_exploded(spark, sf_dir):
+    from redactflow.plans.exploded import entity_table_exploded
+    return entity_table_exploded(TB.documents(spark, sf_dir)).select(
+        *_doc_entity_cols([F.col("window_id")]))

@@ -66,7 +66,8 @@ def chunks(text: Column, step: int) -> Column:
     return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
 
 
-def context_windows(text: Column, size: int = WINDOW_SIZE, overlap: int = WINDOW_OVERLAP) -> Column:
+def context_windows(text: Column, size: int = WINDOW_SIZE, overlap: int = WINDOW_OVERLAP,
+                    context: int = 0) -> Column:
     """Windows of ``size`` chars every ``size - overlap`` chars, as an array on the row.
 
     Starts 0, step, 2*step ... while start < length; empty text gives none.
@@ -84,10 +85,20 @@ def context_windows(text: Column, size: int = WINDOW_SIZE, overlap: int = WINDOW
     def window(ch: Column, total: Column, c: Column, i: Column) -> Column:
         content = F.substring(F.array_join(F.slice(ch, i + 1, per), ""), 1, size) if per > 1 else c
         start = i * step
-        return F.struct(i.cast("int").alias("window_id"), content.alias("content"),
-                        start.cast("int").alias("start_char"),
-                        F.least(start + size, total).cast("int").alias("end_char"),
-                        F.length(content).alias("length"))
+        fields = [i.cast("int").alias("window_id"), content.alias("content"),
+                  start.cast("int").alias("start_char"),
+                  F.least(start + size, total).cast("int").alias("end_char"),
+                  F.length(content).alias("length")]
+        if context:
+            # the window widened by ``context`` chars each side (clamped), and its start
+            before = -(-context // step)
+            lo = F.greatest(i - before, F.lit(0))
+            wide = F.array_join(F.slice(ch, lo + 1, before + per + -(-context // step)), "")
+            cut = start - context - lo * step
+            ctx_start = F.greatest(start - context, F.lit(0))
+            fields += [F.substring(wide, F.greatest(cut, F.lit(0)) + 1, size + context + (start - ctx_start))
+                       .alias("context"), ctx_start.cast("int").alias("context_start")]
+        return F.struct(*fields)
 
     # the text length is computed once per row, not once per window
     return let(F.struct(chunks(text, step).alias("ch"), F.length(text).alias("n")),

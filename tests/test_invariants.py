@@ -64,3 +64,14 @@ def test_linear_splice_equals_fold(spark, docs):
     out = d.select(R.splice_fold(F.col("text"), R.redaction_order(e)).alias("a"),
                    R.redact_text(F.col("text"), e).alias("b"))
     assert out.where("a != b").count() == 0
+
+
+def test_exploded_plan_equals_row_plan(spark, docs):
+    from redactflow.plans.exploded import entity_table_exploded
+    from redactflow import tables as TB
+    cols = ["doc_id", "idx", "text", "entity_type", "start_char", "end_char", "window_id"]
+    d = docs(*random_texts(50, seed=13))
+    for src in (d, TB.customer_forms(spark, "/root/testdata/sf0.001"), TB.documents(spark, "/root/testdata/sf0.01")):
+        a = entity_rows(detect(src)).select(*cols, F.round("confidence", 6).alias("c"))
+        b = entity_table_exploded(src, spread_windows=4).select(*cols, F.round("confidence", 6).alias("c"))
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
