@@ -21,8 +21,11 @@ def spread(df: DataFrame, key: str | None = None, factor: int = 4) -> DataFrame:
     ``key`` keeps placement deterministic under task retries.  A large input
     already has many more splits than cores and is left as it is (no shuffle).
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() >= cores:
+            return df
+    except Exception:  # no RDD access (e.g. a Spark Connect session): leave the input as read
         return df
     n = cores * factor
     return df.repartition(n, key) if key else df.repartition(n)

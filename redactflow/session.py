@@ -36,14 +36,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     A folder is only made up when the session names none (local tests); on a
     cluster the configured shared folder is always used.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: the server's configuration names the folder
+        sc = None
+    current = (sc.getCheckpointDir() if sc else None) or spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        # only reached when the session names no folder (local runs and tests)
         current = tempfile.mkdtemp(prefix="redactflow-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", current)
-    if not sc.getCheckpointDir():
+    if sc and not sc.getCheckpointDir():
         sc.setCheckpointDir(current)
-    return sc.getCheckpointDir() or current
+    return (sc.getCheckpointDir() if sc else None) or current
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
