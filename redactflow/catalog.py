@@ -829,3 +829,79 @@ def q_entity_table_exploded(spark, sf_dir):
     from redactflow.plans.exploded import entity_table_exploded
     return entity_table_exploded(TB.documents(spark, sf_dir)).select(
         *_doc_entity_cols([F.col("window_id")]))
+
+
+# ---- sinks and the text source as round trips through the shared folder ------------
+
+def _fresh_dir(spark: SparkSession, name: str) -> str:
+    from redactflow.session import shared_dir
+    return shared_dir(spark, _unique(name))
+
+
+@register("sink_redacted_text", _redacted_sql(O.DOCS_SRC, "full"))
+def q_sink_redacted_text(spark, sf_dir):
+    """Redacted documents written by ``write_outputs(..., "txt")`` and read back."""
+    from redactflow.sources.sinks import write_outputs
+    path = _fresh_dir(spark, "sink_redacted_text")
+    write_outputs(_scrubbed(spark, sf_dir, "full"), path, "txt")
+    return spark.read.parquet(path).select("doc_id", "redacted_text")
+
+
+@register("sink_metadata_json", _with(O.DOCS_SRC, """SELECT d.doc_id, coalesce(c.n, 0) AS n_redactions,
+  coalesce(c.types, '') AS types FROM documents d LEFT JOIN (
+    SELECT doc_id, count(*) AS n, string_agg(entity_type, ',' ORDER BY s DESC, e, wid) AS types FROM ents GROUP BY doc_id) c
+  ON c.doc_id = d.doc_id"""))
+def q_sink_metadata_json(spark, sf_dir):
+    """``write_metadata_json`` output read back: redactions per document and
+    their types in redaction order (original text left out by default)."""
+    from redactflow.sources.sinks import write_outputs
+    path = _fresh_dir(spark, "sink_metadata_json")
+    write_outputs(_scrubbed(spark, sf_dir, "placeholder"), path, "json")
+    schema = ("doc_id long, redacted_text string, export_timestamp string, pseudonym_map map<string,string>, "
+              "redaction_metadata array<struct<entity_type:string, replacement:string, "
+              "position:struct<start:int,end:int>, confidence:double>>")
+    back = spark.read.schema(schema).json(path)
+    types = F.transform("redaction_metadata", lambda m: m["entity_type"])
+    return back.select("doc_id", F.coalesce(F.size(types), F.lit(0)).cast("long").alias("n_redactions"),
+                       F.coalesce(F.array_join(types, ","), F.lit("")).alias("types"))
+
+
+@register("sink_audit_report", _with(O.DOCS_SRC, """SELECT d.doc_id, coalesce(c.n, 0) AS total_redacted,
+  coalesce(c.n, 0) AS audit_entries, CAST(0 AS BIGINT) AS pseudonym_mappings, 'gdpr,hipaa,ccpa,dpdp' AS certifications
+FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM ents GROUP BY doc_id) c ON c.doc_id = d.doc_id"""))
+def q_sink_audit_report(spark, sf_dir):
+    """``write_audit_report`` output read back: the stats of each report."""
+    from redactflow.sources.sinks import write_audit_report
+    path = _fresh_dir(spark, "sink_audit_report")
+    write_audit_report(_scrubbed(spark, sf_dir, "full"), path, "full")
+    schema = ("doc_id long, report_timestamp string, redaction_stats struct<total_redacted:long, audit_entries:long, "
+              "pseudonym_mappings:long, generation_time:string>, compliance_certifications array<string>")
+    back = spark.read.schema(schema).json(path)
+    return back.select("doc_id", F.col("redaction_stats.total_redacted").alias("total_redacted"),
+                       F.col("redaction_stats.audit_entries").alias("audit_entries"),
+                       F.col("redaction_stats.pseudonym_mappings").alias("pseudonym_mappings"),
+                       F.array_join("compliance_certifications", ",").alias("certifications"))
+
+
+@register("src_text", "SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[" + O._PY_WS
+          + "]+', ' ', 'g'), '[\\x00-\\x08\\x0e-\\x1b]', '', 'g')) AS text FROM documents")
+def q_src_text(spark, sf_dir):
+    """Documents written as one text file each (folder per doc_id), then read
+    back as files: invalid bytes dropped, text normalized."""
+    from redactflow.sources.files import read_text_files
+    path = _fresh_dir(spark, "src_text")
+    # the writer ends each file with a newline, which the normalization trims
+    TB.documents(spark, sf_dir).repartition("doc_id").write.partitionBy("doc_id").text(path)
+    files = read_text_files(spark, path + "/*/*.txt")
+    return files.select(F.regexp_extract("path", r"doc_id=(\d+)", 1).cast("long").alias("doc_id"), "text")
+
+
+@register("src_csv", """SELECT trim(regexp_replace(CAST(c_custkey AS VARCHAR) || ' ' || c_name || ' ' ||
+  CAST(c_nationkey AS VARCHAR) || ' ' || c_mktsegment, '[""" + O._PY_WS + """]+', ' ', 'g')) AS text FROM customer""")
+def q_src_csv(spark, sf_dir):
+    """``customer`` written as CSV with a header and read back: one document per row."""
+    from redactflow.sources.files import read_csv_files
+    path = _fresh_dir(spark, "src_csv")
+    (TB.load(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+     .write.option("header", True).csv(path))
+    return read_csv_files(spark, path).select("text")

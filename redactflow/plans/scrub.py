@@ -55,7 +55,7 @@ def entities_expr(text: Column, cfg: ScrubConfig, external: Column | None = None
         D.detect_windows(text, cfg.plan_rules(), cfg.window_size, cfg.overlap, external=external)))
     if cfg.boost:
         ents = context_boost(ents, text)
-    return ents
+    return F.coalesce(ents, F.array().cast(D.ENTITIES_TYPE))  # a null text has no entities
 
 
 def detect(df: DataFrame, text_col: str = "text", cfg: ScrubConfig = ScrubConfig(),
