@@ -50,3 +50,43 @@ def first_of_groups(sorted_arr: Column, key_fields: Sequence[str]) -> Column:
         return F.filter(arr, keep)
 
     return let(sorted_arr, body)
+
+
+def memoized(fn):
+    """Cache an expression builder per Spark context.
+
+    Building the detection expression issues thousands of Py4J calls (seconds
+    of driver time) and depends only on its arguments, never on data.  Column
+    expressions are immutable and unresolved, so one built expression can be
+    used by any number of DataFrames of the same context.  Column arguments
+    are keyed by their expression text.
+    """
+    import functools
+
+    from pyspark import SparkContext
+
+    cache: dict = {}
+
+    def key_of(v):
+        if isinstance(v, Column):
+            return ("col", v._jc.toString())
+        if isinstance(v, (list, tuple)):
+            return tuple(key_of(x) for x in v)
+        return v
+
+    @functools.wraps(fn)
+    def wrapper(*args, **kw):
+        sc = SparkContext._active_spark_context
+        token = id(sc) if sc is not None else None
+        try:
+            key = (token, key_of(args), tuple(sorted((k, key_of(v)) for k, v in kw.items())))
+            hash(key)
+        except TypeError:
+            return fn(*args, **kw)
+        if key not in cache:
+            if len(cache) > 256:
+                cache.clear()
+            cache[key] = fn(*args, **kw)
+        return cache[key]
+
+    return wrapper

@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from redactflow.functions.arrays import let, sort_structs
+from redactflow.functions.arrays import let, memoized, sort_structs
 from redactflow.functions.masks import mask_full, mask_partial, mask_placeholder, pseudonym_prefix, replacement
 from redactflow.functions.text import html_escape
 
@@ -54,6 +54,7 @@ def pseudonym_table(entities_redaction_order: Column) -> Column:
     return F.aggregate(entities_redaction_order, init, step)
 
 
+@memoized
 def with_replacements(entities: Column, mode: str, pseudonymize: bool = False) -> Column:
     """Add a ``replacement`` field to each entity (array in any order)."""
     if mode not in ("full", "placeholder", "partial") and pseudonymize:
@@ -107,6 +108,7 @@ def has_overlap(entities_document_order: Column) -> Column:
     return let(entities_document_order, body)
 
 
+@memoized
 def redact_text(text: Column, entities_with_replacement: Column) -> Column:
     """Redacted text, same result as the ordered splice; uses the linear form
     when no spans overlap."""
@@ -117,6 +119,7 @@ def redact_text(text: Column, entities_with_replacement: Column) -> Column:
     return let(entities_with_replacement, body)
 
 
+@memoized
 def redaction_metadata(entities_with_replacement: Column, timestamp: Column | None = None,
                        include_original: bool = True) -> Column:
     """One struct per redaction in redaction order."""

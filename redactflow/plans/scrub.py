@@ -15,6 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from redactflow.functions.arrays import memoized
 from redactflow.functions.text import WINDOW_OVERLAP, WINDOW_SIZE, normalize_text
 from redactflow.operators import detect as D
 from redactflow.operators import redact as R
@@ -50,7 +51,14 @@ def prepared_text(df: DataFrame, text_col: str, cfg: ScrubConfig) -> Column:
 
 
 def entities_expr(text: Column, cfg: ScrubConfig, external: Column | None = None) -> Column:
-    """Final entity array of a document, in document order."""
+    """Final entity array of a document, in document order.  The mode does not
+    change detection, so one built expression serves every mode."""
+    from dataclasses import replace as _replace
+    return _entities_expr(text, _replace(cfg, mode="full", pseudonymize=False), external)
+
+
+@memoized
+def _entities_expr(text: Column, cfg: ScrubConfig, external: Column | None = None) -> Column:
     ents = D.drop_handles_in_urls(D.dedup_document_spans(
         D.detect_windows(text, cfg.plan_rules(), cfg.window_size, cfg.overlap, external=external)))
     if cfg.boost:
