@@ -53,6 +53,8 @@ WORD = r"[\p{L}\p{N}_]"
 WB = rf"(?:(?<!{WORD})(?={WORD})|(?<={WORD})(?!{WORD}))"
 # Python's ``\s`` also covers U+001C..U+001F, which Java's (?U)\s does not.
 PY_SPACE_EXTRA = r"\x1c-\x1f"
+# Non-ASCII letters that match ASCII letters under ignore-case (see ``Rule.java``).
+FOLDS_TO_ASCII = r"\x{131}\x{130}\x{17f}\x{212a}"
 
 
 def java_regex(py_pattern: str, ignore_case: bool) -> str:
@@ -65,6 +67,7 @@ def java_regex(py_pattern: str, ignore_case: bool) -> str:
     """
     out = []
     in_class = False
+    class_start = 0
     i = 0
     while i < len(py_pattern):
         ch = py_pattern[i]
@@ -80,8 +83,15 @@ def java_regex(py_pattern: str, ignore_case: bool) -> str:
             continue
         if ch == "[" and not in_class:
             in_class = True
+            class_start = len(out)
         elif ch == "]" and in_class and out and out[-1] not in ("[", "[^"):
             in_class = False
+            body = "".join(out[class_start:])
+            if ignore_case and not body.startswith("[^") and ("A-Z" in body or "a-z" in body):
+                # Python's ignore-case ranges also take the four letters that fold
+                # to ASCII; Java's (?iU)[A-Z] misses two of them.  Put first in the
+                # class, where no "-" can turn them into a range.
+                out.insert(class_start + 1, FOLDS_TO_ASCII)
         out.append(ch)
         i += 1
     flags = "(?iU)" if ignore_case else "(?U)"
@@ -109,10 +119,24 @@ class Rule:
     anchored: bool = False
     obeys_threshold: bool = True
     source: str = SOURCE_RULES
+    first: str | None = None
 
     @property
     def java(self) -> str:
-        return java_regex(self.pattern, self.ignore_case)
+        """Java form; with ``first`` (a class holding every possible first
+        character of a match, under the rule's flags) a lookahead goes in
+        front, so positions that cannot start a match fail on one class test
+        instead of the word-boundary look-arounds."""
+        out = java_regex(self.pattern, self.ignore_case)
+        if self.first:
+            first = self.first
+            if self.ignore_case and any(c.isalpha() for c in first.replace("\\d", "")):
+                # letters whose case folding reaches ASCII letters (dotless and
+                # dotted i, long s, Kelvin sign): kept so the lookahead stays a superset
+                first = "[" + FOLDS_TO_ASCII + first[1:] if first.startswith("[") else f"[{FOLDS_TO_ASCII}{first}]"
+            flags, body = out[:out.index(")") + 1], out[out.index(")") + 1:]
+            out = flags + "(?=" + first + ")" + body
+        return out
 
     @property
     def java_guard(self) -> str | None:
@@ -122,23 +146,27 @@ class Rule:
 
 
 # Guards: necessary sub-patterns, written for the plan (not part of the rules).
+# First: every character a match can start with (the leading boundary
+# constrains nothing more), likewise written for the plan.
 DEFAULT_RULES: tuple[Rule, ...] = (
-    Rule("detect_email", "EMAIL", EMAIL_RULE, BASIC_CONFIDENCE, 0, guard="@"),
-    Rule("detect_phone", "PHONE", PHONE_RULE, BASIC_CONFIDENCE, 1, guard="[0-9]{4}"),
-    Rule("detect_aadhaar", "AADHAAR", AADHAAR_RULE, BASIC_CONFIDENCE, 2, guard="[0-9]{4}"),
-    Rule("detect_ssn", "SSN", SSN_RULE, BASIC_CONFIDENCE, 3, guard=r"\d{3}-\d{2}-\d{4}"),
-    Rule("detect_credit_card", "CREDIT_CARD", CREDIT_CARD_RULE, BASIC_CONFIDENCE, 4, guard="[0-9]{13}"),
-    Rule("detect_ip", "IP_ADDRESS", IP_ADDRESS_RULE, BASIC_CONFIDENCE, 5, guard=r"[0-9]\.[0-9]"),
-    Rule("detect_url", "URL", URL_RULE, BASIC_CONFIDENCE, 6, guard=r"https?://|www\.|\.com/"),
+    Rule("detect_email", "EMAIL", EMAIL_RULE, BASIC_CONFIDENCE, 0, guard="@", first=r"[A-Za-z0-9._%+\-]"),
+    Rule("detect_phone", "PHONE", PHONE_RULE, BASIC_CONFIDENCE, 1, guard="[0-9]{4}", first=r"[+(0-9]"),
+    Rule("detect_aadhaar", "AADHAAR", AADHAAR_RULE, BASIC_CONFIDENCE, 2, guard="[0-9]{4}", first="[0-9]"),
+    Rule("detect_ssn", "SSN", SSN_RULE, BASIC_CONFIDENCE, 3, guard=r"\d{3}-\d{2}-\d{4}", first=r"\d"),
+    Rule("detect_credit_card", "CREDIT_CARD", CREDIT_CARD_RULE, BASIC_CONFIDENCE, 4, guard="[0-9]{13}",
+         first="[345]"),
+    Rule("detect_ip", "IP_ADDRESS", IP_ADDRESS_RULE, BASIC_CONFIDENCE, 5, guard=r"[0-9]\.[0-9]", first="[0-9]"),
+    Rule("detect_url", "URL", URL_RULE, BASIC_CONFIDENCE, 6, guard=r"https?://|www\.|\.com/",
+         first="[hwlgxtfiym]"),
     Rule("detect_registration_number", "REGISTRATION_NUMBER", REGISTRATION_NUMBER_RULE,
-         BASIC_CONFIDENCE, 7, guard=r"\d{8}"),
+         BASIC_CONFIDENCE, 7, guard=r"\d{8}", first=r"\d"),
     Rule("detect_registration_context", "REGISTRATION_NUMBER", REGISTRATION_CONTEXT_RULE,
-         CONTEXT_CONFIDENCE, 8, group=1, guard="reg"),
+         CONTEXT_CONFIDENCE, 8, group=1, guard="reg", first="r"),
     Rule("detect_person_context", "PERSON_NAME", PERSON_CONTEXT_RULE, CONTEXT_CONFIDENCE, 9,
          group=1, guard=r"(?:name|candidate|applicant|student|patient)[\s\x1c-\x1f]*[:\-]",
-         name_check=True),
+         name_check=True, first="[ncasp]"),
     Rule("detect_profile_handle", "PROFILE_HANDLE", PROFILE_HANDLE_RULE, CONTEXT_CONFIDENCE, 10,
-         group=1, guard=r"\.com/"),
+         group=1, guard=r"\.com/", first="[hwlgxt]"),
     Rule("detect_leading_name", "PERSON_NAME", LEADING_NAME_RULE, LEADING_NAME_CONFIDENCE, 11,
          group=1, ignore_case=False, name_check=True, anchored=True, obeys_threshold=False,
          guard=r"^[\s\x1c-\x1f]*[A-Z][a-z]+[\s\x1c-\x1f]+[A-Z][a-z]"),

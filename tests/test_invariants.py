@@ -10,7 +10,10 @@ from tests import pymodel
 PIECES = ["john@example.com", "a.b@c.org", "+1 (555) 123-4567", "5551234567", "123-45-6789", "4111111111111111",
           "192.168.0.1", "300.1.1.1", "https://github.com/alice", "linkedin.com/in/bob-x", "Reg No: AB-123456",
           "Name: Jane Doe", "patient - john smith", "regulation", "id", "income", "hospital", "Élan", "é12345678",
-          "1234 5678 9012", "12345678901", "Ann Lee", "\n", "  ", ".", ",", "x", "wage"]
+          "1234 5678 9012", "12345678901", "Ann Lee", "\n", "  ", ".", ",", "x", "wage",
+          "ınstagram.com/abc", "İnstagram.com/x_y", "ſtudent: Ann Lee", "K@x.com", "ıd@x.com", "name: ıvan Lee",
+          "Reg no: ab-123456", "(555) 123-4567", "\x1c", "\xa0", "3782 822463 10005", "5512345678901234",
+          "١٢٣٤٥٦٧٨٩", "١٢٣-٤٥-٦٧٨٩", "\u2003", "\x85", "John\u2003Smith", "Ｊohn", "x\u0301y"]
 
 
 def random_texts(n, seed=7):
@@ -24,7 +27,7 @@ def random_texts(n, seed=7):
 
 
 def test_matches_independent_model(spark, docs):
-    texts = random_texts(60)
+    texts = random_texts(60) + random_texts(60, seed=23)
     got = {r.doc_id: [(x.s, x.e, x.text, x.entity_type, round(x.confidence, 6), x.window_id) for x in r.entities]
            for r in detect(docs(*texts)).collect()}
     for i, t in enumerate(texts):
