@@ -306,8 +306,10 @@ FROM (SELECT doc_id, text, entity_type, min(seq) AS first_seq
 
 @register("pseudonymize_document", _with(TB.FORMS_SQL, _PSEUDO_SQL))
 def q_pseudonymize_document(spark, sf_dir):
-    rows = entity_rows(_scrubbed(spark, sf_dir, "pseudonym", TB.customer_forms, pseudonymize=True))
-    return rows.select("doc_id", "text", "entity_type", F.col("replacement").alias("pseudonym")).distinct()
+    docs = detect(TB.customer_forms(spark, sf_dir))
+    rows = explode_structs(docs.select("doc_id", R.pseudonym_entries(F.col("entities")).alias("p")), "p", ["doc_id"])
+    return rows.select("doc_id", F.col("x.k.text").alias("text"), F.col("x.k.entity_type").alias("entity_type"),
+                       F.col("x.n").alias("pseudonym"))
 
 
 @register("redact_documents_pseudonym", _splice_sql(TB.FORMS_SQL, [f"ps AS ({_PSEUDO_SQL})", """red AS (

@@ -232,3 +232,11 @@ def term_replacements(metadata: Column, mode: str) -> Column:
 def redact_terms(text: Column, terms: Column) -> Column:
     """Replace every occurrence of each term anywhere in the text, longest first."""
     return F.aggregate(terms, text, lambda acc, t: F.replace(acc, t["term"], t["repl"]))
+
+
+def pseudonym_entries(entities: Column) -> Column:
+    """The document's pseudonym dictionary as
+    ``array<struct<text, entity_type, pseudonym>>`` (each key once), read
+    from the row: no shuffle to deduplicate."""
+    table = pseudonym_table(redaction_order(entities))
+    return F.arrays_zip(table["keys"].alias("k"), table["names"].alias("n"))
