@@ -112,3 +112,45 @@ def test_entry_contract(spark):
     assert df.columns == ["doc_id", "redacted_text"] and df.count() >= 0
     qs, sql = E.queries(), E.oracle_sql()
     assert set(sql) <= set(qs) and len(qs) >= 60
+
+
+def test_null_and_empty_texts(spark):
+    d = spark.createDataFrame([(1, None), (2, ""), (3, "a@b.co")], "doc_id long, text string")
+    rows = {r.doc_id: r for r in scrub(d).collect()}
+    assert rows[1].entities == [] and rows[1].redacted_text is None
+    assert rows[2].entities == [] and rows[2].redacted_text == ""
+    assert rows[3].redacted_text == "██████"
+
+
+def test_stream_entity_counts_window_and_watermark(spark):
+    """Counts per event-time hour; a row arriving after the watermark passed
+    its window is dropped (append mode emits closed windows only)."""
+    import datetime as dt
+    from redactflow.streaming.stream import stream_entity_counts
+    d = _tmpdir()
+    t0 = dt.datetime(2024, 1, 1, 0, 10)
+    batches = [[(t0, "user 00000001 click"), (t0 + dt.timedelta(minutes=20), "user 00000002 view")],
+               [(t0 + dt.timedelta(hours=3), "user 00000003 view")],
+               [(t0 + dt.timedelta(minutes=5), "user 00000004 late")]]
+    schema = "ts timestamp, text string"
+    src = os.path.join(d, "in")
+    os.makedirs(src)
+    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+              .option("recursiveFileLookup", "true").parquet(src))
+    counts = stream_entity_counts(stream, "ts", F.col("text"), window="1 hour", watermark="1 hour")
+    q = (counts.writeStream.format("memory").queryName("t_counts").outputMode("append")
+         .option("checkpointLocation", os.path.join(d, "ckpt")).start())
+    try:
+        for i, b in enumerate(batches):
+            spark.createDataFrame(b, schema).coalesce(1).write.parquet(os.path.join(src, f"b{i}"))
+            import time
+            time.sleep(0.2)
+            q.processAllAvailable()
+        spark.createDataFrame([(t0 + dt.timedelta(hours=6), "user 00000005 x")], schema).coalesce(1) \
+            .write.parquet(os.path.join(src, "b9"))
+        q.processAllAvailable()
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    got = {(r.w.start.hour, r.entity_type): r.n for r in spark.table("t_counts").collect()}
+    assert got[(0, "REGISTRATION_NUMBER")] == 2  # the late row of hour 0 is not counted
