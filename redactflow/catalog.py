@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from redactflow import oracle as O
 from redactflow import tables as TB
-from redactflow.functions.text import WINDOW_OVERLAP, WINDOW_SIZE, window_starts, window_struct
+from redactflow.functions.text import WINDOW_OVERLAP, WINDOW_SIZE, context_windows
 from redactflow.operators import detect as D
 from redactflow.operators import redact as R
 from redactflow.operators.rules import DEFAULT_RULES, RULES_BY_NAME, Rule
@@ -38,12 +38,11 @@ def r4(c: Column) -> Column:
 # ---- shared building blocks ----------------------------------------------------
 
 def window_rows(docs: DataFrame, size: int = WINDOW_SIZE, overlap: int = WINDOW_OVERLAP) -> DataFrame:
-    """One row per window: doc_id, text, window_id, ws (start), we (end), content."""
-    w = docs.select("doc_id", "text", F.posexplode(window_starts(F.col("text"), size, overlap))
-                    .alias("window_id", "ws"))
-    st = window_struct(F.col("text"), F.col("ws"), F.col("window_id"), size)
-    return w.select("doc_id", "text", F.col("window_id"), F.col("ws"),
-                    st["end_char"].alias("we"), st["content"].alias("content"))
+    """One row per window: doc_id, window_id, ws (start), we (end), content."""
+    w = explode_structs(docs.select("doc_id", context_windows(F.col("text"), size, overlap).alias("w")),
+                        "w", ["doc_id"])
+    return w.select("doc_id", F.col("x.window_id").alias("window_id"), F.col("x.start_char").alias("ws"),
+                    F.col("x.end_char").alias("we"), F.col("x.content").alias("content"))
 
 
 def explode_structs(df: DataFrame, col: str, keep: list[str]) -> DataFrame:

@@ -16,6 +16,7 @@ PY_WHITESPACE_RUN = r"(?U)[\s\x1c-\x1f]+"
 # Control characters still present after the whitespace pass (all others are spaces).
 CONTROL_CHARS = r"[\x00-\x08\x0e-\x1b]"
 
+# schema of one element of ``context_windows`` (without the optional context)
 WINDOW_TYPE = T.StructType([
     T.StructField("window_id", T.IntegerType()),
     T.StructField("content", T.StringType()),
@@ -40,26 +41,6 @@ def make_valid_text(text: Column) -> Column:
     return F.replace(F.make_valid_utf8(text), F.lit("�"), F.lit(""))
 
 
-def window_starts(text: Column, size: int = WINDOW_SIZE, overlap: int = WINDOW_OVERLAP) -> Column:
-    step = size - overlap
-    if step <= 0:
-        raise ValueError("window overlap must be smaller than the window size")
-    n = F.length(text)
-    return F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(step))).otherwise(
-        F.array().cast(T.ArrayType(T.IntegerType())))
-
-
-def window_struct(text: Column, start: Column, window_id: Column, size: int = WINDOW_SIZE) -> Column:
-    content = F.substring(text, start + 1, size)
-    return F.struct(
-        window_id.cast("int").alias("window_id"),
-        content.alias("content"),
-        start.cast("int").alias("start_char"),
-        F.least(start + size, F.length(text)).cast("int").alias("end_char"),
-        F.length(content).alias("length"),
-    )
-
-
 def chunks(text: Column, step: int) -> Column:
     """The text cut into consecutive pieces of ``step`` code points (last one
     shorter), in one linear regex pass."""

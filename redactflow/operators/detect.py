@@ -16,9 +16,7 @@ from pyspark.sql import types as T
 from redactflow.functions.arrays import first_of_groups, let, sort_structs
 from redactflow.functions.spans import find_spans, leading_span
 from redactflow.functions.text import context_windows
-from redactflow.operators.rules import (
-    NAME_BLOCKLIST, NAME_TOKEN_SHAPE, PY_SPACE_EXTRA, Rule, active_rules, SERVICE_THRESHOLD,
-)
+from redactflow.operators.rules import NAME_BLOCKLIST, NAME_TOKEN_SHAPE, PY_SPACE_EXTRA, Rule
 
 ENTITY_TYPE = T.StructType([
     T.StructField("s", T.IntegerType()),
@@ -200,13 +198,6 @@ def drop_handles_in_urls(entities: Column) -> Column:
     return let(entities, body)
 
 
-def detect_document(text: Column, threshold: float = SERVICE_THRESHOLD,
-                    rules: Sequence[Rule] | None = None, size: int = 500, overlap: int = 100) -> Column:
-    """Windows -> rules -> window dedup -> rebase -> document dedup -> handle removal."""
-    use = active_rules(threshold) if rules is None else tuple(rules)
-    return drop_handles_in_urls(dedup_document_spans(detect_windows(text, use, size, overlap)))
-
-
 def length_confidence(text: Column) -> Column:
     """0.95 for texts longer than 3 characters, else 0.70 (scalar helper)."""
     return F.when(F.length(text) > 3, F.lit(0.95)).otherwise(F.lit(0.70))

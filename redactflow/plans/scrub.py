@@ -46,10 +46,6 @@ class ScrubConfig:
         return with_guards(active_rules(self.threshold, self.rules), self.guards)
 
 
-def prepared_text(df: DataFrame, text_col: str, cfg: ScrubConfig) -> Column:
-    return normalize_text(F.col(text_col)) if cfg.normalize else F.col(text_col)
-
-
 def entities_expr(text: Column, cfg: ScrubConfig, external: Column | None = None) -> Column:
     """Final entity array of a document, in document order.  The mode does not
     change detection, so one built expression serves every mode."""
