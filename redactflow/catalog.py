@@ -906,3 +906,17 @@ def q_src_csv(spark, sf_dir):
     (TB.load(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
      .write.option("header", True).csv(path))
     return read_csv_files(spark, path).select("text")
+
+
+@register("src_json", """SELECT CAST(to_json({'c_custkey': c_custkey, 'c_mktsegment': c_mktsegment, 'c_name': c_name,
+  'c_nationkey': c_nationkey}) AS VARCHAR) AS text FROM customer""")
+def q_src_json(spark, sf_dir):
+    """``customer`` written as JSON files, each one array of at most 100
+    records, and read back: one document per record, re-serialized."""
+    from redactflow.sources.files import read_json_files
+    path = _fresh_dir(spark, "src_json")
+    cust = TB.load(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    arrays = (cust.groupBy(F.floor(F.col("c_custkey") / 100).alias("bucket"))
+              .agg(F.to_json(F.collect_list(F.struct(*cust.columns))).alias("value")))
+    arrays.repartition("bucket").write.partitionBy("bucket").text(path)
+    return read_json_files(spark, path, pattern="*.txt").select("text")

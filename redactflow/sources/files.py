@@ -114,9 +114,11 @@ def read_csv_files(spark: SparkSession, path: str, normalize: bool = True) -> Da
     return df.select(F.input_file_name().alias("path"), (normalize_text(text) if normalize else text).alias("text"))
 
 
-def read_json_files(spark: SparkSession, path: str, normalize: bool = True) -> DataFrame:
-    """One document per JSON record: re-serialized (non-ASCII kept), normalized."""
-    df = spark.read.option("multiLine", True).option("pathGlobFilter", "*.json").json(path)
+def read_json_files(spark: SparkSession, path: str, normalize: bool = True, pattern: str = "*.json") -> DataFrame:
+    """One document per JSON record (a file holds one JSON value: a record or
+    an array of records): re-serialized (non-ASCII kept), normalized."""
+    df = (spark.read.option("multiLine", True).option("pathGlobFilter", pattern)
+          .option("recursiveFileLookup", True).json(path))
     text = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
     return df.select(F.input_file_name().alias("path"), (normalize_text(text) if normalize else text).alias("text"))
 
