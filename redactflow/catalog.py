@@ -679,17 +679,8 @@ def domain_patterns(spark: SparkSession) -> DataFrame:
              regexp_split_to_array(d.text, p.pattern_regex) AS gs
       FROM documents d JOIN ({_LOOKUP_SQL}) p ON p.domain = 'general')))""")
 def q_detect_domain_patterns(spark, sf_dir):
-    from redactflow.functions.spans import find_spans
-    from redactflow.operators.boost import domain_pattern_lookup
-    from redactflow.plans.joins import sized_broadcast
-    pats = domain_pattern_lookup(domain_patterns(spark), "general").withColumn("domain", F.lit("general"))
-    docs = TB.documents(spark, sf_dir).withColumn("domain", F.lit("general"))
-    joined = docs.join(sized_broadcast(pats, 10_000), "domain")
-    rows = explode_structs(joined.select("doc_id", "pattern_name",
-                                         find_spans(F.col("text"), F.col("pattern_regex")).alias("sp")),
-                           "sp", ["doc_id", "pattern_name"])
-    return rows.select("doc_id", "pattern_name", F.col("x.s").cast("long").alias("start_char"),
-                       F.col("x.e").cast("long").alias("end_char"), F.col("x.text").alias("text"))
+    from redactflow.operators.boost import detect_domain_patterns
+    return detect_domain_patterns(TB.documents(spark, sf_dir), domain_patterns(spark), "general")
 
 
 @register("apply_domain_boost", _with(TB.FORMS_SQL, f"""SELECT e.doc_id, e.idx, e.entity_type, e.text,

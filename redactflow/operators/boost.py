@@ -80,3 +80,34 @@ def apply_domain_boost(entities: DataFrame, patterns: DataFrame, max_domains: in
                                                     p["confidence_boost"]).otherwise(F.lit(0.0)))
     return (joined.withColumn("confidence", F.least(F.col("confidence") + boost, F.lit(BOOST_CAP)))
             .drop("_pats"))
+
+
+def detect_domain_patterns(docs: DataFrame, patterns: DataFrame, domain: str, text_col: str = "text",
+                           id_col: str = "doc_id", max_patterns: int = 1_000) -> DataFrame:
+    """Spans of the domain's stored patterns in each document (whole text):
+    (id, pattern_name, start_char, end_char, text).
+
+    The pattern table is a small configuration table: once its size is checked
+    against ``max_patterns`` it is read to the driver and each regex becomes a
+    literal of the plan (compiled once per task, no join).  A larger table is
+    joined on the domain instead, with the pattern taken from the column.
+    """
+    from redactflow.functions.spans import find_spans
+    from redactflow.plans.joins import sized_broadcast
+
+    pats = domain_pattern_lookup(patterns, domain)
+    few = pats.limit(max_patterns + 1).collect()
+    if len(few) <= max_patterns:
+        if not few:
+            return docs.sparkSession.createDataFrame(
+                [], f"{id_col} long, pattern_name string, start_char long, end_char long, text string")
+        per = F.array(*[F.struct(F.lit(p.pattern_name).alias("pattern_name"),
+                                 find_spans(F.col(text_col), p.pattern_regex).alias("sp")) for p in few])
+        rows = docs.select(id_col, F.inline(per))
+    else:
+        joined = docs.withColumn("domain", F.lit(domain)).join(
+            sized_broadcast(pats.withColumn("domain", F.lit(domain)), max_patterns * 100), "domain")
+        rows = joined.select(id_col, "pattern_name", find_spans(F.col(text_col), F.col("pattern_regex")).alias("sp"))
+    out = rows.select(id_col, "pattern_name", F.posexplode_outer("sp").alias("p", "x")).where(F.col("p").isNotNull())
+    return out.select(id_col, "pattern_name", F.col("x.s").cast("long").alias("start_char"),
+                      F.col("x.e").cast("long").alias("end_char"), F.col("x.text").alias("text"))
