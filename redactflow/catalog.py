@@ -911,3 +911,11 @@ def q_src_json(spark, sf_dir):
               .agg(F.to_json(F.collect_list(F.struct(*cust.columns))).alias("value")))
     arrays.repartition("bucket").write.partitionBy("bucket").text(path)
     return read_json_files(spark, path, pattern="*.txt").select("text")
+
+
+@register("merge_overlaps_rows", REGISTRY["merge_overlaps"][1])
+def q_merge_overlaps_rows(spark, sf_dir):
+    """``merge_overlaps`` computed from the entity table (running max per document)."""
+    from redactflow.operators.report import merge_overlaps_table
+    rows = merge_overlaps_table(_doc_entities(TB.documents(spark, sf_dir)))
+    return rows.select("doc_id", "start_char", "end_char", "n_spans", "entity_type")

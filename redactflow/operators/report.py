@@ -249,3 +249,24 @@ def knowledge_lookup(entities: DataFrame, kb: DataFrame, max_broadcast_rows: int
     if max_broadcast_rows is not None:
         k = sized_broadcast(k, max_broadcast_rows)
     return entities.join(k, "text", "left")
+
+
+def merge_overlaps_table(entities: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Islands of overlapping spans from the entity table (rows with ``idx``,
+    ``start_char``, ``end_char``, ``entity_type``).
+
+    Row form of ``redact.merge_overlaps`` for documents with very many
+    entities: a span opens a new island when it starts at or after the
+    largest end seen before it (a running max over the document's rows), so
+    the cost is a sort per document instead of a fold that copies the
+    island array at every step.
+    """
+    w = Window.partitionBy(id_col).orderBy("idx")
+    prev_end = F.max("end_char").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.when(prev_end.isNull() | (F.col("start_char") >= prev_end), 1).otherwise(0)
+    marked = entities.withColumn("_open", opens).withColumn(
+        "_island", F.sum("_open").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return (marked.groupBy(id_col, "_island")
+            .agg(F.min("start_char").alias("start_char"), F.max("end_char").alias("end_char"),
+                 F.count(F.lit(1)).alias("n_spans"), F.min_by("entity_type", "idx").alias("entity_type"))
+            .drop("_island"))

@@ -68,3 +68,15 @@ def test_corpus_pseudonyms_match_single_window(spark):
         counters[p] = counters.get(p, 0) + 1
         want[key] = f"{p}_{counters[p]}"
     assert got == want
+
+
+def test_merge_overlaps_table_equals_array_form(spark):
+    from redactflow import tables as TB
+    from redactflow.operators.report import merge_overlaps_table
+    from redactflow.plans.scrub import detect, entity_rows
+    d = detect(TB.documents(spark, "/root/testdata/sf0.01"))
+    arr = (d.select("doc_id", F.explode(R.merge_overlaps(R.document_order(F.col("entities")))).alias("m"))
+           .select("doc_id", F.col("m.s").cast("long").alias("start_char"), F.col("m.e").cast("long").alias("end_char"),
+                   F.col("m.n").cast("long").alias("n_spans"), F.col("m.entity_type").alias("entity_type")))
+    rows = merge_overlaps_table(entity_rows(d)).select("doc_id", "start_char", "end_char", "n_spans", "entity_type")
+    assert arr.exceptAll(rows).count() == 0 and rows.exceptAll(arr).count() == 0
