@@ -77,7 +77,15 @@ def memoized(fn):
     @functools.wraps(fn)
     def wrapper(*args, **kw):
         sc = SparkContext._active_spark_context
-        token = id(sc) if sc is not None else None
+        token = None
+        if sc is not None:
+            # a token kept on the context itself: a new context (even at a
+            # reused address) never sees expressions built for an old one
+            token = getattr(sc, "_redactflow_token", None)
+            if token is None:
+                import uuid
+                token = uuid.uuid4().hex
+                sc._redactflow_token = token
         try:
             key = (token, key_of(args), tuple(sorted((k, key_of(v)) for k, v in kw.items())))
             hash(key)
