@@ -80,3 +80,32 @@ def test_merge_overlaps_table_equals_array_form(spark):
                    F.col("m.n").cast("long").alias("n_spans"), F.col("m.entity_type").alias("entity_type")))
     rows = merge_overlaps_table(entity_rows(d)).select("doc_id", "start_char", "end_char", "n_spans", "entity_type")
     assert arr.exceptAll(rows).count() == 0 and rows.exceptAll(arr).count() == 0
+
+
+def test_domain_patterns_join_path_equals_literal_path(spark):
+    from redactflow import tables as TB
+    from redactflow.catalog import domain_patterns
+    from redactflow.operators.boost import detect_domain_patterns
+    docs = TB.documents(spark, "/root/testdata/sf0.01")
+    a = detect_domain_patterns(docs, domain_patterns(spark), "general")           # patterns as literals
+    b = detect_domain_patterns(docs, domain_patterns(spark), "general", max_patterns=1)  # joined
+    assert a.count() > 0
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_apply_domain_boost(spark):
+    from redactflow.catalog import domain_patterns
+    from redactflow.operators.boost import apply_domain_boost
+    ents = spark.createDataFrame([("general", "4111111111111111", 0.98), ("general", "a@b.co", 0.98),
+                                  ("legal", "4111111111111111", 0.98)], "domain string, text string, confidence double")
+    got = [round(r.confidence, 4) for r in apply_domain_boost(ents, domain_patterns(spark)).orderBy("domain", "text").collect()]
+    assert got == [0.99, 0.98, 0.98]
+
+
+def test_knowledge_upsert(spark):
+    from redactflow.operators.report import knowledge_build, knowledge_upsert
+    old = knowledge_build(spark.createDataFrame([("Ann Lee", "PERSON_NAME")], "text string, entity_type string"))
+    new = spark.createDataFrame([("Ann Lee", "EMAIL"), ("Ann Lee", "EMAIL"), ("Bo", "PHONE")],
+                                "text string, entity_type string")
+    got = {r.entity_text: (r.entity_type, r.frequency) for r in knowledge_upsert(old, new).collect()}
+    assert got == {"Ann Lee": ("EMAIL", 3), "Bo": ("PHONE", 1)}
