@@ -17,7 +17,7 @@ from redactflow import tables as TB
 from redactflow.functions.text import WINDOW_OVERLAP, WINDOW_SIZE, context_windows
 from redactflow.operators import detect as D
 from redactflow.operators import redact as R
-from redactflow.operators.rules import DEFAULT_RULES, RULES_BY_NAME, Rule
+from redactflow.operators.rules import RULES_BY_NAME, Rule
 from redactflow.plans.scrub import ScrubConfig, detect, entity_rows, scrub
 
 QueryFn = Callable[[SparkSession, str], DataFrame]

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from redactflow.operators.boost import ANCHOR_WORDS
 from redactflow.operators.rules import (
-    DEFAULT_RULES, MINIMAL_RULES, NAME_BLOCKLIST, SERVICE_THRESHOLD, Rule, active_rules,
+    DEFAULT_RULES, NAME_BLOCKLIST, SERVICE_THRESHOLD, Rule, active_rules,
 )
 
 # Python's whitespace set for RE2 (RE2's \s is ASCII and lacks \v).
