@@ -500,8 +500,8 @@ def q_pseudonymize_corpus(spark, sf_dir):
 @register("entity_distribution", _with(O.DOCS_SRC, "SELECT doc_id, entity_type, count(*) AS n FROM ents "
                                                     "GROUP BY doc_id, entity_type"))
 def q_entity_distribution(spark, sf_dir):
-    from redactflow.operators.report import entity_distribution
-    return entity_distribution(_doc_entities(TB.documents(spark, sf_dir)))
+    from redactflow.operators.report import entity_distribution_rows
+    return entity_distribution_rows(detect(TB.documents(spark, sf_dir)))
 
 
 @register("entity_distribution_corpus", _with(O.DOCS_SRC, """SELECT d.lang, d.source AS doc_source, e.entity_type, count(*) AS n

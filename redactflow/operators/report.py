@@ -26,9 +26,17 @@ FILE_CONTEXT_KEY = "file"
 # ---- distributions and summaries ----------------------------------------------
 
 def entity_distribution(entities: DataFrame, by: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """Counts by ``by`` and type over entity rows (a shuffle of partial counts)."""
     return entities.groupBy(*by, "entity_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+def entity_distribution_rows(detected: DataFrame, id_cols: Sequence[str] = ("doc_id",),
+                             col: str = "entities") -> DataFrame:
+    """Per-document counts by type read from each row's entity array: no shuffle."""
+    return (detected.select(*id_cols, F.explode(type_counts(F.col(col))).alias("c"))
+            .select(*id_cols, F.col("c.entity_type").alias("entity_type"), F.col("c.n").alias("n")))
+
+
 def entity_distribution_corpus(entities: DataFrame, dims: Sequence[str] = ("lang",)) -> DataFrame:
     """Counts by type with subtotals over ``dims`` (ROLLUP: dims..., type)."""
     return entities.rollup(*dims, "entity_type").agg(F.count(F.lit(1)).alias("n"))
