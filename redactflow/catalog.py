@@ -538,8 +538,8 @@ def q_run_metrics(spark, sf_dir):
 @register("redaction_stats", _with(O.DOCS_SRC, "SELECT count(*) AS total_redacted, count(*) AS audit_entries, "
                                                 "CAST(0 AS BIGINT) AS pseudonym_mappings FROM ents"))
 def q_redaction_stats(spark, sf_dir):
-    from redactflow.operators.report import redaction_stats
-    return redaction_stats(_doc_entities(TB.documents(spark, sf_dir)))
+    from redactflow.operators.report import redaction_stats_rows
+    return redaction_stats_rows(detect(TB.documents(spark, sf_dir)))
 
 
 @register("audit_log", _with(O.DOCS_SRC, f"""SELECT doc_id, {_RED_SEQ} AS seq, entity_type, round(confidence, 4) AS confidence,
