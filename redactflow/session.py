@@ -3,9 +3,9 @@ shared checkpoint folder."""
 
 from __future__ import annotations
 
-import os
 import tempfile
 
+from pyspark.errors import PySparkNotImplementedError
 from pyspark.sql import SparkSession
 
 
@@ -33,21 +33,26 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
-    A folder is only made up when the session names none (local tests); on a
-    cluster the configured shared folder is always used.
+    A folder is made up only for a ``local[...]`` master whose session names
+    none (tests, benches).  Any other master must name one that driver and
+    executors share; a machine's own temporary folder would lose data there.
     """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
     try:
         sc = spark.sparkContext
-    except Exception:  # Spark Connect: the server's configuration names the folder
-        sc = None
-    current = (sc.getCheckpointDir() if sc else None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        # only reached when the session names no folder (local runs and tests)
-        current = tempfile.mkdtemp(prefix="redactflow-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", current)
-    if sc and not sc.getCheckpointDir():
-        sc.setCheckpointDir(current)
-    return (sc.getCheckpointDir() if sc else None) or current
+    except PySparkNotImplementedError:  # Spark Connect: only the server's setting counts
+        if not folder:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share") from None
+        return folder
+    folder = folder or sc.getCheckpointDir()
+    if not folder:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="redactflow-ckpt-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(folder)
+    return folder
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
