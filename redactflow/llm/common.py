@@ -3,6 +3,9 @@ tables, access to the bytes of an Arrow text column, and vectorised hashing."""
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,13 +14,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import redactflow
 from redactflow.session import shared_dir
 
 #: Bytes of text that one vectorised step takes at once; temporary arrays are about eight times as large.
 STEP_BYTES = 1 << 20
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the Python workers, once per Spark context, so that
+    they find it wherever they run (Spark's own file server carries the archive)."""
+    sc = spark.sparkContext
+    if getattr(sc, "_redactflow_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(redactflow.__file__)))
+    sc.addPyFile(shutil.make_archive(os.path.join(tempfile.mkdtemp(), "redactflow"), "zip", root, "redactflow"))
+    sc._redactflow_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
