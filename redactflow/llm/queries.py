@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from redactflow.llm.html_extract import op1_html_extraction
+from redactflow.llm.minhash import op4_minhash_near_dedup
 from redactflow.llm.packing import op3_packing
 from redactflow.llm.token_files import op5_token_counts
 
 QUERIES = {
     "op1_html_extraction": (op1_html_extraction, None),
     "op3_packing": (op3_packing, None),
+    "op4_minhash_near_dedup": (op4_minhash_near_dedup, None),
     "op5_token_counts": (op5_token_counts, None),
 }
