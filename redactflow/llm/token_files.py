@@ -80,9 +80,9 @@ def count_documents(spark: SparkSession, path: str, end_id: int = END_OF_DOCUMEN
         F.max("block").over(whole).alias("last"),
     )
     # the first id after the last end id before the block: where the document that runs into it began
-    ends_at = F.when(F.size("ends") > 0, F.col("base") + F.element_at("ends", -1) + 1)
+    ends_at = F.when(F.size("ends") > 0, F.col("base") + F.try_element_at("ends", F.lit(-1)) + 1)
     scanned = scanned.withColumn("began", F.coalesce(F.max(ends_at).over(before), F.lit(0)))
-    tail = F.when((F.col("block") == F.col("last")) & (F.coalesce(F.element_at("ends", -1), F.lit(-1)) + 1 < F.col("n_ids")), F.array(F.col("n_ids").cast("int")))
+    tail = F.when((F.col("block") == F.col("last")) & (F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(-1)) + 1 < F.col("n_ids")), F.array(F.col("n_ids").cast("int")))
     open_end = F.concat("ends", F.coalesce(tail, F.array().cast("array<int>")))
     rows = scanned.select("path", "base", "ended", "began", open_end.alias("ends"), F.posexplode(open_end).alias("k", "end"))
     start = F.when(F.col("k") == 0, F.col("began")).otherwise(F.col("base") + F.try_element_at("ends", F.greatest(F.col("k"), F.lit(1))) + 1)
