@@ -3,6 +3,8 @@ shared checkpoint folder."""
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 
 from pyspark.errors import PySparkNotImplementedError
@@ -61,6 +63,17 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return base.rstrip("/") + "/" + name
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the Python workers, once per Spark context, so that
+    they find it wherever they run (Spark's own file server carries the archive)."""
+    sc = spark.sparkContext
+    if getattr(sc, "_redactflow_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    sc.addPyFile(shutil.make_archive(os.path.join(tempfile.mkdtemp(), "redactflow"), "zip", os.path.dirname(here), os.path.basename(here)))
+    sc._redactflow_shipped = True
+
+
 def cut_lineage(df):
     """Materialize ``df`` in the shared checkpoint folder (reliable checkpoint)
     so that several branches of a plan read it once instead of recomputing it,

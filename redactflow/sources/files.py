@@ -2,18 +2,24 @@
 
 Files are rows of Spark's ``binaryFile`` source.  The size check reads only
 ``path`` and ``length``; content is read only for files within the size
-limit (the length filter is pushed into the scan), and only its first four
-bytes are compared for the ZIP signature.
+limit (the length filter is pushed into the scan).  ``ingest_files`` checks
+and decodes in that one pass, file by file, so each file keeps its own columns
+and shape; a file that gives no document is a row with the reason.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import csv
+import io
+import json
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from redactflow.functions.text import make_valid_text, normalize_text
+from redactflow.session import ship_package
 
 # FIXED VALUES: supported formats, size limit, ZIP signature and exempt
 # formats, and the verdict messages of the file checks.
@@ -26,6 +32,8 @@ MSG_TOO_LARGE = "File exceeds max size of {}MB"
 MSG_ZIP_BOMB = "Potential ZIP bomb detected"
 MSG_PASSED = "File validation passed"
 MSG_UNSUPPORTED = "Unsupported file format: "
+MSG_NO_DECODER = "No decoder for format: "
+MSG_NO_RECORDS = "No records in file"
 
 # Formats decoded here; the others are listed in the README under "Not built".
 DECODED_FORMATS = (".txt", ".csv", ".json")
@@ -99,6 +107,100 @@ def accepted_and_quarantined(validated: DataFrame) -> tuple[DataFrame, DataFrame
     return validated.where("is_valid"), validated.where("NOT is_valid")
 
 
+class Undecodable(ValueError):
+    """A file of an accepted format whose content can't be read as records."""
+
+
+def decode_records(fmt: str, content: bytes, csv_header: bool = True) -> list[str]:
+    """The texts of one file's records, nothing left out.
+
+    ``.txt``: the whole file (invalid UTF-8 bytes dropped).  ``.csv``: one text
+    per row, all its fields joined by spaces, whatever the number of fields in
+    the header or in other rows; quoted line breaks stay within their field.
+    ``.json``: one text per record (an array's elements, or the one value),
+    keys in the order of the file and nulls kept.
+    """
+    if fmt == ".txt":
+        return [content.decode("utf-8", "ignore")]
+    if fmt == ".csv":
+        csv.field_size_limit(1 << 30)
+        try:
+            rows = list(csv.reader(io.StringIO(content.decode("utf-8-sig", "ignore"), newline=""), strict=True))
+        except csv.Error as e:
+            raise Undecodable(f"Error reading CSV: {e}") from e
+        return [" ".join(r) for r in rows[1 if csv_header else 0:] if r]
+    try:
+        value = json.loads(content.decode("utf-8-sig"))
+    except (ValueError, RecursionError) as e:
+        raise Undecodable(f"Error reading JSON: {e}") from e
+    return [json.dumps(x, ensure_ascii=False, separators=(",", ":")) for x in (value if isinstance(value, list) else [value])]
+
+
+_FILE_COLUMNS = "path string, file_name string, file_size_bytes long, file_format string, file_hash string"
+
+
+def ingest_files(spark: SparkSession, path: str, max_file_size_mb: int = MAX_FILE_SIZE_MB, csv_header: bool = True,
+                 normalize: bool = True, formats: Sequence[str] = DECODED_FORMATS) -> DataFrame:
+    """Every file under ``path`` in one pass: a row per record with its text, or
+    a row without text and with the reason where a file is rejected, has no
+    decoder, can't be parsed or holds no record.
+
+    Columns: path, file_name, file_size_bytes, file_format, file_hash (SHA-256;
+    null for a file over the size limit, which is never read), record (from
+    0), text, message.  Sub-folders are read, and formats are told by the
+    extension in any case; each file is opened once.
+    """
+    ship_package(spark)
+    limit, chosen = max_file_size_mb * 1024 * 1024, tuple(formats)
+    listing = list_files(spark, path)
+    about = [F.col("path"), file_name(F.col("path")).alias("file_name"), F.col("length").alias("file_size_bytes"),
+             file_format(F.col("path")).alias("file_format")]
+    big = listing.where(F.col("length") > limit).select(
+        *about, F.lit(None).cast("string").alias("file_hash"), F.lit(None).cast("int").alias("record"),
+        F.lit(None).cast("string").alias("text"), F.lit(MSG_TOO_LARGE.format(max_file_size_mb)).alias("message"))
+    small = listing.where(F.col("length") <= limit).select(*about, F.sha2("content", 256).alias("file_hash"), "content")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in _FILE_COLUMNS.split(", ")]
+        for batch in batches:
+            for file in batch.itertuples(index=False):
+                texts, message = [], check_content(file.file_format, bytes(file.content[:4]))
+                if message == MSG_PASSED and file.file_format not in chosen:
+                    message = MSG_NO_DECODER + file.file_format
+                if message == MSG_PASSED:
+                    try:
+                        texts = decode_records(file.file_format, bytes(file.content), csv_header)
+                        message = MSG_PASSED if texts else MSG_NO_RECORDS
+                    except Undecodable as e:
+                        message = str(e)
+                n = max(1, len(texts))
+                out = pd.DataFrame({c: [getattr(file, c)] * n for c in names})
+                out["record"] = pd.array(range(n) if texts else [None], "Int32")
+                out["text"], out["message"] = texts or [None], message
+                yield out
+
+    read = small.mapInPandas(run, _FILE_COLUMNS + ", record int, text string, message string")
+    out = big.unionByName(read)
+    return out.withColumn("text", normalize_text(F.col("text"))) if normalize else out
+
+
+def check_content(fmt: str, head: bytes) -> str:
+    if fmt not in LEGITIMATE_ZIP_FORMATS and head.hex().upper() == ZIP_SIGNATURE_HEX:
+        return MSG_ZIP_BOMB
+    return MSG_PASSED if fmt in SUPPORTED_FORMATS else MSG_UNSUPPORTED + fmt
+
+
+def documents_and_quarantine(ingested: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Records as documents, and the files that gave none with their reason."""
+    return (ingested.where(F.col("text").isNotNull()).drop("message"),
+            ingested.where(F.col("text").isNull()).drop("text", "record"))
+
+
+def _read(spark: SparkSession, path: str, fmt: str, normalize: bool) -> DataFrame:
+    docs, _ = documents_and_quarantine(ingest_files(spark, path, normalize=normalize, formats=(fmt,)))
+    return docs.select("path", "text")
+
+
 def read_text_files(spark: SparkSession, path: str, normalize: bool = True) -> DataFrame:
     """One document per ``.txt`` file: invalid UTF-8 bytes dropped, then normalized."""
     files = list_files(spark, path).where(file_format(F.col("path")) == ".txt")
@@ -107,32 +209,30 @@ def read_text_files(spark: SparkSession, path: str, normalize: bool = True) -> D
 
 
 def read_csv_files(spark: SparkSession, path: str, normalize: bool = True) -> DataFrame:
-    """One document per CSV row: the row's fields joined by spaces, normalized."""
-    df = spark.read.option("header", True).option("pathGlobFilter", "*.csv").csv(path)
-    cols = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns]
-    text = F.concat_ws(" ", *cols)
-    return df.select(F.input_file_name().alias("path"), (normalize_text(text) if normalize else text).alias("text"))
-
-
-def read_json_files(spark: SparkSession, path: str, normalize: bool = True, pattern: str = "*.json") -> DataFrame:
-    """One document per JSON record (a file holds one JSON value: a record or
-    an array of records): re-serialized (non-ASCII kept), normalized."""
-    df = (spark.read.option("multiLine", True).option("pathGlobFilter", pattern)
-          .option("recursiveFileLookup", True).json(path))
-    text = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
-    return df.select(F.input_file_name().alias("path"), (normalize_text(text) if normalize else text).alias("text"))
-
-
-def load_documents(spark: SparkSession, path: str, max_file_size_mb: int = MAX_FILE_SIZE_MB) -> DataFrame:
-    """Validated files of the decoded formats as (path, text) documents."""
-    ok = (validate_files(spark, path, max_file_size_mb).where("is_valid")
-          .select(norm_path(F.col("path")).alias("key"), "file_format"))
-    parts = []
-    for fmt, reader in ((".txt", read_text_files), (".csv", read_csv_files), (".json", read_json_files)):
-        good = ok.where(F.col("file_format") == fmt).select("key")
-        docs = reader(spark, path).withColumn("key", norm_path(F.col("path")))
-        parts.append(docs.join(good, "key", "left_semi").drop("key"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """One document per CSV row, each file with its own columns."""
+    return _read(spark, path, ".csv", normalize)
+
+
+def read_json_files(spark: SparkSession, path: str, normalize: bool = True, pattern: str | None = None) -> DataFrame:
+    """One document per JSON record (a file holds one record or an array of
+    records), non-ASCII kept.  ``pattern``: take the files of that glob as JSON."""
+    if pattern is None:
+        return _read(spark, path, ".json", normalize)
+    ship_package(spark)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for file in batch.itertuples(index=False):
+                texts = decode_records(".json", bytes(file.content))
+                yield pd.DataFrame({"path": [file.path] * len(texts), "text": texts})
+
+    out = files.select("path", "content").mapInPandas(run, "path string, text string")
+    return out.withColumn("text", normalize_text(F.col("text"))) if normalize else out
+
+
+def load_documents(spark: SparkSession, path: str, max_file_size_mb: int = MAX_FILE_SIZE_MB, csv_header: bool = True) -> DataFrame:
+    """The documents of all decoded files, with path, file columns and record;
+    ``ingest_files`` also has the files that gave none."""
+    docs, _ = documents_and_quarantine(ingest_files(spark, path, max_file_size_mb, csv_header))
+    return docs

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from redactflow.functions.arrays import let
+from redactflow.operators.redact import redaction_order
 from redactflow.plans.scrub import SERVICE_STANDARDS
 
 # FIXED VALUES: output name suffixes and the supported export formats.
@@ -41,16 +43,25 @@ def write_redacted_text(scrubbed: DataFrame, path: str, id_cols: Sequence[str] =
     scrubbed.select(*id_cols, "redacted_text").write.mode("overwrite").parquet(path)
 
 
+def _pseudonym_map(entities: Column) -> Column:
+    """``text_type`` -> pseudonym; where two (text, type) pairs spell one key,
+    the pair met last in redaction order wins."""
+    pseudo = F.filter(redaction_order(entities), lambda x: F.coalesce(x["replacement"].startswith("USER_"), F.lit(False)))
+    pairs = F.array_distinct(F.transform(pseudo, lambda x: F.struct(x["text"], x["entity_type"], x["replacement"])))
+    keyed = F.array_sort(F.transform(pairs, lambda x, i: F.struct(
+        F.concat(x["text"], F.lit("_"), x["entity_type"]).alias("k"), (-i).alias("at"), x["replacement"].alias("v"))))
+    last = let(keyed, lambda k: F.filter(k, lambda x, i: F.coalesce(F.get(k, i - 1)["k"] != x["k"], F.lit(True))))
+    return F.map_from_entries(F.transform(last, lambda x: F.struct(x["k"], x["v"])))
+
+
 def metadata_json_rows(scrubbed: DataFrame, id_cols: Sequence[str] = ("doc_id",),
                        include_original: bool = False) -> DataFrame:
-    """redacted_text, redaction_metadata, pseudonym_map (``text_type`` keys),
-    export_timestamp; one row per document."""
+    """redacted_text, redaction_metadata, pseudonym_map, export_timestamp; one
+    row per document.  The map's keys spell the original texts, so it is there
+    only with ``include_original`` (else null, and left out of the JSON)."""
     md = F.col("redaction_metadata") if include_original else _without_original(F.col("redaction_metadata"))
-    pseudo = F.filter(F.col("entities"), lambda x: F.coalesce(x["replacement"].startswith("USER_"), F.lit(False)))
-    keys = F.transform(pseudo, lambda x: F.struct(F.concat(x["text"], F.lit("_"), x["entity_type"]).alias("k"),
-                                                  x["replacement"].alias("v")))
-    return scrubbed.select(*id_cols, "redacted_text", md.alias("redaction_metadata"),
-                           F.map_from_entries(F.array_distinct(keys)).alias("pseudonym_map"),
+    pseudonyms = _pseudonym_map(F.col("entities")) if include_original else F.lit(None).cast("map<string,string>")
+    return scrubbed.select(*id_cols, "redacted_text", md.alias("redaction_metadata"), pseudonyms.alias("pseudonym_map"),
                            F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("export_timestamp"))
 
 
@@ -74,10 +85,8 @@ def write_metadata_csv(scrubbed: DataFrame, path: str, id_cols: Sequence[str] =
                        include_original: bool = False) -> bool:
     """Flattened metadata rows as CSV with a header; ``False`` when there are none."""
     rows = metadata_csv_rows(scrubbed, id_cols, include_original)
-    if rows.isEmpty():
-        return False
     rows.write.mode("overwrite").option("header", True).csv(path)
-    return True
+    return not scrubbed.sparkSession.read.option("header", True).csv(path).isEmpty()  # of what was written, not a second run
 
 
 def audit_report_rows(scrubbed: DataFrame, mode: str, id_cols: Sequence[str] = ("doc_id",),
@@ -107,6 +116,26 @@ def write_audit_report(scrubbed: DataFrame, path: str, mode: str, **kw) -> None:
     audit_report_rows(scrubbed, mode, **kw).write.mode("overwrite").json(path)
 
 
+def run_report(scrubbed: DataFrame, mode: str, id_cols: Sequence[str] = ("doc_id",), context: Column | None = None,
+               standards: Sequence[str] = SERVICE_STANDARDS) -> tuple[DataFrame, DataFrame]:
+    """One report for a whole run: (one row of its statistics, one row per audit entry).
+    The log of a run has no bound, so it is a table and not an array."""
+    each = audit_report_rows(scrubbed, mode, id_cols, context, standards)
+    stats = each.agg(F.coalesce(F.sum("redaction_stats.total_redacted"), F.lit(0)).alias("total_redacted"),
+                     F.coalesce(F.sum("redaction_stats.audit_entries"), F.lit(0)).alias("audit_entries"),
+                     F.coalesce(F.sum("redaction_stats.pseudonym_mappings"), F.lit(0)).alias("pseudonym_mappings"))
+    ts = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    stats = stats.select(ts.alias("report_timestamp"), "*", F.array(*[F.lit(s) for s in standards]).alias("compliance_certifications"))
+    log = each.select(*id_cols, F.posexplode_outer("audit_log").alias("seq", "entry")).where(F.col("seq").isNotNull())
+    return stats, log.select(*id_cols, "seq", "entry.*")
+
+
+def write_run_report(scrubbed: DataFrame, path: str, mode: str, **kw) -> None:
+    stats, log = run_report(scrubbed, mode, **kw)
+    stats.write.mode("overwrite").json(f"{path}/summary")
+    log.write.mode("overwrite").json(f"{path}/audit_log")
+
+
 def write_outputs(scrubbed: DataFrame, path: str, fmt: str, **kw) -> bool:
     """Dispatch on the export format: txt, json or csv."""
     if fmt == "txt":

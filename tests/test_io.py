@@ -89,11 +89,79 @@ def test_sinks(spark, docs):
 
 def test_pseudonym_map_in_json_rows(spark, docs):
     out = scrub(docs("a@b.co then a@b.co and c@d.io"), cfg=ScrubConfig(mode="pseudonym", pseudonymize=True))
-    row = SK.metadata_json_rows(out).first()
+    row = SK.metadata_json_rows(out, include_original=True).first()
     assert row.redacted_text == "USER_EMA_2 then USER_EMA_2 and USER_EMA_1"
     assert dict(row.pseudonym_map) == {"a@b.co_EMAIL": "USER_EMA_2", "c@d.io_EMAIL": "USER_EMA_1"}
 
 
+def test_default_json_holds_no_original_text(spark, docs):
+    secrets = ["a@b.co", "c@d.io", "123-45-6789"]
+    for mode in ("full", "placeholder", "pseudonym"):
+        out = scrub(docs("mail a@b.co then a@b.co, c@d.io and SSN 123-45-6789"), cfg=ScrubConfig(mode=mode, pseudonymize=mode == "pseudonym"))
+        path = os.path.join(_tmpdir(), "json")
+        SK.write_metadata_json(out, path)
+        written = "".join(r.value for r in spark.read.text(path).collect())
+        assert "redaction_metadata" in written and not any(x in written for x in secrets), mode
+
+
+def test_clashing_pseudonym_keys(spark):
+    entity = "struct<window_id:int,rank:int,s:int,e:int,text:string,entity_type:string,confidence:double,replacement:string>"
+    rows = [(1, "t", [(0, 0, 5, 6, "a", "B_C", 1.0, "USER_B_C_1"), (0, 0, 0, 3, "a_B", "C", 1.0, "USER_C_1")], [])]
+    meta = "array<struct<original_text:string,entity_type:string>>"
+    out = spark.createDataFrame(rows, f"doc_id long, redacted_text string, entities array<{entity}>, redaction_metadata {meta}")
+    assert dict(SK.metadata_json_rows(out, include_original=True).first().pseudonym_map) == {"a_B_C": "USER_C_1"}
+
+
+def test_loading_is_lossless(spark):
+    d = _tmpdir()
+    os.makedirs(os.path.join(d, "sub"))
+    _write(d, "a.csv", b"id,text\n1,plain\n2,\"two\nlines\"\n")
+    _write(d, "b.csv", b"id,text,phone,mail\n1,hello,555-123-4567,bob@y.org\n2,more,x,y,extra@cell.org\n")
+    _write(d, "C.CSV", b"h\nupper@case.org\n")
+    _write(d, os.path.join("sub", "d.csv"), b"h\nsub@folder.org\n")
+    _write(d, "F.JSON", '[{"z": null, "a": "é"}, {"b": [1, {"c": "deep@key.org"}]}]'.encode())
+    _write(d, "g.json", b'{"one": 1}')
+    _write(d, "bad.json", b'{"one": ')
+    _write(d, "empty.csv", b"h\n")
+    _write(d, "t.TXT", b"some text")
+    _write(d, "h.pdf", b"%PDF-1.4")
+    _write(d, "i.xml", b"<x/>")
+    _write(d, "z.txt", b"PK\x03\x04")
+    _write(d, "huge.txt", b"x" * (1024 * 1024 + 1))
+    got = FS.ingest_files(spark, d, max_file_size_mb=1)
+    docs, bad = FS.documents_and_quarantine(got)
+    texts = {}
+    for r in docs.orderBy("record").collect():
+        texts.setdefault(r.file_name, []).append(r.text)
+    assert texts == {
+        "a.csv": ["1 plain", "2 two lines"], "b.csv": ["1 hello 555-123-4567 bob@y.org", "2 more x y extra@cell.org"],
+        "C.CSV": ["upper@case.org"], "d.csv": ["sub@folder.org"], "F.JSON": ['{"z":null,"a":"é"}', '{"b":[1,{"c":"deep@key.org"}]}'],
+        "g.json": ['{"one":1}'], "t.TXT": ["some text"]}
+    why = {r.file_name: r.message for r in bad.collect()}
+    assert set(why) == {"bad.json", "empty.csv", "h.pdf", "i.xml", "z.txt", "huge.txt"} and why["h.pdf"] == "No decoder for format: .pdf"
+    assert why["bad.json"].startswith("Error reading JSON") and why["empty.csv"] == "No records in file"
+    assert set(texts) | set(why) == {r.file_name for r in FS.list_files(spark, d).select(FS.file_name(F.col("path")).alias("file_name")).collect()}
+    assert FS.load_documents(spark, d, 1).count() == 10
+    assert FS.load_documents(spark, d, 1, csv_header=False).count() == 15
+
+
+def test_process_files(spark):
+    from redactflow.plans.files import process_files
+
+    d, out = _tmpdir(), os.path.join(_tmpdir(), "out")
+    _write(d, "a.csv", b"id,mail\n1,ann@x.org\n2,bob@y.org\n")
+    _write(d, "b.txt", b"call ann@x.org")
+    _write(d, "c.pdf", b"%PDF")
+    rows = {r.file_name: r for r in process_files(spark, d, out).collect()}
+    assert (rows["a.csv"].status, rows["a.csv"].documents, rows["a.csv"].entities_found, dict(rows["a.csv"].by_type)) == ("completed", 2, 2, {"EMAIL": 2})
+    assert list(rows["b.txt"].output_files) == ["b_redacted.txt", "b_metadata.json", "b_audit.json"] and rows["b.txt"].file_size == 14
+    assert rows["c.pdf"].status == "rejected" and rows["c.pdf"].message == "No decoder for format: .pdf"
+    texts = sorted(r.redacted_text for r in spark.read.parquet(f"{out}/redacted").collect())
+    assert len(texts) == 3 and not any("@" in t for t in texts)
+    run = spark.read.json(f"{out}/run").first()
+    assert (run.total_redacted, run.audit_entries) == (3, 3)
+
+
 def test_stream_scrub_matches_batch(spark):
     from redactflow.streaming.stream import run_to_table, stream_scrub
     src = "/root/testdata/sf0.001"
