@@ -12,18 +12,18 @@ first.
     cover by position needs one in eight.  Neighbouring windows with one anchor
     are a run, which its anchor and its bytes name.
 2.  Counting.  Anchors are counted over the corpus.  A bit sketch of fixed size
-    tells the second scan which anchors recur, and which of them in different
-    runs; it may say so of too many, never of too few.
+    tells the second scan which anchors recur; it may name too many, never too few.
 3.  Within a task a run that repeats an earlier one is settled at once; only the
     first of each goes to the shuffle, so a passage of a third of all documents
     sends one row per batch.
 4.  Suffix buckets.  Runs are dealt to buckets by anchor, and one bucket is
-    sorted at a time: equal runs follow each other, and where an anchor has
-    different runs their windows are sorted by name.  All but the first are
-    repeats.  An anchor with very many different runs (what surrounds a very
-    common line) leaves the buckets: its windows are grouped one by one by a
-    distributed aggregation instead.
-5.  The repeated ranges of a document are joined to its text and cut out.
+    sorted at a time: equal runs follow each other, and all but the first are
+    repeats.  Where an anchor has different runs, the first of each fetches its
+    bytes, and the windows are sorted by name in buckets of their own.  An
+    anchor with very many runs (what surrounds a very common line) leaves the
+    buckets: its runs and windows are grouped one by one by distributed aggregations.
+5.  The repeated ranges of a document are joined to its text and cut out.  The
+    texts are shuffled once, for this join and for fetching the bytes.
 
 Positions count as earlier by doc_id, then by offset.  Null and empty texts
 have no bytes.  Equal rows with one doc_id are one document; rows with one
@@ -115,33 +115,29 @@ def later(*keys: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarra
     return first, order[other]
 
 
-def recurring(docs: DataFrame, length: int, anchor: int, bits: int) -> tuple[bytes, bytes]:
-    """Two bit sketches of ``2**bits`` bits: anchors that recur, and those that recur in different runs."""
+def recurring(docs: DataFrame, length: int, anchor: int, bits: int) -> bytes:
+    """A sketch of ``2**bits`` bits: anchors that recur.  Half a hash counts an
+    anchor: two that share it are marked without need, which costs rows and no result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, a, s, *_ in scanned(b, length, anchor):
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array((s >> np.uint64(32)).astype(np.uint32).view(np.int32))], ["a", "s"])
+            for _, a, *_ in scanned(b, length, anchor):
+                yield pa.RecordBatch.from_arrays([pa.array((a >> np.uint64(32)).astype(np.uint32).view(np.int32))], ["a"])
 
-    seen = docs.mapInArrow(run, "a long, s int").groupBy("a").agg(F.count("*").alias("n"), F.min("s").alias("x"), F.max("s").alias("y")).where("n > 1")
+    seen = docs.mapInArrow(run, "a int").groupBy("a").agg(F.count("*").alias("n")).where("n > 1")
     chunk = min(bits, 19)
-    place = F.shiftrightunsigned("a", 64 - bits)
-    marks = seen.select(F.shiftright(place, chunk).alias("chunk"), place.bitwiseAND((1 << chunk) - 1).alias("bit"), (F.col("x") != F.col("y")).alias("differs"))
+    place = F.shiftrightunsigned("a", 32 - bits)
+    marks = seen.select(F.shiftright(place, chunk).alias("chunk"), place.bitwiseAND((1 << chunk) - 1).alias("bit"))
 
     def build(b: pd.DataFrame) -> pd.DataFrame:
-        maps = []
-        for chosen in (b["bit"], b["bit"][b["differs"]]):
-            bit = np.zeros(1 << chunk, np.uint8)
-            bit[chosen.to_numpy()] = 1
-            maps.append(np.packbits(bit, bitorder="little").tobytes())
-        return pd.DataFrame({"chunk": b["chunk"].iloc[:1], "again": [maps[0]], "differs": [maps[1]]})
-
-    again, differs = bytearray(1 << (bits - 3)), bytearray(1 << (bits - 3))
-    width = 1 << (chunk - 3)
-    for r in marks.groupBy("chunk").applyInPandas(build, "chunk long, again binary, differs binary").toLocalIterator():
+        bit = np.zeros(1 << chunk, np.uint8)
+        bit[b["bit"].to_numpy()] = 1
+        return pd.DataFrame({"chunk": b["chunk"].iloc[:1], "again": [np.packbits(bit, bitorder="little").tobytes()]})
+
+    again, width = bytearray(1 << (bits - 3)), 1 << (chunk - 3)
+    for r in marks.groupBy("chunk").applyInPandas(build, "chunk int, again binary").toLocalIterator():
         again[r["chunk"] * width:(r["chunk"] + 1) * width] = r["again"]
-        differs[r["chunk"] * width:(r["chunk"] + 1) * width] = r["differs"]
-    return bytes(again), bytes(differs)
+    return bytes(again)
 
 
 def _has(sketch: np.ndarray, a: np.ndarray, bits: int) -> np.ndarray:
@@ -150,35 +146,60 @@ def _has(sketch: np.ndarray, a: np.ndarray, bits: int) -> np.ndarray:
 
 
 def open_runs(docs: DataFrame, length: int, anchor: int, bits: int) -> DataFrame:
-    """doc_id, start, windows, a, s, bytes: runs whose anchor recurs.  ``a`` is null where the
-    task itself has seen an earlier equal run (then [start, start + windows + length - 1) is a repeat)."""
+    """doc_id, start, windows, a, s: runs whose anchor recurs.  ``a`` is null where the task
+    itself has seen an earlier equal run (then [start, start + windows + length - 1) is a repeat)."""
     sent = docs.sparkSession.sparkContext.broadcast(recurring(docs, length, anchor, bits))
-    kind = dict(docs.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, start long, windows long, a long, s long, bytes binary"
+    names = ["doc_id", "start", "windows", "a", "s"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        again, differs = (np.frombuffer(x, np.uint8) for x in sent.value)
+        again = np.frombuffer(sent.value, np.uint8)
         for b in batches:
             found = []
-            for part, a, s, row, start, local, windows in scanned(b, length, anchor):
+            for _, a, s, row, start, _, windows in scanned(b, length, anchor):
                 keep = _has(again, a, bits)
-                a, s, row, start, local, windows = (x[keep] for x in (a, s, row, start, local, windows))
-                text = part.tobytes()
-                mixed = _has(differs, a, bits)
-                found.append((a, s, row, start, windows, [text[x:x + n - 1 + length] if m else None for x, n, m in zip(local.tolist(), windows.tolist(), mixed.tolist())]))
+                found.append([x[keep] for x in (a, s, row, start, windows)])
             if not found:
                 continue
             a, s, row, start, windows = (np.concatenate([f[k] for f in found]) for k in range(5))
-            texts = pa.array([x for f in found for x in f[5]], pa.binary())
             order = np.unique(b.column(0).to_numpy(zero_copy_only=False), return_inverse=True)[1]
             first, repeats = later(a, s, doc=order[row], at=start)
-            names = ["doc_id", "start", "windows", "a", "s", "bytes"]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row[first])), pa.array(start[first]), pa.array(windows[first]), pa.array(a[first].view(np.int64)), pa.array(s[first].view(np.int64)), texts.take(pa.array(first))], names)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row[first])), *(pa.array(x[first].view(np.int64)) for x in (start, windows, a, s))], names)
             doc, lo, hi = merged(row[repeats], start[repeats], start[repeats] + windows[repeats] + length - 1)
             none = pa.nulls(len(doc), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc)), pa.array(lo), pa.array(hi - lo - length + 1), none, none, pa.nulls(len(doc), pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc)), pa.array(lo), pa.array(hi - lo - length + 1), none, none], names)
+
+    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, start long, windows long, a long, s long")
 
-    return docs.mapInArrow(run, schema)
+
+def sorted_runs(rows: DataFrame, bucket_rows: int) -> DataFrame:
+    """doc_id, start, windows, a: sorts buckets of runs.  ``a`` is null for a repeat, and
+    set for the first of each run where its anchor has different ones; single runs go."""
+    buckets = -(-rows.count() // bucket_rows) or 1
+
+    def resolve(b: pd.DataFrame) -> pd.DataFrame:
+        a, s, start, windows = (b[c].to_numpy(np.int64) for c in ("a", "s", "start", "windows"))
+        doc = np.unique(b["doc_id"].to_numpy(), return_inverse=True)[1]
+        first, repeats = later(a, s, doc=doc, at=start)
+        # firsts are in order of (anchor, run)
+        own, several = a[first], np.zeros(len(first), bool)
+        several[1:] |= own[1:] == own[:-1]
+        several[:-1] |= own[1:] == own[:-1]
+        first = first[several]
+        both = np.concatenate([repeats, first])
+        marks = pd.array(np.concatenate([np.zeros(len(repeats), np.int64), a[first]]), "Int64")
+        marks[:len(repeats)] = pd.NA
+        return pd.DataFrame({"doc_id": b["doc_id"].to_numpy()[both], "start": start[both], "windows": windows[both], "a": marks})
+
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("a"), F.lit(buckets)))
+    return dealt.groupBy("bucket").applyInPandas(resolve, f"doc_id {dict(rows.dtypes)['doc_id']}, start long, windows long, a long")
+
+
+def crowded_runs(rows: DataFrame) -> DataFrame:
+    """The same for anchors with very many rows, by aggregation and join: no group meets in one task."""
+    first = stage(rows.groupBy("a", "s").agg(F.min(F.struct("doc_id", "start")).alias("first")), "first")
+    placed = rows.join(first, ["a", "s"])
+    place = F.struct("doc_id", "start")
+    return placed.select("doc_id", "start", "windows", F.when(place == F.col("first"), F.col("a")).alias("a"))
 
 
 def window_names(texts: list[bytes], windows: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -191,73 +212,83 @@ def window_names(texts: list[bytes], windows: np.ndarray, length: int) -> tuple[
     return which, place, SpanHash(raw)(at, at + length)
 
 
-def bucket_repeats(kind: str, length: int):
-    """Sorts one bucket: repeated ranges (doc_id, start, end) of its runs."""
+def with_bytes(open_: DataFrame, docs: DataFrame, length: int) -> DataFrame:
+    """doc_id, start, windows, a, crowded and the run's bytes: one row per document is joined to its text."""
+    runs_of = open_.groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows", "a", "crowded")).alias("runs"))
+    joined = docs.join(runs_of, "doc_id").select("doc_id", "text", "runs")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw, at = text_bytes(b.column(1))
+            for i in range(0, b.num_rows, 200):
+                lists = b.column(2).slice(i, 200)
+                flat = lists.flatten()
+                start, windows, a, crowded = flat.flatten()
+                row = np.repeat(np.arange(i, i + len(lists)), lists.value_lengths().to_numpy())
+                lo = at[row] + start.to_numpy()
+                texts = [raw[x:y].tobytes() for x, y in zip(lo.tolist(), (lo + windows.to_numpy() + length - 1).tolist())]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), start, windows, a, crowded, pa.array(texts, pa.binary())], ["doc_id", "start", "windows", "a", "crowded", "bytes"])
+
+    return joined.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, start long, windows long, a long, crowded boolean, bytes binary")
+
+
+def sorted_windows(rows: DataFrame, length: int, buckets: int) -> DataFrame:
+    """Repeated ranges (doc_id, start, end): sorts the windows of one bucket of runs at a time."""
 
     def resolve(b: pd.DataFrame) -> pd.DataFrame:
-        a, s, start, windows = (b[c].to_numpy(np.int64) for c in ("a", "s", "start", "windows"))
+        b = b.sort_values("a", kind="stable")
+        a, start, windows = (b[c].to_numpy(np.int64) for c in ("a", "start", "windows"))
         ids, doc = np.unique(b["doc_id"].to_numpy(), return_inverse=True)
-        first, repeats = later(a, s, doc=doc, at=start)
-        out = [(doc[repeats], start[repeats], start[repeats] + windows[repeats] + length - 1)]
-        # firsts are in order of (anchor, run): an anchor with different runs has its windows sorted too
-        own = a[first]
-        several = np.zeros(len(first), bool)
-        several[1:] |= own[1:] == own[:-1]
-        several[:-1] |= own[1:] == own[:-1]
-        texts = b["bytes"].to_numpy()
-        first = first[several]
-        first = first[[texts[i] is not None for i in first]]
-        step = 20_000  # runs at a time, whole anchors: bounds the windows in memory
-        cuts = [0]
-        while cuts[-1] < len(first):
-            stop = min(len(first), cuts[-1] + step)
-            while stop < len(first) and a[first[stop]] == a[first[stop - 1]]:
+        texts, out, at = b["bytes"].to_numpy(), [], 0
+        while at < len(b):  # runs of whole anchors at a time: bounds the windows in memory
+            stop = min(len(b), at + 20_000)
+            while stop < len(b) and a[stop] == a[stop - 1]:
                 stop += 1
-            cuts.append(stop)
-        for i, j in zip(cuts, cuts[1:]):
-            part = first[i:j]
-            which, place, name = window_names([bytes(texts[k]) for k in part], windows[part], length)
-            run = part[which]
+            which, place, name = window_names([bytes(x) for x in texts[at:stop]], windows[at:stop], length)
+            run = which + at
             _, repeats = later(a[run], name, doc=doc[run], at=start[run] + place)
             out.append((doc[run][repeats], (start[run] + place)[repeats], (start[run] + place)[repeats] + length))
+            at = stop
         doc, lo, hi = merged(*(np.concatenate([x[k] for x in out]) for k in range(3)))
         return pd.DataFrame({"doc_id": ids[doc], "start": lo, "end": hi})
 
-    return resolve
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("a"), F.lit(buckets)))
+    return dealt.groupBy("bucket").applyInPandas(resolve, f"doc_id {dict(rows.dtypes)['doc_id']}, start long, end long")
 
 
-def crowded_repeats(rows: DataFrame, length: int) -> DataFrame:
-    """Repeated windows of runs whose anchors have very many rows, by a distributed aggregation per window."""
-    kind = dict(rows.dtypes)["doc_id"]
+def crowded_windows(rows: DataFrame, length: int) -> DataFrame:
+    """The same for anchors with very many runs, by a distributed aggregation per window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 5000):
-                part = b.slice(i, 5000)
-                windows, start = part.column(2).to_numpy(), part.column(1).to_numpy()
-                texts = part.column(4).to_pylist()
-                which, place, name = window_names(texts, windows, length)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(which)), pa.array(start[which] + place), part.column(3).take(pa.array(which)), pa.array(name.view(np.int64))], ["doc_id", "start", "a", "name"])
+                doc_id, start, windows, a, texts = b.slice(i, 5000).columns
+                which, place, name = window_names(texts.to_pylist(), windows.to_numpy(), length)
+                yield pa.RecordBatch.from_arrays([doc_id.take(pa.array(which)), pa.array(start.to_numpy()[which] + place), a.take(pa.array(which)), pa.array(name.view(np.int64))], ["doc_id", "start", "a", "name"])
 
-    seen = rows.select("doc_id", "start", "windows", "a", "bytes").where(F.col("bytes").isNotNull()).mapInArrow(run, f"doc_id {kind}, start long, a long, name long")
+    kind = dict(rows.dtypes)["doc_id"]
+    seen = rows.select("doc_id", "start", "windows", "a", "bytes").mapInArrow(run, f"doc_id {kind}, start long, a long, name long")
     first = stage(seen.groupBy("a", "name").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").select("a", "name", "first"), "first")
     again = seen.join(first, ["a", "name"]).where(F.struct("doc_id", "start") != F.col("first"))
     return again.select("doc_id", "start", (F.col("start") + length).alias("end"))
 
 
-def repeated_ranges(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, bits: int = 27, bucket_rows: int = 50_000, crowded: int = 4_000) -> DataFrame:
+def repeated_ranges(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, bits: int = 27, bucket_rows: int = 10_000, crowded: int = 4_000) -> DataFrame:
     """doc_id, ranges (start, end; they may overlap) of the bytes to remove, for documents that have any."""
     docs = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
-    kind = dict(docs.dtypes)["doc_id"]
     rows = stage(open_runs(docs, length, anchor, bits), "runs")
-    settled = rows.where(F.col("a").isNull()).select("doc_id", "start", (F.col("start") + F.col("windows") + (length - 1)).alias("end"))
+    span = F.col("start") + F.col("windows") + (length - 1)
+    settled = rows.where(F.col("a").isNull()).select("doc_id", "start", span.alias("end"))
     rows = rows.where(F.col("a").isNotNull())
     many = stage(rows.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > crowded).select("a"), "crowded")
-    buckets = -(-rows.count() // bucket_rows) or 1
-    few = rows.join(many, "a", "left_anti").withColumn("bucket", F.pmod(F.xxhash64("a"), F.lit(buckets)))
-    sorted_ = few.groupBy("bucket").applyInPandas(bucket_repeats(kind, length), f"doc_id {kind}, start long, end long")
-    busy = rows.join(many, "a", "left_semi")
-    found = settled.union(sorted_).union(crowded_repeats(stage(busy, "busy"), length))
+    few = sorted_runs(rows.join(many, "a", "left_anti"), bucket_rows).withColumn("crowded", F.lit(False))
+    busy = crowded_runs(stage(rows.join(many, "a", "left_semi"), "busy")).withColumn("crowded", F.lit(True))
+    judged = stage(few.union(busy), "judged")
+    repeats = judged.where(F.col("a").isNull()).select("doc_id", "start", span.alias("end"))
+    fetched = stage(with_bytes(judged.where(F.col("a").isNotNull()), docs, length), "fetched")
+    buckets = -(-fetched.count() // bucket_rows) or 1
+    windows = sorted_windows(fetched.where("not crowded"), length, buckets).union(crowded_windows(fetched.where("crowded"), length))
+    found = settled.union(repeats).union(windows)
     return found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
 
 
