@@ -657,6 +657,8 @@ DOMAIN_PATTERNS = (
     (3, "general", "visa_like", "^4[0-9]{15}$", 0.01),
     (4, "finance", "iban", "[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}", 0.10),
     (5, "medical", "mrn", "MRN[- ]?[0-9]{6,10}", 0.10),
+    (6, "general", "own_mail", "@example", 0.30),
+    (7, "general", "own_mail", "example[.]com$", 0.02),
 )
 _PATTERNS_SQL = "SELECT * FROM (VALUES " + ", ".join(
     f"({i}, {O.q(d)}, {O.q(n)}, {O.q(r)}, CAST({b!r} AS DOUBLE))" for i, d, n, r, b in DOMAIN_PATTERNS
@@ -684,7 +686,7 @@ def q_detect_domain_patterns(spark, sf_dir):
 
 
 @register("apply_domain_boost", _with(TB.FORMS_SQL, f"""SELECT e.doc_id, e.idx, e.entity_type, e.text,
-  round(least(e.confidence + coalesce((SELECT sum(p.confidence_boost) FROM ({_PATTERNS_SQL}) p
+  round(least(e.confidence + coalesce((SELECT sum(p.confidence_boost) FROM ({_LOOKUP_SQL}) p
     WHERE p.domain = 'general' AND regexp_matches(e.text, p.pattern_regex)), 0.0), 1.0), 4) AS confidence
 FROM ents e"""))
 def q_apply_domain_boost(spark, sf_dir):
@@ -782,36 +784,34 @@ def _unique(name: str) -> str:
 
 @register("stream_scrub", f"""SELECT doc_id, redacted_text FROM ({_redacted_sql(O.DOCS_SRC, 'full')})""")
 def q_stream_scrub(spark, sf_dir):
-    from redactflow.streaming.stream import run_to_table, stream_scrub
-    name = _unique("stream_scrub")
-    run_to_table(stream_scrub(_stream_of(spark, sf_dir, "documents").select("doc_id", "text")), name)
-    return spark.table(name).select("doc_id", "redacted_text")
+    from redactflow.streaming.stream import run_to_parquet, stream_scrub
+    path = _fresh_dir(spark, "stream_scrub")
+    run_to_parquet(stream_scrub(_stream_of(spark, sf_dir, "documents").select("doc_id", "text")), f"{path}/out", f"{path}/checkpoint")
+    return spark.read.parquet(f"{path}/out").select("doc_id", "redacted_text")
 
 
-_EVENT_TEXT_SQL = "SELECT event_id AS doc_id, 'user ' || lpad(CAST(user_id AS VARCHAR), 8, '0') || ' ' || event_type AS text FROM events"
+_EVENT_TEXT_SQL = f"SELECT event_id AS doc_id, 'user ' || {TB._pad_sql('user_id', 8)} || ' ' || event_type AS text FROM events"
 
 
 @register("stream_entity_counts", _with(_EVENT_TEXT_SQL, """SELECT strftime(time_bucket(INTERVAL 1 HOUR, v.ts), '%Y-%m-%d %H:%M:%S') AS window_start,
   e.entity_type, count(*) AS n FROM ents e JOIN events v ON v.event_id = e.doc_id GROUP BY 1, 2"""))
 def q_stream_entity_counts(spark, sf_dir):
-    from redactflow.streaming.stream import run_to_table, stream_entity_counts
+    from redactflow.streaming.stream import run_updates, stream_entity_counts
     ev = _stream_of(spark, sf_dir, "events")
-    text = F.concat(F.lit("user "), F.lpad(F.col("user_id").cast("string"), 8, "0"), F.lit(" "), F.col("event_type"))
-    name = _unique("stream_entity_counts")
-    run_to_table(stream_entity_counts(ev, "ts", text), name, mode="complete")
-    return spark.table(name).select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
+    text = F.concat(F.lit("user "), TB._pad(F.col("user_id"), 8), F.lit(" "), F.col("event_type"))
+    path = _fresh_dir(spark, "stream_entity_counts")
+    return run_updates(stream_entity_counts(ev, "ts", text), ["w", "entity_type"], f"{path}/out", f"{path}/checkpoint").select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
                                     "entity_type", F.col("n").cast("long").alias("n"))
 
 
 @register("stream_feedback_stats", f"SELECT feedback_type, count(*) AS n FROM ({TB.EVENTS_FEEDBACK_SQL}) GROUP BY feedback_type")
 def q_stream_feedback_stats(spark, sf_dir):
-    from redactflow.streaming.stream import run_to_table, stream_feedback_stats
+    from redactflow.streaming.stream import run_updates, stream_feedback_stats
     ev = _stream_of(spark, sf_dir, "events")
     c = TB._feedback_cols(F.col("user_id"), F.col("event_type"))
     fb = ev.select(c["feedback_type"].alias("feedback_type"))
-    name = _unique("stream_feedback_stats")
-    run_to_table(stream_feedback_stats(fb), name, mode="complete")
-    return spark.table(name).select("feedback_type", F.col("n").cast("long").alias("n"))
+    path = _fresh_dir(spark, "stream_feedback_stats")
+    return run_updates(stream_feedback_stats(fb), ["feedback_type"], f"{path}/out", f"{path}/checkpoint").select("feedback_type", F.col("n").cast("long").alias("n"))
 
 
 # ---- the exploded plan shape (same entity table, one shuffle of span rows) ---------

@@ -37,9 +37,18 @@ def gap_match_pattern(java_pattern: str) -> str:
     return flags + r"\G((?s:.*?))(" + body + ")"
 
 
-# A private-use character marks match edges in the single-scan form; texts
-# that already hold it take the two-scan form instead.
-MARK = "\ue000"
+# A private-use character marks match edges in the single-scan form: the first
+# of these that the text doesn't hold.  A text that holds them all takes the
+# two-scan form, whose patterns have their references shifted with the groups.
+MARKS = tuple(chr(0xE000 + i) for i in range(8))
+MARK = MARKS[0]
+
+
+def _shift_references(pattern: Column) -> Column:
+    """Back-references of a pattern whose groups shift by two."""
+    for d in range(7, 0, -1):
+        pattern = F.regexp_replace(pattern, rf"(?<!\\)((?:\\\\)*)\\{d}(?!\d)", rf"$1\\{d + 2}")
+    return pattern
 
 
 def _positions(parts: Column, group: int) -> Column:
@@ -60,9 +69,12 @@ def _positions(parts: Column, group: int) -> Column:
 
 def _spans_two_scans(text: Column, java_pattern: str | Column, group: int) -> Column:
     if isinstance(java_pattern, str):
-        gm = F.lit(gap_match_pattern(java_pattern))
-    else:  # pattern from a column (data-driven rules); no leading flag group expected
-        gm = F.concat(F.lit(r"\G((?s:.*?))("), java_pattern, F.lit(")"))
+        flags, body = _split_flags(java_pattern)
+        flags, body = F.lit(flags), F.lit(body)
+    else:
+        flags = F.regexp_extract(java_pattern, r"^(\(\?[A-Za-z]+\))?", 0)
+        body = F.substr(java_pattern, F.length(flags) + 1)
+    gm = F.concat(flags, F.lit(r"\G((?s:.*?))("), _shift_references(body), F.lit(")"))
     gaps = F.regexp_extract_all(text, gm, F.lit(1))
     matches = F.regexp_extract_all(text, gm, F.lit(2))
     if group:
@@ -73,15 +85,18 @@ def _spans_two_scans(text: Column, java_pattern: str | Column, group: int) -> Co
     return _positions(parts, group)
 
 
-def _spans_one_scan(text: Column, java_pattern: str, group: int) -> Column:
+def _spans_one_scan(text: Column, java_pattern: str | Column, group: int, mark: str | Column = MARK) -> Column:
     """One regex pass: ``regexp_replace`` writes MARK match MARK [group MARK]
     around every match, and a split on the single MARK character (Java's
     fast path, no pattern compile) yields gap, match[, group] in turn."""
     from redactflow.functions.arrays import let
 
-    repl = MARK + "$0" + MARK + (f"${group}" + MARK if group else "")
+    if isinstance(mark, str):
+        repl = mark + "$0" + mark + (f"${group}" + mark if group else "")
+    else:
+        repl = F.concat(mark, F.lit("$0"), mark, *([F.lit(f"${group}"), mark] if group else []))
     stride = 3 if group else 2
-    pieces = F.split(F.regexp_replace(text, java_pattern, repl), MARK, -1)
+    pieces = F.split(F.regexp_replace(text, java_pattern, repl), mark, -1)
 
     def body(p: Column) -> Column:
         k = (F.size(p) - 1) / stride
@@ -100,17 +115,18 @@ def _spans_one_scan(text: Column, java_pattern: str, group: int) -> Column:
 
 
 def find_spans(text: Column, java_pattern: str | Column, group: int = 0) -> Column:
-    """All non-overlapping matches of ``java_pattern`` in ``text``.
+    """All non-overlapping matches of ``java_pattern`` (a string or a column) in ``text``.
 
     Returns ``array<struct<s:int, e:int, text:string>>`` with 0-based,
-    half-open code-point offsets, in match order.  ``group=1`` reports
+    half-open code-point offsets, in match order; the same spans for a string
+    and a column, with the pattern's own groups and back-references as they are.  ``group=1`` reports
     capture group 1, which must end where the match ends (true for every
     contextual rule), so its start is ``match end - length(group 1)``.
     """
-    if not isinstance(java_pattern, str):
-        return _spans_two_scans(text, java_pattern, group)
-    return F.when(text.contains(MARK), _spans_two_scans(text, java_pattern, group)).otherwise(
-        _spans_one_scan(text, java_pattern, group))
+    free = F.coalesce(*[F.when(~text.contains(m), F.lit(m)) for m in MARKS[1:]])
+    marked = F.when(free.isNull(), _spans_two_scans(text, java_pattern, group)).otherwise(
+        _spans_one_scan(text, java_pattern, group, free))
+    return F.when(text.contains(MARK), marked).otherwise(_spans_one_scan(text, java_pattern, group))
 
 
 def leading_span(text: Column, java_pattern: str) -> Column:

@@ -86,12 +86,33 @@ def context_windows(text: Column, size: int = WINDOW_SIZE, overlap: int = WINDOW
                lambda b: F.transform(b["ch"], lambda c, i: window(b["ch"], b["n"], c, i)))
 
 
+#: Code points per chunk of a text that is sliced at many places.
+CHUNK = 512
+
+
+def slice_of(pieces: Column, start: Column, end: Column, step: int = CHUNK) -> Column:
+    """Code points [start, end) of the text that ``chunks(text, step)`` cut.
+
+    ``substring`` on the text itself walks from its beginning; here only the
+    chunks in reach are touched, so many slices of a long text stay linear.
+    """
+    first = F.floor(start / step).cast("int")
+    last = F.floor((end - 1) / step).cast("int")
+    reach = F.array_join(F.slice(pieces, first + 1, F.greatest(last - first + 1, F.lit(0))), "")
+    return F.when(end > start, F.substring(reach, start - first * step + 1, end - start)).otherwise(F.lit(""))
+
+
 def context_slice(text: Column, start: Column, end: Column, radius: int = CONTEXT_RADIUS) -> Column:
     """Lower-cased text from ``start - radius`` (clamped at 0) to ``end + radius``."""
     lo = F.greatest(start - radius, F.lit(0))
     return F.lower(F.substring(text, lo + 1, end + radius - lo))
 
 
+def context_slice_of(pieces: Column, start: Column, end: Column, radius: int = CONTEXT_RADIUS) -> Column:
+    """``context_slice`` of a chunked text."""
+    return F.lower(slice_of(pieces, F.greatest(start - radius, F.lit(0)), end + radius))
+
+
 def html_escape(text: Column) -> Column:
     """Escape ``& < > " '`` the way ``html.escape`` does (quote=True)."""
     out = F.replace(text, F.lit("&"), F.lit("&amp;"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from redactflow.functions.text import CONTEXT_RADIUS, context_slice
+from redactflow.functions.text import CHUNK, CONTEXT_RADIUS, chunks, context_slice, context_slice_of
 
 # FIXED VALUES: anchor categories and their words, boost step and cap.
 ANCHOR_WORDS = {
@@ -44,9 +44,16 @@ def boosted_confidence(confidence: Column, text: Column, start: Column, end: Col
 
 
 def context_boost(entities: Column, text: Column, radius: int = CONTEXT_RADIUS) -> Column:
-    """Boost every entity of the row's array; entities are never added or dropped."""
-    return F.transform(entities, lambda x: x.withField(
-        "confidence", boosted_confidence(x["confidence"], text, x["s"], x["e"], radius)))
+    """Boost every entity of the row's array; entities are never added or dropped.
+    The text is cut into chunks once, so each slice costs its own length only."""
+    from redactflow.functions.arrays import let
+
+    def one(pieces: Column, x: Column) -> Column:
+        return x.withField("confidence", let(context_slice_of(pieces, x["s"], x["e"], radius), lambda sl: F.least(
+            x["confidence"] + anchor_boost(sl), F.lit(BOOST_CAP))))
+
+    return F.when(F.size(entities) == 0, entities).otherwise(
+        let(chunks(text, CHUNK), lambda pieces: F.transform(entities, lambda x: one(pieces, x))))
 
 
 def domain_pattern_lookup(patterns: DataFrame, domain: str) -> DataFrame:
@@ -60,20 +67,24 @@ def domain_pattern_lookup(patterns: DataFrame, domain: str) -> DataFrame:
                     F.col("p.boost").alias("confidence_boost")))
 
 
-def apply_domain_boost(entities: DataFrame, patterns: DataFrame, max_domains: int = 10_000) -> DataFrame:
+def apply_domain_boost(entities: DataFrame, patterns: DataFrame, max_bytes: int = 16 << 20) -> DataFrame:
     """Add the stored boost of every pattern of the entity's domain whose regex
     matches the entity text (capped at 1.0).
 
-    ``entities`` needs ``domain``, ``text`` and ``confidence``.  The pattern
+    ``entities`` needs ``domain``, ``text`` and ``confidence``.  Of rows with
+    one domain and pattern name the one of the highest id counts.  The pattern
     table is packed into one array per domain and joined on ``domain``: it is
-    broadcast only when its domain count is within ``max_domains``, so the
-    entity side never moves.
+    broadcast only when its rows are within ``max_bytes``, so the entity side
+    then never moves.
     """
     from redactflow.plans.joins import sized_broadcast
 
-    packed = (patterns.groupBy("domain")
+    latest = (patterns.groupBy("domain", "pattern_name")
+              .agg(F.max_by(F.struct("pattern_regex", "confidence_boost"), F.col("id")).alias("p"))
+              .select("domain", "p.pattern_regex", "p.confidence_boost"))
+    packed = (latest.groupBy("domain")
               .agg(F.collect_list(F.struct("pattern_regex", "confidence_boost")).alias("_pats")))
-    joined = entities.join(sized_broadcast(packed, max_domains), "domain", "left")
+    joined = entities.join(sized_broadcast(packed, max_bytes), "domain", "left")
     boost = F.aggregate(F.coalesce(F.col("_pats"), F.array().cast("array<struct<pattern_regex:string,confidence_boost:double>>")),
                         F.lit(0.0),
                         lambda acc, p: acc + F.when(F.regexp_like(F.col("text"), p["pattern_regex"]),
@@ -83,14 +94,13 @@ def apply_domain_boost(entities: DataFrame, patterns: DataFrame, max_domains: in
 
 
 def detect_domain_patterns(docs: DataFrame, patterns: DataFrame, domain: str, text_col: str = "text",
-                           id_col: str = "doc_id", max_patterns: int = 1_000) -> DataFrame:
+                           id_col: str = "doc_id", max_patterns: int = 200, max_bytes: int = 16 << 20) -> DataFrame:
     """Spans of the domain's stored patterns in each document (whole text):
     (id, pattern_name, start_char, end_char, text).
 
-    The pattern table is a small configuration table: once its size is checked
-    against ``max_patterns`` it is read to the driver and each regex becomes a
-    literal of the plan (compiled once per task, no join).  A larger table is
-    joined on the domain instead, with the pattern taken from the column.
+    Up to ``max_patterns`` patterns become literals of the plan (compiled
+    once per task, no join); more are joined on the domain, with the pattern
+    taken from the column.  Both forms search alike and give the same spans.
     """
     from redactflow.functions.spans import find_spans
     from redactflow.plans.joins import sized_broadcast
@@ -106,7 +116,7 @@ def detect_domain_patterns(docs: DataFrame, patterns: DataFrame, domain: str, te
         rows = docs.select(id_col, F.inline(per))
     else:
         joined = docs.withColumn("domain", F.lit(domain)).join(
-            sized_broadcast(pats.withColumn("domain", F.lit(domain)), max_patterns * 100), "domain")
+            sized_broadcast(pats.withColumn("domain", F.lit(domain)), max_bytes), "domain")
         rows = joined.select(id_col, "pattern_name", find_spans(F.col(text_col), F.col("pattern_regex")).alias("sp"))
     out = rows.select(id_col, "pattern_name", F.posexplode_outer("sp").alias("p", "x")).where(F.col("p").isNotNull())
     return out.select(id_col, "pattern_name", F.col("x.s").cast("long").alias("start_char"),

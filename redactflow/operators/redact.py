@@ -9,11 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from redactflow.functions.arrays import let, memoized, sort_structs
+from redactflow.functions.arrays import first_of_groups, let, memoized, sort_structs
 from redactflow.functions.masks import mask_full, mask_partial, mask_placeholder, pseudonym_prefix, replacement
-from redactflow.functions.text import html_escape
+from redactflow.functions.text import CHUNK, chunks, html_escape, slice_of
 
 REDACTION_ORDER = [("s", True), ("e", False), ("window_id", False)]
 DOCUMENT_ORDER = [("s", False), ("e", False), ("window_id", False)]
@@ -28,9 +27,6 @@ def document_order(entities: Column) -> Column:
     return sort_structs(entities, DOCUMENT_ORDER)
 
 
-_KEY_TYPE = T.StructType([T.StructField("text", T.StringType()), T.StructField("entity_type", T.StringType())])
-
-
 def pseudonym_table(entities_redaction_order: Column) -> Column:
     """Per document, ``(text, type) -> USER_<TYP>_<n>``.
 
@@ -39,19 +35,28 @@ def pseudonym_table(entities_redaction_order: Column) -> Column:
     types sharing their first three letters share one counter.
     Returns ``struct<keys: array<struct<text,entity_type>>, names: array<string>>``.
     """
-    init = F.struct(F.array().cast(T.ArrayType(_KEY_TYPE)).alias("keys"),
-                    F.array().cast(T.ArrayType(T.StringType())).alias("names"))
+    def keys_of(arr: Column) -> Column:
+        numbered = F.transform(arr, lambda x, i: F.struct(
+            x["text"].alias("text"), x["entity_type"].alias("entity_type"), pseudonym_prefix(x["entity_type"]).alias("prefix"), i.alias("i")))
+        firsts = first_of_groups(sort_structs(numbered, [("text", False), ("entity_type", False), ("i", False)]), ["text", "entity_type"])
+        return sort_structs(firsts, [("prefix", False), ("i", False)])
 
-    def step(acc, x):
-        key = F.struct(x["text"].alias("text"), x["entity_type"].alias("entity_type"))
-        prefix = pseudonym_prefix(x["entity_type"])
-        n = F.size(F.filter(acc["names"], lambda v: v.startswith(prefix))) + 1
-        name = F.concat(prefix, F.lit("_"), n.cast("string"))
-        return F.when(F.array_contains(acc["keys"], key), acc).otherwise(F.struct(
-            F.concat(acc["keys"], F.array(key)).alias("keys"),
-            F.concat(acc["names"], F.array(name)).alias("names")))
+    def named(keys: Column) -> Column:
+        # keys of a prefix lie together: a key's number is its distance from the prefix's first
+        prefixes = F.transform(keys, lambda k: k["prefix"])
+        starts = let(prefixes, lambda p: F.transform(F.array_distinct(p), lambda x: F.struct(x.alias("prefix"), F.array_position(p, x).cast("int").alias("start"))))
+
+        def name(starts: Column) -> Column:
+            return F.transform(keys, lambda k, i: F.struct(
+                k["text"].alias("text"), k["entity_type"].alias("entity_type"), k["i"].alias("i"),
+                F.concat(k["prefix"], F.lit("_"), (i + 2 - F.element_at(F.filter(starts, lambda s: s["prefix"] == k["prefix"]), 1)["start"]).cast("string")).alias("name")))
 
-    return F.aggregate(entities_redaction_order, init, step)
+        in_order = sort_structs(let(starts, name), [("i", False)])
+        return let(in_order, lambda o: F.struct(
+            F.transform(o, lambda k: F.struct(k["text"].alias("text"), k["entity_type"].alias("entity_type"))).alias("keys"),
+            F.transform(o, lambda k: k["name"]).alias("names")))
+
+    return let(let(entities_redaction_order, keys_of), named)
 
 
 @memoized
@@ -75,26 +80,61 @@ def with_replacements(entities: Column, mode: str, pseudonymize: bool = False) -
         "replacement", replacement(mode, x["text"], x["entity_type"])))
 
 
+#: Settled text that the overlapping splice carries along before it puts it aside.
+CARRY = 4096
+
+
 def splice_fold(text: Column, entities_redaction_order: Column) -> Column:
     """Replace spans one by one in redaction order, slicing the current text by
-    the original offsets (exact even when spans overlap)."""
-    return F.aggregate(entities_redaction_order, text, lambda acc, x: F.concat(
-        F.substring(acc, 1, x["s"]), x["replacement"], F.substring(acc, x["e"] + 1, 2147483647)))
+    the original offsets (exact even when spans overlap).
 
+    Everything right of the last replaced start is settled but for its first
+    characters: a later span that reaches past that start cuts into them, never
+    deeper than the longest span.  So the fold carries only that head; text
+    behind it goes to a list, and the work is linear in text and spans.
+    """
+    def over(pieces: Column, n: Column, spans: Column, reach: Column) -> Column:
+        init = F.struct(n.alias("at"), F.lit("").alias("head"), F.array().cast("array<string>").alias("done"))
+
+        def step(acc, x):
+            gap = slice_of(pieces, x["e"], acc["at"])
+            rest = F.when(x["e"] > acc["at"], F.substring(acc["head"], x["e"] - acc["at"] + 1, 2147483647)).otherwise(acc["head"])
+
+            def placed(head: Column) -> Column:
+                long = F.length(head) > reach + CARRY
+                return F.struct(
+                    x["s"].alias("at"), F.when(long, F.substring(head, F.lit(1), reach)).otherwise(head).alias("head"),
+                    F.when(long, F.concat(acc["done"], F.array(F.substring(head, reach + 1, F.lit(2147483647))))).otherwise(acc["done"]).alias("done"))
+
+            return let(F.concat(x["replacement"], gap, rest), placed)
+
+        return F.aggregate(spans, init, step, lambda acc: F.concat(
+            slice_of(pieces, F.lit(0), acc["at"]), acc["head"], F.array_join(F.reverse(acc["done"]), "")))
+
+    bound = F.struct(chunks(text, CHUNK).alias("pieces"), F.length(text).alias("n"), entities_redaction_order.alias("spans"))
+    return let(bound, lambda b: F.when(F.size(b["spans"]) == 0, text).otherwise(
+        let(F.array_max(F.transform(b["spans"], lambda x: x["e"] - x["s"])), lambda reach: over(b["pieces"], b["n"], b["spans"], reach))))
+
+
+def _splice(text: Column, spans: Column, gap_form) -> Column:
+    """Gaps (through ``gap_form``) and replacements of non-overlapping spans joined, linear in text and spans."""
+    def body(b: Column) -> Column:
+        arr, pieces = b["spans"], b["pieces"]
 
-def splice_linear(text: Column, entities_document_order: Column) -> Column:
-    """One pass over non-overlapping spans in document order: gaps and
-    replacements joined, O(length + spans)."""
-    def body(arr: Column) -> Column:
         def piece(x, i):
             prev_end = F.when(i == 0, F.lit(0)).otherwise(F.element_at(arr, F.greatest(i, F.lit(1)))["e"])
-            return F.concat(F.substring(text, prev_end + 1, x["s"] - prev_end), x["replacement"])
+            return F.concat(gap_form(slice_of(pieces, prev_end, x["s"])), x["replacement"])
 
-        last_end = F.coalesce(F.try_element_at(arr, F.lit(-1))["e"], F.lit(0))
-        return F.concat(F.array_join(F.transform(arr, piece), ""),
-                        F.substring(text, last_end + 1, 2147483647))
+        last_end = F.element_at(arr, -1)["e"]
+        return F.concat(F.array_join(F.transform(arr, piece), ""), gap_form(slice_of(pieces, last_end, b["n"])))
+
+    return let(spans, lambda arr: F.when(F.size(arr) == 0, gap_form(text)).otherwise(
+        let(F.struct(arr.alias("spans"), chunks(text, CHUNK).alias("pieces"), F.length(text).alias("n")), body)))
 
-    return let(entities_document_order, body)
+
+def splice_linear(text: Column, entities_document_order: Column) -> Column:
+    """One pass over non-overlapping spans in document order."""
+    return _splice(text, entities_document_order, lambda gap: gap)
 
 
 def has_overlap(entities_document_order: Column) -> Column:
@@ -189,16 +229,7 @@ def annotate_spans(text: Column, entities: Column) -> Column:
         html_escape(F.substring(text, x["s"] + 1, x["e"] - x["s"])),
         F.lit("<sup>"), html_escape(x["entity_type"]), F.lit("</sup></mark>"))))
 
-    def body(arr: Column) -> Column:
-        def piece(x, i):
-            prev_end = F.when(i == 0, F.lit(0)).otherwise(F.element_at(arr, F.greatest(i, F.lit(1)))["e"])
-            return F.concat(html_escape(F.substring(text, prev_end + 1, x["s"] - prev_end)), x["replacement"])
-
-        last_end = F.coalesce(F.try_element_at(arr, F.lit(-1))["e"], F.lit(0))
-        return F.concat(F.array_join(F.transform(arr, piece), ""),
-                        html_escape(F.substring(text, last_end + 1, 2147483647)))
-
-    return let(marked, body)
+    return _splice(text, marked, html_escape)
 
 
 def term_replacements(metadata: Column, mode: str) -> Column:

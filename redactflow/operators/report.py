@@ -250,11 +250,11 @@ def knowledge_upsert(kb: DataFrame, entities: DataFrame) -> DataFrame:
                     F.col("frequency").cast("long").alias("frequency")))
 
 
-def knowledge_lookup(entities: DataFrame, kb: DataFrame, max_broadcast_rows: int | None = None) -> DataFrame:
+def knowledge_lookup(entities: DataFrame, kb: DataFrame, max_broadcast_bytes: int | None = None) -> DataFrame:
     """Exact, case-sensitive lookup of each entity text; misses give nulls.
 
-    A stored knowledge table can be broadcast after its row count is checked
-    (``max_broadcast_rows``); otherwise the join is left to AQE, which
+    A stored knowledge table can be broadcast after its size is checked
+    (``max_broadcast_bytes``); otherwise the join is left to AQE, which
     broadcasts the side only when its measured size is small enough and
     shuffles on the text otherwise.
     """
@@ -262,8 +262,8 @@ def knowledge_lookup(entities: DataFrame, kb: DataFrame, max_broadcast_rows: int
 
     k = kb.select(F.col("entity_text").alias("text"), F.col("entity_type").alias("kb_type"),
                   F.col("frequency").alias("kb_frequency"))
-    if max_broadcast_rows is not None:
-        k = sized_broadcast(k, max_broadcast_rows)
+    if max_broadcast_bytes is not None:
+        k = sized_broadcast(k, max_broadcast_bytes)
     return entities.join(k, "text", "left")
 
 

@@ -5,27 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Session setting: partitions that an input is dealt to (by its key) when read.
+SPREAD = "spark.redactflow.inputPartitions"
 
-def sized_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """``broadcast(df)`` if it has at most ``max_rows`` rows, else ``df`` as is
-    (the join then shuffles).  The count is a cheap job on a dimension table;
-    it is the proof of the size bound that a broadcast needs.
+
+def sized_broadcast(df: DataFrame, max_bytes: int = 16 << 20) -> DataFrame:
+    """``broadcast(df)`` if its rows, written as JSON, take at most ``max_bytes``,
+    else ``df`` as is (the join then shuffles).  The sum is a cheap job on a
+    dimension table; it is the proof of the size bound that a broadcast needs.
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    size = df.select(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))).alias("n")).agg(F.sum("n")).first()[0]
+    return F.broadcast(df) if (size or 0) <= max_bytes else df
 
 
-def spread(df: DataFrame, key: str | None = None, factor: int = 4) -> DataFrame:
-    """Spread rows over the cluster when the input arrives in fewer splits than
-    there are cores (small inputs, one row group).  Hash partitioning on
-    ``key`` keeps placement deterministic under task retries.  A large input
-    already has many more splits than cores and is left as it is (no shuffle).
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal ``df`` to the number of partitions that the session names in
+    ``spark.redactflow.inputPartitions``, by the hash of ``key`` (deterministic
+    under task retries).  Without the setting the input keeps its splits and
+    nothing is shuffled: that is the choice for a large input.
     """
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() >= cores:
-            return df
-    except Exception:  # no RDD access (e.g. a Spark Connect session): leave the input as read
-        return df
-    n = cores * factor
-    return df.repartition(n, key) if key else df.repartition(n)
+    n = int(df.sparkSession.conf.get(SPREAD, "0"))
+    return df.repartition(n, key) if n else df

@@ -21,6 +21,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # the local test tables are single files: deal them to all cores
+        .config("spark.redactflow.inputPartitions", str(4 * (os.cpu_count() if cores == "*" else int(cores))))
         .config("spark.driver.memory", driver_memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -46,7 +48,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not folder:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share") from None
         return folder
-    folder = folder or sc.getCheckpointDir()
+    folder = sc.getCheckpointDir() or folder  # the context's own folder within the named one
     if not folder:
         if not sc.master.startswith("local[") and sc.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")

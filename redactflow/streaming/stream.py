@@ -35,7 +35,8 @@ def stream_entity_counts(stream: DataFrame, ts_col: str, text: Column, window: s
     """Entity counts per tumbling event-time window and type."""
     docs = stream.select(F.col(ts_col).cast("timestamp").alias("ts"), F.lit(0).cast("long").alias("doc_id"),
                          text.alias("text"))
-    ents = detect(docs, cfg=cfg).select("ts", F.explode("entities").alias("x"))
+    # posexplode_outer: explode would infer a size() > 0 filter and run the detection a second time for it
+    ents = detect(docs, cfg=cfg).select("ts", F.posexplode_outer("entities").alias("p", "x")).where(F.col("p").isNotNull())
     return (ents.withWatermark("ts", watermark)
             .groupBy(F.window("ts", window).alias("w"), F.col("x.entity_type").alias("entity_type"))
             .agg(F.count(F.lit(1)).alias("n")))
@@ -47,7 +48,8 @@ def stream_feedback_stats(feedback_stream: DataFrame) -> DataFrame:
 
 
 def run_to_table(df: DataFrame, name: str, mode: str = "append") -> StreamingQuery:
-    """Run a stream over everything available now into an in-memory table.
+    """Run a stream over everything available now into an in-memory table of
+    the driver: for tests and small looks only.
 
     The checkpoint lives under the shared checkpoint folder, so a restarted
     driver resumes from the committed offsets.
@@ -65,3 +67,22 @@ def run_to_parquet(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
          .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
     return q
+
+
+def run_updates(df: DataFrame, keys: list[str], path: str, checkpoint: str) -> DataFrame:
+    """Run an aggregating stream over everything available now, in update mode,
+    and return its latest row per key.
+
+    Each micro-batch writes the rows that changed as ``path/batch=<id>``;
+    a repeated batch overwrites its own folder, so a restart doubles nothing.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    q = (df.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+         .foreachBatch(write).trigger(availableNow=True).start())
+    q.awaitTermination()
+    values = [c for c in df.columns if c not in keys]
+    written = df.sparkSession.read.schema(df.schema.add("batch", "long")).parquet(path)
+    latest = written.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v"))
+    return latest.select(*keys, "v.*")

@@ -25,11 +25,13 @@ def pages_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cap(c: Column) -> Column:
-    return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, 2, 1 << 20)))
+    return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, 2, (1 << 31) - 1)))
 
 
 def _pad(c: Column, n: int) -> Column:
-    return F.lpad(c.cast("string"), n, "0")
+    """Zeros in front up to ``n`` places; a longer number keeps all its digits."""
+    digits = c.cast("string")
+    return F.concat(F.repeat(F.lit("0"), F.greatest(F.lit(0), n - F.length(digits))), digits)
 
 
 def customer_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,11 +59,11 @@ def customer_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cap_sql(c: str) -> str:
-    return f"(upper(substring({c}, 1, 1)) || lower(substring({c}, 2, 1048576)))"
+    return f"(upper(substring({c}, 1, 1)) || lower(substring({c}, 2)))"
 
 
 def _pad_sql(c: str, n: int) -> str:
-    return f"lpad(CAST({c} AS VARCHAR), {n}, '0')"
+    return f"(repeat('0', greatest(0, {n} - length(CAST({c} AS VARCHAR)))) || CAST({c} AS VARCHAR))"
 
 
 _H = "lower(replace(c_name, '#', '-'))"
@@ -106,9 +108,9 @@ def events_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
                             c["user_id"], timestamp=F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
 
 
-EVENTS_FEEDBACK_SQL = """SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS timestamp,
-  'user ' || lpad(CAST(user_id AS VARCHAR), 8, '0') || ' ' || event_type AS text,
-  lpad(CAST(user_id AS VARCHAR), 8, '0') AS entity, 'REGISTRATION_NUMBER' AS entity_type,
+EVENTS_FEEDBACK_SQL = f"""SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS timestamp,
+  'user ' || {_pad_sql('user_id', 8)} || ' ' || event_type AS text,
+  {_pad_sql('user_id', 8)} AS entity, 'REGISTRATION_NUMBER' AS entity_type,
   CASE WHEN event_type = 'click' THEN 'missed' WHEN event_type = 'error' THEN 'over_scrubbed'
        WHEN event_type IN ('purchase', 'view') THEN 'correct' ELSE 'other' END AS feedback_type,
   coalesce(CASE WHEN user_id % 5 = 0 THEN NULL WHEN user_id % 4 = 0 THEN 'medical' WHEN user_id % 4 = 1 THEN 'legal'
