@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from redactflow.llm import decontaminate, line_dedup, minhash, packing, pu_quality
-from redactflow.llm.common import held_out, ship_package, stage, table
+from redactflow.llm.common import held_out, stage, table
+from redactflow.session import ship_package
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,9 +3,6 @@ tables, access to the bytes of an Arrow text column, and vectorised hashing."""
 
 from __future__ import annotations
 
-import os
-import shutil
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -14,24 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import redactflow
-from redactflow.session import shared_dir
+from redactflow.session import shared_dir, ship_package
 
 #: Bytes of text that one vectorised step takes at once; temporary arrays are about eight times as large.
 STEP_BYTES = 1 << 20
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Give this package to the Python workers, once per Spark context, so that
-    they find it wherever they run (Spark's own file server carries the archive)."""
-    sc = spark.sparkContext
-    if getattr(sc, "_redactflow_shipped", False):
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(redactflow.__file__)))
-    sc.addPyFile(shutil.make_archive(os.path.join(tempfile.mkdtemp(), "redactflow"), "zip", root, "redactflow"))
-    sc._redactflow_shipped = True
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -50,6 +35,13 @@ def held_out(doc_id) -> "F.Column":
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
+def hash_sample(df: DataFrame, rows: int, seed: int = 7) -> DataFrame:
+    """About ``rows`` rows of ``df``, chosen by the hash of doc_id: the same ones
+    wherever they lie, and without gathering any rows to choose from."""
+    share = int(min(1.0, rows / max(1, df.count())) * (1 << 32))
+    return df.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 32)) < share)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All UTF-8 bytes of a string column and its row offsets (a null row is empty)."""
     if isinstance(column, pa.ChunkedArray):

@@ -8,9 +8,9 @@ the frequencies of trigrams of byte classes in the whole text, which are the
 same for any language; its margin is then put on a
 probability scale with the labelled training rows.
 
-Training takes at most ``SAMPLE_ROWS`` rows each of positives, unlabelled and
-calibration rows (first by a hash of their id): a documented bound, the class prior counts
-all labels.  Scoring reads every whole text where it lies and shuffles nothing.
+Training takes about ``SAMPLE_ROWS`` rows each of positives, unlabelled and
+calibration rows, chosen by a hash of their id: a documented bound; the class
+prior counts all labels.  Scoring reads every whole text where it lies and shuffles nothing.
 Null and empty texts have all features zero and are scored like any other;
 rows without doc_id are scored and teach nothing; without labels of both
 values the score is the class prior (0.5 without any label).
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redactflow.llm.common import STEP_BYTES, held_out, table, text_bytes, windows_hash, word_hashes
+from redactflow.llm.common import STEP_BYTES, hash_sample, held_out, table, text_bytes, windows_hash, word_hashes
 
 SAMPLE_ROWS = 6_000
 THRESHOLD = 0.3
@@ -149,13 +149,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     prior = float(totals[1] or 0) / totals[0] if totals[0] else 0.5
     if not 0 < prior < 1:
         return Model(*[np.zeros(1)] * 3, 0.0, prior=prior)
-    order = F.xxhash64(F.col("doc_id"), F.lit(7)), F.col("doc_id")
     texts = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
 
     def sample(ids: DataFrame | None, keep: list[str]):
-        # ids first: the sample's ids are few, so only their texts are joined and brought here
-        chosen = (texts.select("doc_id").distinct() if ids is None else ids.select(*keep).join(texts.select("doc_id").distinct(), "doc_id")).orderBy(*order).limit(sample_rows)
-        rows = featured(texts.join(F.broadcast(chosen), "doc_id"), keep).toPandas().drop_duplicates("doc_id")
+        if ids is None:
+            chosen = hash_sample(texts, sample_rows)
+        else:  # their ids are few, so only their texts are joined and brought here
+            chosen = texts.join(F.broadcast(hash_sample(ids.select(*keep), sample_rows)), "doc_id")
+        rows = featured(chosen, keep).toPandas().drop_duplicates("doc_id")
         return np.stack([np.frombuffer(f, np.float32) for f in rows["features"]]).astype(np.float64) if len(rows) else np.zeros((0, SHAPES + BINS)), rows
 
     positive, _ = sample(known.where("quality = 1"), ["doc_id"])
