@@ -18,6 +18,7 @@ values the score is the class prior (0.5 without any label).
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -106,13 +107,14 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def standard(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
-    return np.clip((x - mean) / scale, -8, 8)
+    return np.clip((x - mean.astype(np.float32)) / scale.astype(np.float32), -8, 8)
 
 
 def non_negative_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-3) -> Model:
     """A linear model of least non-negative PU risk under the logistic loss (Adam, whole batch)."""
-    both = np.concatenate([positive, unlabelled])
-    mean, scale = both.mean(0), both.std(0) + 1e-6
+    n = len(positive) + len(unlabelled)
+    mean = (positive.sum(0, np.float64) + unlabelled.sum(0, np.float64)) / n
+    scale = np.sqrt((((positive - mean) ** 2).sum(0) + ((unlabelled - mean) ** 2).sum(0)) / n) + 1e-6
     p, u = standard(positive, mean, scale), standard(unlabelled, mean, scale)
     w, first, second = (np.zeros(p.shape[1] + 1) for _ in range(3))
     slope = lambda d, x: np.append(d @ x, d.sum()) / len(x)
@@ -150,23 +152,28 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     if not 0 < prior < 1:
         return Model(*[np.zeros(1)] * 3, 0.0, prior=prior)
     texts = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
-
-    def sample(ids: DataFrame | None, keep: list[str]):
-        if ids is None:
-            chosen = hash_sample(texts, sample_rows)
-        else:  # their ids are few, so only their texts are joined and brought here
-            chosen = texts.join(F.broadcast(hash_sample(ids.select(*keep), sample_rows)), "doc_id")
-        rows = featured(chosen, keep).toPandas().drop_duplicates("doc_id")
-        return np.stack([np.frombuffer(f, np.float32) for f in rows["features"]]).astype(np.float64) if len(rows) else np.zeros((0, SHAPES + BINS)), rows
-
-    positive, _ = sample(known.where("quality = 1"), ["doc_id"])
-    unlabelled, _ = sample(None, ["doc_id"])
-    labelled, rows = sample(known, ["doc_id", "quality"])
-    if not len(positive) or not len(unlabelled) or rows["quality"].nunique() < 2:
-        return Model(*[np.zeros(1)] * 3, 0.0, prior=prior)
-    model = non_negative_pu(positive, unlabelled, prior)
-    calibrate(model, labelled, rows["quality"].to_numpy(float))
-    return model
+    named = lambda ids, kind: ids.select("doc_id", F.col("quality").cast("int").alias("quality"), F.lit(kind).alias("kind"))
+    chosen = named(hash_sample(known.where("quality = 1"), sample_rows), "positive").union(named(hash_sample(known, sample_rows), "labelled"))
+    # the chosen ids are few, so only their texts are joined
+    picked = texts.join(F.broadcast(chosen), "doc_id").union(hash_sample(texts, sample_rows).select("doc_id", "text", F.lit(None).cast("int"), F.lit("unlabelled")))
+    rows = featured(picked, ["doc_id", "quality", "kind"])
+
+    def train(b: pd.DataFrame) -> pd.DataFrame:
+        def matrix(kind: str) -> tuple[np.ndarray, np.ndarray]:
+            own = b[b["kind"] == kind].drop_duplicates("doc_id").sort_values("doc_id")
+            x = np.frombuffer(b"".join(own["features"]), np.float32).reshape(len(own), SHAPES + BINS)
+            return x, own["quality"].to_numpy()
+
+        positive, unlabelled, (x, y) = matrix("positive")[0], matrix("unlabelled")[0], matrix("labelled")
+        if not len(positive) or not len(unlabelled) or len(set(y)) < 2:
+            return pd.DataFrame({"model": []})
+        model = non_negative_pu(positive, unlabelled, prior)
+        calibrate(model, x, y.astype(float))
+        return pd.DataFrame({"model": [pickle.dumps(model)]})
+
+    # one task over the sample, whose size is bounded; the weights alone come here
+    made = rows.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(train, "model binary").collect()
+    return pickle.loads(made[0]["model"]) if made else Model(*[np.zeros(1)] * 3, 0.0, prior=prior)
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -179,7 +186,7 @@ def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
         for batch in texts:
             raw, at = text_bytes(pa.Array.from_pandas(batch, type=pa.string()))
             x = np.stack([features(raw[at[i]:at[i + 1]]) for i in range(len(batch))]) if len(batch) else np.zeros((0, SHAPES + BINS))
-            yield pd.Series(sent.value.score(x.astype(np.float64)))
+            yield pd.Series(sent.value.score(x))
 
     out = docs.withColumn("score", score(F.coalesce("text", F.lit(""))))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
