@@ -351,8 +351,8 @@ islands AS (SELECT doc_id, island, min(s) AS s, max(e) AS e, arg_min(entity_type
 
 @register("merge_overlaps", _with(O.DOCS_SRC, "SELECT doc_id, s AS start_char, e AS end_char, n AS n_spans, "
                                               "entity_type FROM islands", _ISLANDS_SQL))
-def q_merge_overlaps(spark, sf_dir):
-    docs = detect(TB.documents(spark, sf_dir))
+def q_merge_overlaps(spark, sf_dir, src=TB.documents):
+    docs = detect(src(spark, sf_dir))
     rows = explode_structs(docs.select("doc_id", R.merge_overlaps(R.document_order(F.col("entities"))).alias("m")),
                            "m", ["doc_id"])
     return rows.select("doc_id", F.col("x.s").cast("long").alias("start_char"), F.col("x.e").cast("long").alias("end_char"),
@@ -362,8 +362,8 @@ def q_merge_overlaps(spark, sf_dir):
 @register("redact_documents_merged", _splice_sql(O.DOCS_SRC, [_ISLANDS_SQL, """red AS (
   SELECT doc_id, list(struct_pack(s := s, e := e, r := '<' || entity_type || '>') ORDER BY s DESC) AS l
   FROM islands GROUP BY doc_id)"""]))
-def q_redact_documents_merged(spark, sf_dir):
-    docs = detect(TB.documents(spark, sf_dir))
+def q_redact_documents_merged(spark, sf_dir, src=TB.documents):
+    docs = detect(src(spark, sf_dir))
     return docs.select("doc_id", R.redact_merged(F.col("text"), F.col("entities"), "placeholder").alias("redacted_text"))
 
 
@@ -375,8 +375,8 @@ _GREEDY_SQL = """g AS (SELECT doc_id, list_reduce(list(struct_pack(s := s, e :=
 
 @register("greedy_nonoverlap", _with(O.DOCS_SRC, """SELECT doc_id, CAST(i AS BIGINT) AS pos, k[2 * i + 1] AS start_char,
        k[2 * i + 2] AS end_char FROM (SELECT doc_id, k, unnest(range(0, len(k) // 2)) AS i FROM g)""", _GREEDY_SQL))
-def q_greedy_nonoverlap(spark, sf_dir):
-    docs = detect(TB.documents(spark, sf_dir))
+def q_greedy_nonoverlap(spark, sf_dir, src=TB.documents):
+    docs = detect(src(spark, sf_dir))
     rows = explode_structs(docs.select("doc_id", R.greedy_nonoverlap(R.document_order(F.col("entities"))).alias("g")),
                            "g", ["doc_id"])
     return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("x.s").cast("long").alias("start_char"),
@@ -396,8 +396,8 @@ def _esc_sql(x: str) -> str:
 FROM documents d LEFT JOIN g ON g.doc_id = d.doc_id LEFT JOIN ty ON ty.doc_id = d.doc_id""", _GREEDY_SQL,
     "ty AS (SELECT doc_id, map(list(s ORDER BY idx), list(entity_type ORDER BY idx)) AS m FROM "
     "(SELECT * FROM ents QUALIFY row_number() OVER (PARTITION BY doc_id, s ORDER BY idx) = 1) GROUP BY doc_id)"))
-def q_annotate_spans(spark, sf_dir):
-    docs = detect(TB.documents(spark, sf_dir))
+def q_annotate_spans(spark, sf_dir, src=TB.documents):
+    docs = detect(src(spark, sf_dir))
     return docs.select("doc_id", R.annotate_spans(F.col("text"), F.col("entities")).alias("html"))
 
 
@@ -474,9 +474,9 @@ def q_card_luhn_flag(spark, sf_dir):
 
 @register("overlap_pairs", _with(O.DOCS_SRC, """SELECT a.doc_id, a.idx AS a_idx, b.idx AS b_idx FROM ents a JOIN ents b
   ON a.doc_id = b.doc_id AND a.idx < b.idx AND b.s < a.e AND a.s < b.e"""))
-def q_overlap_pairs(spark, sf_dir):
+def q_overlap_pairs(spark, sf_dir, src=TB.documents):
     from redactflow.operators.report import overlap_pairs
-    return overlap_pairs(_doc_entities(TB.documents(spark, sf_dir)))
+    return overlap_pairs(_doc_entities(src(spark, sf_dir)))
 
 
 @register("pseudonymize_corpus", _with(TB.FORMS_SQL, """SELECT text, entity_type, 'USER_' || upper(substring(entity_type, 1, 3))
@@ -492,7 +492,7 @@ def q_pseudonymize_corpus(spark, sf_dir):
     rows = explode_structs(docs.select("doc_id", R.redaction_order(F.col("entities")).alias("r")), "r", ["doc_id"])
     ents = rows.select("doc_id", F.col("pos").cast("long").alias("seq"), F.col("x.text").alias("text"),
                        F.col("x.entity_type").alias("entity_type"))
-    return pseudonymize_corpus(ents, bucket_width=256)
+    return pseudonymize_corpus(ents)
 
 
 # ---- 2.5 aggregations --------------------------------------------------------------
@@ -625,7 +625,7 @@ def q_knowledge_lookup(spark, sf_dir):
 
 _EXTERNAL_SQL = """SELECT l.doc_id, 0 AS s, length(regexp_extract(d.text, '^[^ \\t\\n]+', 0)) AS e,
   regexp_extract(d.text, '^[^ \\t\\n]+', 0) AS text, 'MODEL_FLAG' AS entity_type,
-  CASE WHEN l.toxic = 1 THEN 0.99 ELSE 0.90 END AS score
+  CASE WHEN l.toxic = 1 THEN 0.99 ELSE 0.90 END AS score, 12 AS rank
 FROM labels l JOIN documents d ON d.doc_id = l.doc_id WHERE length(regexp_extract(d.text, '^[^ \\t\\n]+', 0)) > 0"""
 
 
@@ -919,3 +919,169 @@ def q_merge_overlaps_rows(spark, sf_dir):
     from redactflow.operators.report import merge_overlaps_table
     rows = merge_overlaps_table(_doc_entities(TB.documents(spark, sf_dir)))
     return rows.select("doc_id", "start_char", "end_char", "n_spans", "entity_type")
+
+
+# ---- dense and long texts, whole tables of other texts ------------------------------
+
+def _on(name: str, src, src_sql: str) -> None:
+    """The overlap query ``name`` over another text table."""
+    sql = REGISTRY[name][1].replace(O.DOCS_SRC, src_sql).replace("FROM documents d LEFT JOIN", f"FROM ({src_sql}) d LEFT JOIN")
+    fn = globals()[f"q_{name}"]
+    register(f"{name}_long_forms", sql)(lambda spark, sf_dir: fn(spark, sf_dir, src))
+
+
+for _name in ("overlap_pairs", "merge_overlaps", "redact_documents_merged", "greedy_nonoverlap", "annotate_spans"):
+    _on(_name, TB.long_forms, TB.LONG_FORMS_SQL)
+for _mode in ("full", "placeholder", "partial"):
+    register(f"redact_long_forms_{_mode}", _redacted_sql(TB.LONG_FORMS_SQL, _mode))(_redacted_query(_mode, TB.long_forms))
+register("redact_conversations", _redacted_sql(TB.CONVERSATIONS_SQL, "placeholder"))(_redacted_query("placeholder", TB.conversations))
+register("redact_pages_html", _redacted_sql(TB.PAGES_HTML_SQL, "full"))(_redacted_query("full", TB.pages_html))
+
+
+_TWO_DETECTORS_SQL = f"""SELECT doc_id, s, s + 9 AS e, substring(text, s + 1, 9) AS text,
+  CASE WHEN s % 2 = 0 THEN 'MODEL_FLAG' ELSE 'SPACY_PERSON' END AS entity_type,
+  CASE WHEN (s // 37) % 5 = 0 THEN 0.90 ELSE 0.97 END AS score, CASE WHEN s % 2 = 0 THEN 12 ELSE 13 END AS rank
+FROM (SELECT doc_id, text, unnest(range(doc_id % 37, length(text) - 9, 37)) AS s FROM ({TB.LONG_FORMS_SQL}))"""
+
+
+@register("union_external_spans_two_detectors", _with(TB.LONG_FORMS_SQL, f"SELECT {ENT_SQL_COLS} FROM ents", external=_TWO_DETECTORS_SQL))
+def q_union_external_spans_two_detectors(spark, sf_dir):
+    """Spans of two detectors (ranks 12 and 13) at many offsets, over window edges too, some below the threshold."""
+    from redactflow.plans.scrub import union_external_spans
+    docs = TB.long_forms(spark, sf_dir)
+    starts = F.sequence((F.col("doc_id") % 37).cast("int"), F.length("text") - 10, F.lit(37))
+    at = docs.select("doc_id", "text", F.explode(starts).alias("s"))
+    even = F.col("s") % 2 == 0
+    spans = at.select("doc_id", "s", (F.col("s") + 9).alias("e"), F.substring("text", F.col("s") + 1, F.lit(9)).alias("text"),
+                      F.when(even, "MODEL_FLAG").otherwise("SPACY_PERSON").alias("entity_type"),
+                      F.when(F.floor(F.col("s") / 37) % 5 == 0, 0.90).otherwise(0.97).alias("score"), F.when(even, 12).otherwise(13).alias("rank"))
+    return entity_rows(detect(union_external_spans(docs, spans), external_col="external")).select(*_doc_entity_cols())
+
+
+_CORPUS_NAMES_SQL = """names AS (SELECT text, entity_type, 'USER_' || upper(substring(entity_type, 1, 3))
+  || '_' || CAST(row_number() OVER (PARTITION BY upper(substring(entity_type, 1, 3)) ORDER BY fd, fs, text, entity_type) AS VARCHAR) AS pseudonym
+  FROM (SELECT text, entity_type, arg_min(doc_id, struct_pack(d := doc_id, q := seq)) AS fd, arg_min(seq, struct_pack(d := doc_id, q := seq)) AS fs
+        FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, e, wid) - 1 AS seq FROM ents) GROUP BY text, entity_type))"""
+
+
+@register("redact_documents_corpus_pseudonym", _splice_sql(TB.FORMS_SQL, [_CORPUS_NAMES_SQL, """red AS (
+  SELECT doc_id, list(struct_pack(s := s, e := e, r := pseudonym) ORDER BY s DESC, e, wid) AS l
+  FROM ents JOIN names USING (text, entity_type) GROUP BY doc_id)"""]))
+def q_redact_documents_corpus_pseudonym(spark, sf_dir):
+    """Forms redacted with one dictionary for the whole corpus: one person, one name in every text."""
+    from redactflow.operators.report import with_corpus_pseudonyms
+    out = with_corpus_pseudonyms(detect(TB.customer_forms(spark, sf_dir)))
+    return out.select("doc_id", R.redact_text(F.col("text"), F.col("entities")).alias("redacted_text"))
+
+
+# ---- operators on files and tables that were really written ------------------------
+
+#: Customers per file of the round trips: files grow in number, not in size.
+_PER_FILE = 1000
+_LINES_SQL = f"""SELECT part, CASE WHEN part % 3 = 2 THEN 'PK' || chr(3) || chr(4) ELSE '' END || body || chr(10) AS body FROM (
+  SELECT c_custkey // {_PER_FILE} AS part,
+    string_agg(c_custkey || ',' || c_name || ',"' || c_mktsegment || chr(10) || c_nationkey || '"', chr(10) ORDER BY c_custkey) AS body
+  FROM customer GROUP BY 1)"""
+
+
+def _customer_files(spark: SparkSession, sf_dir: str, root: str, ext: str) -> str:
+    """``customer`` as one CSV-like file per thousand keys (folder ``part=n``); every third file begins like a ZIP."""
+    c = TB.load(spark, sf_dir, "customer")
+    line = F.concat_ws(",", F.col("c_custkey").cast("string"), "c_name", F.concat(F.lit('"'), "c_mktsegment", F.lit("\n"), F.col("c_nationkey").cast("string"), F.lit('"')))
+    parts = (c.groupBy(F.floor(F.col("c_custkey") / _PER_FILE).alias("part")).agg(F.array_sort(F.collect_list(F.struct("c_custkey", line.alias("line")))).alias("rows")))
+    head = F.when(F.col("part") % 3 == 2, F.lit("PK\x03\x04")).otherwise(F.lit(""))
+    body = F.concat(head, F.array_join(F.transform("rows", lambda r: r["line"]), "\n"))
+    path = f"{root}/{ext}"
+    parts.select("part", body.alias("value")).repartition("part").write.partitionBy("part").text(path)
+    return path
+
+
+
+
+def _part() -> Column:
+    return F.regexp_extract(F.col("path"), r"part=(\d+)", 1).cast("long").alias("part")
+
+
+@register("src_files_written", f"""SELECT part, CAST(strlen(body) AS BIGINT) AS file_size_bytes, '.txt' AS file_format, sha256(body) AS file_hash,
+  part % 3 <> 2 AS is_valid, CASE WHEN part % 3 = 2 THEN 'Potential ZIP bomb detected' ELSE 'File validation passed' END AS message FROM ({_LINES_SQL})""")
+def q_src_files_written(spark, sf_dir):
+    """``file_manifest`` and ``validate_files`` over written files."""
+    from redactflow.sources.files import file_manifest, validate_files
+    path = _customer_files(spark, sf_dir, _fresh_dir(spark, "src_files_written"), "txt")
+    verdicts = validate_files(spark, path).select("path", "is_valid", "message")
+    return (file_manifest(spark, path).join(verdicts, "path")
+            .select(_part(), "file_size_bytes", "file_format", "file_hash", "is_valid", "message"))
+
+
+@register("src_format_filter", f"""SELECT part, CASE WHEN part % 3 = 2 THEN 'Potential ZIP bomb detected'
+  ELSE 'No decoder for format: .txt' END AS message FROM ({_LINES_SQL})""")
+def q_src_format_filter(spark, sf_dir):
+    """Files of an accepted format without a decoder are quarantined with the reason, as rejected ones are."""
+    from redactflow.sources.files import documents_and_quarantine, ingest_files
+    path = _customer_files(spark, sf_dir, _fresh_dir(spark, "src_format_filter"), "txt")
+    docs, bad = documents_and_quarantine(ingest_files(spark, path, formats=(".csv", ".json")))
+    return bad.select(_part(), "message").unionByName(docs.select(_part(), F.lit("decoded").alias("message")))
+
+
+@register("process_files", f"""SELECT part, CASE WHEN part % 3 = 2 THEN 'rejected' ELSE 'completed' END AS status,
+  CAST(strlen(body) AS BIGINT) AS file_size, sha256(body) AS file_hash, CAST(CASE WHEN part % 3 = 2 THEN 0 ELSE 1 END AS BIGINT) AS documents,
+  CAST(CASE WHEN part % 3 = 2 THEN 0 ELSE coalesce(n, 0) END AS BIGINT) AS entities_found,
+  CAST(CASE WHEN part % 3 = 2 THEN 0 ELSE coalesce(n, 0) END AS BIGINT) AS redactions_applied,
+  CAST(CASE WHEN part % 3 = 2 THEN 0 ELSE 3 END AS BIGINT) AS n_outputs
+FROM ({_LINES_SQL}) f LEFT JOIN (""" + _with(
+    f"SELECT part AS doc_id, trim(regexp_replace(regexp_replace(body, '[{O._PY_WS}]+', ' ', 'g'), '[\\x00-\\x08\\x0e-\\x1b]', '', 'g')) AS text FROM ({_LINES_SQL})",
+    "SELECT doc_id, count(*) AS n FROM ents GROUP BY doc_id") + ") e ON e.doc_id = f.part")
+def q_process_files(spark, sf_dir):
+    """The file service from loading to its summary."""
+    from redactflow.plans.files import process_files
+    root = _fresh_dir(spark, "process_files")
+    out = process_files(spark, _customer_files(spark, sf_dir, root, "txt"), f"{root}/out")
+    return out.withColumnRenamed("file", "path").select(
+        _part(), "status", "file_size", "file_hash", "documents", "entities_found", "redactions_applied", F.size("output_files").cast("long").alias("n_outputs"))
+
+
+@register("sink_dispatch", _with(TB.FORMS_SQL, """SELECT doc_id, count(*) AS txt_rows, sum(n) AS json_rows, sum(n) AS csv_rows FROM
+  (SELECT t.doc_id, coalesce(c.n, 0) AS n FROM (""" + TB.FORMS_SQL + """) t LEFT JOIN (SELECT doc_id, count(*) AS n FROM ents GROUP BY doc_id) c
+   ON c.doc_id = t.doc_id) GROUP BY doc_id"""))
+def q_sink_dispatch(spark, sf_dir):
+    """``write_outputs`` in its three formats, read back: texts, metadata entries and CSV rows per document."""
+    from redactflow.sources.sinks import write_outputs
+    root = _fresh_dir(spark, "sink_dispatch")
+    done = scrub(TB.customer_forms(spark, sf_dir), cfg=ScrubConfig(mode="placeholder"))
+    done.write.parquet(f"{root}/scrubbed")
+    done = spark.read.parquet(f"{root}/scrubbed")
+    for fmt in ("txt", "json", "csv"):
+        write_outputs(done, f"{root}/{fmt}", fmt)
+    txt = spark.read.parquet(f"{root}/txt").groupBy("doc_id").agg(F.count("*").alias("txt_rows"))
+    entries = spark.read.schema("doc_id long, redaction_metadata array<struct<entity_type:string>>").json(f"{root}/json")
+    entries = entries.select("doc_id", F.coalesce(F.size("redaction_metadata"), F.lit(0)).cast("long").alias("json_rows"))
+    rows = spark.read.option("header", True).csv(f"{root}/csv").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count("*").alias("csv_rows"))
+    return txt.join(entries, "doc_id").join(rows, "doc_id", "left").select("doc_id", "txt_rows", "json_rows", F.coalesce("csv_rows", F.lit(0)).alias("csv_rows"))
+
+
+@register("feedback_store", f"""SELECT feedback_type, domain, user_id, 2 * count(*) AS n FROM ({TB.EVENTS_FEEDBACK_SQL}) GROUP BY ALL""")
+def q_feedback_store(spark, sf_dir):
+    """Feedback appended to its table in two batches and read back."""
+    from redactflow.operators.report import feedback_append
+    path = _fresh_dir(spark, "feedback_store")
+    records = TB.events_feedback(spark, sf_dir)
+    feedback_append(records, path)
+    feedback_append(records, path)
+    return spark.read.parquet(path).groupBy("feedback_type", "domain", "user_id").agg(F.count("*").alias("n"))
+
+
+@register("run_report_pseudonym", _with(TB.FORMS_SQL, """SELECT count(*) AS total_redacted, count(*) AS audit_entries,
+  count(DISTINCT (doc_id, text, entity_type)) AS pseudonym_mappings, 'gdpr,hipaa,ccpa,dpdp' AS certifications FROM ents"""))
+def q_run_report_pseudonym(spark, sf_dir):
+    """One report for a run in pseudonym mode, with its real number of mappings."""
+    from redactflow.sources.sinks import run_report
+    stats, _ = run_report(_scrubbed(spark, sf_dir, "pseudonym", TB.customer_forms, pseudonymize=True), "pseudonym")
+    return stats.select("total_redacted", "audit_entries", "pseudonym_mappings", F.array_join("compliance_certifications", ",").alias("certifications"))
+
+
+@register("run_report_audit_log", _with(TB.FORMS_SQL, f"""SELECT doc_id, {_RED_SEQ} AS seq, entity_type, round(confidence, 4) AS confidence,
+  'partial' AS replacement_mode FROM ents"""))
+def q_run_report_audit_log(spark, sf_dir):
+    from redactflow.sources.sinks import run_report
+    _, log = run_report(_scrubbed(spark, sf_dir, "partial", TB.customer_forms), "partial")
+    return log.select("doc_id", F.col("seq").cast("long").alias("seq"), "entity_type", r4(F.col("confidence")).alias("confidence"), "replacement_mode")

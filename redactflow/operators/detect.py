@@ -189,11 +189,25 @@ def dedup_document_spans(entities: Column) -> Column:
 
 
 def drop_handles_in_urls(entities: Column) -> Column:
-    """Remove PROFILE_HANDLE entities lying inside a URL entity of the document."""
+    """Remove PROFILE_HANDLE entities lying inside a URL entity of the document.
+
+    In order of start (URLs before handles of the same start) a handle is
+    inside a URL if the furthest URL end so far reaches its own end.
+    """
     def body(arr: Column) -> Column:
-        return let(F.filter(arr, lambda u: u["entity_type"] == "URL"), lambda urls: F.filter(
-            arr, lambda x: (x["entity_type"] != "PROFILE_HANDLE") | ~F.exists(
-                urls, lambda u: (u["s"] <= x["s"]) & (u["e"] >= x["e"]))))
+        is_url = lambda x: x["entity_type"] == "URL"
+        order = sort_structs(F.transform(arr, lambda x: F.struct(
+            x["s"].alias("s"), F.when(is_url(x), 0).otherwise(1).alias("k"), x["e"].alias("e"), x.alias("x"))), [("s", False), ("k", False), ("e", False)])
+        start = F.struct(F.lit(-1).alias("reach"), F.slice(arr, 1, 0).alias("kept"))
+
+        def step(acc, y):
+            inside = (y["x"]["entity_type"] == "PROFILE_HANDLE") & (acc["reach"] >= y["e"])
+            return F.struct(F.when(y["k"] == 0, F.greatest(acc["reach"], y["e"])).otherwise(acc["reach"]).alias("reach"),
+                            F.when(inside, acc["kept"]).otherwise(F.concat(acc["kept"], F.array(y["x"]))).alias("kept"))
+
+        fold = F.aggregate(order, start, step, lambda acc: sort_structs(acc["kept"], [("s", False), ("e", False), ("window_id", False)]))
+        both = F.exists(arr, is_url) & F.exists(arr, lambda x: x["entity_type"] == "PROFILE_HANDLE")
+        return F.when(both, fold).otherwise(arr)
 
     return let(entities, body)
 
@@ -204,11 +218,11 @@ def length_confidence(text: Column) -> Column:
 
 
 def external_entities(s: Column, e: Column, text: Column, entity_type: Column, score: Column,
-                      threshold: float, rank: int = 12, source: str = "statistical") -> Column:
+                      threshold: float, rank: int | Column = 12, source: str = "statistical") -> Column:
     """One external span as an entity struct, or null when its score is below
     the threshold (the model results obey the threshold)."""
     ent = F.struct(s.cast("int").alias("s"), e.cast("int").alias("e"), text.alias("text"),
                    entity_type.alias("entity_type"), score.cast("double").alias("confidence"),
-                   F.lit(source).alias("source"), F.lit(rank).cast("int").alias("rank"),
+                   F.lit(source).alias("source"), (F.lit(rank) if isinstance(rank, int) else rank).cast("int").alias("rank"),
                    F.lit(None).cast("int").alias("window_id"))
     return F.when(score >= threshold, ent)

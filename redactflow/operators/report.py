@@ -119,34 +119,53 @@ def audit_log(entities: DataFrame, mode: str, context: Column | None = None,
 
 # ---- pseudonyms over a corpus -----------------------------------------------------
 
-def pseudonymize_corpus(entities: DataFrame, order_cols: Sequence[str] = ("doc_id", "seq"),
-                        bucket_width: int = 1 << 16) -> DataFrame:
+def pseudonymize_corpus(entities: DataFrame, order_cols: Sequence[str] = ("doc_id", "seq"), ranges: int | None = None) -> DataFrame:
     """One dictionary ``(text, type) -> USER_<TYP>_<n>`` for the whole corpus.
 
-    ``n`` numbers keys of one prefix by first encounter (``order_cols``).
-    Numbering a prefix with one window would put a third of the corpus in one
-    task when one type dominates; instead keys are cut into buckets of
-    ``doc_id // bucket_width``, each bucket numbers its own keys, and a
-    running sum over the small (prefix, bucket) count table gives offsets.
+    ``n`` numbers keys of one prefix by first encounter (``order_cols``).  The
+    distinct keys are range-partitioned by (prefix, first encounter) and
+    numbered within their range; what each range adds comes from a table of
+    (ranges x prefixes) counts, whose size doesn't depend on the corpus.  So a
+    type of a third of all keys spreads over ranges like any other.
     """
     from redactflow.session import cut_lineage
 
-    # distinct keys, read by two branches below: materialized once
-    first = cut_lineage(entities.groupBy("text", "entity_type")
-                        .agg(F.min(F.struct(*order_cols)).alias("first"))
-                        .withColumn("prefix", pseudonym_prefix(F.col("entity_type")))
-                        .withColumn("bucket", F.floor(F.col("first.doc_id") / bucket_width)))
-    counts = first.groupBy("prefix", "bucket").agg(F.count(F.lit(1)).alias("c"))
-    offsets = counts.withColumn("offset", F.coalesce(F.sum("c").over(
-        Window.partitionBy("prefix").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    # No broadcast hint: the offset table is derived, so AQE measures it after
-    # its shuffle and broadcasts it only if it is below the broadcast threshold.
-    local = first.withColumn("local", F.row_number().over(
-        Window.partitionBy("prefix", "bucket").orderBy("first", "text", "entity_type")))
-    return (local.join(offsets.select("prefix", "bucket", "offset"), ["prefix", "bucket"])
+    spark = entities.sparkSession
+    n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    first = (entities.groupBy("text", "entity_type").agg(F.min(F.struct(*order_cols)).alias("first"))
+             .withColumn("prefix", pseudonym_prefix(F.col("entity_type"))))
+    # the range of a row is fixed here, once, for both branches below
+    ranged = cut_lineage(first.repartitionByRange(n, "prefix", "first", "text", "entity_type")
+                         .withColumn("range", F.spark_partition_id()))
+    counts = ranged.groupBy("prefix", "range").agg(F.count(F.lit(1)).alias("c"))
+    before = Window.partitionBy("prefix").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("prefix", "range", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("offset"))
+    local = ranged.withColumn("local", F.row_number().over(
+        Window.partitionBy("range", "prefix").orderBy("first", "text", "entity_type")))
+    return (local.join(offsets, ["prefix", "range"])
             .select("text", "entity_type",
-                    F.concat(F.col("prefix"), F.lit("_"), (F.col("offset") + F.col("local")).cast("string"))
-                    .alias("pseudonym")))
+                    F.concat(F.col("prefix"), F.lit("_"), (F.col("offset") + F.col("local")).cast("string")).alias("pseudonym")))
+
+
+def with_corpus_pseudonyms(detected: DataFrame, key: str = "doc_id", col: str = "entities") -> DataFrame:
+    """``detected`` with each entity's replacement from the corpus dictionary.
+
+    Entity rows meet the dictionary in a join on (text, type), which adaptive
+    execution splits where one key is frequent, and go back to their document
+    as one array; texts join them on ``key`` only.
+    """
+    from redactflow.operators.redact import redaction_order
+    from redactflow.session import cut_lineage
+
+    docs = cut_lineage(detected)
+    ordered = docs.select(key, F.posexplode_outer(redaction_order(F.col(col))).alias("seq", "x")).where(F.col("seq").isNotNull())
+    rows = ordered.select(F.col(key).alias("doc_id"), F.col("seq").cast("long").alias("seq"), "x",
+                          F.col("x.text").alias("text"), F.col("x.entity_type").alias("entity_type"))
+    names = pseudonymize_corpus(rows.select("doc_id", "seq", "text", "entity_type"))
+    named = rows.join(names, ["text", "entity_type"]).select("doc_id", F.col("x").withField("replacement", F.col("pseudonym")).alias("x"))
+    arrays = named.groupBy("doc_id").agg(F.collect_list("x").alias("_named")).withColumnRenamed("doc_id", key)
+    plain = F.transform(col, lambda x: x.withField("replacement", F.lit(None).cast("string")))
+    return docs.join(arrays, key, "left").withColumn(col, F.coalesce("_named", plain)).drop("_named")
 
 
 # ---- overlaps ---------------------------------------------------------------------
@@ -200,8 +219,9 @@ def feedback_append(records: DataFrame, path: str) -> None:
 
 def feedback_stats(feedback: DataFrame) -> DataFrame:
     """SQL form: one row per feedback type present, with the total."""
-    return (feedback.groupBy("feedback_type").agg(F.count(F.lit(1)).alias("n"))
-            .withColumn("total_feedback", F.sum("n").over(Window.partitionBy())))
+    counts = feedback.groupBy("feedback_type").agg(F.count(F.lit(1)).alias("n"))
+    # the total is one row from partial sums; no window gathers the kinds in one task
+    return counts.crossJoin(F.broadcast(feedback.agg(F.count(F.lit(1)).alias("total_feedback"))))
 
 
 def feedback_stats_zero_filled(feedback: DataFrame) -> DataFrame:

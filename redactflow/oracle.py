@@ -123,13 +123,13 @@ def pipeline_ctes(src: str, threshold: float = SERVICE_THRESHOLD, rules=DEFAULT_
                   size: int = 500, overlap: int = 100, boost: bool = True, external: str | None = None) -> str:
     """CTEs: win, raw (all rule spans, window offsets), wd (window dedup),
     dd (document dedup), ents (final: handles dropped, boosted, idx).
-    ``external`` yields (doc_id, s, e, text, entity_type, score) at document
+    ``external`` yields (doc_id, s, e, text, entity_type, score, rank) at document
     offsets; spans scoring at least the threshold join every window holding them."""
     use = active_rules(threshold, rules)
     parts = [f"({rule_spans_sql(r)})" for r in use]
     if external:
         parts.append(f"(SELECT w.doc_id, w.wid, w.ws, x.s - w.ws AS s, x.e - w.ws AS e, x.text, x.entity_type, "
-                     f"CAST(x.score AS DOUBLE) AS confidence, CAST(12 AS BIGINT) AS rank, 'statistical' AS source "
+                     f"CAST(x.score AS DOUBLE) AS confidence, CAST(x.rank AS BIGINT) AS rank, 'statistical' AS source "
                      f"FROM ({external}) x JOIN win w ON w.doc_id = x.doc_id AND x.s >= w.ws AND x.e <= w.we "
                      f"WHERE x.score >= {threshold!r})")
     raw = " UNION ALL ".join(parts)

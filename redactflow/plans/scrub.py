@@ -76,15 +76,16 @@ def detect(df: DataFrame, text_col: str = "text", cfg: ScrubConfig = ScrubConfig
 def union_external_spans(docs: DataFrame, spans: DataFrame, cfg: ScrubConfig = ScrubConfig(),
                          key: str = "doc_id") -> DataFrame:
     """Attach spans of an external detector (``key, s, e, text, entity_type,
-    score``, document offsets) to the documents as an entity array column
-    ``external``; scores below the threshold are dropped.
+    score``, document offsets; ``rank`` too where several detectors differ,
+    else 12) to the documents as an entity array column ``external``; scores
+    below the threshold are dropped.
 
     The spans are grouped per document (bounded by the document's size) and
     joined on the key: a shuffle of both sides unless the tables share a
     bucketing on the key.
     """
     ent = D.external_entities(F.col("s"), F.col("e"), F.col("text"), F.col("entity_type"), F.col("score"),
-                              cfg.threshold)
+                              cfg.threshold, F.col("rank") if "rank" in spans.columns else 12)
     per_doc = (spans.select(key, ent.alias("x")).where(F.col("x").isNotNull())
                .groupBy(key).agg(F.collect_list("x").alias("external")))
     return (docs.join(per_doc, key, "left")

@@ -85,6 +85,46 @@ FORMS_SQL = (
 )
 
 
+def long_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer form three times over with uneven filling (so spans lie at
+    many offsets and over window edges), e-mails and handles inside links
+    (overlapping spans), and accented letters next to digits (``LONG_FORMS_SQL``)."""
+    k = F.col("doc_id")
+    link = lambda d: F.concat(F.lit(" see https://h.example.org/"), F.lit("u"), (k + d).cast("string"), F.lit("@mail.org "))
+    fill = lambda n: F.repeat(F.lit("zz "), (k % n).cast("int"))
+    text = F.concat(F.col("text"), link(1), fill(41), F.col("text"), F.lit(" é555-123-4567 and 555-123-4567é, "), link(2), link(3), fill(67),
+                    F.col("text"), link(4), F.lit(" https://twitter.com/ann"), k.cast("string"), F.lit("/status@x.org"))
+    return customer_forms(spark, sf_dir).select("doc_id", text.alias("text"))
+
+
+def _link_sql(d: int) -> str:
+    return f"' see https://h.example.org/' || 'u' || CAST(doc_id + {d} AS VARCHAR) || '@mail.org '"
+
+
+LONG_FORMS_SQL = (
+    f"SELECT doc_id, text || {_link_sql(1)} || repeat('zz ', CAST(doc_id % 41 AS INT)) || text || ' é555-123-4567 and 555-123-4567é, ' || "
+    f"{_link_sql(2)} || {_link_sql(3)} || repeat('zz ', CAST(doc_id % 67 AS INT)) || text || {_link_sql(4)} || ' https://twitter.com/ann' || "
+    f"CAST(doc_id AS VARCHAR) || '/status@x.org' AS text FROM ({FORMS_SQL})"
+)
+
+
+def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of every conversation as a document."""
+    c = load(spark, sf_dir, "conversations")
+    return c.select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("doc_id"), "text")
+
+
+CONVERSATIONS_SQL = "SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS doc_id, text FROM conversations"
+
+
+def pages_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's whole html as a document."""
+    return spread(load(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text")), "doc_id")
+
+
+PAGES_HTML_SQL = "SELECT page_id AS doc_id, html AS text FROM pages"
+
+
 def _feedback_cols(user: Column, etype: Column) -> dict[str, Column]:
     kind = (F.when(etype == "click", "missed").when(etype == "error", "over_scrubbed")
             .when(etype.isin("purchase", "view"), "correct").otherwise("other"))
