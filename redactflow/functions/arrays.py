@@ -58,8 +58,9 @@ def memoized(fn):
     Building the detection expression issues thousands of Py4J calls (seconds
     of driver time) and depends only on its arguments, never on data.  Column
     expressions are immutable and unresolved, so one built expression can be
-    used by any number of DataFrames of the same context.  Column arguments
-    are keyed by their expression text.
+    used by any number of DataFrames of the same context.  Only plain column
+    names are keys; with any other Column argument (whose printed text may be
+    ambiguous) the expression is built anew.
     """
     import functools
 
@@ -69,6 +70,9 @@ def memoized(fn):
 
     def key_of(v):
         if isinstance(v, Column):
+            node = v._jc.node()
+            if node.getClass().getSimpleName() != "UnresolvedAttribute":
+                raise TypeError("not a plain column name")
             return ("col", v._jc.toString())
         if isinstance(v, (list, tuple)):
             return tuple(key_of(x) for x in v)
@@ -89,7 +93,7 @@ def memoized(fn):
         try:
             key = (token, key_of(args), tuple(sorted((k, key_of(v)) for k, v in kw.items())))
             hash(key)
-        except TypeError:
+        except (TypeError, AttributeError):  # unhashable, not a plain name, or no JVM column
             return fn(*args, **kw)
         if key not in cache:
             if len(cache) > 256:

@@ -38,8 +38,10 @@ def entity_distribution_rows(detected: DataFrame, id_cols: Sequence[str] = ("doc
 
 
 def entity_distribution_corpus(entities: DataFrame, dims: Sequence[str] = ("lang",)) -> DataFrame:
-    """Counts by type with subtotals over ``dims`` (ROLLUP: dims..., type)."""
-    return entities.rollup(*dims, "entity_type").agg(F.count(F.lit(1)).alias("n"))
+    """Counts by type with subtotals over ``dims`` (ROLLUP: dims..., type).
+    Rows are counted at the finest grain first; only that small table is rolled up."""
+    finest = entities.groupBy(*dims, "entity_type").agg(F.count(F.lit(1)).alias("n"))
+    return finest.rollup(*dims, "entity_type").agg(F.sum("n").alias("n"))
 
 
 def type_counts(entities: Column) -> Column:
