@@ -6,7 +6,7 @@ from redactflow.llm.decontaminate import op2_benchmark_decontamination
 from redactflow.llm.html_extract import op1_html_extraction
 from redactflow.llm.language_id import op9_language_id
 from redactflow.llm.line_dedup import OP8_SQL, op8_line_dedup
-from redactflow.llm.minhash import op4_minhash_near_dedup
+from redactflow.llm.minhash import OP4_SQL, op4_minhash_near_dedup
 from redactflow.llm.packing import op3_packing
 from redactflow.llm.pu_quality import op10_quality_classifier
 from redactflow.llm.quality_rules import OP6_SQL, op6_quality_rules
@@ -17,7 +17,7 @@ QUERIES = {
     "op1_html_extraction": (op1_html_extraction, None),
     "op2_benchmark_decontamination": (op2_benchmark_decontamination, None),
     "op3_packing": (op3_packing, None),
-    "op4_minhash_near_dedup": (op4_minhash_near_dedup, None),
+    "op4_minhash_near_dedup": (op4_minhash_near_dedup, OP4_SQL),
     "op5_token_counts": (op5_token_counts, None),
     "op6_quality_rules": (op6_quality_rules, OP6_SQL),
     "op7_suffix_array_dedup": (op7_suffix_array_dedup, None),
