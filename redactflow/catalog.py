@@ -899,11 +899,11 @@ def q_src_csv(spark, sf_dir):
     return read_csv_files(spark, path).select("text")
 
 
-@register("src_json", """SELECT CAST(to_json({'c_custkey': c_custkey, 'c_mktsegment': c_mktsegment, 'c_name': c_name,
-  'c_nationkey': c_nationkey}) AS VARCHAR) AS text FROM customer""")
+@register("src_json", """SELECT CAST(to_json({'c_custkey': c_custkey, 'c_name': c_name, 'c_nationkey': c_nationkey,
+  'c_mktsegment': c_mktsegment}) AS VARCHAR) AS text FROM customer""")
 def q_src_json(spark, sf_dir):
     """``customer`` written as JSON files, each one array of at most 100
-    records, and read back: one document per record, re-serialized."""
+    records, and read back: one document per record, keys in the file's order."""
     from redactflow.sources.files import read_json_files
     path = _fresh_dir(spark, "src_json")
     cust = TB.load(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
