@@ -102,6 +102,22 @@ def test_a_small_table_keeps_its_most_frequent_ngrams(spark):
     assert len(models.grams[-1].hashes) <= 3000 and out.where("lang = lang_pred").count() > 950
 
 
+def test_models_over_the_array_size_keep_every_count(spark, corpus):
+    docs = table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "lang", "text")
+    few = corpus([(10_000, "xhosa qhubeka qwela", "xh"), (10_001, "qhuba xolela", "xh")]).select("doc_id", "lang", "text")
+    docs = docs.union(few)
+    edge = docs.union(corpus([(20_000, "ЖЖЖ щщщ xhosa", None), (20_001, None, None), (20_002, "12 !", None), (20_001, "", None)]).select("doc_id", "lang", "text"))
+    whole, tables = language_id.fit(docs), language_id.fit(docs, most=3000)
+    assert whole.langs == tables.langs and len(tables.grams[-1].hashes) <= 3000 < len(whole.grams[-1].hashes)
+    assert tables.limit == pytest.approx(whole.limit, abs=1e-4)
+    of = lambda m: sorted(((r.doc_id, r.lang_pred, r.score, r.entropy) for r in language_id.identify(edge, m).collect()), key=lambda r: r[:2])
+    got, want = of(tables), of(whole)
+    assert [r[:2] for r in got] == [r[:2] for r in want] and len(got) == edge.count()
+    assert [r[3] for r in got if r[3] is not None] == pytest.approx([r[3] for r in want if r[3] is not None], abs=1e-4)
+    assert [r[2] for r in got] == pytest.approx([r[2] for r in want], abs=1e-2)
+    assert {r[1] for r in got if r[0] in (10_000, 10_001)} == {"xh"}
+
+
 def test_quality_classifier(spark, corpus):
     sf = "/root/testdata/sf0.01"
     out = pu_quality.op10_quality_classifier(spark, sf).join(table(spark, sf, "labels"), "doc_id").toPandas()
