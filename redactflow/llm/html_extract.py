@@ -4,13 +4,16 @@ are smoothed and clustered, and the region around the content lines is kept.
 1.  The standard library's parser streams events; block elements cut them into
     lines, each with its text, the tags met on it and the elements around it.
 2.  Lines inside menus, headers, footers, sidebars, notices, adverts, forms and
-    comments (by element, role, class or id) are never content.
+    comments (by element, role, class or id) are never content.  A class or id
+    with further words in it (``with-sidebar``) counts only while its element
+    holds at most half of the text.
 3.  The ratio of text to tags of the other lines is smoothed with a Gaussian,
     and two-means clustering of the smoothed ratios gives the threshold over
     which a line is content.
-4.  The region is the outermost article or main element that holds most of the
-    content lines' text, or else the smallest element that holds most of it.  All its lines that
-    step 2 leaves are the text, short ones as well.
+4.  The region is the smallest element that holds all content lines (text-level
+    elements, lists and tables are never the region).  If article or main elements hold most of the content
+    lines' text, it is all the elements of these that hold any, and content lines outside them stay too.  All lines of
+    the region that step 2 leaves are the text, short ones as well.
 
 Null or empty html gives the empty text; unclosed and stray tags are repaired
 as browsers do; rows repeat as often as they come; other columns are ignored.
@@ -52,27 +55,43 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
+COMMENTS = frozenset("comment comments commentlist disqus respond reply replies discussion".split())
+#: Words that make a mark beside them in a class say what the element has, not what it is.
+QUALIFIERS = frozenset("with has have no without not open opened closed enabled disabled show hide".split())
+#: Elements that are never the region: those of text, and the parts of lists and tables.
+INNER = frozenset("p li td th tr tbody thead tfoot table caption ul ol dl dt dd blockquote pre address figure figcaption summary legend hgroup h1 h2 h3 h4 h5 h6".split())
+
+
 def _marked(attrs: list[tuple[str, str | None]]) -> str:
-    """'' or why an element's attributes mark it as outside the article."""
+    """'' or why an element's attributes mark it as outside the article; 'weak' if a class or id has further words."""
+    weak = ""
     for name, value in attrs:
         if name in ("class", "id") and value:
-            if found := MARKS.intersection(x.lower() for x in _WORDS.findall(value)):
-                return "comment" if found & {"comment", "comments", "commentlist", "disqus", "respond", "reply", "replies", "discussion"} else "other"
+            for token in value.split():
+                words = {x.lower() for x in _WORDS.findall(token)}
+                if not (found := words & MARKS):
+                    continue
+                if words & QUALIFIERS or words - MARKS and not found & COMMENTS:
+                    weak = "weak"
+                else:
+                    return "comment" if found & COMMENTS else "other"
         elif name == "role" and value and value.strip().lower() in ROLES:
             return "other"
         elif name == "hidden" or name == "aria-hidden" and (value or "").lower() == "true" or name == "style" and value and _HIDDEN.search(value):
             return "other"
-    return ""
+    return weak
 
 
 class Lines(HTMLParser):
-    """Collects ``lines``: (text, tags, boxes), boxes being the ids of the elements around the line."""
+    """Collects ``lines``: (text, tags, boxes), boxes being the ids of the elements around the line.
+    ``weak`` has, for each line, those of them that are weakly marked."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, tuple[int, ...]]] = []
         self.names: list[str] = ["html"]  # of the boxes, by id
-        self.stack: list[tuple[str, str, tuple[int, ...]]] = [("", "", ())]  # element, why it is outside the article, boxes
+        self.weak: list[tuple[int, ...]] = []
+        self.stack: list[tuple[str, str, tuple[int, ...], tuple[int, ...]]] = [("", "", (), ())]  # element, why it is outside the article, boxes, weakly marked boxes
         self.parts: list[str] = []
         self.tags = 0
 
@@ -80,6 +99,7 @@ class Lines(HTMLParser):
         if self.parts:
             if text := " ".join("".join(self.parts).split()):
                 self.lines.append((text, self.tags, self.stack[-1][2]))
+                self.weak.append(self.stack[-1][3])
                 self.tags = 0
             self.parts = []
 
@@ -105,9 +125,9 @@ class Lines(HTMLParser):
             self.parts.append(" ")
         if tag in VOID:
             return
-        _, out, boxes = self.stack[-1]
-        if tag in ("main", "article") and out in ("other", "tag") and not _marked(attrs):
-            out = ""  # an unclosed menu or advert doesn't swallow the article
+        _, out, boxes, weak = self.stack[-1]
+        if tag in ("main", "article") and (out in ("other", "tag") or weak and not out) and not _marked(attrs):
+            out, weak = "", ()  # an unclosed menu or advert doesn't swallow the article
         elif not out:
             if tag in SKIP:
                 out = "tag"
@@ -115,12 +135,14 @@ class Lines(HTMLParser):
                 out = "tag"
             elif attrs and tag not in ("html", "body", "main", "article"):
                 out = _marked(attrs)
+                if out == "weak":
+                    out, weak = ("", (*weak, len(self.names))) if tag in BLOCK else ("other", weak)
             elif attrs and tag == "article" and _marked(attrs) == "comment":
                 out = "comment"
         if tag in BLOCK:
             boxes = (*boxes, len(self.names))
             self.names.append(tag)
-        self.stack.append((tag, out, boxes))
+        self.stack.append((tag, out, boxes, weak))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -138,6 +160,21 @@ class Lines(HTMLParser):
         if not self.stack[-1][1]:
             self.parts.append(data)
 
+    def left(self) -> list[tuple[str, int, tuple[int, ...]]]:
+        """The lines without those of weakly marked elements that hold at most half of the text."""
+        sizes: dict[int, int] = {}
+        for (text, _, _), weak in zip(self.lines, self.weak):
+            for box in weak:
+                sizes[box] = sizes.get(box, 0) + len(text)
+        half = sum(len(text) for text, _, _ in self.lines) / 2
+        out, tags = [], 0
+        for (text, n, boxes), weak in zip(self.lines, self.weak):
+            tags += n
+            if all(sizes[box] > half for box in weak):
+                out.append((text, tags, boxes))
+                tags = 0
+        return out
+
 
 def smoothed(ratios: np.ndarray, sigma: float) -> np.ndarray:
     """The ratios smoothed with a Gaussian of ``sigma`` lines; the ends use what there is."""
@@ -163,7 +200,7 @@ def threshold(values: np.ndarray) -> float:
 
 
 def extract(html: str | None, sigma: float = 1.0, share: float = 0.6) -> str:
-    """The main text of one page; ``share`` of the content lines' text must lie in the region."""
+    """The main text of one page; article and main elements are the region from ``share`` of the content lines' text on."""
     if not html:
         return ""
     p = Lines()
@@ -171,21 +208,21 @@ def extract(html: str | None, sigma: float = 1.0, share: float = 0.6) -> str:
     p.close()
     p.stack.append(p.stack[-1])
     p.cut()
-    if not p.lines:
+    lines = p.left()
+    if not lines:
         return ""
-    sizes = np.array([len(t) for t, _, _ in p.lines], float)
-    ratios = smoothed(sizes / np.maximum(1, [n for _, n, _ in p.lines]), sigma)
+    sizes = np.array([len(t) for t, _, _ in lines], float)
+    ratios = smoothed(sizes / np.maximum(1, [n for _, n, _ in lines]), sigma)
     content = ratios >= threshold(ratios)
-    weight: dict[int, float] = {}
-    for (_, _, boxes), size, kept in zip(p.lines, sizes, content):
-        for box in boxes if kept else ():
-            weight[box] = weight.get(box, 0.0) + size
-    least = share * float(sizes[content].sum())
-    heavy = [box for box, w in weight.items() if w >= least]
-    named = [box for box in heavy if p.names[box] in ("article", "main")]
-    # an element's id is smaller than those of the elements in it
-    region = min(named) if named else max((box for box in heavy if p.names[box] not in ("p", "li", "td")), default=None)
-    return "\n".join(t for t, _, boxes in p.lines if region is None or region in boxes)
+    held = [boxes for (_, _, boxes), kept in zip(lines, content) if kept]
+    # an element's id is smaller than those of the elements in it, so the first article or main of a line is its outermost
+    outermost = [next((box for box in boxes if p.names[box] in ("article", "main")), None) for boxes in held]
+    named = {box for box in outermost if box is not None}
+    if sum(size for size, box in zip(sizes[content], outermost) if box is not None) >= share * sizes[content].sum():
+        return "\n".join(t for (t, _, boxes), kept in zip(lines, content) if kept or named.intersection(boxes))
+    common = set(held[0]).intersection(*held)
+    region = max((box for box in common if p.names[box] not in INNER), default=None)
+    return "\n".join(t for t, _, boxes in lines if region is None or region in boxes)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

@@ -32,6 +32,27 @@ def test_extract_edges(html, text):
     assert html_extract.extract(html) == text
 
 
+LONG, HALF, PART = "long words of it " * 40, "some words of it " * 20, "a few words here " * 6
+
+
+@pytest.mark.parametrize("inner", ["blockquote", "section", "pre", "ul", "table", "div"])
+def test_the_region_holds_all_content(inner):
+    text = {"ul": f"<li>{LONG}</li>", "table": f"<tr><td>{LONG}</td></tr>"}.get(inner, LONG)
+    html = f"<body><div class=menu>x</div><div><h1>Head</h1><p>{PART}</p><{inner}>{text}</{inner}><p>{PART}</p></div></body>"
+    assert html_extract.extract(html).split("\n") == ["Head", PART.strip(), LONG.strip(), PART.strip()]
+
+
+def test_sibling_articles_are_kept():
+    html = f"<body><div>Top</div><article><h1>One</h1><p>{LONG}</p></article><article><h1>Two</h1><p>{HALF}</p></article></body>"
+    assert html_extract.extract(html).split("\n") == ["One", LONG.strip(), "Two", HALF.strip()]
+
+
+@pytest.mark.parametrize("mark", ["with-sidebar", "has_comments", "layout hasSidebar", "no-comments"])
+def test_a_wrapper_is_not_what_its_class_says_it_has(mark):
+    html = f'<body><div class="{mark}"><div><p>{LONG}</p><p>{LONG}</p></div><div class="sidebar">links</div><div class="sidebar-box">more links</div></div></body>'
+    assert html_extract.extract(html).split("\n") == [LONG.strip()] * 2
+
+
 def test_extract_pages(spark):
     rows = [(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, None), (2, "v", "<p>" + "long " * 200_000, "x")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
