@@ -12,7 +12,7 @@ Only the benchmark goes to the tasks, and its size is checked; a larger one is
 cut into groups of items, and each group scans the documents on its own.  Texts are
 scanned one by one, so neither a hot source nor a group of copies gathers
 anywhere.  Null and blank texts and items match nothing; an item shorter than
-``least_chars`` is left out, as it would match by chance.
+``least_chars`` is met without edits and as whole words only, as others would match by chance.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ EDIT_SHARE = 0.07
 LEAST_CHARS = 40
 GROUP_CHARS = 8 << 20
 _OTHER = re.compile(r"[\W_]+")
+#: Letters of scripts that put no blanks between words (Thai to Lao, Burmese, Khmer, Chinese and Japanese).
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
 
 
 def plain(text: str | None) -> str:
@@ -40,6 +42,11 @@ def plain(text: str | None) -> str:
     return _OTHER.sub(" ", unicodedata.normalize("NFC", text or "").lower()).strip()
 
 
+def word_edge(text: str, at: int) -> bool:
+    """Whether a word may begin or end before position ``at`` of a plain text."""
+    return at in (0, len(text)) or " " in text[at - 1:at + 1] or _UNSPACED.search(text, at - 1, at + 1) is not None
+
+
 def myers(pattern: str, text: str, most: int) -> tuple[int, int]:
     """(least distance, end) over all substrings of ``text``; ends early below nothing over ``most``.
 
@@ -75,15 +82,19 @@ class Items:
     """Items as (id, plain text, edits), ready to be searched for."""
 
     items: tuple[tuple[int, str, int], ...]
+    short: tuple[tuple[int, str], ...] = ()  # (id, plain text) of those that are met without edits, as whole words
 
     @classmethod
     def of(cls, rows: list[tuple[int, str]], edit_share: float, least_chars: int) -> Items:
         texts = [(i, plain(t)) for i, t in rows]
-        return cls(tuple((i, t, int(edit_share * len(t))) for i, t in texts if len(t) >= least_chars))
+        long = tuple((i, t, int(edit_share * len(t))) for i, t in texts if t and len(t) >= least_chars)
+        return cls(long, tuple((i, t) for i, t in texts if 0 < len(t) < least_chars))
 
     def automaton(self) -> ahocorasick.Automaton:
-        """Pieces of all items, each with (item number, offset of the piece in the item)."""
+        """Pieces of all items, each with (item number, offset of the piece in the item); short ones are whole, numbered after the others."""
         a = ahocorasick.Automaton()
+        for n, (_, text) in enumerate(self.short, len(self.items)):
+            a.add_word(text, [*a.get(text, []), (n, 0, len(text))])
         for n, (_, text, edits) in enumerate(self.items):
             cuts = [len(text) * k // (edits + 1) for k in range(edits + 2)]
             for lo, hi in zip(cuts, cuts[1:]):
@@ -101,6 +112,11 @@ class Items:
         done: dict[int, list[int]] = {}  # item -> where bands already verified begin
         for end, places in automaton.iter(text):
             for n, lo, hi in places:
+                if n >= len(self.items):
+                    item = self.short[n - len(self.items)][0]
+                    if found.get(item, (1, 0))[0] and word_edge(text, end + 1 - hi) and word_edge(text, end + 1):
+                        found[item] = 0, end + 1
+                    continue
                 item, pattern, edits = self.items[n]
                 start = end + 1 - hi  # of the item, were there no edit
                 if found.get(item, (1, 0))[0] == 0 or any(abs(start - x) <= edits for x in done.get(n, ())[-8:]):

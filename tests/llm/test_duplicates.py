@@ -249,3 +249,11 @@ def test_leaks(spark, corpus, words):
     assert all(r["items"] == [] for r in decontaminate.leaks(docs, bench.limit(0)).collect())
     groups = list(decontaminate.item_groups(bench, 0.07, 40, group_chars=300))
     assert len(groups) > 3 and sum(len(g.items) for g in groups) == 12
+
+
+def test_short_items_are_found_as_whole_words(spark, corpus, words):
+    bench = spark.createDataFrame([(1, "What is the art of war?"), (2, "巴黎是哪个国家的首都？"), (3, "Who?"), (4, " ?! "), (5, words(1, 30)), (6, "art of war")], "item_id long, text string")
+    rows = [(1, "So: WHAT is -- the art of war, then"), (2, "问题：请问巴黎是哪个国家的首都呢"), (3, "what is the smart of warm"), (4, "whose"), (5, "a. Who"), (6, None), (7, words(1, 30) + " who"), (8, "what is the art if war")]
+    out = {r.doc_id: r for r in decontaminate.leaks(corpus(rows), bench).collect()}
+    assert {i: r["items"] for i, r in out.items()} == {1: [1, 6], 2: [2], 3: [], 4: [], 5: [3], 6: [], 7: [3, 5], 8: []}
+    assert out[1].distances == [0, 0] and out[1].ends == [len("so what is the art of war")] * 2
