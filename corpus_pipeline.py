@@ -36,11 +36,17 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one of the smallest doc_id."""
+    """One document of each group of near copies: the one of the smallest doc_id.
+
+    Texts under one doc_id are documents of their own, told apart by their hash.
+    Of rows with equal doc_id and text, the least by its other columns' JSON stays."""
     ship_package(spark)
-    kept = minhash.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    kept = stage(kept, "kept").withColumnRenamed("doc_id", "_kept_id")
-    known = docs.join(kept, F.col("doc_id") == F.col("_kept_id")).drop("_kept_id").dropDuplicates(["doc_id"])  # equal rows are copies too
+    key = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", F.xxhash64("text").alias("text_hash")))
+    kept = minhash.near_duplicates(docs.select(key.alias("doc_id"), "text")).where("kept and doc_id is not null").select("doc_id").distinct()
+    kept = stage(kept, "kept").withColumnRenamed("doc_id", "_kept")
+    known = docs.withColumn("_key", key).join(kept, F.col("_key") == F.col("_kept"))
+    order = F.to_json(F.struct(*_names(docs.drop("text"))))
+    known = known.groupBy("_key").agg(F.min_by(F.struct(*_names(docs)), order).alias("_row")).select("_row.*")
     return known.union(docs.where("doc_id is null"))  # linked with nothing
 
 

@@ -188,6 +188,15 @@ def test_pipeline_stages_keep_columns_and_take_odd_rows(spark, corpus):
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 0, 1, 2, 3]
 
 
+def test_near_copies_keep_other_texts_under_a_reused_id(spark, words):
+    a, b, c = words(1, 50), words(2, 50), words(3, 50)
+    rows = [(1, a, "x"), (2, a + " end", "x"), (2, b, "z"), (2, b, "y"), (3, c, "x"), (3, None, "x"), (4, b, "x"), (None, a, "x")]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, source string")
+        kept = {(r.doc_id, r.text, r.source) for r in corpus_pipeline.near_copies(spark, docs, SF).collect()}
+        assert kept == {(1, a, "x"), (2, b, "y"), (3, c, "x"), (3, None, "x"), (None, a, "x")}
+
+
 def test_sql_queries(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
