@@ -139,6 +139,42 @@ def word_bounds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+def byte_class(*members: str) -> np.ndarray:
+    """A table over the byte values, true for the given ASCII characters and ranges ("a-z")."""
+    out = np.zeros(256, bool)
+    for m in members:
+        out[ord(m[0]):ord(m[-1]) + 1] = True
+    return out
+
+
+def words_within(raw: np.ndarray, offsets: np.ndarray, blank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of a buffer of texts; ``blank`` says which bytes
+    part words, and a word never goes from one text into the next."""
+    word = ~blank[raw]
+    head, tail = word.copy(), word.copy()
+    head[1:] &= ~word[:-1]
+    tail[:-1] &= ~word[1:]
+    cut = offsets[(offsets > 0) & (offsets < len(raw))]
+    head[cut] = word[cut]
+    tail[cut - 1] = word[cut - 1]
+    return np.flatnonzero(head), np.flatnonzero(tail) + 1
+
+
+def word_dictionary(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.DictionaryArray:
+    """The words as a dictionary-encoded array: exact numbers, in order of first occurrence."""
+    change = np.zeros(len(raw) + 1, np.int8)
+    change[starts] += 1
+    np.add.at(change, ends, -1)
+    data = raw[np.cumsum(change[:-1], dtype=np.int8).astype(bool)]
+    offsets = np.append(0, np.cumsum(ends - starts))
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+
+
+def word_numbers(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The numbers of ``word_dictionary``."""
+    return word_dictionary(raw, starts, ends).indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def windows_hash(words: np.ndarray, n: int) -> np.ndarray:
     """Ordered 64-bit hashes of the ``n``-word windows."""
     h = np.zeros(max(0, len(words) - n + 1), np.uint64)

@@ -8,6 +8,7 @@ from redactflow.llm.language_id import op9_language_id
 from redactflow.llm.line_dedup import OP8_SQL, op8_line_dedup
 from redactflow.llm.minhash import OP4_SQL, op4_minhash_near_dedup
 from redactflow.llm.packing import op3_packing
+from redactflow.llm.periodic_runs import op11_periodic_runs
 from redactflow.llm.pu_quality import op10_quality_classifier
 from redactflow.llm.quality_rules import OP6_SQL, op6_quality_rules
 from redactflow.llm.suffix_dedup import op7_suffix_array_dedup
@@ -24,4 +25,5 @@ QUERIES = {
     "op8_line_dedup": (op8_line_dedup, OP8_SQL),
     "op9_language_id": (op9_language_id, None),
     "op10_quality_classifier": (op10_quality_classifier, None),
+    "op11_periodic_runs": (op11_periodic_runs, None),
 }
