@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from redactflow.llm.dac_files import op12_token_id_output
 from redactflow.llm.decontaminate import op2_benchmark_decontamination
 from redactflow.llm.html_extract import op1_html_extraction
 from redactflow.llm.language_id import op9_language_id
@@ -26,4 +27,5 @@ QUERIES = {
     "op9_language_id": (op9_language_id, None),
     "op10_quality_classifier": (op10_quality_classifier, None),
     "op11_periodic_runs": (op11_periodic_runs, None),
+    "op12_token_id_output": (op12_token_id_output, None),
 }
