@@ -139,6 +139,18 @@ def word_bounds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+def lower_bytes(raw: np.ndarray) -> np.ndarray:
+    """A-Z lower-cased."""
+    return _LOWER[raw]
+
+
+def binary_bytes(column: pa.Array) -> np.ndarray:
+    """All bytes of a binary column without nulls, one row after another."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32, len(column) + 1, column.offset * 4)
+    return np.frombuffer(data, np.uint8)[at[0]:at[-1]] if data is not None else np.zeros(0, np.uint8)
+
+
 def byte_class(*members: str) -> np.ndarray:
     """A table over the byte values, true for the given ASCII characters and ranges ("a-z")."""
     out = np.zeros(256, bool)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from redactflow.llm.collocations import OP13_SQL, op13_phrase_collocations
 from redactflow.llm.dac_files import op12_token_id_output
 from redactflow.llm.decontaminate import op2_benchmark_decontamination
 from redactflow.llm.html_extract import op1_html_extraction
@@ -28,4 +29,5 @@ QUERIES = {
     "op10_quality_classifier": (op10_quality_classifier, None),
     "op11_periodic_runs": (op11_periodic_runs, None),
     "op12_token_id_output": (op12_token_id_output, None),
+    "op13_phrase_collocations": (op13_phrase_collocations, OP13_SQL),
 }
