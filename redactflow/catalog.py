@@ -408,16 +408,17 @@ def q_threshold_filter(spark, sf_dir):
     return _doc_entities(TB.customer_forms(spark, sf_dir), ScrubConfig(threshold=0.985)).select(*_doc_entity_cols())
 
 
-_LEAD_CAND = r"(?U)^[\s\x1c-\x1f]*([A-Z][a-z]+(?:[\s\x1c-\x1f]+[A-Z][a-z]+){1,3})"
+_CANDIDATES = r"(?U)[A-Z][a-z]+(?:[\s\x1c-\x1f]+[A-Z][a-z]+){1,3}"
 
 
-@register("looks_like_name", "SELECT doc_id, cand AS candidate, " + O.name_check_sql("cand") + " AS is_name FROM ("
-          "SELECT doc_id, regexp_extract(text, " + O.q("^[" + O._PY_WS + "]*([A-Z][a-z]+(?:[" + O._PY_WS
-          + "]+[A-Z][a-z]+){1,3})") + ", 1) AS cand FROM documents) WHERE length(cand) > 0")
+@register("looks_like_name", "SELECT doc_id, CAST(i - 1 AS BIGINT) AS idx, cands[i] AS candidate, " + O.name_check_sql("cands[i]") + " AS is_name FROM ("
+          "SELECT *, unnest(range(1, len(cands) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, "
+          + O.q("[A-Z][a-z]+(?:[" + O._PY_WS + "]+[A-Z][a-z]+){1,3}") + ") AS cands FROM documents))")
 def q_looks_like_name(spark, sf_dir):
-    cand = F.regexp_extract(F.col("text"), _LEAD_CAND, 1)
-    docs = TB.documents(spark, sf_dir).select("doc_id", cand.alias("candidate")).where(F.length("candidate") > 0)
-    return docs.select("doc_id", "candidate", D.looks_like_name(F.col("candidate")).alias("is_name"))
+    """Every run of two to four capitalised words of every text."""
+    docs = TB.documents(spark, sf_dir).select("doc_id", F.regexp_extract_all("text", F.lit(_CANDIDATES), F.lit(0)).alias("cands"))
+    rows = explode_structs(docs, "cands", ["doc_id"])
+    return rows.select("doc_id", F.col("pos").cast("long").alias("idx"), F.col("x").alias("candidate"), D.looks_like_name(F.col("x")).alias("is_name"))
 
 
 @register("length_confidence", _with(O.DOCS_SRC, "SELECT doc_id, idx, text, CASE WHEN length(text) > 3 "
@@ -431,11 +432,13 @@ def q_length_confidence(spark, sf_dir):
 @register("context_slice", _with(O.DOCS_SRC, """SELECT e.doc_id, e.idx, lower(substring(d.text, greatest(e.s - 100, 0) + 1,
   e.e + 100 - greatest(e.s - 100, 0))) AS slice FROM ents e JOIN documents d ON d.doc_id = e.doc_id"""))
 def q_context_slice(spark, sf_dir):
-    from redactflow.functions.text import context_slice
+    from redactflow.functions.arrays import let
+    from redactflow.functions.text import CHUNK, chunks, context_slice_of
     docs = detect(TB.documents(spark, sf_dir))
-    rows = explode_structs(docs.select("doc_id", "text", "entities"), "entities", ["doc_id", "text"])
-    return rows.select("doc_id", F.col("pos").cast("long").alias("idx"),
-                       context_slice(F.col("text"), F.col("x.s"), F.col("x.e")).alias("slice"))
+    # the text is cut once per document; no entity row carries it
+    slices = let(chunks(F.col("text"), CHUNK), lambda pieces: F.transform("entities", lambda x: context_slice_of(pieces, x["s"], x["e"])))
+    rows = explode_structs(docs.select("doc_id", slices.alias("slices")), "slices", ["doc_id"])
+    return rows.select("doc_id", F.col("pos").cast("long").alias("idx"), F.col("x").alias("slice"))
 
 
 def _minimal_sql() -> str:
@@ -472,8 +475,12 @@ def q_card_luhn_flag(spark, sf_dir):
 
 # ---- 2.4 overlaps, 2.7 corpus pseudonyms ------------------------------------------
 
-@register("overlap_pairs", _with(O.DOCS_SRC, """SELECT a.doc_id, a.idx AS a_idx, b.idx AS b_idx FROM ents a JOIN ents b
-  ON a.doc_id = b.doc_id AND a.idx < b.idx AND b.s < a.e AND a.s < b.e"""))
+# spans meet in the position bucket where their overlap starts, as a span lies in each bucket that it touches
+@register("overlap_pairs", _with(O.DOCS_SRC, """SELECT a.doc_id, a.idx AS a_idx, b.idx AS b_idx FROM placed a JOIN placed b
+  ON a.doc_id = b.doc_id AND a.bucket = b.bucket AND a.bucket = greatest(a.s, b.s) // 256
+WHERE a.idx < b.idx AND b.s < a.e AND a.s < b.e""",
+                                  "spans AS MATERIALIZED (SELECT doc_id, idx, s, e FROM ents)",
+                                  "placed AS MATERIALIZED (SELECT *, unnest(range(s // 256, greatest(e - 1, s) // 256 + 1)) AS bucket FROM spans)"))
 def q_overlap_pairs(spark, sf_dir, src=TB.documents):
     from redactflow.operators.report import overlap_pairs
     return overlap_pairs(_doc_entities(src(spark, sf_dir)))

@@ -52,6 +52,49 @@ def first_of_groups(sorted_arr: Column, key_fields: Sequence[str]) -> Column:
     return let(sorted_arr, body)
 
 
+#: Items that a collecting fold gathers before it puts them aside.
+PART = 64
+
+
+def fold_collect(arr: Column, state: Column, step: Callable[[Column, Column], tuple[Column, Column, Column]],
+                 item_type: str, last: Callable[[Column], Column] | None = None) -> Column:
+    """Fold over ``arr`` that collects items: ``step(state, x)`` gives the next
+    state, whether to collect, and the item (of type ``item_type``).  ``last``
+    gives an array that is added at the end from the final state.
+
+    Appending to one array copies it at every step.  Here items go to a short
+    part, and full parts to a list of parts, so a fold over n items copies
+    about ``n * (PART / 2 + n / PART ** 2)`` references.
+    """
+    start = F.struct(state.alias("state"), F.array().cast(f"array<{item_type}>").alias("part"),
+                     F.array().cast(f"array<array<{item_type}>>").alias("parts"))
+
+    def one(acc: Column, x: Column) -> Column:
+        following, collect, item = step(acc["state"], x)
+        grown = F.when(collect, F.concat(acc["part"], F.array(item))).otherwise(acc["part"])
+        return let(grown, lambda part: F.struct(
+            following.alias("state"), F.when(F.size(part) < PART, part).otherwise(F.slice(part, 1, 0)).alias("part"),
+            F.when(F.size(part) < PART, acc["parts"]).otherwise(F.concat(acc["parts"], F.array(part))).alias("parts")))
+
+    def whole(acc: Column) -> Column:
+        rest = [last(acc["state"])] if last is not None else []
+        return F.concat(F.flatten(acc["parts"]), acc["part"], *rest)
+
+    return F.aggregate(arr, start, one, whole)
+
+
+def group_starts(sorted_arr: Column, key_fields: Sequence[str]) -> Column:
+    """1-based positions where a run of equal ``key_fields`` starts in a sorted array."""
+    def starts(p: Column) -> Column:
+        differs = F.lit(False)
+        for f in key_fields:
+            differs = differs | ~F.element_at(sorted_arr, p)[f].eqNullSafe(F.element_at(sorted_arr, F.greatest(p - 1, F.lit(1)))[f])
+        return (p == 1) | differs
+
+    places = F.when(F.size(sorted_arr) > 0, F.sequence(F.lit(1), F.size(sorted_arr))).otherwise(F.array().cast("array<int>"))
+    return F.filter(places, starts)
+
+
 def memoized(fn):
     """Cache an expression builder per Spark context.
 

@@ -85,6 +85,22 @@ def _spans_two_scans(text: Column, java_pattern: str | Column, group: int) -> Co
     return _positions(parts, group)
 
 
+def free_mark(text: Column, most_chars: int, may_hold: Column | bool = True) -> Column:
+    """A character that ``text``, of at most ``most_chars`` code points, doesn't hold:
+    of one more private-use characters than that, one is always free.  Where
+    ``may_hold`` (of a text around this one) is false, the first one is."""
+    free = F.element_at(F.array_except(F.split(F.lit(private_use(most_chars + 1)), ""), F.split(text, "")), 1)
+    return F.when(may_hold, free).otherwise(F.lit(MARK)) if isinstance(may_hold, Column) else free
+
+
+def private_use(n: int) -> str:
+    """The first ``n`` private-use characters."""
+    points = [*range(0xE000, 0xF900), *range(0xF0000, 0xFFFFE), *range(0x100000, 0x10FFFE)][:n]
+    if len(points) < n:
+        raise ValueError("windows are shorter than the private-use area")
+    return "".join(map(chr, points))
+
+
 def _spans_one_scan(text: Column, java_pattern: str | Column, group: int, mark: str | Column = MARK) -> Column:
     """One regex pass: ``regexp_replace`` writes MARK match MARK [group MARK]
     around every match, and a split on the single MARK character (Java's
@@ -114,7 +130,7 @@ def _spans_one_scan(text: Column, java_pattern: str | Column, group: int, mark:
     return let(pieces, body)
 
 
-def find_spans(text: Column, java_pattern: str | Column, group: int = 0) -> Column:
+def find_spans(text: Column, java_pattern: str | Column, group: int = 0, mark: Column | None = None) -> Column:
     """All non-overlapping matches of ``java_pattern`` (a string or a column) in ``text``.
 
     Returns ``array<struct<s:int, e:int, text:string>>`` with 0-based,
@@ -122,7 +138,10 @@ def find_spans(text: Column, java_pattern: str | Column, group: int = 0) -> Colu
     and a column, with the pattern's own groups and back-references as they are.  ``group=1`` reports
     capture group 1, which must end where the match ends (true for every
     contextual rule), so its start is ``match end - length(group 1)``.
+    ``mark``: a character known to be free in ``text`` (see ``free_mark``); one search form is then planned, else three.
     """
+    if mark is not None:
+        return _spans_one_scan(text, java_pattern, group, mark)
     free = F.coalesce(*[F.when(~text.contains(m), F.lit(m)) for m in MARKS[1:]])
     marked = F.when(free.isNull(), _spans_two_scans(text, java_pattern, group)).otherwise(
         _spans_one_scan(text, java_pattern, group, free))

@@ -52,8 +52,9 @@ def context_boost(entities: Column, text: Column, radius: int = CONTEXT_RADIUS)
         return x.withField("confidence", let(context_slice_of(pieces, x["s"], x["e"], radius), lambda sl: F.least(
             x["confidence"] + anchor_boost(sl), F.lit(BOOST_CAP))))
 
-    return F.when(F.size(entities) == 0, entities).otherwise(
-        let(chunks(text, CHUNK), lambda pieces: F.transform(entities, lambda x: one(pieces, x))))
+    # the entities are bound first: unbound, the whole detection would be planned and run at each use
+    return let(entities, lambda found: F.when(F.size(found) == 0, found).otherwise(
+        let(chunks(text, CHUNK), lambda pieces: F.transform(found, lambda x: one(pieces, x)))))
 
 
 def domain_pattern_lookup(patterns: DataFrame, domain: str) -> DataFrame:

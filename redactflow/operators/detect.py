@@ -13,8 +13,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from redactflow.functions.arrays import first_of_groups, let, sort_structs
-from redactflow.functions.spans import find_spans, leading_span
+from redactflow.functions.arrays import first_of_groups, fold_collect, let, sort_structs
+from redactflow.functions.spans import MARK, find_spans, free_mark, leading_span
 from redactflow.functions.text import context_windows
 from redactflow.operators.rules import NAME_BLOCKLIST, NAME_TOKEN_SHAPE, PY_SPACE_EXTRA, Rule
 
@@ -51,9 +51,9 @@ def _guarded(text: Column, rule: Rule, spans: Column) -> Column:
     return F.when(cond, spans).otherwise(F.array().cast(ENTITIES_TYPE))
 
 
-def rule_entities(text: Column, rule: Rule, window_id: Column | None = None) -> Column:
-    """Entities of one rule in ``text`` (window offsets)."""
-    raw = leading_span(text, rule.java) if rule.anchored else find_spans(text, rule.java, rule.group)
+def rule_entities(text: Column, rule: Rule, window_id: Column | None = None, mark: Column | None = None) -> Column:
+    """Entities of one rule in ``text`` (window offsets); ``mark`` as in ``find_spans``."""
+    raw = leading_span(text, rule.java) if rule.anchored else find_spans(text, rule.java, rule.group, mark)
     if rule.name_check:
         raw = F.filter(raw, lambda x: looks_like_name(x["text"]))
     wid = window_id if window_id is not None else F.lit(None).cast("int")
@@ -69,9 +69,9 @@ def rule_entities(text: Column, rule: Rule, window_id: Column | None = None) ->
 
 
 def union_detectors(text: Column, rules: Sequence[Rule], window_id: Column | None = None,
-                    external: Column | None = None) -> Column:
+                    external: Column | None = None, mark: Column | None = None) -> Column:
     """Concatenation of all rule results in rule order, then external spans."""
-    parts = [rule_entities(text, r, window_id) for r in rules]
+    parts = [rule_entities(text, r, window_id, mark) for r in rules]
     if external is not None:
         parts.append(external)
     return F.concat(*parts) if len(parts) > 1 else parts[0]
@@ -88,12 +88,36 @@ def rebase(entities: Column, offset: Column) -> Column:
     return F.transform(entities, lambda x: x.withField("s", x["s"] + offset).withField("e", x["e"] + offset))
 
 
-def external_in_window(external: Column, w: Column) -> Column:
-    """External spans (document offsets) lying inside window ``w``, at window
-    offsets: what a model run on the window text would have reported."""
-    inside = F.filter(external, lambda x: (x["s"] >= w["start_char"]) & (x["e"] <= w["end_char"]))
-    return F.transform(inside, lambda x: x.withField("s", x["s"] - w["start_char"])
-                       .withField("e", x["e"] - w["start_char"]).withField("window_id", w["window_id"]))
+def external_by_window(external: Column, windows: Column, size: int, overlap: int) -> Column:
+    """``struct<spans, at>``: the external spans (document offsets), once for each
+    window that holds them, in window order, and where each window's lie.
+
+    Which windows hold a span follows from its start and end, so no window is
+    tested against the document's span list.  A marker for every window is
+    sorted in before its spans; the markers' places are the windows' bounds.
+    """
+    step = size - overlap
+
+    def held(x: Column, k: Column) -> Column:
+        first = F.greatest(F.ceil((x["e"] - size) / step), F.lit(0)).cast("int")
+        last = F.least(F.floor(x["s"] / step).cast("int"), F.size(windows) - 1)
+        entry = lambda i: F.struct(i.alias("window_id"), k.alias("k"), x.alias("x"))
+        return F.when(first <= last, F.transform(F.sequence(first, F.greatest(first, last)), entry)).otherwise(F.array().cast(kind))
+
+    kind = T.ArrayType(T.StructType([T.StructField("window_id", T.IntegerType()), T.StructField("k", T.IntegerType()), T.StructField("x", ENTITY_TYPE)]))
+    markers = F.transform(windows, lambda w: F.struct(w["window_id"].alias("window_id"), F.lit(-1).alias("k"), F.lit(None).cast(ENTITY_TYPE).alias("x")))
+    sorted_in = F.array_sort(F.concat(F.flatten(F.transform(external, held)), markers))
+    return let(sorted_in, lambda r: F.struct(r.alias("spans"), F.filter(
+        F.transform(r, lambda y, p: F.when(y["k"] < 0, p + 1)), lambda p: p.isNotNull()).alias("at")))
+
+
+def external_in_window(placed: Column, w: Column) -> Column:
+    """The external spans lying inside window ``w``, at window offsets: what a
+    model run on the window text would have reported."""
+    start = F.element_at(placed["at"], w["window_id"] + 1) + 1
+    stop = F.coalesce(F.get(placed["at"], w["window_id"] + 1), F.size(placed["spans"]) + 1)
+    return F.transform(F.slice(placed["spans"], start, stop - start), lambda y: y["x"].withField("s", y["x"]["s"] - w["start_char"])
+                       .withField("e", y["x"]["e"] - w["start_char"]).withField("window_id", w["window_id"]))
 
 
 # Necessary condition for every unanchored default rule: e-mail needs "@",
@@ -144,33 +168,31 @@ def detect_windows(text: Column, rules: Sequence[Rule], size: int = 500, overlap
     guard = combined_guard(rules)
     anchored = [r for r in rules if r.anchored]
 
-    def per_window(w: Column, use: Sequence[Rule], windows_guard: str | None) -> Column:
-        ext = external_in_window(external, w) if external is not None else None
-        ents = union_detectors(w["content"], use, w["window_id"], ext) if (use or ext is not None) \
-            else F.array().cast(ENTITIES_TYPE)
+    def detected(w: Column, use: Sequence[Rule], ext: Column | None, mark: Column) -> Column:
+        if not use and ext is None:
+            return F.array().cast(ENTITIES_TYPE)
+        ents = union_detectors(w["content"], use, w["window_id"], ext, mark)
         # one rule alone never reports one span twice: the dedup is needed only
         # when several detectors meet
-        if dedup and len(use) + (ext is not None) > 1:
-            ents = dedup_window_spans(ents)
-        if windows_guard is not None:
-            if anchored or ext is not None:
-                few = union_detectors(w["content"], anchored, w["window_id"], ext) if anchored else ext
-                if dedup and len(anchored) + (ext is not None) > 1:
-                    few = dedup_window_spans(few)
-            else:
-                few = F.array().cast(ENTITIES_TYPE)
-            ents = F.when(prefilter(w["content"], windows_guard), ents).otherwise(few)
-        return rebase(ents, w["start_char"])
+        return dedup_window_spans(ents) if dedup and len(use) + (ext is not None) > 1 else ents
 
-    windows = context_windows(text, size, overlap)
-    full = F.flatten(F.transform(windows, lambda w: per_window(w, rules, guard)))
-    if guard is None:
-        return full
-    # A document without any prefilter hit can only hold anchored-rule hits.
-    light = F.flatten(F.transform(windows, lambda w: per_window(w, anchored, None)))
-    return F.when(prefilter(text, guard), full).otherwise(light)
+    def per_window(doc: Column, w: Column) -> Column:
+        ext = external_in_window(doc["external"], w) if external is not None else None
+        # one free mark serves all rules of a window
+        full = let(free_mark(w["content"], size, doc["marked"]), lambda mark: detected(w, rules, ext, mark))
+        if guard is not None:
+            # a document without any prefilter hit has no window with one
+            full = F.when(doc["hit"] & prefilter(w["content"], guard), full).otherwise(detected(w, anchored, ext, None))
+        return rebase(full, w["start_char"])
 
+    # the windows and the tests of the whole text are bound once per document
+    def doc(windows: Column) -> Column:
+        fields = [windows.alias("windows"), text.contains(MARK).alias("marked"), (prefilter(text, guard) if guard is not None else F.lit(True)).alias("hit")]
+        if external is not None:
+            fields.append(external_by_window(external, windows, size, overlap).alias("external"))
+        return F.struct(*fields)
 
+    return let(let(context_windows(text, size, overlap), doc), lambda d: F.flatten(F.transform(d["windows"], lambda w: per_window(d, w))))
 
 
 _KEY = ["s", "e", "entity_type", "text"]
@@ -192,22 +214,21 @@ def drop_handles_in_urls(entities: Column) -> Column:
     """Remove PROFILE_HANDLE entities lying inside a URL entity of the document.
 
     In order of start (URLs before handles of the same start) a handle is
-    inside a URL if the furthest URL end so far reaches its own end.
+    inside a URL if the furthest URL end so far reaches its own end.  The
+    others keep their order, that of ``dedup_document_spans``.
     """
     def body(arr: Column) -> Column:
         is_url = lambda x: x["entity_type"] == "URL"
-        order = sort_structs(F.transform(arr, lambda x: F.struct(
-            x["s"].alias("s"), F.when(is_url(x), 0).otherwise(1).alias("k"), x["e"].alias("e"), x.alias("x"))), [("s", False), ("k", False), ("e", False)])
-        start = F.struct(F.lit(-1).alias("reach"), F.slice(arr, 1, 0).alias("kept"))
+        # (start, URLs first, end, handle or not, place) in natural order; the fold collects places, not entities
+        order = F.array_sort(F.transform(arr, lambda x, i: F.struct(
+            x["s"].alias("s"), F.when(is_url(x), 0).otherwise(1).alias("k"), x["e"].alias("e"), (x["entity_type"] == "PROFILE_HANDLE").alias("handle"), (i + 1).alias("i"))))
 
-        def step(acc, y):
-            inside = (y["x"]["entity_type"] == "PROFILE_HANDLE") & (acc["reach"] >= y["e"])
-            return F.struct(F.when(y["k"] == 0, F.greatest(acc["reach"], y["e"])).otherwise(acc["reach"]).alias("reach"),
-                            F.when(inside, acc["kept"]).otherwise(F.concat(acc["kept"], F.array(y["x"]))).alias("kept"))
+        def step(reach: Column, y: Column) -> tuple[Column, Column, Column]:
+            return F.when(y["k"] == 0, F.greatest(reach, y["e"])).otherwise(reach), ~(y["handle"] & (reach >= y["e"])), y["i"]
 
-        fold = F.aggregate(order, start, step, lambda acc: sort_structs(acc["kept"], [("s", False), ("e", False), ("window_id", False)]))
+        kept = F.transform(F.array_sort(fold_collect(order, F.lit(-1), step, "int")), lambda i: F.element_at(arr, i))
         both = F.exists(arr, is_url) & F.exists(arr, lambda x: x["entity_type"] == "PROFILE_HANDLE")
-        return F.when(both, fold).otherwise(arr)
+        return F.when(both, kept).otherwise(arr)
 
     return let(entities, body)
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from redactflow.functions.arrays import first_of_groups, let, memoized, sort_structs
+from redactflow.functions.arrays import first_of_groups, fold_collect, group_starts, let, memoized, sort_structs
 from redactflow.functions.masks import mask_full, mask_partial, mask_placeholder, pseudonym_prefix, replacement
 from redactflow.functions.text import CHUNK, chunks, html_escape, slice_of
 
@@ -27,36 +27,48 @@ def document_order(entities: Column) -> Column:
     return sort_structs(entities, DOCUMENT_ORDER)
 
 
-def pseudonym_table(entities_redaction_order: Column) -> Column:
-    """Per document, ``(text, type) -> USER_<TYP>_<n>``.
+def _named_keys(entities: Column) -> Column:
+    """``array<struct<i, text, entity_type, name, members>>``: the distinct (text, type)
+    keys by first encounter in redaction order, their names, and where in ``entities`` they occur.
 
-    First encounter in redaction order numbers a key; ``n`` counts the names
-    handed out so far that start with the same ``USER_<TYP>`` prefix, so
-    types sharing their first three letters share one counter.
-    Returns ``struct<keys: array<struct<text,entity_type>>, names: array<string>>``.
+    First encounter numbers a key; its number counts the names handed out so
+    far that start with the same ``USER_<TYP>`` prefix, so types sharing their
+    first three letters share one counter.  Keys are found by one sort and cut
+    out as slices of it, so the work is that of sorting the entities.
     """
-    def keys_of(arr: Column) -> Column:
-        numbered = F.transform(arr, lambda x, i: F.struct(
-            x["text"].alias("text"), x["entity_type"].alias("entity_type"), pseudonym_prefix(x["entity_type"]).alias("prefix"), i.alias("i")))
-        firsts = first_of_groups(sort_structs(numbered, [("text", False), ("entity_type", False), ("i", False)]), ["text", "entity_type"])
-        return sort_structs(firsts, [("prefix", False), ("i", False)])
+    def entry(x: Column, i: Column) -> Column:
+        return F.struct(x["text"].alias("text"), x["entity_type"].alias("entity_type"), i.alias("i"), x["j"].alias("j"))
 
-    def named(keys: Column) -> Column:
-        # keys of a prefix lie together: a key's number is its distance from the prefix's first
-        prefixes = F.transform(keys, lambda k: k["prefix"])
-        starts = let(prefixes, lambda p: F.transform(F.array_distinct(p), lambda x: F.struct(x.alias("prefix"), F.array_position(p, x).cast("int").alias("start"))))
+    placed = F.transform(entities, lambda x, j: F.struct(
+        x["s"].alias("s"), x["e"].alias("e"), x["window_id"].alias("window_id"), x["text"].alias("text"), x["entity_type"].alias("entity_type"), j.alias("j")))
+    entries = F.array_sort(F.transform(sort_structs(placed, REDACTION_ORDER), entry))
 
-        def name(starts: Column) -> Column:
-            return F.transform(keys, lambda k, i: F.struct(
-                k["text"].alias("text"), k["entity_type"].alias("entity_type"), k["i"].alias("i"),
-                F.concat(k["prefix"], F.lit("_"), (i + 2 - F.element_at(F.filter(starts, lambda s: s["prefix"] == k["prefix"]), 1)["start"]).cast("string")).alias("name")))
+    def keys(b: Column) -> Column:
+        n = F.size(b["sorted"])
 
-        in_order = sort_structs(let(starts, name), [("i", False)])
-        return let(in_order, lambda o: F.struct(
-            F.transform(o, lambda k: F.struct(k["text"].alias("text"), k["entity_type"].alias("entity_type"))).alias("keys"),
-            F.transform(o, lambda k: k["name"]).alias("names")))
+        def key(p: Column, g: Column) -> Column:
+            first = F.element_at(b["sorted"], p)
+            width = F.coalesce(F.get(b["starts"], g + 1), n + 1) - p
+            return F.struct(pseudonym_prefix(first["entity_type"]).alias("prefix"), first["i"].alias("i"), first["text"].alias("text"),
+                            first["entity_type"].alias("entity_type"), p.alias("p"), width.alias("width"))
 
-    return let(let(entities_redaction_order, keys_of), named)
+        return F.array_sort(F.transform(b["starts"], key))  # by prefix, then first encounter
+
+    def named(b: Column) -> Column:
+        prefixes = F.transform(b["keys"], lambda k: k["prefix"])
+        firsts = let(prefixes, lambda p: F.transform(F.array_distinct(p), lambda x: F.struct(x.alias("prefix"), F.array_position(p, x).cast("int").alias("start"))))
+
+        def name(firsts: Column) -> Column:  # a key's number is its distance from its prefix's first (there are as many prefixes as types at most)
+            return F.transform(b["keys"], lambda k, i: F.struct(
+                k["i"].alias("i"), k["text"].alias("text"), k["entity_type"].alias("entity_type"),
+                F.concat(k["prefix"], F.lit("_"), (i + 2 - F.element_at(F.filter(firsts, lambda s: s["prefix"] == k["prefix"]), 1)["start"]).cast("string")).alias("name"),
+                F.transform(F.slice(b["sorted"], k["p"], k["width"]), lambda e: e["j"]).alias("members")))
+
+        return F.array_sort(let(firsts, name))
+
+    with_starts = lambda e: F.struct(e.alias("sorted"), group_starts(e, ["text", "entity_type"]).alias("starts"))
+    with_keys = lambda b: F.struct(b["sorted"].alias("sorted"), keys(b).alias("keys"))
+    return let(let(let(entries, with_starts), with_keys), named)
 
 
 @memoized
@@ -64,16 +76,8 @@ def with_replacements(entities: Column, mode: str, pseudonymize: bool = False) -
     """Add a ``replacement`` field to each entity (array in any order)."""
     if mode not in ("full", "placeholder", "partial") and pseudonymize:
         def body(arr: Column) -> Column:
-            def with_table(table: Column) -> Column:
-                def one(x):
-                    key = F.struct(x["text"].alias("text"), x["entity_type"].alias("entity_type"))
-                    name = F.try_element_at(table["names"], F.array_position(table["keys"], key).cast("int"))
-                    return x.withField("replacement", name)
-
-                return F.transform(arr, one)
-
-            # bound once: a sub-expression used inside a lambda is re-evaluated per element
-            return let(pseudonym_table(redaction_order(arr)), with_table)
+            names = F.flatten(F.transform(_named_keys(arr), lambda k: F.transform(k["members"], lambda j: F.struct(j.alias("j"), k["name"].alias("name")))))
+            return F.zip_with(arr, F.array_sort(names), lambda x, y: x.withField("replacement", y["name"]))
 
         return let(entities, body)
     return F.transform(entities, lambda x: x.withField(
@@ -185,18 +189,16 @@ def redaction_metadata(entities_with_replacement: Column, timestamp: Column | No
 def merge_overlaps(entities_document_order: Column) -> Column:
     """Islands of overlapping spans: ``array<struct<s, e, n, entity_type>>``;
     the island keeps the type of its first span (document order)."""
-    init = F.array().cast("array<struct<s:int,e:int,n:int,entity_type:string>>")
+    island = "struct<s:int,e:int,n:int,entity_type:string>"
 
-    def step(acc, x):
-        last = F.try_element_at(acc, F.lit(-1))
-        grows = (F.size(acc) > 0) & (x["s"] < last["e"])
-        merged = last.withField("e", F.greatest(last["e"], x["e"])).withField("n", last["n"] + 1)
-        fresh = F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(1).alias("n"),
-                         x["entity_type"].alias("entity_type"))
-        return F.when(grows, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(merged))
-                      ).otherwise(F.concat(acc, F.array(fresh)))
+    def step(open_one: Column, x: Column) -> tuple[Column, Column, Column]:
+        grows = open_one["n"].isNotNull() & (x["s"] < open_one["e"])
+        merged = open_one.withField("e", F.greatest(open_one["e"], x["e"])).withField("n", open_one["n"] + 1)
+        fresh = F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(1).alias("n"), x["entity_type"].alias("entity_type"))
+        return F.when(grows, merged).otherwise(fresh).cast(island), open_one["n"].isNotNull() & ~grows, open_one
 
-    return F.aggregate(entities_document_order, init, step)
+    last = lambda open_one: F.when(open_one["n"].isNotNull(), F.array(open_one)).otherwise(F.array().cast(f"array<{island}>"))
+    return fold_collect(entities_document_order, F.lit(None).cast(island), step, island, last)
 
 
 def redact_merged(text: Column, entities: Column, mode: str) -> Column:
@@ -210,12 +212,14 @@ def redact_merged(text: Column, entities: Column, mode: str) -> Column:
 
 def greedy_nonoverlap(entities_document_order: Column) -> Column:
     """Left to right, skip a span starting before the end of the last kept one."""
-    def step(acc, x):
-        last_end = F.coalesce(F.try_element_at(acc, F.lit(-1))["e"], F.lit(0))
-        return F.when(x["s"] < last_end, acc).otherwise(F.concat(acc, F.array(x)))
-
     def body(arr: Column) -> Column:
-        return F.aggregate(arr, F.slice(arr, 1, 0), step)
+        # the fold collects places, not spans
+        def step(end: Column, y: Column) -> tuple[Column, Column, Column]:
+            keep = y["s"] >= end
+            return F.when(keep, y["e"]).otherwise(end), keep, y["i"]
+
+        spans = F.transform(arr, lambda x, i: F.struct(x["s"].alias("s"), x["e"].alias("e"), (i + 1).alias("i")))
+        return F.transform(fold_collect(spans, F.lit(0), step, "int"), lambda i: F.element_at(arr, i))
 
     return let(entities_document_order, body)
 
@@ -243,21 +247,15 @@ def term_replacements(metadata: Column, mode: str) -> Column:
         return mask_full(term)
 
     def body(md: Column) -> Column:
-        return let(F.filter(md, lambda m: F.length(m["original_text"]) > 0), with_nonempty)
-
-    def with_nonempty(nonempty: Column) -> Column:
-        terms = F.array_distinct(F.transform(nonempty, lambda m: m["original_text"]))
-
-        def last_type(t):
-            return F.try_element_at(F.filter(nonempty, lambda m: m["original_text"] == t), F.lit(-1))["entity_type"]
+        # one sort brings a term's rows together, the last one first
+        rows = F.transform(md, lambda m, i: F.struct(m["original_text"].alias("term"), (-i).alias("i"), m["entity_type"].alias("entity_type")))
+        return first_of_groups(F.array_sort(F.filter(rows, lambda r: F.length(r["term"]) > 0)), ["term"])
 
-        pairs = F.transform(terms, lambda t: F.struct(t.alias("term"), repl(t, last_type(t)).alias("repl")))
-        return F.array_sort(pairs, lambda a, b: F.when(F.length(a["term"]) > F.length(b["term"]), F.lit(-1))
-                            .when(F.length(a["term"]) < F.length(b["term"]), F.lit(1))
-                            .when(a["term"] < b["term"], F.lit(-1))
-                            .when(a["term"] > b["term"], F.lit(1)).otherwise(F.lit(0)))
+    def ordered(rows: Column) -> Column:
+        by_length = F.array_sort(F.transform(rows, lambda r: F.struct((-F.length(r["term"])).alias("n"), r["term"].alias("term"), r["entity_type"].alias("entity_type"))))
+        return F.transform(by_length, lambda r: F.struct(r["term"].alias("term"), repl(r["term"], r["entity_type"]).alias("repl")))
 
-    return let(metadata, body)
+    return let(let(metadata, body), ordered)
 
 
 def redact_terms(text: Column, terms: Column) -> Column:
@@ -267,7 +265,7 @@ def redact_terms(text: Column, terms: Column) -> Column:
 
 def pseudonym_entries(entities: Column) -> Column:
     """The document's pseudonym dictionary as
-    ``array<struct<text, entity_type, pseudonym>>`` (each key once), read
-    from the row: no shuffle to deduplicate."""
-    table = pseudonym_table(redaction_order(entities))
-    return F.arrays_zip(table["keys"].alias("k"), table["names"].alias("n"))
+    ``array<struct<k: struct<text, entity_type>, n: name>>`` (each key once, by
+    first encounter), read from the row: no shuffle to deduplicate."""
+    return F.transform(_named_keys(entities), lambda k: F.struct(
+        F.struct(k["text"].alias("text"), k["entity_type"].alias("entity_type")).alias("k"), k["name"].alias("n")))

@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from redactflow.functions.arrays import let
+from redactflow.functions.spans import MARK, free_mark
 from redactflow.functions.text import CONTEXT_RADIUS, context_windows
 from redactflow.operators import detect as D
 from redactflow.operators.boost import anchor_boost, BOOST_CAP
@@ -62,15 +64,18 @@ def entity_table_exploded(docs: DataFrame, text_col: str = "text", id_col: str =
     w = F.col("w")
 
     def detect_in(use) -> Column:
-        ents = D.union_detectors(w["content"], use, w["window_id"])
-        return D.dedup_window_spans(ents) if len(use) > 1 else ents
+        def ents(mark: Column) -> Column:
+            found = D.union_detectors(w["content"], use, w["window_id"], mark=mark)
+            return D.dedup_window_spans(found) if len(use) > 1 else found
+
+        return let(free_mark(w["content"], cfg.window_size, w["content"].contains(MARK)), ents)
 
     ents = detect_in(rules)
     if guard is not None:
         few = detect_in(anchored) if anchored else F.array().cast(D.ENTITIES_TYPE)
         ents = F.when(D.prefilter(w["content"], guard), ents).otherwise(few)
     if cfg.boost:
-        ents = _boost_in_window(ents, w)
+        ents = let(ents, lambda found: _boost_in_window(found, w))
     spans = (wins.select(id_col, w["start_char"].alias("ws"), F.posexplode_outer(ents).alias("p", "x"))
              .where(F.col("p").isNotNull())
              .select(id_col, (F.col("x.s") + F.col("ws")).alias("s"), (F.col("x.e") + F.col("ws")).alias("e"),

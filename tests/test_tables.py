@@ -58,7 +58,7 @@ def test_corpus_pseudonyms_match_single_window(spark):
     rows = [(d, q, f"t{(d * 7 + q) % 13}", ["EMAIL", "PERSON", "PERSON_NAME", "PHONE"][(d + q) % 4])
             for d in range(40) for q in range(5)]
     ents = spark.createDataFrame(rows, "doc_id long, seq long, text string, entity_type string")
-    got = {(r.text, r.entity_type): r.pseudonym for r in pseudonymize_corpus(ents, bucket_width=3).collect()}
+    got = {(r.text, r.entity_type): r.pseudonym for r in pseudonymize_corpus(ents, ranges=3).collect()}
     first = {}
     for d, q, t, ty in sorted(rows):
         first.setdefault((t, ty), (d, q))
