@@ -28,7 +28,7 @@ SHORT_ENDINGS, LONG_ENDINGS = ("s", "t", "m", "d"), ("re", "ve", "ll")
 class ByteEncoder:
     """Encodes with the byte-level tokenizer file at ``path``."""
 
-    def __init__(self, path: str, cache_pieces: int = 1_000_000):
+    def __init__(self, path: str, cache_pieces: int = 500_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.cut = self.tokenizer.model, self.tokenizer.pre_tokenizer.pre_tokenize_str
         self.specials = {t.content.encode(): i for i, t in self.tokenizer.get_added_tokens_decoder().items()}

@@ -41,7 +41,9 @@ from redactflow.session import shared_dir
 
 END_ID = 0
 BLOCK_IDS = 1 << 18
-FILE_BLOCKS = 64
+FILE_BLOCKS = 16
+#: Chunks of at most so many bits: eight of them fit in one 64-bit word.
+MOST_WIDTH = 8
 PART_BYTES = 64 << 20
 MAGIC = b"DAC1"
 HEAD = struct.Struct("<4sIQIII")  # magic, part, ids before in the part, ids, documents, levels
@@ -50,20 +52,24 @@ SUPER = 512
 
 
 def chunk_widths(ids: np.ndarray) -> list[int]:
-    """Widths that make the block smallest, counting a continuation bit and its rank share for each chunk but the last."""
+    """Widths of at most 8 bits that make the block smallest, counting a continuation bit and its rank share for each chunk but the last."""
     bits = np.bincount(np.frexp(ids.astype(np.float64))[1], minlength=2)
     longest = max(1, int(np.flatnonzero(bits)[-1]) if len(ids) else 1)
     above = [int(bits[t + 1:].sum()) if t else int(bits.sum()) for t in range(longest)]  # ids that reach bit t
     best = {longest: (0.0, [])}
     for t in range(longest - 1, -1, -1):
-        best[t] = min((above[t] * (w + (0 if t + w == longest else 1 + 32 / SUPER)) + best[t + w][0], [w, *best[t + w][1]]) for w in range(1, longest - t + 1))
+        best[t] = min((above[t] * (w + (0 if t + w == longest else 1 + 32 / SUPER)) + best[t + w][0], [w, *best[t + w][1]]) for w in range(1, min(MOST_WIDTH, longest - t) + 1))
     return best[0][1]
 
 
 def pack_bits(values: np.ndarray, width: int) -> np.ndarray:
     """``values`` one after another in ``width`` bits each, with four spare bytes for reads."""
-    bits = ((values[:, None] >> np.arange(width, dtype=np.uint32)) & 1).astype(np.uint8)
-    return np.append(np.packbits(bits.ravel(), bitorder="little"), np.zeros(4, np.uint8))
+    eights = np.append(values, np.zeros(-len(values) % 8, values.dtype)).astype("<u8").reshape(-1, 8)
+    word = eights[:, 0]
+    for k in range(1, 8):
+        word = word | eights[:, k] << np.uint64(k * width)
+    packed = word.view(np.uint8).reshape(-1, 8)[:, :width].ravel()
+    return np.append(packed[:-(-len(values) * width // 8)], np.zeros(4, np.uint8))
 
 
 class Level:
@@ -82,9 +88,8 @@ class Level:
 
     def chunk(self, at: np.ndarray) -> np.ndarray:
         bit = at * self.width
-        b = bit >> 3
-        word = sum(self.chunks[b + k].astype(np.uint64) << np.uint64(8 * k) for k in range(4))
-        return ((word >> (bit & 7).astype(np.uint64)) & np.uint64((1 << self.width) - 1)).astype(np.uint32)
+        two = np.ndarray(len(self.chunks) - 1, "<u2", self.chunks.data, strides=(1,))  # two bytes from any byte on
+        return (two[bit >> 3] >> (bit & 7).astype(np.uint16) & np.uint16((1 << self.width) - 1)).astype(np.uint32)
 
     def goes_on(self, at: np.ndarray) -> np.ndarray:
         return (self.more[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
@@ -253,27 +258,41 @@ def blocks_of(content: bytes) -> Iterator[Block]:
         yield block
 
 
-def read_pieces(spark: SparkSession, path: str) -> DataFrame:
+def stretches(block: Block, most: int = 1 << 16) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(first document, document after the last, their ids): whole documents, about ``most`` ids at a time, read from where they start."""
+    ends, i = np.append(block.starts[1:], block.n_ids), 0
+    while i < len(ends):
+        j = max(i + 1, int(np.searchsorted(ends, block.starts[i] + most, "right")))
+        yield i, j, block.codes.stretch(int(block.starts[i]), int(ends[j - 1]))
+        i = j
+
+
+PIECE = "part long, number long, doc_id string, first long, total long, before long"
+
+
+def read_pieces(spark: SparkSession, path: str, value: str = "ids binary", of=None) -> DataFrame:
     """part, number, doc_id (as text), first, total, before, ids of every document's ids in every block under ``path``.
-    ``first`` is the place of the document's first id in its part."""
+    ``first`` is the place of the document's first id in its part.  With ``of``, the
+    last column is ``of(bytes of the ids, total, before)`` of the type ``value`` instead."""
+    name = value.split()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for content in b.column(0):
                 for block in blocks_of(content.as_buffer()):
-                    ends = np.append(block.starts[1:], block.n_ids)
-                    for at in range(0, len(block.names), 1000):
-                        some = slice(at, at + 1000)
-                        ids = [block.codes.stretch(int(s), int(e)) for s, e in zip(block.starts[some], ends[some])]
+                    for i, j, ids in stretches(block):
+                        data, some = ids.astype("<u4").tobytes(), slice(i, j)
+                        cut = 4 * (np.append(block.starts[some], block.starts[i] + len(ids)).astype(np.int64) - int(block.starts[i]))
+                        total, before = block.totals[some].astype(np.int64), block.before[some].astype(np.int64)
+                        pieces = [data[x:y] for x, y in zip(cut[:-1].tolist(), cut[1:].tolist())]
+                        if of is not None:
+                            pieces = list(map(of, pieces, total.tolist(), before.tolist()))
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(len(ids), block.part)), pa.array(block.numbers[some].astype(np.int64)), pa.array(block.names[some], pa.string()),
-                             pa.array((block.first + block.starts[some].astype(np.int64)) - block.before[some].astype(np.int64)),
-                             pa.array(block.totals[some].astype(np.int64)), pa.array(block.before[some].astype(np.int64)),
-                             pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())],
-                            ["part", "number", "doc_id", "first", "total", "before", "ids"])
+                            [pa.array(np.full(j - i, block.part, np.int64)), pa.array(block.numbers[some].astype(np.int64)), pa.array(block.names[some], pa.string()),
+                             pa.array(block.first + block.starts[some].astype(np.int64) - before), pa.array(total), pa.array(before), pa.array(pieces)],
+                            ["part", "number", "doc_id", "first", "total", "before", name])
 
-    return (spark.read.format("binaryFile").load(path).select("content")
-            .mapInArrow(run, "part long, number long, doc_id string, first long, total long, before long, ids binary"))
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, f"{PIECE}, {value}")
 
 
 def tokens_at(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
@@ -329,20 +348,15 @@ def crc_of_joined(crc: int, zeros: int) -> int:
     return times(shift, crc)
 
 
+def piece_crc(ids: bytes, total: int, before: int) -> int:
+    """What a document's ids in one block add to the crc32 of all its ids."""
+    crc, rest = zlib.crc32(ids), 4 * (total - before) - len(ids)
+    return crc_of_joined(crc, rest) if rest else crc
+
+
 def document_digests(spark: SparkSession, path: str) -> DataFrame:
     """part, number, doc_id (as text), first, n_tokens, ids_crc32 of every document in the files."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            crcs = []
-            for total, before, ids in zip(b["total"].to_pylist(), b["before"].to_pylist(), b["ids"]):
-                data = ids.as_buffer()
-                rest = 4 * (total - before) - len(data)
-                crcs.append(crc_of_joined(zlib.crc32(data), rest) if rest else zlib.crc32(data))
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(crcs, pa.int64())], ["part", "number", "doc_id", "first", "total", "crc"])
-
-    pieces = read_pieces(spark, path).mapInArrow(run, "part long, number long, doc_id string, first long, total long, crc long")
-    return pieces.groupBy("part", "number").agg(
+    return read_pieces(spark, path, "crc long", piece_crc).groupBy("part", "number").agg(
         F.first("doc_id").alias("doc_id"), F.first("first").alias("first"), F.first("total").alias("n_tokens"), F.bit_xor("crc").alias("ids_crc32"))
 
 
