@@ -324,17 +324,30 @@ def q_redact_documents_pseudonym(spark, sf_dir):
 FROM documents d LEFT JOIN terms t ON t.doc_id = d.doc_id""", f"""terms AS (
   SELECT doc_id, list(struct_pack(t := text, r := {_mask_sql('full', 'text')}) ORDER BY length(text) DESC, text) AS l
   FROM (SELECT DISTINCT doc_id, text FROM ents WHERE length(text) > 0) GROUP BY doc_id)"""))
-def q_redact_terms(spark, sf_dir):
-    out = _scrubbed(spark, sf_dir, "full")
+def q_redact_terms(spark, sf_dir, src=TB.documents):
+    from redactflow.operators.terms import redact_terms_pass
+    out = _scrubbed(spark, sf_dir, "full", src)
     terms = R.term_replacements(F.col("redaction_metadata"), "full")
-    return out.select("doc_id", R.redact_terms(F.col("text"), terms).alias("redacted_text"))
+    return redact_terms_pass(out, "text", terms, "replaced").select("doc_id", F.col("replaced").alias("redacted_text"))
+
+
+@register("redact_terms_placeholder", REGISTRY["redact_terms"][1].replace(
+    _mask_sql("full", "text") + ") ORDER BY", _mask_sql("placeholder", "text") + ") ORDER BY").replace(
+    "FROM (SELECT DISTINCT doc_id, text FROM ents", "FROM (SELECT doc_id, text, arg_max(entity_type, seq) AS entity_type FROM "
+    "(SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, e, wid) AS seq FROM ents)").replace(
+    "WHERE length(text) > 0) GROUP BY doc_id)", "WHERE length(text) > 0 GROUP BY doc_id, text) GROUP BY doc_id)"))
+def q_redact_terms_placeholder(spark, sf_dir, src=TB.documents):
+    from redactflow.operators.terms import redact_terms_pass
+    out = _scrubbed(spark, sf_dir, "placeholder", src)
+    terms = R.term_replacements(F.col("redaction_metadata"), "placeholder")
+    return redact_terms_pass(out, "text", terms, "replaced").select("doc_id", F.col("replaced").alias("redacted_text"))
 
 
 @register("distinct_terms", _with(O.DOCS_SRC, """SELECT doc_id, text AS term,
   row_number() OVER (PARTITION BY doc_id ORDER BY length(text) DESC, text) - 1 AS rank
 FROM (SELECT DISTINCT doc_id, text FROM ents WHERE length(text) > 0)"""))
-def q_distinct_terms(spark, sf_dir):
-    out = _scrubbed(spark, sf_dir, "full")
+def q_distinct_terms(spark, sf_dir, src=TB.documents):
+    out = _scrubbed(spark, sf_dir, "full", src)
     terms = R.term_replacements(F.col("redaction_metadata"), "full")
     rows = explode_structs(out.select("doc_id", terms.alias("t")), "t", ["doc_id"])
     return rows.select("doc_id", F.col("x.term").alias("term"), F.col("pos").cast("long").alias("rank"))
@@ -495,11 +508,38 @@ FROM (SELECT text, entity_type, arg_min(doc_id, struct_pack(d := doc_id, q := se
       GROUP BY text, entity_type)"""))
 def q_pseudonymize_corpus(spark, sf_dir):
     from redactflow.operators.report import pseudonymize_corpus
-    docs = detect(TB.customer_forms(spark, sf_dir))
-    rows = explode_structs(docs.select("doc_id", R.redaction_order(F.col("entities")).alias("r")), "r", ["doc_id"])
-    ents = rows.select("doc_id", F.col("pos").cast("long").alias("seq"), F.col("x.text").alias("text"),
+    return pseudonymize_corpus(_in_redaction_order(TB.customer_forms(spark, sf_dir)))
+
+
+def _in_redaction_order(docs: DataFrame) -> DataFrame:
+    """doc_id, seq (place in redaction order), text, entity_type of every entity."""
+    rows = explode_structs(detect(docs).select("doc_id", R.redaction_order(F.col("entities")).alias("r")), "r", ["doc_id"])
+    return rows.select("doc_id", F.col("pos").cast("long").alias("seq"), F.col("x.text").alias("text"),
                        F.col("x.entity_type").alias("entity_type"))
-    return pseudonymize_corpus(ents)
+
+
+_KEYS_SQL = """SELECT text, entity_type, upper(substring(entity_type, 1, 3)) AS p, min(struct_pack(d := doc_id, q := seq)) AS f FROM
+  (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, e, wid) - 1 AS seq FROM ents) GROUP BY text, entity_type"""
+
+
+@register("pseudonymize_corpus_two_runs", f"""WITH k1 AS ({_with(TB.FORMS_SQL, _KEYS_SQL)}),
+k2 AS ({_with(TB.LONG_FORMS_SQL, _KEYS_SQL)}),
+r1 AS (SELECT text, entity_type, p, row_number() OVER (PARTITION BY p ORDER BY f, text, entity_type) AS n, 1 AS version FROM k1),
+r2 AS (SELECT text, entity_type, p, row_number() OVER (PARTITION BY p ORDER BY f, text, entity_type)
+         + coalesce((SELECT max(n) FROM r1 WHERE r1.p = k2.p), 0) AS n, 2 AS version
+       FROM k2 WHERE NOT EXISTS (SELECT 1 FROM r1 WHERE r1.text = k2.text AND r1.entity_type = k2.entity_type))
+SELECT text, entity_type, 'USER_' || p || '_' || CAST(n AS VARCHAR) AS pseudonym, CAST(version AS BIGINT) AS version
+FROM (SELECT * FROM r1 UNION ALL SELECT * FROM r2)""")
+def q_pseudonymize_corpus_two_runs(spark, sf_dir):
+    """A dictionary of the forms, then a second run over the long forms that keeps its names and adds the new ones."""
+    import uuid
+
+    from redactflow.operators.report import store_pseudonyms
+    from redactflow.session import shared_dir
+    path = shared_dir(spark, f"pseudonyms-{uuid.uuid4().hex}")
+    store_pseudonyms(_in_redaction_order(TB.customer_forms(spark, sf_dir)), path, 1)
+    names = store_pseudonyms(_in_redaction_order(TB.long_forms(spark, sf_dir)), path, 2)
+    return names.select("text", "entity_type", "pseudonym", F.col("version").cast("long").alias("version"))
 
 
 # ---- 2.5 aggregations --------------------------------------------------------------
@@ -617,6 +657,21 @@ def q_knowledge_build(spark, sf_dir):
     return knowledge_build(_doc_entities(TB.customer_forms(spark, sf_dir)))
 
 
+_BOTH_SQL = f"SELECT doc_id, text FROM documents UNION ALL SELECT -1 - doc_id, text FROM ({TB.LONG_FORMS_SQL})"
+
+
+@register("knowledge_upsert", _with(_BOTH_SQL, "SELECT entity_text, entity_type, CAST(frequency AS BIGINT) AS frequency FROM kb", _KB_SQL))
+def q_knowledge_upsert(spark, sf_dir):
+    """A stored state of the documents' entities, and the long forms' merged in: the table of both."""
+    import uuid
+
+    from redactflow.operators.report import knowledge_view, store_knowledge
+    from redactflow.session import shared_dir
+    path = shared_dir(spark, f"knowledge-{uuid.uuid4().hex}")
+    store_knowledge(_doc_entities(TB.documents(spark, sf_dir)), path, 1)
+    return knowledge_view(store_knowledge(_doc_entities(TB.long_forms(spark, sf_dir)), path, 2))
+
+
 @register("knowledge_lookup", _with(TB.FORMS_SQL, f"""SELECT f.entity, f.feedback_type, k.entity_type AS kb_type,
   CAST(k.frequency AS BIGINT) AS kb_frequency FROM ({TB.EVENTS_FEEDBACK_SQL}) f LEFT JOIN kb k ON k.entity_text = f.entity""",
                                     _KB_SQL))
@@ -692,6 +747,41 @@ def q_detect_domain_patterns(spark, sf_dir):
     return detect_domain_patterns(TB.documents(spark, sf_dir), domain_patterns(spark), "general")
 
 
+def customer_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pattern for every customer, of four kinds: a padded number, a link in any case, a word
+    repeated, and one without a literal that a match could not do without (``CUSTOMER_PATTERNS_SQL``)."""
+    k = F.col("c_custkey")
+    kind = (F.when(k % 200 == 7, F.concat(F.lit("(?:[#]"), k.cast("string"), F.lit("|\\|"), k.cast("string"), F.lit("\\|)")))
+            .when(k % 3 == 0, F.concat(F.lit("RX-0*"), TB._pad(k, 6), F.lit("\\.")))
+            .when(k % 3 == 1, F.concat(F.lit("(?i)GITHUB\\.COM/customer-"), TB._pad(k, 9), F.lit("(?: and)?")))
+            .otherwise(F.concat(F.lit("Card (?:4[0-9]{3}|5) ?[0-9]*"), TB._pad(k, 5), F.lit("[.]"))))
+    return TB.load(spark, sf_dir, "customer").select(
+        k.alias("id"), F.lit("general").alias("domain"), F.concat(F.lit("customer_"), k.cast("string")).alias("pattern_name"),
+        kind.alias("pattern_regex"), F.lit(0.1).alias("confidence_boost"))
+
+
+CUSTOMER_PATTERNS_SQL = f"""SELECT c_custkey AS k, 'customer_' || CAST(c_custkey AS VARCHAR) AS pattern_name,
+  CASE WHEN c_custkey % 200 = 7 THEN '(?:[#]' || CAST(c_custkey AS VARCHAR) || '|\\|' || CAST(c_custkey AS VARCHAR) || '\\|)'
+       WHEN c_custkey % 3 = 0 THEN 'RX-0*' || {TB._pad_sql('c_custkey', 6)} || '\\.'
+       WHEN c_custkey % 3 = 1 THEN '(?i)GITHUB\\.COM/customer-' || {TB._pad_sql('c_custkey', 9)} || '(?: and)?'
+       ELSE 'Card (?:4[0-9]{{3}}|5) ?[0-9]*' || {TB._pad_sql('c_custkey', 5)} || '[.]' END AS pattern_regex FROM customer"""
+
+
+# a match holds the customer's number, so only texts that do are searched in the SQL
+@register("detect_domain_patterns_indexed", f"""SELECT doc_id, pattern_name, CAST(ms0 AS BIGINT) AS start_char,
+  CAST(ms0 + length(ms[i]) AS BIGINT) AS end_char, ms[i] AS text FROM (
+  SELECT *, CAST(coalesce(list_sum(list_transform(gs[1:i], lambda x: length(x))), 0)
+          + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS ms0 FROM (
+    SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM (
+      SELECT d.doc_id, p.pattern_name, regexp_extract_all(d.text, p.pattern_regex) AS ms, regexp_split_to_array(d.text, p.pattern_regex) AS gs
+      FROM ({TB.FORMS_SQL}) d JOIN ({CUSTOMER_PATTERNS_SQL}) p
+        ON contains(d.text, CAST(p.k AS VARCHAR)) AND regexp_matches(d.text, p.pattern_regex))))""")
+def q_detect_domain_patterns_indexed(spark, sf_dir):
+    """As many patterns as customers, over all forms, through the literal index."""
+    from redactflow.operators.boost import detect_domain_patterns
+    return detect_domain_patterns(TB.customer_forms(spark, sf_dir), customer_patterns(spark, sf_dir), "general", max_patterns=20)
+
+
 @register("apply_domain_boost", _with(TB.FORMS_SQL, f"""SELECT e.doc_id, e.idx, e.entity_type, e.text,
   round(least(e.confidence + coalesce((SELECT sum(p.confidence_boost) FROM ({_LOOKUP_SQL}) p
     WHERE p.domain = 'general' AND regexp_matches(e.text, p.pattern_regex)), 0.0), 1.0), 4) AS confidence
@@ -921,10 +1011,10 @@ def q_src_json(spark, sf_dir):
 
 
 @register("merge_overlaps_rows", REGISTRY["merge_overlaps"][1])
-def q_merge_overlaps_rows(spark, sf_dir):
-    """``merge_overlaps`` computed from the entity table (running max per document)."""
+def q_merge_overlaps_rows(spark, sf_dir, src=TB.documents):
+    """``merge_overlaps`` computed from the entity table (segmented prefix scans)."""
     from redactflow.operators.report import merge_overlaps_table
-    rows = merge_overlaps_table(_doc_entities(TB.documents(spark, sf_dir)))
+    rows = merge_overlaps_table(_doc_entities(src(spark, sf_dir)))
     return rows.select("doc_id", "start_char", "end_char", "n_spans", "entity_type")
 
 
@@ -937,7 +1027,8 @@ def _on(name: str, src, src_sql: str) -> None:
     register(f"{name}_long_forms", sql)(lambda spark, sf_dir: fn(spark, sf_dir, src))
 
 
-for _name in ("overlap_pairs", "merge_overlaps", "redact_documents_merged", "greedy_nonoverlap", "annotate_spans"):
+for _name in ("overlap_pairs", "merge_overlaps", "merge_overlaps_rows", "redact_documents_merged", "greedy_nonoverlap", "annotate_spans",
+              "redact_terms", "redact_terms_placeholder", "distinct_terms"):
     _on(_name, TB.long_forms, TB.LONG_FORMS_SQL)
 for _mode in ("full", "placeholder", "partial"):
     register(f"redact_long_forms_{_mode}", _redacted_sql(TB.LONG_FORMS_SQL, _mode))(_redacted_query(_mode, TB.long_forms))

@@ -52,8 +52,8 @@ def first_of_groups(sorted_arr: Column, key_fields: Sequence[str]) -> Column:
     return let(sorted_arr, body)
 
 
-#: Items that a collecting fold gathers before it puts them aside.
-PART = 64
+#: Items of a block of a collecting fold.
+BLOCK = 128
 
 
 def fold_collect(arr: Column, state: Column, step: Callable[[Column, Column], tuple[Column, Column, Column]],
@@ -62,25 +62,34 @@ def fold_collect(arr: Column, state: Column, step: Callable[[Column, Column], tu
     state, whether to collect, and the item (of type ``item_type``).  ``last``
     gives an array that is added at the end from the final state.
 
-    Appending to one array copies it at every step.  Here items go to a short
-    part, and full parts to a list of parts, so a fold over n items copies
-    about ``n * (PART / 2 + n / PART ** 2)`` references.
+    Spark copies a fold's accumulator at every step, so one that grows makes
+    the fold quadratic.  Here a first fold gives the state before each block of
+    the array, and the blocks then collect by themselves from there: over n
+    items about ``n * BLOCK / 2 + (n / BLOCK) ** 2 / 2`` copies of an item or state.
     """
-    start = F.struct(state.alias("state"), F.array().cast(f"array<{item_type}>").alias("part"),
-                     F.array().cast(f"array<array<{item_type}>>").alias("parts"))
+    def blocks_of(a: Column) -> Column:
+        n = F.ceil(F.size(a) / BLOCK).cast("int")
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda b: F.slice(a, b * BLOCK + 1, BLOCK))).otherwise(
+            F.slice(F.array(a), 1, 0))
 
-    def one(acc: Column, x: Column) -> Column:
-        following, collect, item = step(acc["state"], x)
-        grown = F.when(collect, F.concat(acc["part"], F.array(item))).otherwise(acc["part"])
-        return let(grown, lambda part: F.struct(
-            following.alias("state"), F.when(F.size(part) < PART, part).otherwise(F.slice(part, 1, 0)).alias("part"),
-            F.when(F.size(part) < PART, acc["parts"]).otherwise(F.concat(acc["parts"], F.array(part))).alias("parts")))
+    def states(blocks: Column) -> Column:
+        start = F.struct(state.alias("now"), F.slice(F.array(state), 1, 0).alias("before"))
+        return F.aggregate(blocks, start, lambda acc, block: F.struct(
+            F.aggregate(block, acc["now"], lambda s, x: step(s, x)[0]).alias("now"), F.concat(acc["before"], F.array(acc["now"])).alias("before")))
 
-    def whole(acc: Column) -> Column:
-        rest = [last(acc["state"])] if last is not None else []
-        return F.concat(F.flatten(acc["parts"]), acc["part"], *rest)
+    def collected(block: Column, before: Column) -> Column:
+        def one(acc: Column, x: Column) -> Column:
+            following, collect, item = step(acc["now"], x)
+            return F.struct(following.alias("now"), F.when(collect, F.concat(acc["got"], F.array(item))).otherwise(acc["got"]).alias("got"))
 
-    return F.aggregate(arr, start, one, whole)
+        return F.aggregate(block, F.struct(before.alias("now"), F.array().cast(f"array<{item_type}>").alias("got")), one, lambda acc: acc["got"])
+
+    def whole(b: Column) -> Column:
+        parts = F.flatten(F.zip_with(b["blocks"], b["states"]["before"], collected))
+        return F.concat(parts, last(b["states"]["now"])) if last is not None else parts
+
+    bound = let(blocks_of(arr), lambda blocks: F.struct(blocks.alias("blocks"), states(blocks).alias("states")))
+    return let(bound, whole)
 
 
 def group_starts(sorted_arr: Column, key_fields: Sequence[str]) -> Column:

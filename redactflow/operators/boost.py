@@ -95,30 +95,20 @@ def apply_domain_boost(entities: DataFrame, patterns: DataFrame, max_bytes: int
 
 
 def detect_domain_patterns(docs: DataFrame, patterns: DataFrame, domain: str, text_col: str = "text",
-                           id_col: str = "doc_id", max_patterns: int = 200, max_bytes: int = 16 << 20) -> DataFrame:
+                           id_col: str = "doc_id", max_patterns: int = 200, max_bytes: int = 4 << 20) -> DataFrame:
     """Spans of the domain's stored patterns in each document (whole text):
     (id, pattern_name, start_char, end_char, text).
 
     Up to ``max_patterns`` patterns become literals of the plan (compiled
-    once per task, no join); more are joined on the domain, with the pattern
-    taken from the column.  Both forms search alike and give the same spans.
+    once per task, no join).  More are found through an index of the literals
+    that they need, in broadcast blocks of ``max_bytes`` (see
+    ``operators.patterns``): only patterns that can match a text are searched
+    in it.  Both forms search alike and give the same spans.
     """
-    from redactflow.functions.spans import find_spans
-    from redactflow.plans.joins import sized_broadcast
+    from redactflow.operators.patterns import indexed_spans, literal_index, literal_spans
 
     pats = domain_pattern_lookup(patterns, domain)
     few = pats.limit(max_patterns + 1).collect()
     if len(few) <= max_patterns:
-        if not few:
-            return docs.sparkSession.createDataFrame(
-                [], f"{id_col} long, pattern_name string, start_char long, end_char long, text string")
-        per = F.array(*[F.struct(F.lit(p.pattern_name).alias("pattern_name"),
-                                 find_spans(F.col(text_col), p.pattern_regex).alias("sp")) for p in few])
-        rows = docs.select(id_col, F.inline(per))
-    else:
-        joined = docs.withColumn("domain", F.lit(domain)).join(
-            sized_broadcast(pats.withColumn("domain", F.lit(domain)), max_bytes), "domain")
-        rows = joined.select(id_col, "pattern_name", find_spans(F.col(text_col), F.col("pattern_regex")).alias("sp"))
-    out = rows.select(id_col, "pattern_name", F.posexplode_outer("sp").alias("p", "x")).where(F.col("p").isNotNull())
-    return out.select(id_col, "pattern_name", F.col("x.s").cast("long").alias("start_char"),
-                      F.col("x.e").cast("long").alias("end_char"), F.col("x.text").alias("text"))
+        return literal_spans(docs, [(p.pattern_name, p.pattern_regex) for p in few], text_col, id_col)
+    return indexed_spans(docs, literal_index(pats), text_col, id_col, max_bytes, max_patterns or 200)

@@ -121,32 +121,65 @@ def audit_log(entities: DataFrame, mode: str, context: Column | None = None,
 
 # ---- pseudonyms over a corpus -----------------------------------------------------
 
-def pseudonymize_corpus(entities: DataFrame, order_cols: Sequence[str] = ("doc_id", "seq"), ranges: int | None = None) -> DataFrame:
-    """One dictionary ``(text, type) -> USER_<TYP>_<n>`` for the whole corpus.
+#: A dictionary entry: ``number`` counts the names of one prefix.
+PSEUDONYM_SCHEMA = "text string, entity_type string, prefix string, number long, pseudonym string"
+
 
-    ``n`` numbers keys of one prefix by first encounter (``order_cols``).  The
-    distinct keys are range-partitioned by (prefix, first encounter) and
-    numbered within their range; what each range adds comes from a table of
-    (ranges x prefixes) counts, whose size doesn't depend on the corpus.  So a
-    type of a third of all keys spreads over ranges like any other.
+def extend_pseudonyms(known: DataFrame | None, entities: DataFrame, order_cols: Sequence[str] = ("doc_id", "seq"),
+                      ranges: int | None = None) -> DataFrame:
+    """The entries (``PSEUDONYM_SCHEMA``) that ``entities`` add to the dictionary ``known``.
+
+    ``n`` of ``USER_<TYP>_<n>`` numbers keys of one prefix by first encounter
+    (``order_cols``), from the highest known number of the prefix on; known
+    keys keep their names.  The distinct new keys are range-partitioned by
+    (prefix, first encounter) and numbered within their range; what each range
+    adds comes from a table of (ranges x prefixes) counts, whose size doesn't
+    depend on the corpus.  So a type of a third of all keys spreads over
+    ranges like any other.
     """
     from redactflow.session import cut_lineage
 
     spark = entities.sparkSession
     n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    first = (entities.groupBy("text", "entity_type").agg(F.min(F.struct(*order_cols)).alias("first"))
-             .withColumn("prefix", pseudonym_prefix(F.col("entity_type"))))
+    first = entities.groupBy("text", "entity_type").agg(F.min(F.struct(*order_cols)).alias("first"))
+    if known is not None:
+        first = first.join(known.select("text", "entity_type"), ["text", "entity_type"], "left_anti")
+    first = first.withColumn("prefix", pseudonym_prefix(F.col("entity_type")))
     # the range of a row is fixed here, once, for both branches below
     ranged = cut_lineage(first.repartitionByRange(n, "prefix", "first", "text", "entity_type")
                          .withColumn("range", F.spark_partition_id()))
     counts = ranged.groupBy("prefix", "range").agg(F.count(F.lit(1)).alias("c"))
     before = Window.partitionBy("prefix").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("prefix", "range", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("offset"))
+    if known is not None:
+        highest = known.groupBy("prefix").agg(F.max("number").alias("highest"))
+        offsets = (offsets.join(highest, "prefix", "left")
+                   .select("prefix", "range", (F.col("offset") + F.coalesce("highest", F.lit(0))).alias("offset")))
     local = ranged.withColumn("local", F.row_number().over(
         Window.partitionBy("range", "prefix").orderBy("first", "text", "entity_type")))
+    number = (F.col("offset") + F.col("local")).cast("long")
     return (local.join(offsets, ["prefix", "range"])
-            .select("text", "entity_type",
-                    F.concat(F.col("prefix"), F.lit("_"), (F.col("offset") + F.col("local")).cast("string")).alias("pseudonym")))
+            .select("text", "entity_type", "prefix", number.alias("number"),
+                    F.concat(F.col("prefix"), F.lit("_"), number.cast("string")).alias("pseudonym")))
+
+
+def pseudonymize_corpus(entities: DataFrame, order_cols: Sequence[str] = ("doc_id", "seq"), ranges: int | None = None) -> DataFrame:
+    """One dictionary ``(text, type) -> USER_<TYP>_<n>`` for the whole corpus (see ``extend_pseudonyms``)."""
+    return extend_pseudonyms(None, entities, order_cols, ranges).select("text", "entity_type", "pseudonym")
+
+
+def store_pseudonyms(entities: DataFrame, path: str, version: int, order_cols: Sequence[str] = ("doc_id", "seq"),
+                     ranges: int | None = None) -> DataFrame:
+    """Add the new keys of ``entities`` as ``version`` of the dictionary table at ``path`` and return the whole dictionary.
+
+    The table only grows: a version reads the ones before it, so names given
+    once never change, and running a version again gives the same entries."""
+    from redactflow.plans.versions import read_versions, write_version
+
+    spark = entities.sparkSession
+    known = read_versions(spark, path, PSEUDONYM_SCHEMA, before=version)
+    write_version(extend_pseudonyms(known, entities, order_cols, ranges), path, version)
+    return read_versions(spark, path, PSEUDONYM_SCHEMA, before=version + 1)
 
 
 def with_corpus_pseudonyms(detected: DataFrame, key: str = "doc_id", col: str = "entities") -> DataFrame:
@@ -251,25 +284,48 @@ def feedback_flag_entities(feedback: DataFrame, entities: DataFrame) -> DataFram
 
 # ---- knowledge base ---------------------------------------------------------------
 
-def knowledge_build(entities: DataFrame) -> DataFrame:
+#: A knowledge state: hits of each type of each text.
+KNOWLEDGE_SCHEMA = "entity_text string, entity_type string, hits long"
+
+
+def knowledge_state(entities: DataFrame) -> DataFrame:
+    """Hits per (text, type): what a knowledge table is derived from, and what can be merged."""
+    return entities.groupBy(F.col("text").alias("entity_text"), "entity_type").agg(F.count(F.lit(1)).alias("hits"))
+
+
+def knowledge_merge(*states: DataFrame) -> DataFrame:
+    """The state of all rows that the states were made from, in any order."""
+    from functools import reduce
+
+    both = reduce(DataFrame.unionByName, [s.select("entity_text", "entity_type", "hits") for s in states])
+    return both.groupBy("entity_text", "entity_type").agg(F.sum("hits").alias("hits"))
+
+
+def knowledge_view(state: DataFrame) -> DataFrame:
     """entity_text -> most frequent type (ties: smallest name), frequency = all hits."""
-    per_type = entities.groupBy("text", "entity_type").agg(F.count(F.lit(1)).alias("c"))
-    return (per_type.groupBy("text")
-            .agg(F.min(F.struct(-F.col("c"), F.col("entity_type"))).alias("_best"),
-                 F.sum("c").alias("frequency"))
-            .select(F.col("text").alias("entity_text"), F.col("_best.entity_type").alias("entity_type"),
-                    F.col("frequency").cast("long").alias("frequency")))
+    return (state.groupBy("entity_text")
+            .agg(F.min(F.struct(-F.col("hits"), F.col("entity_type"))).alias("_best"), F.sum("hits").alias("frequency"))
+            .select("entity_text", F.col("_best.entity_type").alias("entity_type"), F.col("frequency").cast("long").alias("frequency")))
+
 
+def knowledge_build(entities: DataFrame) -> DataFrame:
+    """The knowledge table of ``entities``."""
+    return knowledge_view(knowledge_state(entities))
 
-def knowledge_upsert(kb: DataFrame, entities: DataFrame) -> DataFrame:
-    """Merge new hits into an existing knowledge table (union and re-aggregate)."""
-    new = knowledge_build(entities)
-    both = kb.select("entity_text", "entity_type", "frequency").unionByName(new)
-    per_type = both.groupBy("entity_text", "entity_type").agg(F.sum("frequency").alias("c"))
-    return (per_type.groupBy("entity_text")
-            .agg(F.min(F.struct(-F.col("c"), F.col("entity_type"))).alias("_best"), F.sum("c").alias("frequency"))
-            .select("entity_text", F.col("_best.entity_type").alias("entity_type"),
-                    F.col("frequency").cast("long").alias("frequency")))
+
+def knowledge_upsert(state: DataFrame, entities: DataFrame) -> DataFrame:
+    """The state with new hits merged in.  It keeps the hits of every type, so
+    the view of it is the table that a build over all rows would give."""
+    return knowledge_merge(state, knowledge_state(entities))
+
+
+def store_knowledge(entities: DataFrame, path: str, version: int) -> DataFrame:
+    """Add the hits of ``entities`` as ``version`` of the state table at ``path`` and return the
+    merged state.  A version holds its own hits only, so writing one costs nothing of the others."""
+    from redactflow.plans.versions import read_versions, write_version
+
+    write_version(knowledge_state(entities), path, version)
+    return knowledge_merge(read_versions(entities.sparkSession, path, KNOWLEDGE_SCHEMA, before=version + 1))
 
 
 def knowledge_lookup(entities: DataFrame, kb: DataFrame, max_broadcast_bytes: int | None = None) -> DataFrame:
@@ -289,22 +345,27 @@ def knowledge_lookup(entities: DataFrame, kb: DataFrame, max_broadcast_bytes: in
     return entities.join(k, "text", "left")
 
 
-def merge_overlaps_table(entities: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def merge_overlaps_table(entities: DataFrame, id_col: str = "doc_id", ranges: int | None = None) -> DataFrame:
     """Islands of overlapping spans from the entity table (rows with ``idx``,
     ``start_char``, ``end_char``, ``entity_type``).
 
     Row form of ``redact.merge_overlaps`` for documents with very many
     entities: a span opens a new island when it starts at or after the
-    largest end seen before it (a running max over the document's rows), so
-    the cost is a sort per document instead of a fold that copies the
-    island array at every step.
+    largest end before it, and an island's number is that of the spans that
+    opened one.  Both are segmented prefix scans over ranges of (document,
+    idx), so one huge document spreads over tasks.
     """
-    w = Window.partitionBy(id_col).orderBy("idx")
-    prev_end = F.max("end_char").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    opens = F.when(prev_end.isNull() | (F.col("start_char") >= prev_end), 1).otherwise(0)
-    marked = entities.withColumn("_open", opens).withColumn(
-        "_island", F.sum("_open").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return (marked.groupBy(id_col, "_island")
+    from redactflow.plans.versions import in_ranges, running_before
+    from redactflow.session import cut_lineage
+
+    spans = in_ranges(entities.select(id_col, "idx", "start_char", "end_char", "entity_type"), id_col, "idx", ranges)
+    spans = running_before(spans, id_col, "idx", F.col("end_char"), F.max, F.greatest, "_reach")
+    opens = F.when(F.col("_reach").isNull() | (F.col("start_char") >= F.col("_reach")), 1).otherwise(0)
+    # two branches of the next scan read these rows
+    spans = cut_lineage(spans.withColumn("_open", opens))
+    spans = running_before(spans, id_col, "idx", F.col("_open"), F.sum, lambda a, b: a + b, "_before")
+    island = F.coalesce("_before", F.lit(0)) + F.col("_open")
+    return (spans.groupBy(id_col, island.alias("_island"))
             .agg(F.min("start_char").alias("start_char"), F.max("end_char").alias("end_char"),
                  F.count(F.lit(1)).alias("n_spans"), F.min_by("entity_type", "idx").alias("entity_type"))
             .drop("_island"))

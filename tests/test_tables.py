@@ -103,9 +103,9 @@ def test_apply_domain_boost(spark):
 
 
 def test_knowledge_upsert(spark):
-    from redactflow.operators.report import knowledge_build, knowledge_upsert
-    old = knowledge_build(spark.createDataFrame([("Ann Lee", "PERSON_NAME")], "text string, entity_type string"))
+    from redactflow.operators.report import knowledge_state, knowledge_upsert, knowledge_view
+    old = knowledge_state(spark.createDataFrame([("Ann Lee", "PERSON_NAME")], "text string, entity_type string"))
     new = spark.createDataFrame([("Ann Lee", "EMAIL"), ("Ann Lee", "EMAIL"), ("Bo", "PHONE")],
                                 "text string, entity_type string")
-    got = {r.entity_text: (r.entity_type, r.frequency) for r in knowledge_upsert(old, new).collect()}
+    got = {r.entity_text: (r.entity_type, r.frequency) for r in knowledge_view(knowledge_upsert(old, new)).collect()}
     assert got == {"Ann Lee": ("EMAIL", 3), "Bo": ("PHONE", 1)}
