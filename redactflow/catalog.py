@@ -760,22 +760,26 @@ def customer_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
         kind.alias("pattern_regex"), F.lit(0.1).alias("confidence_boost"))
 
 
-CUSTOMER_PATTERNS_SQL = f"""SELECT c_custkey AS k, 'customer_' || CAST(c_custkey AS VARCHAR) AS pattern_name,
+CUSTOMER_PATTERNS_SQL = f"""SELECT CASE WHEN c_custkey % 200 = 7 THEN CAST(c_custkey AS VARCHAR) WHEN c_custkey % 3 = 0 THEN {TB._pad_sql('c_custkey', 6)}
+       WHEN c_custkey % 3 = 1 THEN {TB._pad_sql('c_custkey', 9)} ELSE {TB._pad_sql('c_custkey', 5)} END AS needed,
+  'customer_' || CAST(c_custkey AS VARCHAR) AS pattern_name,
   CASE WHEN c_custkey % 200 = 7 THEN '(?:[#]' || CAST(c_custkey AS VARCHAR) || '|\\|' || CAST(c_custkey AS VARCHAR) || '\\|)'
        WHEN c_custkey % 3 = 0 THEN 'RX-0*' || {TB._pad_sql('c_custkey', 6)} || '\\.'
        WHEN c_custkey % 3 = 1 THEN '(?i)GITHUB\\.COM/customer-' || {TB._pad_sql('c_custkey', 9)} || '(?: and)?'
        ELSE 'Card (?:4[0-9]{{3}}|5) ?[0-9]*' || {TB._pad_sql('c_custkey', 5)} || '[.]' END AS pattern_regex FROM customer"""
 
 
-# a match holds the customer's number, so only texts that do are searched in the SQL
-@register("detect_domain_patterns_indexed", f"""SELECT doc_id, pattern_name, CAST(ms0 AS BIGINT) AS start_char,
+# a match holds a digit run that ends in the customer's padded number: the SQL searches only texts that do
+@register("detect_domain_patterns_indexed", f"""WITH d AS MATERIALIZED ({TB.FORMS_SQL}), p AS MATERIALIZED ({CUSTOMER_PATTERNS_SQL}),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+')) AS run FROM d),
+ends AS (SELECT DISTINCT doc_id, n FROM (SELECT doc_id, unnest([run, right(run, 5), right(run, 6), right(run, 9)]) AS n FROM runs)),
+pairs AS MATERIALIZED (SELECT d.doc_id, d.text, p.pattern_name, p.pattern_regex FROM p JOIN ends ON ends.n = p.needed JOIN d ON d.doc_id = ends.doc_id)
+SELECT doc_id, pattern_name, CAST(ms0 AS BIGINT) AS start_char,
   CAST(ms0 + length(ms[i]) AS BIGINT) AS end_char, ms[i] AS text FROM (
   SELECT *, CAST(coalesce(list_sum(list_transform(gs[1:i], lambda x: length(x))), 0)
           + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS ms0 FROM (
     SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM (
-      SELECT d.doc_id, p.pattern_name, regexp_extract_all(d.text, p.pattern_regex) AS ms, regexp_split_to_array(d.text, p.pattern_regex) AS gs
-      FROM ({TB.FORMS_SQL}) d JOIN ({CUSTOMER_PATTERNS_SQL}) p
-        ON contains(d.text, CAST(p.k AS VARCHAR)) AND regexp_matches(d.text, p.pattern_regex))))""")
+      SELECT doc_id, pattern_name, regexp_extract_all(text, pattern_regex) AS ms, regexp_split_to_array(text, pattern_regex) AS gs FROM pairs)))""")
 def q_detect_domain_patterns_indexed(spark, sf_dir):
     """As many patterns as customers, over all forms, through the literal index."""
     from redactflow.operators.boost import detect_domain_patterns
