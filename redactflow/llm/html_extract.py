@@ -2,11 +2,13 @@
 are smoothed and clustered, and the region around the content lines is kept.
 
 1.  The standard library's parser streams events; block elements cut them into
-    lines, each with its text, the tags met on it and the elements around it.
-2.  Lines inside menus, headers, footers, sidebars, notices, adverts, forms and
-    comments (by element, role, class or id) are never content.  A class or id
-    with further words in it (``with-sidebar``) counts only while its element
-    holds at most half of the text.
+    lines, each with its text, the tags met on it (but for those that only format
+    text) and the elements around it.  Inline elements never end a line.
+2.  Lines inside menus, footers, asides and what is hidden are never content.
+    Elements that a role, class or id marks as sidebar, notice, advert, comments
+    and the like, and forms, are suspects: the largest first, each is dropped
+    unless it holds several times the text found outside all suspects (see
+    ``WRAPS``), for then it wraps the article, whatever it is called.
 3.  The ratio of text to tags of the other lines is smoothed with a Gaussian,
     and two-means clustering of the smoothed ratios gives the threshold over
     which a line is content.
@@ -55,16 +57,25 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
+#: A suspect wraps the article if it holds so many times the text outside suspects: marked by a class or id with
+#: further words, plainly marked (or a form), marked as comments, which may well be longer than the article.
+WRAPS = {"weak": 1, "other": 4, "comment": 20}
+#: Characters that a suspect must hold if there is no text outside.
+LEAST_WRAPPED = 100
+#: Elements that only format text; they don't count as tags of a line.
+FORMATTING = frozenset("abbr b bdi bdo big cite code del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr br".split())
 COMMENTS = frozenset("comment comments commentlist disqus respond reply replies discussion".split())
 #: Words that make a mark beside them in a class say what the element has, not what it is.
 QUALIFIERS = frozenset("with has have no without not open opened closed enabled disabled show hide".split())
+#: A suspect without any of these is no article.
+PROSE = frozenset("p h1 h2 h3 blockquote pre article main".split())
 #: Elements that are never the region: those of text, and the parts of lists and tables.
 INNER = frozenset("p li td th tr tbody thead tfoot table caption ul ol dl dt dd blockquote pre address figure figcaption summary legend hgroup h1 h2 h3 h4 h5 h6".split())
 
 
 def _marked(attrs: list[tuple[str, str | None]]) -> str:
-    """'' or why an element's attributes mark it as outside the article; 'weak' if a class or id has further words."""
-    weak = ""
+    """'' or how an element's attributes mark it: 'hidden', 'comment', 'other', or 'weak' if a class or id has further words."""
+    marks = set()
     for name, value in attrs:
         if name in ("class", "id") and value:
             for token in value.split():
@@ -72,26 +83,27 @@ def _marked(attrs: list[tuple[str, str | None]]) -> str:
                 if not (found := words & MARKS):
                     continue
                 if words & QUALIFIERS or words - MARKS and not found & COMMENTS:
-                    weak = "weak"
+                    marks.add("weak")
                 else:
-                    return "comment" if found & COMMENTS else "other"
+                    marks.add("comment" if found & COMMENTS else "other")
         elif name == "role" and value and value.strip().lower() in ROLES:
-            return "other"
+            marks.add("other")
         elif name == "hidden" or name == "aria-hidden" and (value or "").lower() == "true" or name == "style" and value and _HIDDEN.search(value):
-            return "other"
-    return weak
+            return "hidden"
+    return next((m for m in ("comment", "other", "weak") if m in marks), "")
 
 
 class Lines(HTMLParser):
-    """Collects ``lines``: (text, tags, boxes), boxes being the ids of the elements around the line.
-    ``weak`` has, for each line, those of them that are weakly marked."""
+    """Collects ``lines``: (text, tags, boxes), boxes being the ids of the block elements around the line.
+    ``inside`` has, for each line, those of them that are suspects."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, tuple[int, ...]]] = []
         self.names: list[str] = ["html"]  # of the boxes, by id
-        self.weak: list[tuple[int, ...]] = []
-        self.stack: list[tuple[str, str, tuple[int, ...], tuple[int, ...]]] = [("", "", (), ())]  # element, why it is outside the article, boxes, weakly marked boxes
+        self.suspects: dict[int, str] = {}  # how they are marked
+        self.inside: list[tuple[int, ...]] = []
+        self.stack: list[tuple[str, bool, tuple[int, ...], tuple[int, ...]]] = [("", False, (), ())]  # element, outside the article for certain, boxes, suspects
         self.parts: list[str] = []
         self.tags = 0
 
@@ -99,22 +111,23 @@ class Lines(HTMLParser):
         if self.parts:
             if text := " ".join("".join(self.parts).split()):
                 self.lines.append((text, self.tags, self.stack[-1][2]))
-                self.weak.append(self.stack[-1][3])
+                self.inside.append(self.stack[-1][3])
                 self.tags = 0
             self.parts = []
 
     def leave(self, names: set[str] | frozenset[str], stops: set[str] | frozenset[str]) -> None:
-        """Close the innermost open element of ``names`` unless one of ``stops`` comes first."""
+        """Close the innermost open element of ``names`` unless one of ``stops`` comes first; only blocks end a line."""
         for k in range(len(self.stack) - 1, 0, -1):
             if self.stack[k][0] in names:
-                self.cut()
+                if any(x[0] in BLOCK for x in self.stack[k:]):
+                    self.cut()
                 del self.stack[k:]
                 return
             if self.stack[k][0] in stops:
                 return
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.tags += 1
+        self.tags += tag not in FORMATTING
         if tag in BLOCK:
             if tag in CLOSES_P:
                 self.leave({"p"}, BLOCK - {"p"})
@@ -125,24 +138,26 @@ class Lines(HTMLParser):
             self.parts.append(" ")
         if tag in VOID:
             return
-        _, out, boxes, weak = self.stack[-1]
-        if tag in ("main", "article") and (out in ("other", "tag") or weak and not out) and not _marked(attrs):
-            out, weak = "", ()  # an unclosed menu or advert doesn't swallow the article
-        elif not out:
-            if tag in SKIP:
-                out = "tag"
-            elif tag == "header" and not any(x[0] in ("article", "main") for x in self.stack):
-                out = "tag"
-            elif attrs and tag not in ("html", "body", "main", "article"):
-                out = _marked(attrs)
-                if out == "weak":
-                    out, weak = ("", (*weak, len(self.names))) if tag in BLOCK else ("other", weak)
-            elif attrs and tag == "article" and _marked(attrs) == "comment":
-                out = "comment"
+        _, out, boxes, suspects = self.stack[-1]
+        mark = _marked(attrs) if attrs and tag not in ("html", "body") else ""
+        if tag in ("main", "article"):
+            # neither is a suspect but for comments; an unclosed menu or advert doesn't swallow it
+            if not mark and not any(self.suspects[b] == "comment" for b in suspects):
+                out, suspects = False, ()
+            mark = mark if mark in ("comment", "hidden") and tag == "article" else ""
+        elif tag == "form" and not mark:
+            mark = "other"
+        if tag == "header" and not any(x[0] in ("article", "main") for x in self.stack) or tag in SKIP and tag != "form" or mark == "hidden":
+            out = True
+        elif mark and tag not in BLOCK:
+            out = True  # a few marked words within a line
         if tag in BLOCK:
+            if mark and not out:
+                self.suspects[len(self.names)] = mark
+                suspects = (*suspects, len(self.names))
             boxes = (*boxes, len(self.names))
             self.names.append(tag)
-        self.stack.append((tag, out, boxes, weak))
+        self.stack.append((tag, out, boxes, suspects))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -150,7 +165,7 @@ class Lines(HTMLParser):
             self.leave({tag}, BLOCK)
 
     def handle_endtag(self, tag: str) -> None:
-        self.tags += 1
+        self.tags += tag not in FORMATTING
         if tag in BLOCK:
             self.cut()
         if tag not in VOID:
@@ -160,17 +175,34 @@ class Lines(HTMLParser):
         if not self.stack[-1][1]:
             self.parts.append(data)
 
-    def left(self) -> list[tuple[str, int, tuple[int, ...]]]:
-        """The lines without those of weakly marked elements that hold at most half of the text."""
+    def wrappers(self) -> set[int]:
+        """The suspects that wrap the article: judged from the largest to the smallest, each against the text outside all others."""
         sizes: dict[int, int] = {}
-        for (text, _, _), weak in zip(self.lines, self.weak):
-            for box in weak:
+        groups: dict[tuple[int, ...], int] = {}
+        prose: set[int] = set()
+        for (text, _, boxes), inside in zip(self.lines, self.inside):
+            groups[inside] = groups.get(inside, 0) + len(text)
+            for box in inside:
                 sizes[box] = sizes.get(box, 0) + len(text)
-        half = sum(len(text) for text, _, _ in self.lines) / 2
+            if inside and not PROSE.isdisjoint(self.names[b] for b in boxes):
+                prose.update(inside)
+        outer = {inside[k]: inside[:k] for inside in groups for k in range(len(inside))}
+        kept: set[int] = set()
+        outside = groups.get((), 0)
+        for box in sorted(sizes, key=lambda b: (-sizes[b], b)):
+            least = WRAPS[self.suspects[box]] * outside
+            if box in prose and kept.issuperset(outer[box]) and sizes[box] > least and (outside or sizes[box] >= LEAST_WRAPPED):
+                kept.add(box)
+                outside = sum(n for inside, n in groups.items() if kept.issuperset(inside))
+        return kept
+
+    def left(self) -> list[tuple[str, int, tuple[int, ...]]]:
+        """The lines that no suspect but a wrapper holds."""
+        kept = self.wrappers() if self.suspects else set()
         out, tags = [], 0
-        for (text, n, boxes), weak in zip(self.lines, self.weak):
+        for (text, n, boxes), inside in zip(self.lines, self.inside):
             tags += n
-            if all(sizes[box] > half for box in weak):
+            if kept.issuperset(inside):
                 out.append((text, tags, boxes))
                 tags = 0
         return out
