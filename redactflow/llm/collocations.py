@@ -11,13 +11,15 @@ further level a double-array trie of the frequent phrases of the level below is
 broadcast.  A task walks it from all positions of its numbers at once.  Where the
 states of two neighbouring positions both accept, the phrases overlap in all but
 their outer words: that is an Apriori-safe candidate, and it is counted at its
-pair of accepting states.  Spark sums the shards' counts.  Candidates are taken from
+pair of accepting states.  The shards' counts are packed by the hash of the
+candidate and added up bucket by bucket.  Candidates are taken from
 the text instead of being enumerated beforehand, since a very common word
 alone would pair each of its predecessors with each of its successors.
 
-A trie holds at most ``trie_phrases`` phrases, which bounds the broadcast; of
+A trie holds about ``trie_phrases`` phrases at most, which bounds the broadcast; of
 more phrases several tries are made, one pass over the numbers for each, and a
-candidate then needs its first words to be frequent and its last word too.  The same holds for the
+candidate then needs its first words to be frequent and its last word too.  A phrase
+belongs to one trie, so its counts are whole in each.  The same holds for the
 words' numbers: ``dictionary_words`` at most in a broadcast, with a pass for each.
 Both give the same counts.
 
@@ -36,7 +38,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from redactflow.llm.common import binary_bytes, byte_class, lower_bytes, row_steps, stage, table, text_bytes, word_dictionary, words_within
+from redactflow.llm.common import binary_bytes, byte_class, lower_bytes, mix, row_steps, stage, table, text_bytes, word_dictionary, words_within
 from redactflow.llm.double_array import DoubleArray
 
 LEAST_COUNT = 100
@@ -45,6 +47,8 @@ FIRST = 2000
 TRIE_PHRASES = 1 << 20
 DICTIONARY_WORDS = 1 << 20
 HELD_KEYS = 1 << 21
+STEP_CODES = 1 << 22
+BUCKET_WORDS = 1 << 21
 BREAK = byte_class(*".,;:!?", "\x0a-\x0d")
 BLANK = byte_class(" ", "\t") | BREAK
 
@@ -171,33 +175,39 @@ def with_breaks(code: np.ndarray, broken: np.ndarray, first: np.ndarray) -> pa.A
     return pa.BinaryArray.from_buffers(pa.binary(), len(first) - 1, [None, cut.buffers()[1], pa.py_buffer(full[keep])])
 
 
-def longer_phrases(codes: DataFrame, phrases: np.ndarray, both: bool) -> DataFrame:
-    """w1..wk and n: shard counts of the candidates that go on from ``phrases``.  ``both``:
-    ``phrases`` are all the frequent ones of their length, so a candidate's last words must be among them as well."""
+def longer_phrases(codes: DataFrame, phrases: np.ndarray, both: bool, least: int, buckets: int) -> DataFrame:
+    """w1..wk and f of the frequent phrases that go on from ``phrases``.  ``both``:
+    ``phrases`` are all the frequent ones of their length, so a candidate's last words must be among them as well.
+
+    A task packs its candidates' numbers and counts into one row for each of ``buckets``
+    (by the hash of the candidate), and the rows of a bucket are added up together."""
     k = phrases.shape[1] + 1
     shared = codes.sparkSession.sparkContext.broadcast((DoubleArray(phrases), phrases))
     names = [f"w{i + 1}" for i in range(k)]
 
     def rows(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        words = shared.value[1][key >> 32]
-        return pa.RecordBatch.from_arrays([*(pa.array(words[:, i], pa.int32()) for i in range(k - 1)), pa.array(key & 0xFFFFFFFF, pa.int32()), pa.array(n, pa.int64())], [*names, "n"])
+        bucket = (mix(key.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        some = np.flatnonzero(np.diff(cut))
+        key, n = key[order], n[order]
+        parts = [(np.diff(key[i:j], prepend=0).astype("<i8").tobytes(), n[i:j].astype("<i8").tobytes()) for i, j in zip(cut[some].tolist(), cut[some + 1].tolist())]
+        return pa.RecordBatch.from_arrays([pa.array(some), pa.array([p[0] for p in parts], pa.binary()), pa.array([p[1] for p in parts], pa.binary())], ["bucket", "keys", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, held, size = shared.value[0], [], 0
         for b in batches:
             codes = binary_bytes(b.column(0)).view("<i4")
-            for at in range(0, len(codes), 1 << 22):
-                numbers = np.append(codes[at:at + (1 << 22) + k], np.zeros(1, "<i4"))
+            for at in range(0, len(codes), STEP_CODES):
+                numbers = np.append(codes[at:at + STEP_CODES + k], np.zeros(k, "<i4"))
                 state = trie.walk(numbers)
-                here = np.flatnonzero(state[:-1] >= 0)
-                here = here[here < 1 << 22]
+                here = np.flatnonzero(state[:min(STEP_CODES, len(codes) - at)] >= 0)
                 if both:
                     here = here[state[here + 1] >= 0]
-                follow = np.append(numbers, np.zeros(k, "<i4"))[here + k - 1]
+                follow = numbers[here + k - 1]
                 here, follow = here[follow > 0], follow[follow > 0]
-                key, n = np.unique(state[here] << 32 | follow, return_counts=True)
-                held.append((key, n))
-                size += len(key)
+                held.append(np.unique(state[here] << 32 | follow, return_counts=True))
+                size += len(held[-1][0])
                 if size > HELD_KEYS:
                     held = [summed(held)]
                     size = len(held[0][0])
@@ -207,7 +217,15 @@ def longer_phrases(codes: DataFrame, phrases: np.ndarray, both: bool) -> DataFra
         if held:
             yield rows(*summed(held))
 
-    return codes.mapInArrow(run, ", ".join(f"{x} int" for x in names) + ", n long")
+    def add(t: pa.Table) -> pa.Table:
+        held = [(np.cumsum(np.frombuffer(x, "<i8")), np.frombuffer(n, "<i8")) for x, n in zip(t["keys"].to_pylist(), t["counts"].to_pylist())]
+        key, n = summed(held)
+        key, n = key[n >= least], n[n >= least]
+        words = shared.value[1][key >> 32]
+        return pa.table([*(pa.array(words[:, i], pa.int32()) for i in range(k - 1)), pa.array(key & 0xFFFFFFFF, pa.int32()), pa.array(n)], [*names, "f"])
+
+    packed = codes.mapInArrow(run, "bucket long, keys binary, counts binary")
+    return packed.groupBy("bucket").applyInArrow(add, ", ".join(f"{x} int" for x in names) + ", f long")
 
 
 def summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -220,6 +238,8 @@ def frequent_phrases(spark: SparkSession, texts: DataFrame, least: int = LEAST_C
     """(phrases: lang, w (word numbers), f, of 1 to ``longest`` words; words: id, word; totals: lang, n) of ``texts`` (lang, text)."""
     counted = stage(word_counts(texts, least), "word_counts")
     totals = counted.where("word is null").select("lang", F.col("f").alias("n"))
+    # a bucket holds a few million of the positions' candidates, whatever their number
+    buckets = max(16, (totals.agg(F.sum("n")).first()[0] or 0) // BUCKET_WORDS)
     words = counted.where("word is not null")
     if words.isEmpty():
         none = spark.createDataFrame([], "lang string, w array<int>, f long")
@@ -229,17 +249,17 @@ def frequent_phrases(spark: SparkSession, texts: DataFrame, least: int = LEAST_C
     below, key = vocabulary.select(F.col("id").alias("w1"), "f"), ["w1"]
     levels = [below]
     for k in range(2, longest + 1):
-        tries = []
+        found = []
         single = below.count() <= trie_phrases
         for t in shards(below.select(*key), key, trie_phrases):
             phrases = np.stack([t[c].to_numpy() for c in key], 1).astype(np.int64).reshape(-1, k - 1)
             phrases = phrases[np.lexsort(phrases.T[::-1])]
             if len(phrases):
-                tries.append(longer_phrases(codes, phrases, single))
+                found.append(stage(longer_phrases(codes, phrases, single, least, buckets), "phrases"))
         key = [f"w{i + 1}" for i in range(k)]
-        if not tries:
+        if not found:
             break
-        below = stage(reduce(DataFrame.union, tries).groupBy(*key).agg(F.sum("n").alias("f")).where(F.col("f") >= least), "phrases")
+        below = reduce(DataFrame.union, found)
         levels.append(below)
     arrays = [x.select(F.array(*[c for c in x.columns if c != "f"]).alias("w"), "f") for x in levels]
     langs = vocabulary.select(F.col("id").alias("_id"), "lang")

@@ -66,6 +66,7 @@ def test_phrases_match_a_plain_count(spark, corpus, rows, least, first, absorb,
 
 def test_held_counts_are_passed_on(spark, corpus, rows, monkeypatch):
     monkeypatch.setattr(C, "HELD_KEYS", 50)
+    monkeypatch.setattr(C, "STEP_CODES", 97)
     got = C.collocations(spark, corpus([(1, t, g) for t, g in rows]), 3)
     assert sorted(map(tuple, got.collect())) == brute(rows, 3, 5)
 
