@@ -499,13 +499,16 @@ def q_overlap_pairs(spark, sf_dir, src=TB.documents):
     return overlap_pairs(_doc_entities(src(spark, sf_dir)))
 
 
-@register("pseudonymize_corpus", _with(TB.FORMS_SQL, """SELECT text, entity_type, 'USER_' || upper(substring(entity_type, 1, 3))
+_CORPUS_NAMES_SQL = """SELECT text, entity_type, 'USER_' || upper(substring(entity_type, 1, 3))
   || '_' || CAST(row_number() OVER (PARTITION BY upper(substring(entity_type, 1, 3)) ORDER BY fd, fs, text, entity_type)
   AS VARCHAR) AS pseudonym
 FROM (SELECT text, entity_type, arg_min(doc_id, struct_pack(d := doc_id, q := seq)) AS fd,
              arg_min(seq, struct_pack(d := doc_id, q := seq)) AS fs FROM
       (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, e, wid) - 1 AS seq FROM ents)
-      GROUP BY text, entity_type)"""))
+      GROUP BY text, entity_type)"""
+
+
+@register("pseudonymize_corpus", _with(TB.FORMS_SQL, _CORPUS_NAMES_SQL))
 def q_pseudonymize_corpus(spark, sf_dir):
     from redactflow.operators.report import pseudonymize_corpus
     return pseudonymize_corpus(_in_redaction_order(TB.customer_forms(spark, sf_dir)))
@@ -891,6 +894,19 @@ def q_stream_scrub(spark, sf_dir):
     return spark.read.parquet(f"{path}/out").select("doc_id", "redacted_text")
 
 
+@register("stream_pseudonyms", _splice_sql(TB.FORMS_SQL, [f"ps AS ({_CORPUS_NAMES_SQL})", """red AS (
+  SELECT e.doc_id, list(struct_pack(s := e.s, e := e.e, r := p.pseudonym) ORDER BY e.s DESC, e.e, e.wid) AS l
+  FROM ents e JOIN ps p ON p.text = e.text AND p.entity_type = e.entity_type GROUP BY e.doc_id)"""]))
+def q_stream_pseudonyms(spark, sf_dir):
+    """Customer forms as a stream, redacted with names that hold over the whole stream."""
+    from redactflow.streaming.stream import run_pseudonyms
+    path = _fresh_dir(spark, "stream_pseudonyms")
+    forms = TB.customer_forms(spark, sf_dir)
+    forms.write.parquet(f"{path}/in")
+    docs, _ = run_pseudonyms(spark.readStream.schema(forms.schema).parquet(f"{path}/in"), path, f"{path}/checkpoint")
+    return docs.select("doc_id", "redacted_text")
+
+
 _EVENT_TEXT_SQL = f"SELECT event_id AS doc_id, 'user ' || {TB._pad_sql('user_id', 8)} || ' ' || event_type AS text FROM events"
 
 
@@ -1000,6 +1016,16 @@ def q_src_csv(spark, sf_dir):
     return read_csv_files(spark, path).select("text")
 
 
+@register("src_csv_split", """SELECT CAST(doc_id AS VARCHAR) || ' ' || text || ' ' || lang AS text FROM documents""")
+def q_src_csv_split(spark, sf_dir):
+    """``documents`` written as CSV with a header, texts quoted and over many lines, and read back in splits."""
+    from redactflow.sources.csv_split import read_csv_split
+    path = _fresh_dir(spark, "src_csv_split")
+    (TB.load(spark, sf_dir, "documents").select("doc_id", "text", "lang").write.option("header", True).option("quoteAll", True)
+     .option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+    return read_csv_split(spark, path, normalize=False).select("text")
+
+
 @register("src_json", """SELECT CAST(to_json({'c_custkey': c_custkey, 'c_name': c_name, 'c_nationkey': c_nationkey,
   'c_mktsegment': c_mktsegment}) AS VARCHAR) AS text FROM customer""")
 def q_src_json(spark, sf_dir):

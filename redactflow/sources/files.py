@@ -111,14 +111,15 @@ class Undecodable(ValueError):
     """A file of an accepted format whose content can't be read as records."""
 
 
-def decode_records(fmt: str, content: bytes, csv_header: bool = True) -> list[str]:
+def decode_records(fmt: str, content: bytes, csv_header: bool = True, keep_empty: bool = False) -> list[str | None]:
     """The texts of one file's records, nothing left out.
 
     ``.txt``: the whole file (invalid UTF-8 bytes dropped).  ``.csv``: one text
     per row, all its fields joined by spaces, whatever the number of fields in
     the header or in other rows; quoted line breaks stay within their field.
     ``.json``: one text per record (an array's elements, or the one value),
-    keys in the order of the file and nulls kept.
+    keys in the order of the file and nulls kept.  ``keep_empty``: empty CSV
+    rows are null instead of being left out.
     """
     if fmt == ".txt":
         return [content.decode("utf-8", "ignore")]
@@ -128,7 +129,7 @@ def decode_records(fmt: str, content: bytes, csv_header: bool = True) -> list[st
             rows = list(csv.reader(io.StringIO(content.decode("utf-8-sig", "ignore"), newline=""), strict=True))
         except csv.Error as e:
             raise Undecodable(f"Error reading CSV: {e}") from e
-        return [" ".join(r) for r in rows[1 if csv_header else 0:] if r]
+        return [" ".join(r) if r else None for r in rows[1 if csv_header else 0:] if r or keep_empty]
     try:
         value = json.loads(content.decode("utf-8-sig"))
     except (ValueError, RecursionError) as e:

@@ -47,6 +47,45 @@ def stream_feedback_stats(feedback_stream: DataFrame) -> DataFrame:
     return feedback_stream.groupBy("feedback_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+def run_pseudonyms(stream: DataFrame, path: str, checkpoint: str, cfg: ScrubConfig = ScrubConfig(), text_col: str = "text",
+                   id_cols: tuple[str, ...] = ("doc_id",)) -> tuple[DataFrame, DataFrame]:
+    """Redact a stream with pseudonyms that hold over all of it: (documents, dictionary).
+
+    The state across micro-batches is the dictionary, an append-only table in
+    which a batch's new keys are the version of its number (``path/names``).  A
+    batch numbers only keys that no earlier version has, from each prefix's
+    highest number on, so a key has one name for good.  A repeated batch
+    reads the versions before its own and rewrites itself, both in the
+    dictionary and in ``path/documents``: a restart neither doubles nor renames.
+    Over all batches the names are those of one batch run over the documents in the
+    order in which they came.  The dictionary is spread by key: a state store keyed by
+    prefix would number all names of a type in one task.
+    """
+    from redactflow.operators import redact as R
+    from redactflow.operators.report import PSEUDONYM_SCHEMA, store_pseudonyms
+    from redactflow.plans.versions import read_versions, write_version
+    from redactflow.session import cut_lineage
+
+    spark, ids = stream.sparkSession, list(id_cols)
+
+    def batch(docs: DataFrame, number: int) -> None:
+        found = cut_lineage(detect(docs.select(*ids, text_col), text_col, cfg))
+        rows = found.select(*ids, F.posexplode_outer(R.redaction_order(F.col("entities"))).alias("seq", "x")).where(F.col("seq").isNotNull())
+        rows = rows.select(*ids, F.col("seq").cast("long").alias("seq"), "x", F.col("x.text").alias("text"), F.col("x.entity_type").alias("entity_type"))
+        names = store_pseudonyms(rows.select(*ids, "seq", "text", "entity_type"), f"{path}/names", number, (*ids, "seq"))
+        named = rows.join(names.select("text", "entity_type", "pseudonym"), ["text", "entity_type"])
+        arrays = named.groupBy(*ids).agg(F.collect_list(F.col("x").withField("replacement", F.col("pseudonym"))).alias("_named"))
+        plain = F.transform("entities", lambda x: x.withField("replacement", F.lit(None).cast("string")))
+        out = found.join(arrays, ids, "left").withColumn("entities", F.coalesce("_named", plain))
+        write_version(out.select(*ids, R.redact_text(F.col(text_col), F.col("entities")).alias("redacted_text"),
+                                 F.size("entities").alias("entities_found")), f"{path}/documents", number)
+
+    q = (stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch).trigger(availableNow=True).start())
+    q.awaitTermination()
+    kinds = ", ".join(f"{c} {dict(stream.dtypes)[c]}" for c in ids)
+    return read_versions(spark, f"{path}/documents", f"{kinds}, redacted_text string, entities_found int"), read_versions(spark, f"{path}/names", PSEUDONYM_SCHEMA)
+
+
 def run_to_table(df: DataFrame, name: str, mode: str = "append") -> StreamingQuery:
     """Run a stream over everything available now into an in-memory table of
     the driver: for tests and small looks only.
