@@ -13,11 +13,12 @@ across rows, so there is nothing that could be skewed and nothing is shuffled.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redactflow.llm.common import table
+from redactflow.llm.common import stage, table
 
 WINDOW = 8
 _BLANK = " \t\n\x0b\x0c\r"
@@ -123,6 +124,14 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         (~passes("base")).alias("base_failed"), passes(CURRENT).alias("kept"), "n_lines", "n_upper", "bits")
 
 
+def op6_rule_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every policy version and each of its rules: the documents that fail it, those that only it fails, and what fails with it."""
+    # the ledger is evaluated once; every policy reads its bits
+    entries = stage(ledger(table(spark, sf_dir, "documents")).select("bits"), "ledger")
+    out = [ablation(entries, policy).withColumn("policy", F.lit(policy)) for policy in POLICIES]
+    return reduce(DataFrame.union, out).select("policy", "rule", "n_failed", "n_only", "fails_with")
+
+
 #: The same in DuckDB.
 OP6_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS row FROM documents),
@@ -142,3 +151,18 @@ b AS (SELECT *, ((n_words < 20)::BIGINT + 2 * (100 * n_repeat_words > 30 * n_wor
              + 32 * (word_chars > 20 * n_words)::BIGINT + 64 * (100 * n_upper > 50 * word_chars)::BIGINT) AS bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, bits & 3 <> 0 AS base_failed, bits = 0 AS kept, n_lines, n_upper, bits FROM b
 """
+
+
+def _ablation_sql() -> str:
+    """The ablation in DuckDB, rule by rule over the documents' bits."""
+    entries = OP6_SQL.strip()
+    rules = " UNION ALL ".join(
+        f"SELECT '{policy}' AS policy, '{name}' AS rule, {1 << k} AS bit, {mask(policy)} AS mask"
+        for policy in POLICIES for k, name in enumerate(RULES) if name in POLICIES[policy])
+    return f"""WITH e AS MATERIALIZED (SELECT bits FROM ({entries})), r AS ({rules})
+SELECT policy, rule, count(*) FILTER (WHERE e.bits & bit <> 0)::BIGINT AS n_failed, count(*) FILTER (WHERE e.bits & mask = bit)::BIGINT AS n_only,
+       coalesce(bit_or(e.bits & mask) FILTER (WHERE e.bits & bit <> 0), 0)::BIGINT AS fails_with
+FROM e CROSS JOIN r GROUP BY policy, rule"""
+
+
+OP6_ABLATION_SQL = _ablation_sql()

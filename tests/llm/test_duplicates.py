@@ -169,12 +169,30 @@ def test_lines(corpus, words):
     assert found_lines(docs, index) == plain_lines(rows, 10)
     out = line_dedup.without_frequent_lines(docs, index)
     assert set(out.columns) == set(docs.columns) | {"n_dropped"} and out.where("key = 'k'").count() == len(rows)
-    exact = index.dropped_keys(docs, filter_bytes=-1).select("doc_id", F.array_sort("keys"))
-    assert sorted(map(str, exact.collect())) == sorted(map(str, index.dropped_keys(docs).select("doc_id", F.array_sort("keys")).collect()))
+    for limits in ({"key_bytes": -1}, {"filter_bytes": -1}, {"key_bytes": -1, "filter_bytes": -1}):  # joins instead of broadcasts
+        assert sorted(map(str, line_dedup.without_frequent_lines(docs, index, **limits).collect())) == sorted(map(str, out.collect()))
     empty = docs.limit(0)
     assert line_dedup.without_frequent_lines(empty, line_dedup.LineIndex.of(empty)).count() == 0
 
 
+def test_many_rows_without_id(corpus, words):
+    rows = line_rows(words) + [(None, f"{words(i, 4)}\nshared line") for i in range(300)]
+    for limit in (line_dedup.KEY_BYTES, -1):
+        index = line_dedup.LineIndex.of(corpus(rows))
+        out = line_dedup.without_frequent_lines(corpus(rows), index, key_bytes=limit).collect()
+        assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_lines, r.n_dropped, r.text or "") for r in out) == plain_lines(rows, 10)
+
+
+def test_shards_follow_the_keys(corpus, words, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 2)
+    rows = [(i, "\n".join(f"line {k}" for k in range(i % 7, 60 + i % 9))) for i in range(40)]
+    index = line_dedup.LineIndex.of(corpus(rows[:20]))
+    assert index.shards >= 25 and found_lines(corpus(rows[:20]), index) == plain_lines(rows[:20], 10)
+    more = [(100 + i, "\n".join(f"other {k}" for k in range(80))) for i in range(12)]
+    grown = index.insert(corpus(more))
+    assert grown.shards > index.shards and found_lines(corpus(rows[:20] + more), grown) == plain_lines(rows[:20] + more, 10)
+
+
 def test_lines_can_be_undone(corpus, words):
     rows = line_rows(words)
     first, second = corpus(rows[:35]), corpus(rows[35:])
