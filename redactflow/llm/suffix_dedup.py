@@ -11,8 +11,8 @@ first.
     ties by the sample's name; but one position in 37 is a sample, where a
     cover by position needs one in eight.  Neighbouring windows with one anchor
     are a run, which its anchor and its bytes name.
-2.  Counting.  Anchors are counted over the corpus.  A bit sketch of fixed size
-    tells the second scan which anchors recur; it may name too many, never too few.
+2.  Counting.  Anchors are counted over the corpus.  A bit sketch, sized by the
+    corpus's bytes, tells the second scan which anchors recur; it may name too many, never too few.
 3.  Within a task a run that repeats an earlier one is settled at once; only the
     first of each goes to the shuffle, so a passage of a third of all documents
     sends one row per batch.
@@ -26,9 +26,9 @@ first.
     texts are shuffled once, for this join and for fetching the bytes.
 
 Positions count as earlier by doc_id, then by offset.  Null and empty texts
-have no bytes.  Equal rows with one doc_id are one document; rows with one
-doc_id and different texts share their removed ranges.  Rows without doc_id
-stay whole and count as nowhere.  Other columns are ignored.
+have no bytes.  Equal rows with one doc_id are one document; different texts
+under one doc_id are documents of their own, in the order of their hashes.  Rows
+without doc_id stay whole and count as nowhere.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from redactflow.llm.common import SpanHash, row_steps, stage, table, text_bytes
@@ -115,19 +115,31 @@ def later(*keys: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarra
     return first, order[other]
 
 
+#: Bits of the sketch: four for each anchor that the corpus is expected to have, 128 MB at most.
+LEAST_BITS, MOST_BITS = 20, 30
+
+
+def sketch_bits(n_bytes: int, length: int, anchor: int) -> int:
+    """An anchor comes every (length - anchor + 2) / 2 bytes on average."""
+    anchors = 2 * n_bytes // (length - anchor + 2)
+    return min(MOST_BITS, max(LEAST_BITS, (4 * anchors).bit_length()))
+
+
 def recurring(docs: DataFrame, length: int, anchor: int, bits: int) -> bytes:
     """A sketch of ``2**bits`` bits: anchors that recur.  Half a hash counts an
-    anchor: two that share it are marked without need, which costs rows and no result."""
+    anchor while halves seldom meet (a larger corpus takes whole ones): two that
+    share it are marked without need, which costs rows and no result."""
+    wide = bits > 28
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for _, a, *_ in scanned(b, length, anchor):
-                yield pa.RecordBatch.from_arrays([pa.array((a >> np.uint64(32)).astype(np.uint32).view(np.int32))], ["a"])
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64) if wide else (a >> np.uint64(32)).astype(np.uint32).view(np.int32))], ["a"])
 
-    seen = docs.mapInArrow(run, "a int").groupBy("a").agg(F.count("*").alias("n")).where("n > 1")
+    seen = docs.mapInArrow(run, "a long" if wide else "a int").groupBy("a").agg(F.count("*").alias("n")).where("n > 1")
     chunk = min(bits, 19)
-    place = F.shiftrightunsigned("a", 32 - bits)
-    marks = seen.select(F.shiftright(place, chunk).alias("chunk"), place.bitwiseAND((1 << chunk) - 1).alias("bit"))
+    place = F.shiftrightunsigned("a", (64 if wide else 32) - bits)
+    marks = seen.select(F.shiftright(place, chunk).cast("int").alias("chunk"), place.bitwiseAND((1 << chunk) - 1).alias("bit"))
 
     def build(b: pd.DataFrame) -> pd.DataFrame:
         bit = np.zeros(1 << chunk, np.uint8)
@@ -273,9 +285,11 @@ def crowded_windows(rows: DataFrame, length: int) -> DataFrame:
     return again.select("doc_id", "start", (F.col("start") + length).alias("end"))
 
 
-def repeated_ranges(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, bits: int = 27, bucket_rows: int = 10_000, crowded: int = 4_000) -> DataFrame:
-    """doc_id, ranges (start, end; they may overlap) of the bytes to remove, for documents that have any."""
+def repeated_ranges(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, bits: int | None = None, bucket_rows: int = 10_000, crowded: int = 4_000) -> DataFrame:
+    """doc_id, ranges (start, end; they may overlap) of the bytes to remove, for documents that have any.  A doc_id stands for one text."""
     docs = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
+    if bits is None:
+        bits = sketch_bits(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0, length, anchor)
     rows = stage(open_runs(docs, length, anchor, bits), "runs")
     span = F.col("start") + F.col("windows") + (length - 1)
     settled = rows.where(F.col("a").isNull()).select("doc_id", "start", span.alias("end"))
@@ -292,10 +306,25 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     return found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
 
 
+def document_keys(docs: DataFrame) -> Column:
+    """What tells the documents apart and puts them in order: doc_id, unless some id has several
+    texts; then doc_id and the text's hash as bytes that sort alike."""
+    text = F.xxhash64("text")
+    several = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(text).alias("a"), F.max(text).alias("b")).where("a <> b")
+    if several.isEmpty():
+        return F.col("doc_id")
+    digits = lambda c: F.lpad(F.hex(c), 16, "0")
+    if dict(docs.dtypes)["doc_id"] in ("tinyint", "smallint", "int", "bigint"):
+        return F.unhex(F.concat(digits(F.col("doc_id").cast("long").bitwiseXOR(F.lit(-(1 << 63)))), digits(text)))
+    return F.unhex(F.concat(F.hex(F.encode(F.col("doc_id").cast("string"), "UTF-8")), F.lit("00"), digits(text)))
+
+
 def without_repeats(docs: DataFrame, length: int = LENGTH, **settings) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) of every row of ``docs`` (doc_id, text)."""
-    ranges = stage(repeated_ranges(docs, length, **settings), "ranges").withColumnRenamed("doc_id", "at_doc")
-    joined = docs.select("doc_id", "text").join(ranges, F.col("doc_id") == F.col("at_doc"), "left").select("doc_id", "text", "ranges")
+    docs = docs.select("doc_id", "text")
+    docs = docs.withColumn("key", document_keys(docs))
+    ranges = stage(repeated_ranges(docs.select(F.col("key").alias("doc_id"), "text"), length, **settings), "ranges").withColumnRenamed("doc_id", "at_doc")
+    joined = docs.join(ranges, F.col("key") == F.col("at_doc"), "left").select("doc_id", "text", "ranges")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -124,6 +124,34 @@ def test_repeated_strings(corpus, words, settings):
         assert suffix_dedup.without_repeats(corpus(rows).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_different_texts_under_one_id(spark, corpus, words, kind):
+    """They are documents of their own: no byte goes that repeats nothing."""
+    from pyspark.sql import functions as F
+
+    a, b, c = words(1, 60), words(2, 70), words(3, 80)
+    rows = [(7, a), (7, b), (7, f"{c} {a}"), (7, b), (8, f"x {b}"), (-2, f"{words(9, 50)} {c}"), (9, "own"), (None, a)]
+    docs = corpus(rows).withColumn("doc_id", F.col("doc_id").cast(kind))
+    got = sorted((str(r.doc_id), bytes(r.kept).decode(), r.n_removed) for r in suffix_dedup.without_repeats(docs).collect())
+    hashed = {t: h for t, h in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    unsigned = lambda t: hashed[t] % (1 << 64)
+    own = sorted({(i, unsigned(t), t) for i, t in rows if i is not None}, key=lambda x: ((x[0] if kind == "long" else str(x[0]).encode()), x[1]))
+    want = plain_repeats([(n, t) for n, (_, _, t) in enumerate(own)], 100)
+    kept = {(i, t): want[n] for n, (i, _, t) in enumerate(own)}
+    assert got == sorted((str(i), *((t, 0) if i is None else (kept[i, t][3].decode(), kept[i, t][1]))) for i, t in rows)
+
+
+def test_sketches_grow_with_the_corpus():
+    assert suffix_dedup.sketch_bits(0, 100, 28) == 20 and suffix_dedup.sketch_bits(1 << 45, 100, 28) == 30
+    assert suffix_dedup.sketch_bits(864_000_000, 100, 28) == 27
+
+
+def test_wide_hashes_give_the_same(corpus, words):
+    rows = [(i, f"{words(i, 30)} {words(100 + i % 3, 40)}") for i in range(12)]
+    small, wide = (sorted((r.doc_id, bytes(r.kept)) for r in suffix_dedup.without_repeats(corpus(rows), bits=b).collect()) for b in (20, 29))
+    assert small == wide and any(len(k) < 230 for _, k in small) and all(len(k) > 100 for _, k in small)
+
+
 def test_long_documents_are_scanned_in_blocks(monkeypatch, words):
     import pyarrow as pa
 
