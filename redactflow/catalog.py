@@ -446,10 +446,10 @@ def q_length_confidence(spark, sf_dir):
   e.e + 100 - greatest(e.s - 100, 0))) AS slice FROM ents e JOIN documents d ON d.doc_id = e.doc_id"""))
 def q_context_slice(spark, sf_dir):
     from redactflow.functions.arrays import let
-    from redactflow.functions.text import CHUNK, chunks, context_slice_of
+    from redactflow.functions.text import context_slice_of, cut_text
     docs = detect(TB.documents(spark, sf_dir))
     # the text is cut once per document; no entity row carries it
-    slices = let(chunks(F.col("text"), CHUNK), lambda pieces: F.transform("entities", lambda x: context_slice_of(pieces, x["s"], x["e"])))
+    slices = let(cut_text(F.col("text")), lambda pieces: F.transform("entities", lambda x: context_slice_of(pieces, x["s"], x["e"])))
     rows = explode_structs(docs.select("doc_id", slices.alias("slices")), "slices", ["doc_id"])
     return rows.select("doc_id", F.col("pos").cast("long").alias("idx"), F.col("x").alias("slice"))
 

@@ -86,20 +86,28 @@ def context_windows(text: Column, size: int = WINDOW_SIZE, overlap: int = WINDOW
                lambda b: F.transform(b["ch"], lambda c, i: window(b["ch"], b["n"], c, i)))
 
 
-#: Code points per chunk of a text that is sliced at many places.
+#: Code points per chunk of a text that is sliced at many places, and bytes up to which it stays whole.
 CHUNK = 512
+WHOLE = 2048
 
 
-def slice_of(pieces: Column, start: Column, end: Column, step: int = CHUNK) -> Column:
-    """Code points [start, end) of the text that ``chunks(text, step)`` cut.
+def cut_text(text: Column) -> Column:
+    """A text made ready for many slices: short ones as they are, longer ones in chunks.
 
-    ``substring`` on the text itself walks from its beginning; here only the
-    chunks in reach are touched, so many slices of a long text stay linear.
+    ``substring`` walks from the text's beginning.  That is the cheapest way
+    for a short text; in a long one only the chunks in reach are touched, so many slices stay linear.
     """
-    first = F.floor(start / step).cast("int")
-    last = F.floor((end - 1) / step).cast("int")
-    reach = F.array_join(F.slice(pieces, first + 1, F.greatest(last - first + 1, F.lit(0))), "")
-    return F.when(end > start, F.substring(reach, start - first * step + 1, end - start)).otherwise(F.lit(""))
+    return F.struct(F.when(F.octet_length(text) <= WHOLE, text).alias("whole"),
+                    F.when(F.octet_length(text) > WHOLE, chunks(text, CHUNK)).alias("chunks"))
+
+
+def slice_of(cut: Column, start: Column, end: Column) -> Column:
+    """Code points [start, end) of the text of ``cut_text``."""
+    first = F.floor(start / CHUNK).cast("int")
+    last = F.floor((end - 1) / CHUNK).cast("int")
+    reach = F.array_join(F.slice(cut["chunks"], first + 1, F.greatest(last - first + 1, F.lit(0))), "")
+    return (F.when(end <= start, F.lit("")).when(cut["whole"].isNotNull(), F.substring(cut["whole"], start + 1, end - start))
+            .otherwise(F.substring(reach, start - first * CHUNK + 1, end - start)))
 
 
 def context_slice(text: Column, start: Column, end: Column, radius: int = CONTEXT_RADIUS) -> Column:
@@ -108,9 +116,9 @@ def context_slice(text: Column, start: Column, end: Column, radius: int = CONTEX
     return F.lower(F.substring(text, lo + 1, end + radius - lo))
 
 
-def context_slice_of(pieces: Column, start: Column, end: Column, radius: int = CONTEXT_RADIUS) -> Column:
-    """``context_slice`` of a chunked text."""
-    return F.lower(slice_of(pieces, F.greatest(start - radius, F.lit(0)), end + radius))
+def context_slice_of(cut: Column, start: Column, end: Column, radius: int = CONTEXT_RADIUS) -> Column:
+    """``context_slice`` of the text of ``cut_text``."""
+    return F.lower(slice_of(cut, F.greatest(start - radius, F.lit(0)), end + radius))
 
 
 def html_escape(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from redactflow.functions.text import CHUNK, CONTEXT_RADIUS, chunks, context_slice, context_slice_of
+from redactflow.functions.text import CONTEXT_RADIUS, context_slice, context_slice_of, cut_text
 
 # FIXED VALUES: anchor categories and their words, boost step and cap.
 ANCHOR_WORDS = {
@@ -54,7 +54,7 @@ def context_boost(entities: Column, text: Column, radius: int = CONTEXT_RADIUS)
 
     # the entities are bound first: unbound, the whole detection would be planned and run at each use
     return let(entities, lambda found: F.when(F.size(found) == 0, found).otherwise(
-        let(chunks(text, CHUNK), lambda pieces: F.transform(found, lambda x: one(pieces, x)))))
+        let(cut_text(text), lambda pieces: F.transform(found, lambda x: one(pieces, x)))))
 
 
 def domain_pattern_lookup(patterns: DataFrame, domain: str) -> DataFrame:

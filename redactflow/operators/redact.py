@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from redactflow.functions.arrays import first_of_groups, fold_collect, group_starts, let, memoized, sort_structs
 from redactflow.functions.masks import mask_full, mask_partial, mask_placeholder, pseudonym_prefix, replacement
-from redactflow.functions.text import CHUNK, chunks, html_escape, slice_of
+from redactflow.functions.text import cut_text, html_escape, slice_of
 
 REDACTION_ORDER = [("s", True), ("e", False), ("window_id", False)]
 DOCUMENT_ORDER = [("s", False), ("e", False), ("window_id", False)]
@@ -115,7 +115,7 @@ def splice_fold(text: Column, entities_redaction_order: Column) -> Column:
         return F.aggregate(spans, init, step, lambda acc: F.concat(
             slice_of(pieces, F.lit(0), acc["at"]), acc["head"], F.array_join(F.reverse(acc["done"]), "")))
 
-    bound = F.struct(chunks(text, CHUNK).alias("pieces"), F.length(text).alias("n"), entities_redaction_order.alias("spans"))
+    bound = F.struct(cut_text(text).alias("pieces"), F.length(text).alias("n"), entities_redaction_order.alias("spans"))
     return let(bound, lambda b: F.when(F.size(b["spans"]) == 0, text).otherwise(
         let(F.array_max(F.transform(b["spans"], lambda x: x["e"] - x["s"])), lambda reach: over(b["pieces"], b["n"], b["spans"], reach))))
 
@@ -133,7 +133,7 @@ def _splice(text: Column, spans: Column, gap_form) -> Column:
         return F.concat(F.array_join(F.transform(arr, piece), ""), gap_form(slice_of(pieces, last_end, b["n"])))
 
     return let(spans, lambda arr: F.when(F.size(arr) == 0, gap_form(text)).otherwise(
-        let(F.struct(arr.alias("spans"), chunks(text, CHUNK).alias("pieces"), F.length(text).alias("n")), body)))
+        let(F.struct(arr.alias("spans"), cut_text(text).alias("pieces"), F.length(text).alias("n")), body)))
 
 
 def splice_linear(text: Column, entities_document_order: Column) -> Column:
@@ -204,8 +204,8 @@ def merge_overlaps(entities_document_order: Column) -> Column:
 def redact_merged(text: Column, entities: Column, mode: str) -> Column:
     """Merge overlapping spans, then replace each island once (linear splice)."""
     islands = merge_overlaps(document_order(entities))
-    with_text = F.transform(islands, lambda x: x.withField(
-        "text", F.substring(text, x["s"] + 1, x["e"] - x["s"])).withField("window_id", F.lit(0)))
+    with_text = let(cut_text(text), lambda cut: F.transform(islands, lambda x: x.withField(
+        "text", slice_of(cut, x["s"], x["e"])).withField("window_id", F.lit(0))))
     with_repl = with_replacements(with_text, mode if mode in ("full", "placeholder", "partial") else "full")
     return splice_linear(text, with_repl)
 
@@ -228,10 +228,10 @@ def annotate_spans(text: Column, entities: Column) -> Column:
     """Escaped text with ``<mark title="TYPE">span<sup>TYPE</sup></mark>`` around
     the spans kept by ``greedy_nonoverlap`` (ordered by start, stable)."""
     kept = greedy_nonoverlap(document_order(entities))
-    marked = F.transform(kept, lambda x: x.withField("replacement", F.concat(
+    marked = let(cut_text(text), lambda cut: F.transform(kept, lambda x: x.withField("replacement", F.concat(
         F.lit('<mark title="'), html_escape(x["entity_type"]), F.lit('">'),
-        html_escape(F.substring(text, x["s"] + 1, x["e"] - x["s"])),
-        F.lit("<sup>"), html_escape(x["entity_type"]), F.lit("</sup></mark>"))))
+        html_escape(slice_of(cut, x["s"], x["e"])),
+        F.lit("<sup>"), html_escape(x["entity_type"]), F.lit("</sup></mark>")))))
 
     return _splice(text, marked, html_escape)
 
