@@ -13,7 +13,7 @@ from redactflow.llm.packing import op3_packing
 from redactflow.llm.periodic_runs import op11_periodic_runs
 from redactflow.llm.pu_quality import op10_quality_classifier
 from redactflow.llm.quality_rules import OP6_ABLATION_SQL, OP6_SQL, op6_quality_rules, op6_rule_ablation
-from redactflow.llm.suffix_dedup import op7_suffix_array_dedup
+from redactflow.llm.suffix_dedup import OP7_SQL, op7_suffix_array_dedup
 from redactflow.llm.token_files import op5_token_counts
 
 QUERIES = {
@@ -23,7 +23,7 @@ QUERIES = {
     "op4_minhash_near_dedup": (op4_minhash_near_dedup, OP4_SQL),
     "op5_token_counts": (op5_token_counts, None),
     "op6_quality_rules": (op6_quality_rules, OP6_SQL),
-    "op7_suffix_array_dedup": (op7_suffix_array_dedup, None),
+    "op7_suffix_array_dedup": (op7_suffix_array_dedup, OP7_SQL),
     "op8_line_dedup": (op8_line_dedup, OP8_SQL),
     "op9_language_id": (op9_language_id, None),
     "op10_quality_classifier": (op10_quality_classifier, None),

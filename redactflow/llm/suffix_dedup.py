@@ -353,3 +353,22 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, **settings) -> DataFr
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = without_repeats(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: The same in DuckDB (windows by the md5 of their bytes, read as hexadecimal digits from parts of 512 bytes).
+OP7_SQL = """
+WITH d AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT r, o, substr(h, 2 * o + 1, 1222) AS part FROM (SELECT r, h, unnest(range(0, greatest(length(h) // 2 - 99, 0), 512)) AS o FROM d)),
+w AS MATERIALIZED (SELECT r, o + k AS s, md5_number(substr(part, 2 * k + 1, 200)) AS x
+                   FROM (SELECT *, unnest(range(0, least(512, length(part) // 2 - 99))) AS k FROM b)),
+f AS (SELECT x, min(r * 1000000000000 + s) AS first FROM w GROUP BY x HAVING count(*) > 1),
+rep AS (SELECT r, s FROM w JOIN f USING (x) WHERE r * 1000000000000 + s > first),
+cut AS (SELECT *, CASE WHEN s <= lag(s) OVER (PARTITION BY r ORDER BY s) + 100 THEN 0 ELSE 1 END AS new FROM rep),
+runs AS (SELECT r, min(s) AS a, max(s) + 100 AS b FROM (SELECT *, sum(new) OVER (PARTITION BY r ORDER BY s) AS k FROM cut) GROUP BY r, k),
+gaps AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM runs),
+kept AS (SELECT r, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS last, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS h
+         FROM gaps JOIN d USING (r) GROUP BY r)
+SELECT doc_id, (length(d.h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(kept.h, '') || substr(d.h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""

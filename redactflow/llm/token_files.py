@@ -1,7 +1,9 @@
 """Token counts from flat, unindexed token files.
 
 The files are nothing but little-endian unsigned 16-bit ids, each document
-followed by the end-of-document id.  A scan cuts them into blocks, finds the
+followed by the end-of-document id.  A file holds whole documents of about
+``file_ids`` ids together, or one longer document alone, so its size follows from the
+ids and not from a number of documents, and files are what tasks share out.  A scan cuts them into blocks, finds the
 end ids of each block in one vectorised comparison, and keeps of a block only
 its length and its end positions.  A prefix scan over the blocks of a file then
 gives what each block's first document carries in from the blocks before it
@@ -23,31 +25,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from redactflow.llm.common import table
+from redactflow.llm.common import stage, table
 from redactflow.llm.packing import tokenizer_path
 from redactflow.llm.tokens import encoder
 from redactflow.session import shared_dir
 
 END_OF_DOCUMENT = 49407
-FILE_DOCS = 20_000
+FILE_IDS = 1 << 24
 BLOCK_IDS = 1 << 20
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_OF_DOCUMENT, file_docs: int = FILE_DOCS) -> None:
-    """One flat file for at most ``file_docs`` documents of a partition, in row order.
-    The text sink writes a value's bytes as they are; the end id is its line separator."""
+def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_OF_DOCUMENT, file_ids: int = FILE_IDS) -> None:
+    """Flat files of the documents of a partition, in row order.
+    The text sink writes a file's bytes as they are; the end id of its last document is the line separator."""
+    end = int(end_id).to_bytes(2, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer, specials_as_text=True)
+        encode, held, size = encoder(tokenizer, specials_as_text=True), [], 0
+        file = lambda: pa.RecordBatch.from_arrays([pa.array([end.join(held)], pa.binary())], ["ids"])
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                texts = b.column(0).slice(at, 500).to_pylist()
-                ids = [np.frombuffer(encode(t), "<u4").astype("<u2").tobytes() for t in texts]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], ["ids"])
+            for text in b.column(0):
+                ids = np.frombuffer(encode(text.as_py()), "<u4").astype("<u2").tobytes()
+                if held and size + len(ids) // 2 >= file_ids:
+                    yield file()
+                    held, size = [], 0
+                held.append(ids)
+                size += len(ids) // 2 + 1
+        if held:
+            yield file()
 
-    separator = int(end_id).to_bytes(2, "little").decode("latin-1")
     (docs.select("text").mapInArrow(run, "ids binary").select(F.col("ids").cast("string"))
-     .write.option("lineSep", separator).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", file_docs).text(path))
+     .write.option("lineSep", end.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", 1).text(path))
 
 
 def scan_blocks(files: DataFrame, end_id: int, block_ids: int) -> DataFrame:
@@ -89,12 +97,16 @@ def count_documents(spark: SparkSession, path: str, end_id: int = END_OF_DOCUMEN
     return rows.select("path", (F.col("ended") + F.col("k")).alias("ordinal"), start.alias("first_id"), (F.col("base") + F.col("end") - start).alias("n_tokens"))
 
 
-def token_counts(docs: DataFrame, path: str, tokenizer: str, file_docs: int = FILE_DOCS) -> DataFrame:
+def token_counts(docs: DataFrame, path: str, tokenizer: str, file_ids: int = FILE_IDS) -> DataFrame:
     """doc_id, n_tokens, first_id (ids before it in its file) of every document, written to and counted from flat files."""
-    write_token_files(docs, path, tokenizer, file_docs=file_docs)
+    write_token_files(docs, path, tokenizer, file_ids=file_ids)
     counts = count_documents(docs.sparkSession, path)
-    name = F.regexp_extract("path", r"part-(\d+)-[^/]*-c(\d+)[^/]*$", 1).cast("int"), F.regexp_extract("path", r"part-(\d+)-[^/]*-c(\d+)[^/]*$", 2).cast("long")
-    placed = counts.select(name[0].alias("part"), (name[1] * file_docs + F.col("ordinal")).alias("place"), "first_id", "n_tokens")
+    name = [F.regexp_extract("path", r"part-(\d+)-[^/]*-c(\d+)[^/]*$", k).cast("long") for k in (1, 2)]
+    named = stage(counts.select(name[0].cast("int").alias("part"), name[1].alias("file"), "ordinal", "first_id", "n_tokens"), "counted")
+    # the documents in the files of the same partition before this one
+    before = Window.partitionBy("part").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    files = named.groupBy("part", "file").agg(F.count("*").alias("n")).select("part", "file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    placed = named.join(files, ["part", "file"]).select("part", (F.col("base") + F.col("ordinal")).alias("place"), "first_id", "n_tokens")
     place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
     ids = docs.select("doc_id", F.spark_partition_id().alias("part"), place.alias("place"))
     both = ids.withColumn("known", F.lit(True)).join(placed, ["part", "place"], "full")
