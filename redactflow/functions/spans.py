@@ -11,6 +11,8 @@ literal, so Spark compiles it once per task, not once per row.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -85,20 +87,25 @@ def _spans_two_scans(text: Column, java_pattern: str | Column, group: int) -> Co
     return _positions(parts, group)
 
 
+#: Private-use characters of the first plane, and the longest texts of which a free one is certain to be among them.
+PRIVATE_USE = "".join(map(chr, range(0xE000, 0xF900)))
+MOST_CHARS = len(PRIVATE_USE) - 1
+
+
 def free_mark(text: Column, most_chars: int, may_hold: Column | bool = True) -> Column:
-    """A character that ``text``, of at most ``most_chars`` code points, doesn't hold:
-    of one more private-use characters than that, one is always free.  Where
+    """A character that ``text``, of at most ``most_chars`` (up to ``MOST_CHARS``) code points,
+    doesn't hold: of one more private-use characters than that, one is always free.  Where
     ``may_hold`` (of a text around this one) is false, the first one is."""
-    free = F.element_at(F.array_except(F.split(F.lit(private_use(most_chars + 1)), ""), F.split(text, "")), 1)
+    free = F.element_at(F.array_except(F.split(F.lit(PRIVATE_USE[:most_chars + 1]), ""), F.split(text, "")), 1)
     return F.when(may_hold, free).otherwise(F.lit(MARK)) if isinstance(may_hold, Column) else free
 
 
-def private_use(n: int) -> str:
-    """The first ``n`` private-use characters."""
-    points = [*range(0xE000, 0xF900), *range(0xF0000, 0xFFFFE), *range(0x100000, 0x10FFFE)][:n]
-    if len(points) < n:
-        raise ValueError("windows are shorter than the private-use area")
-    return "".join(map(chr, points))
+def with_free_mark(text: Column, most_chars: int, may_hold: Column, body: Callable[[Column | None], Column]) -> Column:
+    """``body(mark)`` with a free mark of ``text`` bound once; of a text that may be longer than
+    ``MOST_CHARS``, ``body(None)``: each search then looks for a mark itself."""
+    from redactflow.functions.arrays import let
+
+    return let(free_mark(text, most_chars, may_hold), body) if most_chars <= MOST_CHARS else body(None)
 
 
 def _spans_one_scan(text: Column, java_pattern: str | Column, group: int, mark: str | Column = MARK) -> Column:

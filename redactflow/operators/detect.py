@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from redactflow.functions.arrays import first_of_groups, fold_collect, let, sort_structs
-from redactflow.functions.spans import MARK, find_spans, free_mark, leading_span
+from redactflow.functions.spans import MARK, find_spans, leading_span, with_free_mark
 from redactflow.functions.text import context_windows
 from redactflow.operators.rules import NAME_BLOCKLIST, NAME_TOKEN_SHAPE, PY_SPACE_EXTRA, Rule
 
@@ -168,7 +168,7 @@ def detect_windows(text: Column, rules: Sequence[Rule], size: int = 500, overlap
     guard = combined_guard(rules)
     anchored = [r for r in rules if r.anchored]
 
-    def detected(w: Column, use: Sequence[Rule], ext: Column | None, mark: Column) -> Column:
+    def detected(w: Column, use: Sequence[Rule], ext: Column | None, mark: Column | None) -> Column:
         if not use and ext is None:
             return F.array().cast(ENTITIES_TYPE)
         ents = union_detectors(w["content"], use, w["window_id"], ext, mark)
@@ -179,7 +179,7 @@ def detect_windows(text: Column, rules: Sequence[Rule], size: int = 500, overlap
     def per_window(doc: Column, w: Column) -> Column:
         ext = external_in_window(doc["external"], w) if external is not None else None
         # one free mark serves all rules of a window
-        full = let(free_mark(w["content"], size, doc["marked"]), lambda mark: detected(w, rules, ext, mark))
+        full = with_free_mark(w["content"], size, doc["marked"], lambda mark: detected(w, rules, ext, mark))
         if guard is not None:
             # a document without any prefilter hit has no window with one
             full = F.when(doc["hit"] & prefilter(w["content"], guard), full).otherwise(detected(w, anchored, ext, None))

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from redactflow.functions.arrays import let
-from redactflow.functions.spans import MARK, free_mark
+from redactflow.functions.spans import MARK, with_free_mark
 from redactflow.functions.text import CONTEXT_RADIUS, context_windows
 from redactflow.operators import detect as D
 from redactflow.operators.boost import anchor_boost, BOOST_CAP
@@ -64,11 +64,11 @@ def entity_table_exploded(docs: DataFrame, text_col: str = "text", id_col: str =
     w = F.col("w")
 
     def detect_in(use) -> Column:
-        def ents(mark: Column) -> Column:
+        def ents(mark: Column | None) -> Column:
             found = D.union_detectors(w["content"], use, w["window_id"], mark=mark)
             return D.dedup_window_spans(found) if len(use) > 1 else found
 
-        return let(free_mark(w["content"], cfg.window_size, w["content"].contains(MARK)), ents)
+        return with_free_mark(w["content"], cfg.window_size, w["content"].contains(MARK), ents)
 
     ents = detect_in(rules)
     if guard is not None:
