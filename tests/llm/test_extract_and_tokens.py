@@ -127,8 +127,14 @@ def test_token_counts(spark, corpus, words, tmp_path):
     docs = corpus(rows).repartition(3, "n")
     own = Tokenizer.from_file(packing.tokenizer_path())
     want = sorted((i or -1, len(own.encode(t or "", add_special_tokens=False).ids)) for i, t in rows)
-    out = token_files.token_counts(docs, str(tmp_path / "t"), packing.tokenizer_path(), file_docs=7).collect()
-    assert sorted((r.doc_id or -1, r.n_tokens) for r in out) == [(i or -1, n) for i, n in want]
+    for file_ids in (1, 600, token_files.FILE_IDS):  # each document alone (many are longer), some together, all of a partition
+        out = token_files.token_counts(docs, str(tmp_path / f"t{file_ids}"), packing.tokenizer_path(), file_ids=file_ids).collect()
+        assert sorted((r.doc_id or -1, r.n_tokens) for r in out) == [(i or -1, n) for i, n in want]
+    sizes = lambda name: [n for f in (tmp_path / name).glob("part-*") if (n := f.stat().st_size)]
+    assert len(sizes("t1")) == len(rows)  # besides the empty file of a partition without rows
+    longest = max(n for _, n in want)
+    assert longest > 600 and len(sizes("t600")) > 6 and max(sizes("t600")) <= 2 * (longest + 1)
+    assert sum(n > 2 * 600 for n in sizes("t600")) <= sum(n > 600 for _, n in want)  # only a longer document's own
     assert token_files.token_counts(docs.limit(0), str(tmp_path / "e"), packing.tokenizer_path()).count() == 0
 
 
