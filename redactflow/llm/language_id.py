@@ -10,7 +10,7 @@ The models lie in sorted arrays of n-gram hashes, one row of log-probabilities
 (a column per language) for each; a table over the leading bits of the hash
 says where to look.  A text's language is the one of least cross-entropy per
 character.  ``accepted`` is calibrated: the entropy must not exceed what the
-language's own training texts reach, but for a small share of them; a language
+language's own training texts (all of them) reach, but for a small share; a language
 whose texts are all taken for another has no limit.
 
 The arrays hold at most ``most`` numbers (n-grams times languages).  If there are more, the same model is
@@ -306,12 +306,13 @@ def _by_gram(rows: DataFrame, name: str) -> DataFrame:
     return stage(rows.groupBy("gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "p"))).alias("values")), name)
 
 
-def fit(docs: DataFrame, most: int = 16_000_000, calibration_rows: int = 1_000, reject_share: float = 0.001) -> Models | None:
+def fit(docs: DataFrame, most: int = 16_000_000, calibration_rows: int | None = None, reject_share: float = 0.001) -> Models | None:
     """Models from all rows of ``docs`` (doc_id, lang, text) with a lang; None if there are none.
 
     ``most`` bounds the numbers in the arrays, n-grams times languages: 64 MB of them are broadcast
     and two to three times as much is held by the driver while it computes them.
-    About ``calibration_rows`` rows of each language, chosen by the hash of their id, set its entropy limit."""
+    All these rows set the entropy limit of their language as well; only with ``calibration_rows``
+    is it set by about so many rows of each language, chosen by the hash of their id."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = stage(ngram_counts(known), "grams")
     shape = counts.agg(F.countDistinct("gram").alias("grams"), F.countDistinct("lang").alias("langs")).first()
@@ -323,16 +324,55 @@ def fit(docs: DataFrame, most: int = 16_000_000, calibration_rows: int = 1_000,
         rows = counts.toPandas()
         own = {lang: x.sort_values("gram") for lang, x in rows.assign(gram=rows["gram"].to_numpy().view(np.uint64)).groupby("lang")}
         models = kneser_ney({lang: (x["gram"].to_numpy(), x["n"].to_numpy()) for lang, x in own.items()})
-    sample = stage(language_sample(known, calibration_rows), "calibration")
-    scored = identify(sample, models).select("doc_id", "entropy", "lang_pred").join(sample.select("doc_id", F.col("lang").alias("_lang")).distinct(), "doc_id").toPandas()
-    models.limit = np.full(len(models.langs), np.inf)
-    for k, lang in enumerate(models.langs):
-        right = scored[(scored["lang_pred"] == lang) & (scored["_lang"] == lang)]["entropy"]
-        if len(right):
-            models.limit[k] = right.quantile(1 - reject_share)
+    judged = known if calibration_rows is None else stage(language_sample(known, calibration_rows), "calibration")
+    scored = identify(judged.select(F.col("lang").alias("doc_id"), "text"), models)  # a row's language goes along in place of its id
+    right = stage(scored.where(F.col("doc_id") == F.col("lang_pred")).select(F.col("lang_pred").alias("lang"), "entropy"), "entropies")
+    limits = entropy_limits(right, 1 - reject_share)
+    models.limit = np.array([limits.get(lang, np.inf) for lang in models.langs])
     return models
 
 
+#: Leading bits after the point by which entropies are told apart, step by step.
+CELL_BITS = (10, 20, 30, 40)
+
+
+def entropy_limits(rows: DataFrame, share: float) -> dict[str, float]:
+    """lang -> the quantile ``share`` (interpolated) of ``entropy`` over all its ``rows``.
+
+    The two values next to it are found by counting rows in cells of an entropy's leading bits, each step within the
+    cells that the step before left, so no task and not the driver holds a language's rows.  At the
+    end a cell is 1e-12 wide."""
+    places = {}  # (lang, which neighbour) -> rows before it in its cell
+    inside: dict[tuple[str, int], int] = {}  # its cell
+    value: dict[tuple[str, int], float] = {}
+    weight = {}
+    for step, bits in enumerate(CELL_BITS):
+        cell = F.floor(F.col("entropy") * (1 << bits))
+        left = rows
+        if step:
+            ids = sorted({(lang, c) for (lang, _), c in inside.items()})
+            wanted = rows.sparkSession.createDataFrame(ids, "lang string, wide long")
+            left = rows.withColumn("wide", F.floor(F.col("entropy") * (1 << CELL_BITS[step - 1]))).join(F.broadcast(wanted), ["lang", "wide"], "left_semi")
+        cells: dict[str, list[tuple[int, int, float]]] = {}
+        for r in left.groupBy("lang", cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.max("entropy").alias("top")).collect():
+            cells.setdefault(r["lang"], []).append((r["cell"], r["n"], r["top"]))
+        if not step:
+            for lang, own in cells.items():
+                at = share * (sum(n for _, n, _ in own) - 1)
+                weight[lang] = at - int(at)
+                places |= {(lang, 0): int(at), (lang, 1): int(np.ceil(at))}
+        for key, before in places.items():
+            for c, n, top in sorted(cells[key[0]]):
+                if step and c >> (bits - CELL_BITS[step - 1]) != inside[key]:
+                    continue
+                if before < n:
+                    places[key], value[key] = before, top
+                    break
+                before -= n
+            inside[key] = c
+    return {lang: value[lang, 0] + w * (value[lang, 1] - value[lang, 0]) for lang, w in weight.items()}
+
+
 def language_sample(known: DataFrame, rows: int, seed: int = 7) -> DataFrame:
     """About ``rows`` rows of each language (all of a rarer one), by the hash of doc_id, wherever they lie."""
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}

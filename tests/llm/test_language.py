@@ -102,3 +102,18 @@ def test_rare_languages_are_calibrated(spark):
     models = L.fit(docs, calibration_rows=100)
     assert np.isfinite(models.limit).all()
     assert not L.identify(spark.createDataFrame([(1, "ж щ ю " * 9)], "doc_id long, text string"), models).first().accepted
+
+
+def test_limits_are_the_quantiles_of_all_rows(spark):
+    r = random.Random(3)
+    values = {"a": [r.gauss(2, 0.3) for _ in range(3000)], "b": [1.5] * 50 + [1.5 + 1e-7, 9.25], "c": [0.7]}
+    rows = spark.createDataFrame([(k, v) for k, own in values.items() for v in own], "lang string, entropy double")
+    for share in (0.999, 0.5):
+        got = L.entropy_limits(rows, share)
+        assert got == {k: pytest.approx(float(np.quantile(v, share)), abs=1e-9) for k, v in values.items()}
+
+
+def test_every_training_row_sets_the_limit(spark):
+    docs = spark.createDataFrame([(i, prose(i, "abcdef", 30), "big") for i in range(1500)] + [(9_000, "abcdef " * 2 + "ffaaffaa", "big")], "doc_id long, text string, lang string")
+    models = L.fit(docs, reject_share=0.0)
+    assert models.limit[0] == pytest.approx(L.identify(docs, models).where("lang_pred = 'big'").agg({"entropy": "max"}).first()[0], abs=1e-9)
