@@ -28,11 +28,12 @@ def read_versions(spark: SparkSession, path: str, schema: str, before: int | Non
 
 def in_ranges(df: DataFrame, key: str, order: str, ranges: int | None = None) -> DataFrame:
     """``df`` dealt by ranges of (key, order) and checkpointed, with its ``range``: the rows of one
-    large key lie in as many ranges as they need."""
+    large key lie in as many ranges as they need.  ``df`` is checkpointed before as well: the
+    ranges' bounds come from a first pass over it, which would run its whole plan a second time."""
     from redactflow.session import cut_lineage
 
     n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cut_lineage(df.repartitionByRange(n, key, order).withColumn("range", F.spark_partition_id()))
+    return cut_lineage(cut_lineage(df).repartitionByRange(n, key, order).withColumn("range", F.spark_partition_id()))
 
 
 def running_before(ranged: DataFrame, key: str, order: str, value: Column, how: Callable, add: Callable, name: str) -> DataFrame:

@@ -26,3 +26,33 @@ def test_forms_spread_by_rows(as_found, tmp_path):
     for texts in (TB.customer_forms(as_found, str(tmp_path)), TB.long_forms(as_found, str(tmp_path))):
         sizes = [r["count"] for r in texts.groupBy(F.spark_partition_id()).count().collect()]
         assert sum(sizes) == n and len(sizes) == 3 and max(sizes) < 1.1 * ROWS_PER_TASK
+
+
+def test_range_bounds_run_no_plan_twice(as_found):
+    """The first pass of a range partitioning reads written rows: each row is made once."""
+    from redactflow.plans.versions import in_ranges
+
+    made = as_found.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(x):
+        made.add(1)
+        return x
+
+    ranged = in_ranges(as_found.range(0, 1000, 1, 2).select(counted.asNondeterministic()("id").alias("k"), F.lit(1).alias("o")), "k", "o", 4)
+    assert ranged.count() == 1000 and made.value == 1000
+
+
+def test_src_text_moves_one_folder_per_task(as_found, tmp_path, monkeypatch):
+    """Files of a task share a folder; each document is a file, read back under its id."""
+    import os
+
+    from redactflow import catalog
+
+    out = str(tmp_path / "files")
+    monkeypatch.setattr(catalog, "_fresh_dir", lambda spark, name: out)
+    as_found.range(600).select(F.col("id").alias("doc_id"), F.concat(F.lit("a  b\n"), F.col("id").cast("string")).alias("text")).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r.text for r in catalog.q_src_text(as_found, str(tmp_path)).collect()}
+    assert rows == {i: f"a b {i}" for i in range(600)}
+    top = [d for d in os.listdir(out) if "=" in d]
+    assert len(top) == 3 and sum(len(os.listdir(f"{out}/{d}")) for d in top) == 600
