@@ -68,6 +68,24 @@ def test_many_patterns_join_no_constant(spark, docs):
     assert "Exchange hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
 
 
+def test_alternatives_are_listed_under_a_piece_of_each(spark, docs):
+    from redactflow.operators.patterns import literal_index, required_clauses
+
+    assert required_clauses("(?:[#]1207|\\|1207\\|)") == [["#1207", "|1207|"]] and required_clauses("abc|d") == []
+    regexes = [f"(?:[#]{k}|\\|{k}\\|)" for k in range(100, 400)] + [f"RX-0*{k:06d}\\." for k in range(400)] + ["ab|cde"]
+    patterns = spark.createDataFrame([(i, "general", f"p{i}", x, 0.1) for i, x in enumerate(regexes)], "id long, domain string, pattern_name string, pattern_regex string, confidence_boost double")
+    index = literal_index(patterns.select("pattern_name", "pattern_regex"))
+    assert [r.pattern_regex for r in index.where("pieces is null").collect()] == ["ab|cde"]
+    # no piece of a number's pattern is shared by tens of others
+    listed = index.where("pattern_regex like 'RX%'").selectExpr("explode(pieces) as piece").groupBy("piece").count()
+    assert listed.agg({"count": "max"}).first()[0] <= 2
+    table = docs(*[f"see #{k} and |{k}| or RX-{k:08d}. " for k in range(90, 410, 7)], None)
+    want = sorted(map(tuple, detect_domain_patterns(table, patterns, "general", max_patterns=1000).collect()))
+    assert len(want) > 100
+    for size in (0, 4 << 20):
+        assert sorted(map(tuple, detect_domain_patterns(table, patterns, "general", max_bytes=size).collect())) == want
+
+
 # ---- terms --------------------------------------------------------------------------
 
 def test_terms_equal_replacing_one_by_one():
