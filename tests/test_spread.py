@@ -56,3 +56,26 @@ def test_src_text_moves_one_folder_per_task(as_found, tmp_path, monkeypatch):
     assert rows == {i: f"a b {i}" for i in range(600)}
     top = [d for d in os.listdir(out) if "=" in d]
     assert len(top) == 3 and sum(len(os.listdir(f"{out}/{d}")) for d in top) == 600
+
+
+def test_rule_forms_match_as_written(spark):
+    """The Java forms with a cheap leading boundary find what the plain forms find, beyond ASCII too."""
+    from redactflow.operators.rules import DEFAULT_RULES, RULES_BY_NAME, WB, java_regex
+
+    parts = ["a.b@c.de", "%x@y.org|", "é+1 (555) 123-4567", "(555)123-4567é", "_555-123-4567", "1234 5678 9012", "٣٣٣-12-3456", "١٢٣٤٥٦٧٨", "4111111111111111",
+             "10.0.0.255", "www.x.org/a", "ſhttps://h.org/u@m.org", "Reg No: RX-0001", "Kname: Ann Lee", "name: Ann Leeé", "twitter.com/ann's", "İ@İ.com", "ı.K@ſ.net"]
+    texts = [a + sep + b for a in parts for b in parts for sep in ("", " ", ".", "_", "-", "é", "+")]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(4)
+    for r in (r for r in DEFAULT_RULES if not r.anchored):
+        found = lambda p: F.regexp_extract_all("text", F.lit(p), F.lit(r.group))  # noqa: B023, E731
+        assert df.where(found(r.java) != found(java_regex(r.pattern, r.ignore_case))).count() == 0, r.name
+    assert WB not in RULES_BY_NAME["detect_aadhaar"].java  # one look-behind and one look-ahead
+    assert "]++" in RULES_BY_NAME["detect_email"].java
+
+
+def test_boost_looks_for_held_words_only(spark):
+    from redactflow.operators.boost import anchor_boost, held_words
+
+    df = spark.createDataFrame([("an Income of 5, his PASSPORT", "income"), ("none", "income passport"), (None, "id"), ("ssn", "x")], "text string, near string")
+    rows = df.select(anchor_boost(F.col("near"), held_words(F.col("text"))).alias("b")).collect()
+    assert [round(r.b, 4) for r in rows] == [0.05, 0.0, 0.0, 0.0]
