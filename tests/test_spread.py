@@ -79,3 +79,53 @@ def test_boost_looks_for_held_words_only(spark):
     df = spark.createDataFrame([("an Income of 5, his PASSPORT", "income"), ("none", "income passport"), (None, "id"), ("ssn", "x")], "text string, near string")
     rows = df.select(anchor_boost(F.col("near"), held_words(F.col("text"))).alias("b")).collect()
     assert [round(r.b, 4) for r in rows] == [0.05, 0.0, 0.0, 0.0]
+
+
+def test_boost_of_short_texts_by_place(spark):
+    """Places of the anchor words give the boosts that the slices give: overlapping words, reaches' ends, shifted offsets, long texts."""
+    import random
+
+    from redactflow.operators.boost import anchor_boost, anchor_places, context_boost, held_words
+    from redactflow.operators.detect import ENTITIES_TYPE
+    from redactflow.functions.text import context_slice
+
+    low = spark.createDataFrame([("treatmentreatment account_number id",)], "text string")
+    got = low.select(anchor_places(F.col("text"), held_words(F.col("text"))).alias("p")).first().p
+    assert sorted((p.c, p.s, p.e) for p in got) == [(1, 0, 9), (1, 8, 17), (2, 18, 25), (3, 33, 35)]
+
+    rnd = random.Random(7)
+    words = "treatmentreatment patient SSN ſſn Kid İd i̇d account_number accoun transaction wage éß .".split()
+    texts = [" ".join(rnd.choice(words) for _ in range(n)) for n in (1, 2, 5, 30, 60, 400) for _ in range(6)] + ["no such wörd " * 9, ""]
+    ents = lambda t: [(s, s + n, t[s:s + n], "URL", 0.9 + 0.04 * (n % 3), "x", 0, 0) for s in range(0, len(t), 13) for n in (1, 5)]
+    df = spark.createDataFrame([(i, t, ents(t)) for i, t in enumerate(texts)], f"id int, text string, ents {ENTITIES_TYPE.simpleString()}").repartition(4)
+    by_slice = F.transform("ents", lambda x: F.least(x["confidence"] + anchor_boost(F.lower(context_slice(F.col("text"), x["s"], x["e"]))), F.lit(1.0)))
+    by_place = F.transform(context_boost(F.col("ents"), F.col("text")), lambda x: x["confidence"])
+    assert df.where(~by_slice.eqNullSafe(by_place)).count() == 0
+
+
+def test_struct_sorts_in_natural_order(spark):
+    """Stable, each key in its direction, without a comparator lambda; a span keeps its first window and its highest confidence."""
+    import io
+    import random
+    from contextlib import redirect_stdout
+
+    from redactflow.functions.arrays import sort_structs
+    from redactflow.operators.detect import ENTITIES_TYPE, dedup_document_spans
+
+    rnd = random.Random(3)
+    rows = [(rnd.randrange(4), rnd.randrange(4), rnd.choice("ab"), rnd.choice(("URL", "EMAIL")), rnd.choice((0.9, 0.98, 1.0, float("nan"))), "x", i, rnd.randrange(3))
+            for i in range(200)]
+    df = spark.createDataFrame([(rows,), ([],), (None,)], f"e {ENTITIES_TYPE.simpleString()}")
+    found = df.select(sort_structs(F.col("e"), [("s", True), ("confidence", True), ("window_id", False)]).alias("x"), dedup_document_spans(F.col("e")).alias("d"))
+    x, empty, null = found.collect()
+    as_great = lambda c: float("inf") if c != c else c
+    assert [y["rank"] for y in x.x] == [r[6] for r in sorted(rows, key=lambda r: (-r[0], -as_great(r[4]), r[7]))]
+    groups = {}
+    for r in rows:
+        groups.setdefault((r[0], r[1], r[3], r[2]), []).append(r)
+    expected = sorted((k[0], k[1], min(r[7] for r in g), k[2], k[3], max(as_great(r[4]) for r in g)) for k, g in groups.items())
+    assert [(y.s, y.e, y.window_id, y.entity_type, y.text, as_great(y.confidence)) for y in x.d] == expected
+    assert empty.x == [] and empty.d == [] and null.x is None and null.d is None
+    with redirect_stdout(io.StringIO()) as plan:
+        found.explain(True)
+    assert "sort_array" in plan.getvalue() and "array_sort(" not in plan.getvalue()
