@@ -129,3 +129,73 @@ def test_struct_sorts_in_natural_order(spark):
     with redirect_stdout(io.StringIO()) as plan:
         found.explain(True)
     assert "sort_array" in plan.getvalue() and "array_sort(" not in plan.getvalue()
+
+
+def test_scan_forms_match_as_written():
+    """The forms that ``re`` scans quickly find what the rule texts find, folded letters and digits beyond ASCII too."""
+    import random
+    import re
+
+    from redactflow.operators.rules import DEFAULT_RULES, SCAN_FORMS, Rule
+
+    parts = ["a.b@c.de", "é+1 (555) 123-4567", "(555)123-4567é", "_555-123-4567", "1234 5678 9012", "٣٣٣-12-3456", "4111111111111111", "378282246310005", "5512345678901234",
+             "10.0.0.255", "256.1.1.1", "01.002.3.4", "249.199.99.9", "www.x.org/a", "ſhttps://h.org/u@m.org", "Reg No: RX-0001", "REGISTRATION number#AB-12345", "Kname: Ann Lee",
+             "ſtudent - Bo Al", "twitter.com/ann's", "HTTPS://WWW.X.COM/abc.", "wWw.lınkedİn.com/in/q-1", "İnstagram.com/ab", "1-555-204-7731", "+1.5552047731", "1(555)2047731",
+             "000-12-3456", "666-12-3456", "900-12-3456", "060-12-0000", "x.com/abc", "\n", "\x1c", "0", "+", "("]
+    rnd = random.Random(5)
+    texts = [a + sep + b for a in parts for b in parts for sep in ("", " ", ".", "_", "-", "é", "1")]
+    texts += ["".join(rnd.choice("0123456789" * 3 + "+-.() é_a1٣9@/:\n") for _ in range(rnd.randrange(60))) for _ in range(5000)]
+    for r in DEFAULT_RULES:
+        spans = lambda pattern: [[m.span(r.group) for m in pattern.finditer(t)] for t in texts]  # noqa: B023, E731
+        assert spans(re.compile(*r.python)) == spans(re.compile(r.pattern, re.IGNORECASE if r.ignore_case else 0)), r.name
+    assert len(SCAN_FORMS) == 10
+    assert Rule("own", "OWN", r"\bx\b", 1.0, 0).python == (r"\bx\b", re.IGNORECASE)
+
+
+def test_rules_are_matched_outside_array_expressions(spark):
+    """No match is made into a span node by node; texts with every mark, invalid bytes, nulls and empty ones keep their spans."""
+    import io
+    from contextlib import redirect_stdout
+
+    from redactflow.plans.scrub import ScrubConfig, detect
+    from tests.pymodel import entities
+
+    texts = ["", "x" * 399 + " a@b.org " + "y" * 480 + " c@d.org", "Ann Lee wrote: ssn 321-54-9876, name: Bo Li", " a@b.org " * 90, "plain " * 300, "é\U0001F600 a@b.org"]
+    df = spark.createDataFrame([*enumerate(texts), (98, None)], "doc_id int, text string").unionByName(
+        spark.sql("SELECT 99 AS doc_id, CAST(X'FF612E62406D2E6F7267206E' AS STRING) AS text"))
+    found = detect(df, cfg=ScrubConfig())
+    rows = {r.doc_id: [(x.s, x.e, x.text, x.entity_type, round(x.confidence, 6), x.window_id) for x in r.entities] for r in found.select("doc_id", "entities").collect()}
+    assert rows.pop(98) == [] and [x[:4] for x in rows.pop(99)] == [(1, 10, "a.b@m.org", "EMAIL")]
+    assert rows == {i: [(x[0], x[1], x[2], x[3], round(x[4], 6), x[5]) for x in entities(t)] for i, t in enumerate(texts)}
+    with redirect_stdout(io.StringIO()) as plan:
+        found.explain(True)
+    assert "ArrowEvalPython" in plan.getvalue() and "regexp_replace" not in plan.getvalue()
+
+
+def test_islands_fold_places(spark):
+    """Islands of spans over blocks of the fold, with the fold carrying numbers and not islands."""
+    import io
+    import random
+    from contextlib import redirect_stdout
+
+    from redactflow.operators.detect import ENTITIES_TYPE
+    from redactflow.operators.redact import merge_overlaps
+
+    rnd = random.Random(11)
+    docs = [[], None]
+    for n in (1, 2, 127, 128, 129, 400):
+        at = sorted((s := rnd.randrange(6 * n), s + rnd.randrange(1, 14)) for _ in range(n))
+        docs.append([(s, e, "x", rnd.choice(("URL", "EMAIL")), 1.0, "r", 0, 0) for s, e in at])
+    docs.append([(5 * i, 5 * i + 6, "x", "URL", 1.0, "r", 0, 0) for i in range(300)])  # one island
+    df = spark.createDataFrame([*enumerate(docs)], f"i int, ents {ENTITIES_TYPE.simpleString()}").select("i", merge_overlaps(F.col("ents")).alias("m"))
+    for i, got in df.collect():
+        want = []
+        for s, e, _, kind, *_ in docs[i] or []:
+            if want and s < want[-1][1]:
+                want[-1][1:3] = max(e, want[-1][1]), want[-1][2] + 1
+            else:
+                want.append([s, e, 1, kind])
+        assert [[*x] for x in got] == want
+    with redirect_stdout(io.StringIO()) as plan:
+        df.explain(True)
+    assert "cast(array() as array<int>)" in plan.getvalue()
