@@ -332,16 +332,13 @@ def knowledge_lookup(entities: DataFrame, kb: DataFrame, max_broadcast_bytes: in
     """Exact, case-sensitive lookup of each entity text; misses give nulls.
 
     A stored knowledge table can be broadcast after its size is checked
-    (``max_broadcast_bytes``); otherwise the join is left to AQE, which
-    broadcasts the side only when its measured size is small enough and
-    shuffles on the text otherwise.
+    (``max_broadcast_bytes``); otherwise the join shuffles on the text.
     """
-    from redactflow.plans.joins import sized_broadcast
+    from redactflow.plans.joins import by_shuffle, sized_broadcast
 
     k = kb.select(F.col("entity_text").alias("text"), F.col("entity_type").alias("kb_type"),
                   F.col("frequency").alias("kb_frequency"))
-    if max_broadcast_bytes is not None:
-        k = sized_broadcast(k, max_broadcast_bytes)
+    k = by_shuffle(k) if max_broadcast_bytes is None else sized_broadcast(k, max_broadcast_bytes)
     return entities.join(k, "text", "left")
 
 
