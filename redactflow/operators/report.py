@@ -213,6 +213,7 @@ def overlap_pairs(entities: DataFrame, bucket: int = 1024) -> DataFrame:
     pair is kept once, in the bucket holding the start of the overlap.  So no
     document's spans are compared all against all.
     """
+    from redactflow.plans.joins import by_shuffle
     from redactflow.session import cut_lineage
 
     # both join sides read the same spans: materialized once
@@ -226,8 +227,8 @@ def overlap_pairs(entities: DataFrame, bucket: int = 1024) -> DataFrame:
             & (F.col("a.idx") < F.col("c.idx"))
             & (F.col("c.start_char") < F.col("a.end_char")) & (F.col("a.start_char") < F.col("c.end_char"))
             & (F.floor(F.greatest(F.col("a.start_char"), F.col("c.start_char")) / bucket) == F.col("a.bk")))
-    return a.join(c, cond).select(F.col("a.doc_id").alias("doc_id"), F.col("a.idx").alias("a_idx"),
-                                  F.col("c.idx").alias("b_idx"))
+    return a.join(by_shuffle(c), cond).select(F.col("a.doc_id").alias("doc_id"), F.col("a.idx").alias("a_idx"),
+                                              F.col("c.idx").alias("b_idx"))
 
 
 # ---- feedback ---------------------------------------------------------------------

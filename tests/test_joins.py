@@ -32,3 +32,12 @@ def test_knowledge_is_not_broadcast_for_the_size_of_its_keys(spark, keys):
     assert sorted((r.text or "", r.kb_type, r.kb_frequency) for r in found.collect()) == [
         ("", None, None), ("Ann Lee 7", "PERSON_NAME", 1), ("Ann Lee 7", "PERSON_NAME", 1), ("ann lee 7", None, None)]
     assert "Broadcast" not in planned(found)
+
+
+def test_overlapping_spans_are_not_broadcast_for_the_size_of_their_keys(keys):
+    from redactflow.operators.report import overlap_pairs
+
+    spans = keys.select(F.col("id").alias("doc_id"), F.posexplode(F.sequence(F.lit(0), F.lit(1998), F.lit(2))).alias("idx", "start_char"))
+    pairs = overlap_pairs(spans.withColumn("end_char", F.col("start_char") + 3))
+    assert sorted(map(tuple, pairs.collect())) == [(d, i, i + 1) for d in range(4) for i in range(999)]
+    assert "Broadcast" not in planned(pairs)
