@@ -137,13 +137,14 @@ def extend_pseudonyms(known: DataFrame | None, entities: DataFrame, order_cols:
     depend on the corpus.  So a type of a third of all keys spreads over
     ranges like any other.
     """
+    from redactflow.plans.joins import by_shuffle
     from redactflow.session import cut_lineage
 
     spark = entities.sparkSession
     n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     first = entities.groupBy("text", "entity_type").agg(F.min(F.struct(*order_cols)).alias("first"))
     if known is not None:
-        first = first.join(known.select("text", "entity_type"), ["text", "entity_type"], "left_anti")
+        first = first.join(by_shuffle(known.select("text", "entity_type")), ["text", "entity_type"], "left_anti")
     first = first.withColumn("prefix", pseudonym_prefix(F.col("entity_type")))
     # the range of a row is fixed here, once, for both branches below
     ranged = cut_lineage(first.repartitionByRange(n, "prefix", "first", "text", "entity_type")
@@ -158,7 +159,8 @@ def extend_pseudonyms(known: DataFrame | None, entities: DataFrame, order_cols:
     local = ranged.withColumn("local", F.row_number().over(
         Window.partitionBy("range", "prefix").orderBy("first", "text", "entity_type")))
     number = (F.col("offset") + F.col("local")).cast("long")
-    return (local.join(offsets, ["prefix", "range"])
+    # ranges x prefixes rows; left to the planner, which takes them for far more, the keys would be broadcast instead
+    return (local.join(F.broadcast(offsets), ["prefix", "range"])
             .select("text", "entity_type", "prefix", number.alias("number"),
                     F.concat(F.col("prefix"), F.lit("_"), number.cast("string")).alias("pseudonym")))
 

@@ -41,3 +41,22 @@ def test_overlapping_spans_are_not_broadcast_for_the_size_of_their_keys(keys):
     pairs = overlap_pairs(spans.withColumn("end_char", F.col("start_char") + 3))
     assert sorted(map(tuple, pairs.collect())) == [(d, i, i + 1) for d in range(4) for i in range(999)]
     assert "Broadcast" not in planned(pairs)
+
+
+def test_dictionary_keys_are_not_broadcast_for_the_size_of_their_texts(spark, keys, monkeypatch):
+    from redactflow.operators import report
+
+    name = lambda n: F.concat(F.lit("Ann Lee "), n.cast("string"))
+    ents = keys.select(F.col("id").alias("doc_id"), F.posexplode(F.sequence(F.lit(0), F.lit(499))).alias("seq", "n"))
+    ents = ents.select("doc_id", "seq", name(F.col("doc_id") * 500 + F.col("n")).alias("text"), F.lit("PERSON_NAME").alias("entity_type"))
+    known = spark.createDataFrame([("Ann Lee 3", "PERSON_NAME", "USER_PER", 7, "USER_PER_7"), ("Ann Lee 3", "EMAIL", "USER_EMA", 1, "USER_EMA_1")],
+                                  report.PSEUDONYM_SCHEMA)
+    joined = []
+    # the checkpoint hides the first join from the plan of the result
+    monkeypatch.setattr("redactflow.session.cut_lineage", lambda df: joined.append(planned(df)) or df.checkpoint())
+    added = report.extend_pseudonyms(known, ents, ranges=3)
+    assert "SortMergeJoin" in joined[0] and "Broadcast" not in joined[0]
+    rows = {r.text: r.number for r in added.collect()}
+    assert rows == {f"Ann Lee {i}": i + (8 if i < 3 else 7) for i in range(2000) if i != 3}
+    last = [line for line in planned(added).splitlines() if "HashJoin [prefix" in line]
+    assert len(last) == 1 and "BuildRight" in last[0]  # the offsets, not the keys
