@@ -192,6 +192,7 @@ def with_corpus_pseudonyms(detected: DataFrame, key: str = "doc_id", col: str =
     as one array; texts join them on ``key`` only.
     """
     from redactflow.operators.redact import redaction_order
+    from redactflow.plans.joins import by_shuffle
     from redactflow.session import cut_lineage
 
     docs = cut_lineage(detected)
@@ -199,10 +200,10 @@ def with_corpus_pseudonyms(detected: DataFrame, key: str = "doc_id", col: str =
     rows = ordered.select(F.col(key).alias("doc_id"), F.col("seq").cast("long").alias("seq"), "x",
                           F.col("x.text").alias("text"), F.col("x.entity_type").alias("entity_type"))
     names = pseudonymize_corpus(rows.select("doc_id", "seq", "text", "entity_type"))
-    named = rows.join(names, ["text", "entity_type"]).select("doc_id", F.col("x").withField("replacement", F.col("pseudonym")).alias("x"))
+    named = rows.join(by_shuffle(names), ["text", "entity_type"]).select("doc_id", F.col("x").withField("replacement", F.col("pseudonym")).alias("x"))
     arrays = named.groupBy("doc_id").agg(F.collect_list("x").alias("_named")).withColumnRenamed("doc_id", key)
     plain = F.transform(col, lambda x: x.withField("replacement", F.lit(None).cast("string")))
-    return docs.join(arrays, key, "left").withColumn(col, F.coalesce("_named", plain)).drop("_named")
+    return docs.join(by_shuffle(arrays), key, "left").withColumn(col, F.coalesce("_named", plain)).drop("_named")
 
 
 # ---- overlaps ---------------------------------------------------------------------

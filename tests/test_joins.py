@@ -60,3 +60,23 @@ def test_dictionary_keys_are_not_broadcast_for_the_size_of_their_texts(spark, ke
     assert rows == {f"Ann Lee {i}": i + (8 if i < 3 else 7) for i in range(2000) if i != 3}
     last = [line for line in planned(added).splitlines() if "HashJoin [prefix" in line]
     assert len(last) == 1 and "BuildRight" in last[0]  # the offsets, not the keys
+
+
+def test_entities_of_a_corpus_are_not_broadcast_for_the_size_of_their_keys(keys):
+    import re
+
+    from redactflow.operators.detect import ENTITIES_TYPE
+    from redactflow.operators.report import with_corpus_pseudonyms
+
+    spans = F.transform(F.sequence(F.lit(0), F.lit(499)), lambda n: F.struct(
+        (n * 9).alias("s"), (n * 9 + 5).alias("e"), F.concat(F.lit("Ann Lee "), (F.col("id") * 400 + n).cast("string")).alias("text"),
+        F.lit("PERSON_NAME").alias("entity_type"), F.lit(1.0).alias("confidence"), F.lit("x").alias("source"), F.lit(0).alias("rank"), F.lit(0).alias("window_id")))
+    docs = keys.select(F.col("id").alias("doc_id"), F.when(F.col("id") < 3, spans).otherwise(F.array()).cast(ENTITIES_TYPE).alias("entities"))
+    out = with_corpus_pseudonyms(docs)
+    rows = {r.doc_id: {x.text: x.replacement for x in r.entities} for r in out.collect()}
+    # the last span of a text is met first
+    order = [f"Ann Lee {n}" for n in [*range(499, -1, -1), *range(899, 499, -1), *range(1299, 899, -1)]]
+    names = {t: f"USER_PER_{i}" for i, t in enumerate(order, 1)}
+    assert rows == {d: {f"Ann Lee {n}": names[f"Ann Lee {n}"] for n in range(d * 400, d * 400 + 500)} for d in range(3)} | {3: {}}
+    plan = planned(out)
+    assert len(re.findall("SortMergeJoin", plan)) == 2 and re.findall(r"HashJoin \[(\w+)#", plan) == ["prefix"]
