@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from redactflow.functions.arrays import let
 from redactflow.functions.spans import find_spans
+from redactflow.plans.joins import by_shuffle
 
 GRAM = 3
 #: Lengths of pieces; a run gives pieces of the greatest that it has.
@@ -215,10 +216,10 @@ def literal_index(patterns: DataFrame) -> DataFrame:
     runs = with_clauses.select("pattern_name", F.posexplode("clauses").alias("clause", "c")).select("pattern_name", "clause", F.posexplode("c").alias("way", "run"))
     listed = runs.select("pattern_name", "clause", "way", F.explode(cut("run")).alias("piece"))
     shared = listed.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
-    one = listed.join(shared, "piece").groupBy("pattern_name", "clause", "way").agg(F.min(F.struct("n", (-F.length("piece")).alias("k"), "piece")).alias("b"))
+    one = listed.join(by_shuffle(shared), "piece").groupBy("pattern_name", "clause", "way").agg(F.min(F.struct("n", (-F.length("piece")).alias("k"), "piece")).alias("b"))
     ways = one.groupBy("pattern_name", "clause").agg(F.sum("b.n").alias("n"), F.max("b.k").alias("k"), F.collect_set("b.piece").alias("pieces"))
     best = ways.groupBy("pattern_name").agg(F.min_by("pieces", F.struct("n", "k", "clause")).alias("pieces"))
-    return with_clauses.join(best, "pattern_name", "left")
+    return with_clauses.join(by_shuffle(best), "pattern_name", "left")
 
 
 def indexed_spans(docs: DataFrame, index: DataFrame, text_col: str, id_col: str, max_bytes: int = 4 << 20, max_patterns: int = 200) -> DataFrame:
@@ -304,7 +305,7 @@ def _listed_spans(docs: DataFrame, index: DataFrame, text_col: str, id_col: str,
     else:
         texts = cut_lineage(texts.withColumn("_row", F.monotonically_increasing_id()))
         hits = texts.select("_row", F.explode_outer("_keys").alias("key")).where("key is not null")
-        found = texts.join(hits.join(listed, "key"), "_row")
+        found = texts.join(by_shuffle(hits.join(by_shuffle(listed), "key")), "_row")
     # a pattern that a text meets under several pieces is searched under the first of them
     first = lambda t: F.get(F.filter("pieces", lambda p: t.contains(p)), 0)
     holds = let(low, lambda t: (first(t) == F.col("piece")) & F.forall("clauses", lambda c: F.exists(c, lambda r: t.contains(r))))

@@ -80,3 +80,17 @@ def test_entities_of_a_corpus_are_not_broadcast_for_the_size_of_their_keys(keys)
     assert rows == {d: {f"Ann Lee {n}": names[f"Ann Lee {n}"] for n in range(d * 400, d * 400 + 500)} for d in range(3)} | {3: {}}
     plan = planned(out)
     assert len(re.findall("SortMergeJoin", plan)) == 2 and re.findall(r"HashJoin \[(\w+)#", plan) == ["prefix"]
+
+
+def test_patterns_and_texts_are_not_broadcast_for_the_size_of_their_keys(keys):
+    from redactflow.operators.patterns import indexed_spans, literal_index
+
+    number = F.concat(F.lit("RX-"), F.lpad(F.col("n").cast("string"), 6, "0"))
+    many = keys.select(F.explode(F.sequence(F.col("id") * 100, F.col("id") * 100 + 99)).alias("n"))
+    index = literal_index(many.select(number.alias("pattern_name"), F.concat(number, F.lit("\\.")).alias("pattern_regex")))
+    assert planned(index).count("SortMergeJoin") == 2 and "Broadcast" not in planned(index)
+    docs = many.where("n % 50 = 7").select(F.col("n").alias("doc_id"), F.concat(F.lit("no rx-000001. but "), number, F.lit(". twice "), number, F.lit(".")).alias("text"))
+    spans = indexed_spans(docs, index, "text", "doc_id", max_bytes=1)
+    name = lambda n: f"RX-{n:06d}"
+    assert sorted(map(tuple, spans.collect())) == sorted((n, name(n), s, s + 10, name(n) + ".") for n in range(7, 400, 50) for s in (18, 35))
+    assert planned(spans).count("SortMergeJoin") == 2 and "Broadcast" not in planned(spans)
