@@ -12,14 +12,18 @@ from __future__ import annotations
 import csv
 import io
 import json
+import os
+import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from redactflow.functions.text import make_valid_text, normalize_text
-from redactflow.session import ship_package
+from redactflow.session import cut_lineage, ship_package
 
 # FIXED VALUES: supported formats, size limit, ZIP signature and exempt
 # formats, and the verdict messages of the file checks.
@@ -202,11 +206,151 @@ def _read(spark: SparkSession, path: str, fmt: str, normalize: bool) -> DataFram
     return docs.select("path", "text")
 
 
+#: Files that one task reads.
+FILES_PER_READ = 1000
+#: Bytes of files that a task hands on at once.
+_READ_BYTES = 8 << 20
+#: The folder name of a null key, as Spark's writers have it.
+_NULL_FOLDER = "__HIVE_DEFAULT_PARTITION__"
+
+
+def local_path(path: str) -> str | None:
+    """The plain form of a path on a mounted file system, null for other storage and for patterns.
+
+    Spark reaches such files through Hadoop's local file system, which starts processes for
+    each file written, lists all in the driver, and counts each one read as 4 MB of a task.
+    There they are written, listed and read by the tasks themselves."""
+    plain = re.sub(r"^file:/+", "/", path)
+    if re.search(r"[{}\[\]*?\\]", plain) or re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", plain):
+        return None
+    return os.path.abspath(plain)
+
+
+def _visible(name: str) -> bool:
+    """What Spark's listing takes for data."""
+    if name.startswith(("_metadata", "_common_metadata")):
+        return True
+    return not ((name.startswith("_") and "=" not in name) or name.startswith(".") or name.endswith("._COPYING_"))
+
+
+def _entries(folder: str) -> Iterator[tuple[str, bool]]:
+    """Path, and whether it is a folder, of what lies in ``folder``."""
+    with os.scandir(folder) as inside:
+        for e in inside:
+            if _visible(e.name):
+                yield e.path, e.is_dir()
+
+
+def _walk(folder: str) -> Iterator[str]:
+    folders = [folder]
+    while folders:
+        for path, is_folder in _entries(folders.pop()):
+            if is_folder:
+                folders.append(path)
+            else:
+                yield path
+
+
+def local_listing(spark: SparkSession, root: str) -> DataFrame:
+    """``path`` (as Spark names it) of every file under ``root``: folders are dealt to tasks, no list is in the driver."""
+    ship_package(spark)
+
+    def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for folder in b.column(0).to_pylist():
+                yield from _batches([(folder, False)] if os.path.isfile(folder) else _entries(folder))
+
+    def below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, is_folder in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                yield from _batches((x, False) for x in (_walk(path) if is_folder else [path]))
+
+    kind = "path string, folder boolean"
+    first = cut_lineage(spark.createDataFrame([(root,)], "path string").coalesce(1).mapInArrow(top, kind))
+    tasks = min(-(-first.count() // 8), 8 * spark.sparkContext.defaultParallelism)
+    files = first.repartition(max(1, tasks)).mapInArrow(below, kind)
+    return files.select(F.concat(F.lit("file:"), "path").alias("path"))
+
+
+def _batches(rows: Iterator[tuple[str, bool]], size: int = 10000) -> Iterator[pa.RecordBatch]:
+    held: list[tuple[str, bool]] = []
+    for r in rows:
+        held.append(r)
+        if len(held) == size:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*held)], ["path", "folder"])
+            held = []
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*held)], ["path", "folder"])
+
+
+def local_contents(files: DataFrame, files_per_task: int = FILES_PER_READ) -> DataFrame:
+    """``path, content`` of ``files`` (``path``), dealt to tasks by their number."""
+    files = cut_lineage(files)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        paths, contents, size = [], [], 0
+        whole = lambda: pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(contents, pa.binary())], ["path", "content"])
+        for b in batches:
+            for path in b.column(0).to_pylist():
+                with open(path.removeprefix("file:"), "rb") as f:
+                    contents.append(f.read())
+                paths.append(path)
+                size += len(contents[-1])
+                if size >= _READ_BYTES:
+                    yield whole()
+                    paths, contents, size = [], [], 0
+        if paths:
+            yield whole()
+
+    tasks = -(-files.count() // files_per_task)
+    return files.repartition(max(1, tasks)).mapInArrow(run, "path string, content binary")
+
+
+def write_text_files(docs: DataFrame, path: str, key: str, files_per_task: int) -> None:
+    """The texts of each ``key`` (a number) as lines of one file, in a folder of its own: ``task=../key=../part-..txt``.
+
+    A task's folders lie in one folder, which is moved into place when it is whole; what is left of an
+    attempt that was cut short stays hidden from readers."""
+    tasks = max(1, -(-docs.count() // files_per_task))
+    dealt, root = docs.repartition(tasks, key), local_path(path)
+    if root is None:
+        dealt.select("text", key, F.spark_partition_id().alias("task")).write.partitionBy("task", key).text(path)
+        return
+    os.makedirs(root)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        attempt, open_key, file = f"{root}/.task={task}-{TaskContext.get().taskAttemptId()}", None, None
+        for b in batches:
+            for k, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if file is None or k != open_key:
+                    if file is not None:
+                        file.close()
+                    folder, open_key = f"{attempt}/{key}={_NULL_FOLDER if k is None else k}", k
+                    os.makedirs(folder)
+                    file = open(f"{folder}/part-{task:05d}.txt", "wb")
+                file.write((text or b"") + b"\n")
+        if file is not None:
+            file.close()
+            try:
+                os.rename(attempt, f"{root}/task={task}")
+            except OSError:  # another attempt has put it in place
+                if not os.path.isdir(f"{root}/task={task}"):
+                    raise
+        yield pa.RecordBatch.from_arrays([pa.array([int(file is not None)], pa.int32())], ["written"])
+
+    rows = dealt.select(key, F.col("text").cast("binary").alias("text")).sortWithinPartitions(key)  # bytes as they are, also those that aren't UTF-8
+    rows.mapInArrow(run, "written int").agg(F.sum("written")).collect()
+
+
 def read_text_files(spark: SparkSession, path: str, normalize: bool = True) -> DataFrame:
     """One document per ``.txt`` file: invalid UTF-8 bytes dropped, then normalized."""
-    files = list_files(spark, path).where(file_format(F.col("path")) == ".txt")
+    root = local_path(path)
+    if root is not None and not os.path.exists(root):
+        root = None  # Spark's listing says what is missing
+    files = (list_files(spark, path) if root is None else local_listing(spark, root)).where(file_format(F.col("path")) == ".txt")
     text = make_valid_text(F.col("content").cast("string"))
-    return files.select("path", (normalize_text(text) if normalize else text).alias("text"))
+    return (files if root is None else local_contents(files)).select("path", (normalize_text(text) if normalize else text).alias("text"))
 
 
 def read_csv_files(spark: SparkSession, path: str, normalize: bool = True) -> DataFrame:

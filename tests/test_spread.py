@@ -199,3 +199,32 @@ def test_islands_fold_places(spark):
     with redirect_stdout(io.StringIO()) as plan:
         df.explain(True)
     assert "cast(array() as array<int>)" in plan.getvalue()
+
+
+def test_text_files_without_a_process_each(as_found, tmp_path):
+    """Written and read by the tasks: a null text, repeated and null keys, bytes that aren't UTF-8, hidden files, sub-folders; no task per few files."""
+    import os
+
+    from redactflow.sources.files import FILES_PER_READ, list_files, local_path, read_text_files, write_text_files
+
+    root = str(tmp_path / "out")
+    docs = as_found.sql("SELECT * FROM VALUES (1L, X'61FF62'), (2L, null), (3L, X'63'), (3L, X'64'), (null, X'65'), (-4L, X'') AS t(doc_id, b)")
+    docs = docs.select("doc_id", F.col("b").cast("string").alias("text")).union(as_found.range(100, 1300).select("id", F.col("id").cast("string")))
+    write_text_files(docs, f"file://{root}", "doc_id", 250)
+    assert sorted(os.listdir(root)) == [f"task={k}" for k in range(5)]  # no .crc, nothing left of attempts
+    os.makedirs(f"{root}/_not")
+    os.makedirs(f"{root}/_x=1/deep er")
+    for name in ("_not/a.txt", "_b.txt", ".c.txt", "d.TXT", "e.csv", "_x=1/deep er/f.txt", "_x=1/g.txt._COPYING_"):
+        with open(f"{root}/{name}", "w") as f:
+            f.write(name)
+    found = read_text_files(as_found, f"file://{root}")
+    rows = {r.path: r.text for r in found.collect()}
+    listed = {r.path for r in list_files(as_found, root).select("path").collect()}
+    assert set(rows) == {p for p in listed if p.lower().endswith(".txt")} and len(rows) == 1207
+    texts = {p.split("/")[-2]: t for p, t in rows.items()}
+    assert texts["doc_id=1"] == "ab" and texts["doc_id=2"] == "" and sorted(texts["doc_id=3"].split()) == ["c", "d"] and texts["doc_id=-4"] == ""
+    assert texts["doc_id=__HIVE_DEFAULT_PARTITION__"] == "e" and texts["doc_id=777"] == "777" and texts["deep er"] == "_x=1/deep er/f.txt"
+    assert found.rdd.getNumPartitions() == -(-1207 // FILES_PER_READ)
+    one = f"{root}/d.TXT"
+    assert [tuple(r) for r in read_text_files(as_found, one).collect()] == [(f"file:{one}", "d.TXT")]
+    assert local_path("hdfs://h/a") is None and local_path("/a/*.txt") is None and local_path("file:///a b") == "/a b"
